@@ -1,10 +1,74 @@
-"""The training-data pipeline over documents."""
+"""Documents to a clean, mixed training set: five stages, each a table that the next one reads.
+
+All but the last return the columns of documents. SQL can express neither the fitted classifier nor
+the disclosure estimates, so there is no ORACLE_SQL; tests hold each stage against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, mixing, pii, quality, set_join
+from tessera.llm.common import table, written
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
+    """docs' columns with a new text, and n_chars to go with it."""
+    out = docs.withColumn("text", text)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the top grade is at least a half."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, keep=tuple(docs.columns)).filter("accepted").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at 0.8: the one with the least doc_id. Texts without words all stay."""
+    links = set_join.link_documents(docs, set_join.Rule(words=5, num=80))
+    first = links.filter("n_shingles > 0 and (doc_id = component_id or component_id is null)").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("v")).alias("v")).agg(F.min("k").alias("k"))
+    keep = first.select("k", F.lit(True).alias("once")).union(links.filter("n_shingles = 0").select("k", F.lit(False)).distinct())
+    keyed = docs.withColumn("k", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(keep, "k")
+    # Rows that are equal share k; only groups of texts with words leave one of them.
+    return keyed.filter("not once").select(*docs.columns).union(keyed.filter("once").dropDuplicates(["k"]).select(*docs.columns))
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of test items; a document of which no word is left goes."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), remove=True)
+    return _with_text(found.filter("n_hit = 0 or n_hit < n_words"), docs.columns, F.col("text_cut"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data generalised, and with the terms that disclose it generalised or removed."""
+    kept = pii.sanitise(docs.withColumnRenamed("n_chars", "doc_chars"), keep=tuple("doc_chars" if c == "n_chars" else c for c in docs.columns)).drop("n_chars")
+    return _with_text(kept.withColumnRenamed("doc_chars", "n_chars"), docs.columns, pii.rewrite(F.col("text")))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix of sources takes, with the words that it takes of each."""
+    return mixing.mix_sources(docs, keep=tuple(docs.columns)).filter("taken > 0").drop("mix_row")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontaminate_stage),
+    ("PII", pii_stage),
+    ("mixing sources to target weights", mix_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{i}")
+    return docs

@@ -34,6 +34,13 @@ class Phrases:
         self.shortest = min(map(len, self.windows), default=0)
 
 
+class Known(dict):
+    """Word ids; 0 for words of no item."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 class WaveletMatrix:
     """Ranks of symbols in a sequence: one bit vector with running counts for each bit of a symbol."""
 
@@ -123,11 +130,11 @@ def search_shard(docs: list[tuple], phrases: Phrases) -> list[tuple]:
     exactly where it occurs in the shard.
     """
     parts, doc_at, word_at, counts = [], [], [], []
-    get = phrases.ids.get
+    ids_of = Known(phrases.ids).__getitem__
     for d, (_, text) in enumerate(docs):
         w = words_of(text)
         counts.append(len(w))
-        ids = np.fromiter((get(x, 0) for x in w), np.int32, len(w))
+        ids = np.fromiter(map(ids_of, w), np.int32, len(w))
         if not phrases.windows or len(w) < phrases.shortest:
             continue
         edges = np.flatnonzero(np.diff(np.concatenate(([0], ids != 0, [0])).astype(np.int8)))

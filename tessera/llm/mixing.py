@@ -66,13 +66,13 @@ def mix_sources(docs: DataFrame, *, weights=(5, 2, 1), share=1.5, most=2, seed=1
     queued = written(queued, "mix-queue")
 
     copies = queued.select("mix_row", "mix_id", "mix_key", "source_rank", "size", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), F.col(f"time{e}").alias("time"), F.col(f"range{e}").alias("range")) for e in range(most)])).alias("c")).select("mix_row", "mix_id", "mix_key", "source_rank", "size", "c.*").filter("range is not null")
-    budget = targets.agg(F.sum("target").alias("budget"))
+    budget = targets.agg(F.sum("target")).first()[0] or 0.0
     by_range = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    edge = copies.groupBy("range").agg(F.sum("size").alias("words")).withColumn("start", F.coalesce(F.sum("words").over(by_range), F.lit(0))).crossJoin(budget).filter("start + words >= budget").agg(F.min(F.struct("range", "start", "budget")).alias("e")).select(F.coalesce("e.range", F.lit(4 * TIME_RANGES)).alias("edge"), "e.start", "e.budget")
-    #: A one-row table: the range in which the budget ends.
-    edge = written(edge, "mix-edge").first()
+    edge = copies.groupBy("range").agg(F.sum("size").alias("words")).withColumn("start", F.coalesce(F.sum("words").over(by_range), F.lit(0))).filter(F.col("start") + F.col("words") >= F.lit(budget)).agg(F.min(F.struct("range", "start")).alias("e")).select(F.coalesce("e.range", F.lit(4 * TIME_RANGES)).alias("edge"), "e.start")
+    # One row: the range in which the budget ends.
+    edge = edge.first()
     order = Window.orderBy("time", "source_rank", "epoch", "mix_key", "mix_id", "mix_row").rowsBetween(Window.unboundedPreceding, 0)
-    at_edge = copies.filter(F.col("range") == edge["edge"]).withColumn("left", F.lit(int(edge["budget"] or 0) - int(edge["start"] or 0)) - F.sum("size").over(order) + F.col("size"))
+    at_edge = copies.filter(F.col("range") == edge["edge"]).withColumn("left", F.lit(int(budget) - int(edge["start"] or 0)) - F.sum("size").over(order) + F.col("size"))
     at_edge = at_edge.groupBy("mix_row").agg(F.sum(F.greatest(F.least("left", "size"), F.lit(0))).alias("edge_taken"))
     whole = sum(F.when(F.col(f"range{e}") < edge["edge"], F.col("size")).otherwise(0) for e in range(most))
     return queued.join(at_edge, "mix_row", "left").select("mix_doc.*", "size", "source_size", "target", (whole + F.coalesce("edge_taken", F.lit(0))).cast("long").alias("taken"), "mix_row")
