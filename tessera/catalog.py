@@ -1,11 +1,511 @@
-"""Registered queries of the block-compression engine."""
+"""Registered queries of the block-compression engine, and SQL for those that it can express."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tessera.constants import BLOCK, STAGE_BUDGET
+from tessera.functions import bytes as fb
+from tessera.functions import codecs
+from tessera.operators import files, frames, policy, reports, sinks, state
+from tessera.plans import engine as plans
+from tessera.sources import blocks as sources
+
+QUERIES: dict = {}
+SQL: dict = {}
+
+_SPLIT = """
+src AS (SELECT lang AS volume_id, source AS workload, doc_id, hex(encode(text)) AS hx, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) > 0),
+blk AS (SELECT volume_id, workload, doc_id * 16777216 + i AS seq, i AS block_no, rpad(substr(hx, (i * 8192 + 1)::INT, 8192), 8192, '0') AS hx FROM (SELECT *, unnest(range(0, (n + 4095) // 4096)) AS i FROM src))"""
+_FEATURES = (
+    _SPLIT
+    + """,
+l AS (SELECT volume_id, workload, seq, block_no, hx, regexp_extract_all(hx, '..') AS b FROM blk),
+cnt AS (SELECT seq, x, count(*) AS c FROM (SELECT seq, unnest(b) AS x FROM l) GROUP BY seq, x),
+h AS (SELECT seq, round_even(-sum(c / 4096.0 * log2(c / 4096.0)), 6) + 0.0 AS entropy, round_even(count(*) / 256.0, 6) AS uniqueness, count(*)::INT AS byte_variety,
+             round_even(coalesce(sum(c) FILTER (x = '00'), 0) / 4096.0, 6) AS zero_density FROM cnt GROUP BY seq),
+f AS (SELECT l.*, h.entropy, h.uniqueness, h.byte_variety, h.zero_density, round_even(len(list_filter(list_zip(b[1:4095], b[2:4096]), lambda p: p[1] = p[2])) / 4096.0, 6) AS run_length_density FROM l JOIN h USING (seq))"""
+)
+_ENGINE = "CASE WHEN entropy > 7.6 AND uniqueness > 0.85 THEN 'RAW' WHEN run_length_density > 0.05 THEN 'LZ4' ELSE 'LZ4HC' END"
+_POLICY = f"CASE WHEN zero_density >= 0.999 THEN 'SKIP' ELSE {_ENGINE} END"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _features(spark, sf_dir):
+    b = sources.document_blocks(spark, sf_dir)
+    return plans.with_features(b).select("volume_id", "workload", "path", "seq", "block_no", "block", "key", "f.*")
+
+
+@query(f"WITH {_FEATURES} SELECT {_POLICY} AS codec, count(*)::BIGINT AS blocks FROM f GROUP BY 1")
+def block_codec_distribution(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return f.groupBy(policy.policy_codec(F.col("entropy"), F.col("run_length_density"), F.col("zero_density"), F.col("uniqueness")).alias("codec")).agg(F.count("*").alias("blocks"))
+
+
+@query(f"WITH {_SPLIT} SELECT volume_id, workload, seq, block_no::INT AS block_no, sha256(unhex(hx)) AS sha FROM blk")
+def block_split(spark, sf_dir):
+    return sources.document_blocks(spark, sf_dir).select("volume_id", "workload", "seq", "block_no", F.sha2("block", 256).alias("sha"))
+
+
+@query(f"WITH {_SPLIT} SELECT ('0x' || x)::INT AS byte, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(hx, '..')) AS x FROM blk) GROUP BY x")
+def byte_histogram(spark, sf_dir):
+    b = sources.document_blocks(spark, sf_dir)
+    return b.select(F.posexplode(fb.byte_histogram("block")).alias("byte", "n")).groupBy("byte").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+@query(f"WITH {_FEATURES} SELECT seq, entropy FROM f")
+def block_entropy(spark, sf_dir):
+    return _features(spark, sf_dir).select("seq", "entropy")
+
+
+@query(f"WITH {_FEATURES} SELECT seq, run_length_density FROM f")
+def block_rld(spark, sf_dir):
+    return _features(spark, sf_dir).select("seq", "run_length_density")
+
+
+@query(f"WITH {_FEATURES} SELECT seq, uniqueness, byte_variety FROM f")
+def block_uniqueness(spark, sf_dir):
+    return _features(spark, sf_dir).select("seq", "uniqueness", "byte_variety")
+
+
+@query(f"WITH {_FEATURES} SELECT seq, zero_density FROM f")
+def zero_density(spark, sf_dir):
+    return _features(spark, sf_dir).select("seq", "zero_density")
+
+
+_HINT = """CASE WHEN zero_density > 0.9999 THEN 'ZERO_BLOCK — deduplicate or skip' WHEN entropy > 7.5 AND uniqueness > 0.85 THEN 'RANDOM/ENCRYPTED — use RAW codec (high entropy + high uniqueness)'
+WHEN entropy > 7.5 THEN 'HIGH_ENTROPY_LOW_UNIQ — try LZ4 (entropy high but limited byte diversity)' WHEN run_length_density > 0.4 THEN 'HIGH_RLD — use LZ4 (run-length friendly)'
+WHEN entropy < 3 OR uniqueness < 0.1 THEN 'LOW_ENTROPY — use LZ4HC (deep compression)' ELSE 'MODERATE — use LZ4HC (balanced structured data)' END"""
+
+
+@query(f"WITH {_FEATURES} SELECT seq, {_HINT} AS compression_hint FROM f")
+def compression_hint(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return f.select("seq", policy.hint(F.col("entropy"), F.col("run_length_density"), F.col("uniqueness"), F.col("zero_density")).alias("compression_hint"))
+
+
+@query(f"WITH {_FEATURES} SELECT seq, {_POLICY} AS codec_name, CASE {_POLICY} WHEN 'SKIP' THEN -1 WHEN 'RAW' THEN 0 WHEN 'LZ4' THEN 1 ELSE 2 END::INT AS codec_id FROM f")
+def policy_decision(spark, sf_dir):
+    f = _features(spark, sf_dir).select("seq", policy.decision(F.struct("entropy", "run_length_density", "zero_density", "uniqueness")).alias("d"))
+    return f.select("seq", "d.codec_name", "d.codec_id")
+
+
+_CONF = """round_even(CASE WHEN zero_density >= 0.999 THEN 1.0 WHEN entropy > 7.6 AND uniqueness > 0.85 THEN least(1.0, 0.5 * (entropy - 7.6) / 0.4 + 0.5 * (uniqueness - 0.85) / 0.15 + 0.6)
+WHEN run_length_density > 0.05 THEN least(1.0, 0.6 + run_length_density * 0.5) WHEN entropy < 6.5 OR uniqueness < 0.3 THEN least(1.0, 0.55 + 0.3 * greatest(0.0, (6.5 - entropy) / 6.5) + 0.3 * greatest(0.0, (0.3 - uniqueness) / 0.3))
+ELSE greatest(0.5, (7.6 - entropy) / 7.6) END::DOUBLE, 4)"""
+#: The policy on plain numbers: orders stand for features, so that all branches are met.
+_SYNTH = "s AS (SELECT o_orderkey AS seq, (o_orderkey * 37 % 8001) / 1000.0::DOUBLE AS entropy, (o_orderkey * 11 % 120) / 1000.0::DOUBLE AS run_length_density, (o_orderkey * 7 % 1001) / 1000.0::DOUBLE AS uniqueness, (CASE WHEN o_orderkey % 29 = 0 THEN 999 ELSE o_orderkey * 13 % 999 END) / 1000.0::DOUBLE AS zero_density FROM orders)"
+
+
+def _synthetic(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("seq"), (k * 37 % 8001 / 1000.0).alias("entropy"), (k * 11 % 120 / 1000.0).alias("run_length_density"), (k * 7 % 1001 / 1000.0).alias("uniqueness"), (F.when(k % 29 == 0, 999).otherwise(k * 13 % 999) / 1000.0).alias("zero_density"))
+
+
+@query(f"WITH {_SYNTH} SELECT seq, {_POLICY} AS codec_name, {_CONF} AS confidence FROM s")
+def policy_confidence(spark, sf_dir):
+    d = policy.decision(F.struct("entropy", "run_length_density", "zero_density", "uniqueness"))
+    return _synthetic(spark, sf_dir).select("seq", d.alias("d")).select("seq", "d.codec_name", "d.confidence")
+
+
+@query()
+def policy_reasons(spark, sf_dir):
+    d = policy.decision(F.struct("entropy", "run_length_density", "zero_density", "uniqueness"))
+    return _synthetic(spark, sf_dir).select("seq", d.alias("d")).select("seq", "d.decision_reason")
+
+
+@query(f"WITH {_SYNTH} SELECT count(*) FILTER (entropy > 7.6 AND uniqueness <= 0.85)::BIGINT AS raw_avoided FROM s")
+def raw_avoided(spark, sf_dir):
+    return _synthetic(spark, sf_dir).agg(F.count(F.when(policy.raw_avoided(F.col("entropy"), F.col("uniqueness")), 1)).alias("raw_avoided"))
+
+
+@query(f"WITH {_FEATURES}, e AS (SELECT seq, (sum(c * (12 - floor(log2(c))))::BIGINT // 4096)::INT AS entropy_fixed FROM cnt GROUP BY seq) SELECT f.seq, e.entropy_fixed, round(run_length_density * 4096)::INT AS adjacent_equal, CASE WHEN e.entropy_fixed > 1920 THEN 'RAW' WHEN round(run_length_density * 4096) > 1638 THEN 'LZ4' ELSE 'LZ4HC' END AS codec FROM f JOIN e USING (seq)")
+def firmware_policy(spark, sf_dir):
+    b = sources.document_blocks(spark, sf_dir).select("seq", fb.firmware_features("block").alias("f"))
+    return b.select("seq", "f.entropy_fixed", "f.adjacent_equal", policy.firmware_codec(F.col("f.entropy_fixed"), F.col("f.adjacent_equal")).alias("codec"))
+
+
+@query("SELECT octet_length(encode(text))::INT AS n, seq, lower(substr(hex(encode(text)), 1, 8)) AS prefix FROM (SELECT doc_id AS seq, text FROM documents WHERE octet_length(encode(text)) >= 4)")
+def block_prefix(spark, sf_dir):
+    b = F.encode("text", "UTF-8")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.octet_length("text") >= 4).select(F.octet_length("text").alias("n"), F.col("doc_id").alias("seq"), F.lower(F.hex(fb.prefix(b))).alias("prefix"))
+
+
+_HITS = f"WITH {_SPLIT}, a AS (SELECT *, row_number() OVER (PARTITION BY volume_id, hx ORDER BY seq) AS use FROM blk)"
+
+
+@query(f"{_HITS} SELECT volume_id, seq, use > 1 AS cache_hit FROM a")
+def cache_hits(spark, sf_dir):
+    b = sources.document_blocks(spark, sf_dir).select("volume_id", "seq", F.sha2("block", 256).alias("key"))
+    return state.lru_hits(b).select("volume_id", "seq", "cache_hit")
+
+
+#: Accesses to cache keys: customers' orders by priority. The recency test counts the keys used since the last use, pair by pair.
+_ACCESS = "a AS (SELECT o_orderpriority AS volume_id, o_orderkey AS seq, o_custkey % 97 AS key, (o_custkey % 100) / 100.0::DOUBLE AS ratio FROM orders WHERE o_orderkey % 4 = 0)"
+_REUSE = f"{_ACCESS}, p AS (SELECT *, lag(seq) OVER (PARTITION BY volume_id, key ORDER BY seq) AS prev FROM a), h AS (SELECT p.volume_id, p.seq, p.key, p.ratio, p.prev IS NOT NULL AND (SELECT count(DISTINCT b.key) FROM a b WHERE b.volume_id = p.volume_id AND b.seq > p.prev AND b.seq < p.seq) < 40 AS cache_hit FROM p)"
+
+
+def _accesses(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 4 = 0")
+    return o.select(F.col("o_orderpriority").alias("volume_id"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 97).alias("key"), (F.col("o_custkey") % 100 / 100.0).alias("ratio"))
+
+
+@query(f"WITH {_REUSE} SELECT volume_id, seq, key, cache_hit FROM h")
+def cache_evictions(spark, sf_dir):
+    return state.lru_hits(_accesses(spark, sf_dir), 40).select("volume_id", "seq", "key", "cache_hit")
+
+
+@query(f"WITH {_REUSE}, g AS (SELECT *, sum((NOT cache_hit)::INT) OVER (PARTITION BY volume_id, key ORDER BY seq)::BIGINT AS generation FROM h) SELECT volume_id, seq, key, generation, row_number() OVER (PARTITION BY volume_id, key, generation ORDER BY seq)::INT AS use FROM g")
+def cache_generations(spark, sf_dir):
+    return state.generations(state.lru_hits(_accesses(spark, sf_dir), 40)).select("volume_id", "seq", "key", "generation", "use")
+
+
+#: The learned ratio step by step, one access after the other.
+_STEP = f"""{_ACCESS}, r AS (SELECT *, row_number() OVER (PARTITION BY volume_id, key ORDER BY seq)::INT AS use FROM a),
+w AS (SELECT volume_id, seq, key, ratio, use, 1.0::DOUBLE AS avg_before, false AS force_raw FROM r WHERE use = 1
+  UNION ALL SELECT r.volume_id, r.seq, r.key, r.ratio, r.use, CASE WHEN w.force_raw THEN w.avg_before ELSE 0.25 * r.ratio + 0.75 * w.avg_before END,
+    w.force_raw OR (r.use >= 3 AND (CASE WHEN w.force_raw THEN w.avg_before ELSE 0.25 * r.ratio + 0.75 * w.avg_before END) > 0.88)
+  FROM w JOIN r ON r.volume_id = w.volume_id AND r.key = w.key AND r.use = w.use + 1)"""
+
+
+@query(f"WITH RECURSIVE {_STEP} SELECT volume_id, seq, use, force_raw, use >= 3 AND NOT force_raw AND avg_before < 0.35 AS skip_benefit FROM w")
+def adaptive_override(spark, sf_dir):
+    a = _accesses(spark, sf_dir).withColumn("cache_hit", F.lit(True))
+    g = state.generations(a)
+    return state.learned(g, F.col("ratio"), F.lit(False)).select("volume_id", "seq", "use", "force_raw", "skip_benefit")
+
+
+_LEARN = "e AS (SELECT o_orderpriority AS volume_id, o_orderkey AS seq, (o_orderkey * 37 % 8001) / 1000.0::DOUBLE + (CASE WHEN o_orderkey % 9000 > 4500 THEN 3 ELSE 0 END) AS entropy FROM orders)"
+
+
+@query(f"WITH {_LEARN} SELECT volume_id, seq, count(entropy) OVER w >= 20 AND avg(entropy) OVER w > 6.5 AS throttled FROM e WINDOW w AS (PARTITION BY volume_id ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+def thermal_throttle(spark, sf_dir):
+    k = F.col("o_orderkey")
+    e = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("volume_id"), k.alias("seq"), (k * 37 % 8001 / 1000.0 + F.when(k % 9000 > 4500, 3).otherwise(0)).alias("entropy"))
+    return state.throttle(e).select("volume_id", "seq", "throttled")
+
+
+@query(f"WITH {_FEATURES} SELECT volume_id, seq, row_number() OVER w::INT AS block_index, round_even(avg(entropy) OVER w, 4) AS avg_entropy, round_even(avg(run_length_density) OVER w, 4) AS avg_rld, round_even(avg(uniqueness) OVER w, 4) AS avg_uniqueness FROM f WINDOW w AS (PARTITION BY volume_id ORDER BY seq ROWS UNBOUNDED PRECEDING)".replace("row_number() OVER w::INT", "(row_number() OVER w)::INT"))
+def running_feature_avgs(spark, sf_dir):
+    return state.running_averages(_features(spark, sf_dir)).select("volume_id", "seq", "block_index", "avg_entropy", "avg_rld", "avg_uniqueness")
+
+
+@query("WITH a AS (SELECT o_orderpriority AS volume_id, o_orderkey AS seq, md5((o_custkey % 500)::VARCHAR) AS m FROM orders), s AS (SELECT *, ('0x' || substr(m, 9, 8))::BIGINT % 64 AS slot FROM a) SELECT volume_id, seq, slot, coalesce(lag(m) OVER (PARTITION BY volume_id, slot ORDER BY seq) = m, false) AS cache_hit FROM s")
+def direct_mapped_cache(spark, sf_dir):
+    a = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("volume_id"), F.col("o_orderkey").alias("seq"), F.md5((F.col("o_custkey") % 500).cast("string")).alias("m"))
+    return state.direct_mapped(a, F.substring("m", 1, 16), F.substring("m", 17, 16), 64).select("volume_id", "seq", "slot", "cache_hit")
+
+
+@query("WITH a AS (SELECT o_orderpriority AS volume_id, o_orderkey AS seq, CASE WHEN o_custkey % 5 = 0 THEN 4096 ELSE o_custkey % 4000 END AS size FROM orders) SELECT volume_id, seq, sum(size) OVER w / (count(*) OVER w * 4096.0)::DOUBLE AS waf FROM a WINDOW w AS (PARTITION BY volume_id ORDER BY seq ROWS UNBOUNDED PRECEDING)")
+def running_waf(spark, sf_dir):
+    a = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("volume_id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_custkey") % 5 == 0, BLOCK).otherwise(F.col("o_custkey") % 4000).alias("size"))
+    return a.select("volume_id", "seq", state.running_waf(a, F.col("size"), F.lit(BLOCK)).alias("waf"))
+
+
+@query(f"WITH RECURSIVE {_ACCESS}, r AS (SELECT *, row_number() OVER (PARTITION BY volume_id, key ORDER BY seq)::INT AS use, count(*) OVER (PARTITION BY volume_id, key) AS n FROM a), w AS (SELECT volume_id, key, seq, use, n, floor(ratio * 1000)::INT AS avg_ratio FROM r WHERE use = 1 UNION ALL SELECT r.volume_id, r.key, r.seq, r.use, r.n, (7 * w.avg_ratio + floor(r.ratio * 1000)::INT) // 8 FROM w JOIN r ON r.volume_id = w.volume_id AND r.key = w.key AND r.use = w.use + 1) SELECT volume_id, key, (use - 1)::INT AS hit_count, avg_ratio, seq AS last_seq FROM w WHERE use = n")
+def entry_ratios(spark, sf_dir):
+    return state.entry_ratios(_accesses(spark, sf_dir))
+
+
+@query(f"WITH {_ACCESS} SELECT volume_id, key, count(*)::BIGINT - 1 AS hit_count, max(seq) AS last_seq FROM a GROUP BY volume_id, key ORDER BY hit_count DESC, last_seq, volume_id, key LIMIT 20")
+def top_hot_blocks(spark, sf_dir):
+    return reports.top_entries(_accesses(spark, sf_dir), 20)
+
+
+@query(f"WITH {_ACCESS} SELECT volume_id, seq, key, ((SELECT count(*) FROM orders o WHERE o.o_orderpriority = a.volume_id AND o.o_orderkey % 4 = 1 AND o.o_custkey % 97 = a.key AND o.o_orderkey < a.seq))::BIGINT AS epoch FROM a")
+def cache_invalidation(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 4 = 1")
+    drops = o.select(F.col("o_orderpriority").alias("volume_id"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 97).alias("key"))
+    return state.invalidated(_accesses(spark, sf_dir), drops).select("volume_id", "seq", "key", "epoch")
+
+
+@query("SELECT event_id AS seq, event_type AS volume_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r <= 500")
+def ring_buffer(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), F.col("event_type").alias("volume_id"), "value")
+    return state.ring_buffer(e, 500)
+
+
+@query()
+def compress_own_lz4(spark, sf_dir):
+    b = sources.document_blocks(spark, sf_dir).select("block").distinct()
+    return b.select(F.sha2("block", 256).alias("key"), F.octet_length(codecs.encoded(F.col("block"), False, True)).alias("lz4"), F.octet_length(codecs.encoded(F.col("block"), True, True)).alias("lz4hc"))
+
+
+@query()
+def compress_lib_lz4(spark, sf_dir):
+    b = sources.document_blocks(spark, sf_dir).select("block").distinct()
+    return b.select(F.sha2("block", 256).alias("key"), codecs.lib_sizes(F.col("block")).alias("z")).select("key", "z.*")
+
+
+@query(f"WITH {_SPLIT}, u AS (SELECT DISTINCT hx FROM blk) SELECT sha256(unhex(hx)) AS key, sha256(unhex(hx)) AS restored FROM u")
+def lz4_round_trip(spark, sf_dir):
+    b = sources.document_blocks(spark, sf_dir).select("block").distinct().withColumn("packed", codecs.encoded(F.col("block"), True, True))
+    return b.select(F.sha2("block", 256).alias("key"), F.sha2(codecs.decoded(F.col("packed"), F.lit(BLOCK)), 256).alias("restored"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_partkey % 4200)::BIGINT AS size, l_partkey % 4200 + 74 < 4096 AS keep, l_partkey % 4200 >= 4022 AS raw FROM lineitem")
+def benefit_check(spark, sf_dir):
+    size = F.col("l_partkey") % 4200
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", size.alias("size"), codecs.beneficial(size).alias("keep"), codecs.stored_raw(size).alias("raw"))
+
+
+def _packed(spark, sf_dir):
+    b = sources.document_blocks(spark, sf_dir)
+    raw = F.col("block_no") % 2 == 0
+    return b.withColumns({"codec": F.when(raw, "RAW").otherwise("SKIP"), "payload": F.when(raw, F.col("block")).otherwise(F.lit(b""))})
+
+
+_BODY = "CASE WHEN block_no % 2 = 0 THEN '00' || '0010' || 'F40F' || '00' || '00000000' || substr(hx, 1, 8168) ELSE 'FF' || '0010' || '0000' || '00' || '00000000' || repeat('0', 8168) END"
+
+
+@query(f"WITH {_SPLIT} SELECT seq, sha256(unhex({_BODY})) AS body FROM blk")
+def frame_pack(spark, sf_dir):
+    f = _packed(spark, sf_dir).select("seq", frames.pack_module(F.col("codec"), F.col("block"), F.col("payload")).alias("frame"))
+    return f.select("seq", F.sha2(F.substring("frame", F.lit(1), F.lit(BLOCK - 2)), 256).alias("body"))
+
+
+@query(f"WITH {_SPLIT} SELECT seq, CASE WHEN block_no % 2 = 0 THEN 'RAW' ELSE 'SKIP' END AS codec_name, 4096 AS original_size, CASE WHEN block_no % 2 = 0 THEN 4084 ELSE 0 END AS compressed_size, CASE WHEN block_no % 2 = 0 THEN sha256(unhex(substr(hx, 1, 8168))) ELSE sha256('') END AS payload, true AS crc_valid FROM blk")
+def frame_unpack(spark, sf_dir):
+    f = _packed(spark, sf_dir).select("seq", frames.pack_module(F.col("codec"), F.col("block"), F.col("payload")).alias("frame"))
+    return frames.unpack_module(f).select("seq", "codec_name", "original_size", "compressed_size", F.sha2("payload", 256).alias("payload"), "crc_valid")
+
+
+@query()
+def engine_frames(spark, sf_dir):
+    f = plans.engine_frames(plans.engine(sources.document_blocks(spark, sf_dir)))
+    return frames.unpack_engine(f).select("volume_id", "seq", "frame_offset", "codec_name", "compressed_size", "crc_valid")
+
+
+@query()
+def crc16_modbus(spark, sf_dir):
+    return sources.document_blocks(spark, sf_dir).select("seq", fb.crc16_modbus("block").alias("crc"))
+
+
+@query()
+def crc16_ccitt(spark, sf_dir):
+    return sources.document_blocks(spark, sf_dir).select("seq", fb.crc16_ccitt("block").alias("crc"))
+
+
+@query()
+def murmur3_128(spark, sf_dir):
+    return sources.document_blocks(spark, sf_dir).select("seq", fb.murmur3_128(F.col("block"), 42).alias("h"))
+
+
+@query()
+def firmware_murmur3(spark, sf_dir):
+    return sources.document_blocks(spark, sf_dir).select("seq", fb.murmur3_simple(F.col("block")).alias("h"))
+
+
+@query(f"WITH {_SPLIT} SELECT sha256(unhex(hx)) AS sha, count(*)::BIGINT AS copies FROM blk GROUP BY hx")
+def block_sha256(spark, sf_dir):
+    return sources.document_blocks(spark, sf_dir).groupBy(F.sha2("block", 256).alias("sha")).agg(F.count("*").alias("copies"))
+
+
+@query("SELECT doc_id::VARCHAR AS path, (octet_length(encode(text)) + 4095) // 4096 * 4096 AS size, ((octet_length(encode(text)) + 4095) // 4096)::INT AS n_blocks FROM documents WHERE octet_length(encode(text)) > 0")
+def file_index(spark, sf_dir):
+    b = sources.document_blocks(spark, sf_dir).withColumn("frame_offset", (F.row_number().over(state._ordered("volume_id")) - 1) * BLOCK)
+    return files.index(b.select("path", "block_no", F.col("frame_offset").cast("long").alias("frame_offset"))).select("path", "size", F.size("blocks").alias("n_blocks"))
+
+
+@query("SELECT doc_id::VARCHAR AS path, sha256(unhex(rpad(substr(hex(encode(text)), 2001, 8192), greatest(least((octet_length(encode(text)) + 4095) // 4096 * 4096 - 1000, 4096), 0)::INT * 2, '0'))) AS data FROM documents WHERE doc_id = 0")
+def read_range(spark, sf_dir):
+    fr = plans.engine_frames(plans.engine(sources.document_blocks(spark, sf_dir).filter("path = '0'")))
+    return files.read_range(files.index(fr), fr, "0", 1000, 4096).select("path", F.sha2("data", 256).alias("data"))
+
+
+@query("SELECT '.' AS name UNION ALL SELECT '..' UNION ALL SELECT '.stats' UNION ALL SELECT doc_id::VARCHAR FROM documents WHERE octet_length(encode(text)) > 0")
+def file_names(spark, sf_dir):
+    b = sources.document_blocks(spark, sf_dir)
+    return files.names(b.select("path").distinct())
+
+
+@query()
+def engine_results(spark, sf_dir):
+    return plans.engine(sources.document_blocks(spark, sf_dir)).drop("block", "key", "path", "workload")
+
+
+@query()
+def engine_stats(spark, sf_dir):
+    return reports.engine_stats(plans.engine(sources.document_blocks(spark, sf_dir)))
+
+
+@query()
+def pipeline_results(spark, sf_dir):
+    return plans.pipeline(sources.document_blocks(spark, sf_dir)).drop("block")
+
+
+@query()
+def codec_stats(spark, sf_dir):
+    return reports.codec_stats(plans.pipeline(sources.document_blocks(spark, sf_dir)))
+
+
+@query()
+def firmware_results(spark, sf_dir):
+    return plans.firmware(sources.document_blocks(spark, sf_dir)).drop("block")
+
+
+@query()
+def branch_stream(spark, sf_dir):
+    return reports.engine_stats(plans.engine(sources.branch_stream(spark, 2000)))
+
+
+@query()
+def workload_breakdown(spark, sf_dir):
+    return reports.workload_breakdown(plans.engine(sources.exact_stream(spark, 400)))
+
+
+@query("SELECT 160::BIGINT AS n, 'random' AS workload UNION ALL SELECT 100, 'structured' UNION ALL SELECT 80, 'repetitive' UNION ALL SELECT 60, 'archive_like'")
+def exact_workload(spark, sf_dir):
+    return sources.exact_stream(spark, 400).groupBy("workload").agg(F.count("*").alias("n"))
+
+
+@query("WITH r AS (SELECT unnest(range(0, 20)) AS s) SELECT sha256(string_agg(d, '' ORDER BY i)) AS sha, s AS seq FROM (SELECT s, i, sha256('r' || s || ':' || i) AS d FROM r, range(0, 128) t(i)) GROUP BY s")
+def chain_blocks(spark, sf_dir):
+    return spark.range(20).select(F.sha2(F.lower(F.hex(sources.generated(F.lit("random"), F.col("id")))), 256).alias("sha"), F.col("id").alias("seq"))
+
+
+@query(f"WITH {_FEATURES} SELECT count(*)::BIGINT AS blocks_analyzed, round_even(avg(entropy), 4) AS avg_entropy, round_even(avg(run_length_density), 4) AS avg_rld, round_even(avg(uniqueness), 4) AS avg_uniqueness, round_even(count(*) FILTER (zero_density > 0.9999) * 100.0::DOUBLE / count(*), 2) AS zero_block_pct, round_even(count(*) FILTER (entropy > 7.5) * 100.0::DOUBLE / count(*), 2) AS high_entropy_pct, round_even(count(*) FILTER (run_length_density > 0.4) * 100.0::DOUBLE / count(*), 2) AS high_rld_pct FROM f")
+def analyzer_stats(spark, sf_dir):
+    return reports.analyzer_stats(_features(spark, sf_dir))
+
+
+@query(f"WITH {_FEATURES}, d AS (SELECT {_POLICY} AS codec FROM f), n AS (SELECT unnest(['SKIP', 'RAW', 'LZ4', 'LZ4HC']) AS codec) SELECT n.codec, count(d.codec)::BIGINT AS blocks, round_even(count(d.codec) * 100.0::DOUBLE / (SELECT count(*) FROM d), 2) AS pct FROM n LEFT JOIN d USING (codec) GROUP BY n.codec")
+def policy_distribution(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return reports.codec_distribution(f.select(policy.policy_codec(F.col("entropy"), F.col("run_length_density"), F.col("zero_density"), F.col("uniqueness")).alias("codec_used")))
+
+
+@query(f"WITH {_REUSE} SELECT count(*) FILTER (cache_hit)::BIGINT AS hits, count(*) FILTER (NOT cache_hit)::BIGINT AS misses, least(count(DISTINCT (volume_id, key)), count(DISTINCT volume_id) * 40)::BIGINT AS entries, (count(DISTINCT volume_id) * 40)::BIGINT AS capacity, round_even(count(*) FILTER (cache_hit) / count(*)::DOUBLE, 4) AS hit_rate, round_even(least(count(DISTINCT (volume_id, key)), count(DISTINCT volume_id) * 40) * 100.0::DOUBLE / (count(DISTINCT volume_id) * 40), 2) AS utilisation_pct, (least(count(DISTINCT (volume_id, key)), count(DISTINCT volume_id) * 40) * 16)::BIGINT AS memory_bytes FROM h")
+def cache_stats(spark, sf_dir):
+    return reports.cache_stats(state.lru_hits(_accesses(spark, sf_dir), 40), 40)
+
+
+#: Events stand for timings: their type for the stage, their value for microseconds.
+_STAGES = {"click": "hashing", "error": "cache_lookup", "purchase": "feature_extraction", "signup": "codec_selection", "view": "compression"}
+_STAGE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STAGES.items()) + " END"
+
+
+def _timings(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stage = F.lit(None).cast("string")
+    for k, v in _STAGES.items():
+        stage = F.when(F.col("event_type") == k, v).otherwise(stage)
+    return e.select(F.col("event_id").alias("seq"), stage.alias("stage"), F.col("value").alias("us"), "event_type")
+
+
+_STAGE_SQL = f"t AS (SELECT {_STAGE} AS stage, value AS us FROM events), s AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {float(v)}::DOUBLE)" for k, v in STAGE_BUDGET.items()) + ") v(stage, budget_us)), g AS (SELECT stage, count(us) AS n, avg(us) AS a, min(us) AS lo, max(us) AS hi, stddev_pop(us) AS sd FROM t GROUP BY stage), p AS (SELECT s.stage, coalesce(n, 0)::BIGINT AS count, round_even(coalesce(a, 0), 3) AS avg_us, round_even(coalesce(lo, 0), 3) AS min_us, round_even(coalesce(hi, 0), 3) AS max_us, round_even(coalesce(sd, 0), 3) AS std_us, budget_us, round_even(coalesce(a, 0) / budget_us * 100.0, 1) AS budget_pct FROM s LEFT JOIN g USING (stage))"
+
+
+@query(f"WITH {_STAGE_SQL} SELECT * FROM p")
+def stage_timing_stats(spark, sf_dir):
+    return reports.stage_stats(_timings(spark, sf_dir))
+
+
+@query(f"WITH {_STAGE_SQL} SELECT (SELECT count(*) FROM t)::BIGINT AS total_blocks, (SELECT count(*) FROM t WHERE us > 224)::BIGINT AS budget_exceeded, round_even(sum(avg_us), 3) AS avg_total_us, round_even((SELECT count(*) FROM t WHERE us > 224) * 100.0::DOUBLE / (SELECT count(*) FROM t), 2) AS budget_exceed_pct, round_even(round_even(sum(avg_us), 3) / 224 * 100.0, 1) AS overall_budget_pct FROM p")
+def budget_exceeded(spark, sf_dir):
+    t = _timings(spark, sf_dir)
+    return reports.budget_report(t.select(F.col("us").alias("total_us")), reports.stage_stats(t))
+
+
+@query("SELECT event_id AS seq, value AS total_us FROM events WHERE value > 300")
+def slow_blocks(spark, sf_dir):
+    return reports.slow_blocks(_timings(spark, sf_dir).select("seq", F.col("us").alias("total_us")))
+
+
+@query("SELECT event_id AS seq, value AS us FROM events ORDER BY event_id DESC LIMIT 10")
+def recent_blocks(spark, sf_dir):
+    return reports.last_rows(_timings(spark, sf_dir).select("seq", "us"), 10)
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*)::BIGINT AS n, avg(value) AS avg, max(value) FILTER (r = floor(0.95::DOUBLE * n)) AS p95, max(value) FILTER (r = floor(0.99::DOUBLE * n)) AS p99 FROM r GROUP BY event_type")
+def index_percentiles(spark, sf_dir):
+    return reports.index_percentiles(_timings(spark, sf_dir), ["event_type"], "us")
+
+
+@query("SELECT event_type, median(value) AS median, avg(value) AS mean FROM events GROUP BY event_type")
+def median_latency(spark, sf_dir):
+    return reports.median_mean(_timings(spark, sf_dir), ["event_type"], "us")
+
+
+@query("SELECT l_returnflag AS workload, count(*)::BIGINT AS blocks, sum((l_partkey % 4096))::BIGINT AS adaptive_bytes, sum((l_suppkey * 37 % 4097))::BIGINT AS static_bytes, round_even(sum(l_partkey % 4096) / (count(*) * 4096)::DOUBLE, 4) AS adaptive_ratio, round_even(sum(l_suppkey * 37 % 4097) / (count(*) * 4096)::DOUBLE, 4) AS static_ratio, sum(l_suppkey * 37 % 4097 - l_partkey % 4096)::BIGINT AS saved_bytes FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+def policy_compare(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return reports.compare_policies(li.select(F.col("l_returnflag").alias("workload"), (F.col("l_partkey") % 4096).alias("adaptive"), (F.col("l_suppkey") * 37 % 4097).alias("static")))
+
+
+def _sizes(spark, sf_dir):
+    r = plans.engine(sources.document_blocks(spark, sf_dir)).join(sources.document_blocks(spark, sf_dir).select("block").distinct().select(F.sha2("block", 256).alias("key"), codecs.lib_sizes(F.col("block"))["lz4"].alias("z")), "key")
+    return r.withColumns({"adaptive": F.when(F.col("zero_block"), 0).otherwise(F.col("compressed_size")), "static": F.least(F.col("z"), F.lit(BLOCK))})
+
+
+@query()
+def per_source_ratio(spark, sf_dir):
+    return reports.per_file(_sizes(spark, sf_dir).withColumn("path", F.col("workload")))
+
+
+@query()
+def file_summary(spark, sf_dir):
+    return reports.file_summary(reports.per_file(_sizes(spark, sf_dir)))
+
+
+@query("SELECT o_orderpriority AS size, " + ", ".join(f"coalesce(max(CASE WHEN o_orderstatus = '{s}' THEN o_orderkey END)::VARCHAR, '—') AS \"{s}\"" for s in "FOP") + " FROM orders GROUP BY o_orderpriority")
+def size_pipeline_pivot(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("size"), F.col("o_orderstatus").alias("pipeline"), F.col("o_orderkey").alias("metric"), F.col("o_orderkey").alias("_at"))
+    return reports.matrix_pivot(o, "metric", ["F", "O", "P"])
+
+
+@query("SELECT unnest(range(0, 50))::BIGINT AS id, 47.2::DOUBLE * (1 - exp(-0.1::DOUBLE * unnest(range(0, 50)))) AS hit_rate")
+def warmup_curve(spark, sf_dir):
+    return reports.warmup_curve(spark, 50, 47.2, 0.1)
+
+
+@query("SELECT * FROM (VALUES ('hash', 3.0::DOUBLE, 1.0::DOUBLE, 7.5::DOUBLE), ('features', 20.0, 0.6, 30.0), ('lz4', 100.0, 0.3, 75.0), ('lz4hc', 200.0, 0.2, 100.0)) v(operation, us, share, cpu_pct)")
+def cpu_budget(spark, sf_dir):
+    return reports.cpu_budget(spark.createDataFrame([("hash", 3.0, 1.0), ("features", 20.0, 0.6), ("lz4", 100.0, 0.3), ("lz4hc", 200.0, 0.2)], "operation string, us double, share double"))
+
+
+@query(f"WITH {_REUSE}, r AS (SELECT volume_id, row_number() OVER w AS blocks, avg(cache_hit::INT) OVER w AS hit_rate, sum((NOT cache_hit)::INT) OVER w AS entries FROM h WINDOW w AS (PARTITION BY volume_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) SELECT volume_id, blocks::INT AS blocks, hit_rate, entries::BIGINT AS entries FROM r WHERE blocks % 100 = 0")
+def warmup_samples(spark, sf_dir):
+    return reports.warmup_samples(state.lru_hits(_accesses(spark, sf_dir), 40))
+
+
+@query(f"WITH {_STAGE_SQL} SELECT stage, avg_us, CASE WHEN max(avg_us) OVER () > 0 THEN avg_us / max(avg_us) OVER () * 100 ELSE 0 END AS bar FROM p")
+def dashboard_bars(spark, sf_dir):
+    s = reports.stage_stats(_timings(spark, sf_dir))
+    return reports.dashboard(spark.range(1).select(F.lit(0.5).alias("average_compression_ratio")), s)[1].select("stage", "avg_us", "bar")
+
+
+@query()
+def report_sections(spark, sf_dir):
+    t = _timings(spark, sf_dir)
+    return sinks.sections(("STAGES", reports.stage_stats(t)), ("PERCENTILES", reports.index_percentiles(t, ["event_type"], "us")))
+
+
+@query()
+def metrics_json(spark, sf_dir):
+    r = plans.pipeline(sources.document_blocks(spark, sf_dir))
+    e = plans.engine(sources.document_blocks(spark, sf_dir))
+    m = reports.metrics(reports.engine_stats(e), reports.codec_stats(r), reports.cache_stats(e.filter("not zero_block").select("volume_id", "key", "cache_hit"), 2340))
+    return m.select(F.to_json(F.struct(*m.columns)).alias("metrics"))
+
+
+@query("SELECT page_id * 16777216 + i AS seq, sha256(unhex(rpad(substr(hx, (i * 8192 + 1)::INT, 8192), 8192, '0'))) AS sha FROM (SELECT page_id, hex(encode(html)) AS hx, unnest(range(0, (octet_length(encode(html)) + 4095) // 4096)) AS i FROM pages WHERE octet_length(encode(html)) > 0)")
+def page_blocks(spark, sf_dir):
+    return sources.page_blocks(spark, sf_dir).select("seq", F.sha2("block", 256).alias("sha"))
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
