@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 #: Logarithms of the tables' sizes: word's last 2 bytes, last 4, all; word before, the one before it. A model is so large at any input.
-SIZES = (16, 20, 21, 20, 20)
+SIZES = (16, 21, 22, 20, 20)
 BLOCK = 1 << 14
 #: Characters in one chunk of texts, words and tokens in one step.
 CHUNK_CHARS = 24_000_000
+#: Uses in a chunk from which a word's whole spelling is counted; rarer ones are left to the shorter contexts and would only fill the table.
+LEAST_USES = 4
 WORDS, TOKENS = 40_000, 200_000
 END, GATES, STEPS = b"\n", 40, 33
 #: States of a slot of which one count is under RARE: that count, which one it is, and the steps of the other.
@@ -140,20 +142,22 @@ def count_chunk(chunk: Chunk, train: np.ndarray) -> tuple[np.ndarray, list[np.nd
     """Words' counts in training texts, and the tables: arrays (slots, 2) of how often 0 and 1 followed."""
     in_train = np.repeat(train, chunk.lengths)
     n = np.bincount(chunk.tokens[in_train], minlength=len(chunk.words))
-    tables = [np.zeros((2, 1 << s), np.int64) for s in SIZES]
+    tables = [np.zeros((2, 1 << s), np.int32) for s in SIZES]
 
     def add(t: int, slot: np.ndarray, bit: np.ndarray, weight=None) -> None:
         size = 1 << SIZES[t]
         both = np.bincount((slot + bit.astype(np.int64) * size).ravel(), None if weight is None else weight.ravel(), 2 * size)
-        tables[t] += both.astype(np.int64).reshape(2, size)
+        tables[t] += both.astype(np.int32).reshape(2, size)
 
     used = np.flatnonzero(n)
     for i in range(0, len(used), WORDS):
         part = used[i : i + WORDS]
         s = Spelling([chunk.words[k] for k in part])
         weight = np.broadcast_to(np.repeat(n[part], s.sizes)[:, None].astype(np.float64), s.bit.shape)
-        for t in range(3):
+        for t in (0, 1):
             add(t, s.slots[t], s.bit, weight)
+        often = np.repeat(n[part] >= LEAST_USES, s.sizes)
+        add(2, s.slots[2][often], s.bit[often], weight[often])
     hashes, head = heads(chunk.words)
     before = chunk.before(1), chunk.before(2)
     at = np.flatnonzero(in_train)

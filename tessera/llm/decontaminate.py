@@ -93,6 +93,8 @@ class FMIndex:
     """Counts and finds phrases in a sequence of symbols, from its Burrows-Wheeler transform and sampled suffix positions."""
 
     def __init__(self, seq: np.ndarray, symbols: int, every: int = 16):
+        # A least symbol at the end, found nowhere else, makes every step back exact.
+        seq, symbols = np.concatenate((seq + 1, np.zeros(1, seq.dtype))), symbols + 1
         suffixes = suffix_array(seq)
         self.wave = WaveletMatrix(seq[suffixes - 1].astype(np.int32), max(1, int(symbols - 1).bit_length()))
         self.first = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=symbols))))
@@ -102,7 +104,7 @@ class FMIndex:
     def find(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row ranges of equally long phrases, by backward search for all at once."""
         lo, hi = np.zeros(len(windows), np.int64), np.full(len(windows), self.n, np.int64)
-        for c in windows.T[::-1]:
+        for c in windows.T[::-1] + 1:
             lo, hi = self.first[c] + self.wave.rank(c, lo), self.first[c] + self.wave.rank(c, hi)
         return lo, np.maximum(lo, hi)
 

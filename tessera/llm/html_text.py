@@ -147,7 +147,7 @@ def main_nodes(root: Node, order: list[Node]) -> list[Node]:
         if x is body:
             break
         x = x.parent
-    limit = min(x.density for x in path if x.chars)
+    limit = min((x.density for x in path if x.chars), default=0.0)
     # The path's own top: the highest node under body that is not itself of lower density.
     top = best
     for x in path[1:]:
