@@ -48,7 +48,7 @@ def features(block: pd.Series) -> pd.DataFrame:
     return df.assign(byte_variety=df["byte_variety"].astype("Int32"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def byte_histogram(block: pd.Series) -> pd.Series:
     out = [None] * len(block)
     for at, m in by_length(block):
@@ -169,7 +169,7 @@ def crc_high(m: np.ndarray, start: int = 0xFFFF) -> np.ndarray:
 
 
 def _crc(function):
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def run(b: pd.Series) -> pd.Series:
         out = np.zeros(len(b), np.int32)
         for at, m in by_length(b):
