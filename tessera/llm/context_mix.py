@@ -22,19 +22,22 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
-#: Logarithms of the tables' sizes: word's last 2 bytes, last 4, all; word before, the one before it. A model is so large at any input.
-SIZES = (16, 21, 22, 20, 20)
+#: Logarithms of the tables' sizes: word's last 3 bytes, last 5, all; word before, the one before it. A model is so large at any input.
+SIZES = (20, 21, 22, 20, 20)
 BLOCK = 1 << 14
 #: Characters in one chunk of texts, words and tokens in one step.
 CHUNK_CHARS = 24_000_000
 #: Uses in a chunk from which a word's whole spelling is counted; rarer ones are left to the shorter contexts and would only fill the table.
 LEAST_USES = 4
+#: Weight of the dictionary against the bits.
+DICTIONARY = 0.5
 WORDS, TOKENS = 40_000, 200_000
 END, GATES, STEPS = b"\n", 40, 33
 #: States of a slot of which one count is under RARE: that count, which one it is, and the steps of the other.
 RARE, LEVELS = 4, np.array([1, 2, 3, 4, 5, 6, 8, 11, 15, 21, 30, 45, 70, 120, 250, 600, 2000, 10_000, 100_000])
 STATES = 2 * RARE * (len(LEVELS) + 1)
-FIRST = (0.15, 0.3, 0.6, 0.2, 0.1)
+#: Weights to start from, by how often the word so far was seen.
+FIRST = ((0.4, 0.6, 0.0, 0.1, 0.1), (0.2, 0.6, 0.3, 0.1, 0.1), (0.1, 0.4, 0.6, 0.2, 0.1), (0.0, 0.1, 0.8, 0.2, 0.1), (0.0, 0.0, 0.8, 0.3, 0.2))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _P = 0xD6E8FEB86659FD93
 _P_INV = pow(_P, -1, 1 << 64)
@@ -103,7 +106,7 @@ class Spelling:
         self.place = np.arange(len(flat)) - first
         b = flat.astype(np.uint64) + np.uint64(1)
         back = []
-        for k in range(1, 5):
+        for k in range(1, 6):
             x = np.zeros(len(flat), np.uint64)
             x[k:] = b[:-k]
             x[self.place < k] = 0
@@ -111,12 +114,12 @@ class Spelling:
         power, inverse = _powers(_P, len(flat) + 1), _powers(_P_INV, len(flat) + 1)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(b * power[:-1], dtype=np.uint64)))
         prefix = (total[:-1] - total[first]) * inverse[first]
-        two = back[0] * np.uint64(512) + back[1] + np.uint64(1 << 40)
-        four = (((back[0] * np.uint64(512) + back[1]) * np.uint64(512) + back[2]) * np.uint64(512) + back[3]) + np.uint64(2 << 40)
+        three = (back[0] * np.uint64(512) + back[1]) * np.uint64(512) + back[2]
+        five = ((three * np.uint64(512) + back[3]) * np.uint64(512) + back[4]) + np.uint64(2 << 50)
         shifts = np.arange(7, -1, -1, dtype=np.uint8)
         self.bit = (flat[:, None] >> shifts) & 1
         self.node = ((flat[:, None].astype(np.int32) | 256) >> (shifts.astype(np.int32) + 1)).astype(np.int32)
-        self.slots = [_slots(_mix(c), self.node, s) for c, s in ((two, SIZES[0]), (four, SIZES[1]), (prefix + np.uint64(77), SIZES[2]))]
+        self.slots = [_slots(_mix(c), self.node, s) for c, s in ((three + np.uint64(1 << 40), SIZES[0]), (five, SIZES[1]), (prefix + np.uint64(77), SIZES[2]))]
 
 
 def head_slots(hashes: np.ndarray, head: np.ndarray, words: np.ndarray, before: np.ndarray, table: int) -> np.ndarray:
@@ -205,9 +208,11 @@ class Model:
 
     def __init__(self, tables: list[np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None, states: np.ndarray | None = None):
         self.tables = tables
-        self.weights = np.tile(np.array(FIRST, np.float64), (GATES, 1)) if weights is None else weights
+        self.weights = np.repeat(np.array(FIRST), 8, axis=0) if weights is None else weights
+        self._w = self.weights.astype(np.float32)
         grid = squash((np.arange(STEPS) - STEPS // 2) / 2.0)
         self.refine = np.tile(grid, (256, 1)) if refine is None else refine
+        self._refine = self.refine.astype(np.float32).ravel()
         #: Outcomes of slots in a state, by table: how often, and how often a 1 followed.
         self.states = np.zeros((5, STATES, 2)) if states is None else states
         self._st: list | None = None
@@ -238,15 +243,17 @@ class Model:
 
     def log2(self, x: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """log2 of the probability of the bit after refinement: the mean of both predictions."""
-        x = np.clip(x, -12, 12)
-        p = squash(x)
-        q = np.clip(x * 2 + STEPS // 2, 0, STEPS - 1.001)
+        x = np.clip(x, np.float32(-12), np.float32(12))
+        p = 1 / (1 + np.exp(-x))
+        q = np.minimum(x * np.float32(2) + np.float32(STEPS // 2), np.float32(STEPS - 1.001))
+        np.maximum(q, 0, out=q)
         i = q.astype(np.int32)
-        f = q - i
-        flat = self.refine.ravel()
-        at = node * STEPS + i
-        p = (p + flat[at] * (1 - f) + flat[at + 1] * f) / 2
-        return np.log2(np.where(bit == 1, p, 1 - p))
+        q -= i
+        i += node * STEPS
+        low = self._refine[i]
+        p += low + q * (self._refine[i + 1] - low)
+        p *= np.float32(0.5)
+        return np.log2(np.where(bit, p, 1 - p))
 
     def word_parts(self, words: list[bytes]):
         """For all words: log2 probability of all bytes after the second, and for the first two bytes (words, 16) sums of weighted predictions and gates."""
@@ -255,7 +262,7 @@ class Model:
         for k in range(0, len(words), WORDS):
             s = Spelling(words[k : k + WORDS])
             gate = gate_of(self.counts(2, s.slots[2]), np.broadcast_to(s.place[:, None], s.bit.shape))
-            x = sum(self.weights[gate, t] * self.predictions(t, s.slots[t]) for t in range(3))
+            x = sum(self._w[gate, t] * self.predictions(t, s.slots[t]) for t in range(3))
             late = s.place >= 2
             bits = np.zeros(len(s.place))
             bits[late] = self.log2(x[late], s.node[late], s.bit[late]).sum(axis=1)
@@ -265,8 +272,8 @@ class Model:
             sums[k : k + len(s.sizes)][more, 8:], gates[k : k + len(s.sizes)][more, 8:] = x[s.starts[more] + 1], gate[s.starts[more] + 1]
         return tail, sums, gates
 
-    def score(self, chunk: Chunk) -> np.ndarray:
-        """log2 probability of each text."""
+    def score(self, chunk: Chunk, share: np.ndarray | None = None) -> np.ndarray:
+        """log2 probability of each text. share: words' shares of the training tokens; the mean of a word's share and of the product of its bits is again a probability, and rare words keep what the tables forget."""
         if not len(chunk.lengths):
             return np.zeros(0)
         tail, sums, gates = self.word_parts(chunk.words)
@@ -277,25 +284,26 @@ class Model:
         for k in range(0, len(out), TOKENS):
             w = chunk.tokens[k : k + TOKENS]
             gate, h = gates[w], head[w]
-            x = sums[w].astype(np.float64)
+            x = sums[w]
             for t in (3, 4):
-                x += self.weights[gate, t] * self.predictions(t, head_slots(hashes, head, w, before[t - 3][k : k + TOKENS], t))
+                x += self._w[gate, t] * self.predictions(t, head_slots(hashes, head, w, before[t - 3][k : k + TOKENS], t))
             node = np.concatenate(((h[:, :1] | 256) >> shifts, (h[:, 1:] | 256) >> shifts), axis=1)
             bits = self.log2(x, node, head_bits(h))
             bits[w == 0, 8:] = 0
-            out[k : k + TOKENS] = bits.sum(axis=1) + tail[w]
+            bits = bits.sum(axis=1) + tail[w]
+            out[k : k + TOKENS] = bits if share is None else np.log2(DICTIONARY * share[w] + (1 - DICTIONARY) * np.exp2(np.maximum(bits, -1000)))
         return np.add.reduceat(out, chunk.starts)
 
     def learn(self, chunk: Chunk, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Three laps over texts whose own counts are left out: outcomes of states; then online weights; then weights and outcomes for the refining table.
+        """Two laps over texts whose own counts are left out: outcomes of states; then online weights, and from the middle on outcomes for the refining table.
 
         Returns weights, bits seen by gate, the refining table's outcomes (256, STEPS, 2) and the states' (5, STATES, 2).
         """
-        weights, square, seen = self.weights.copy(), np.full((GATES, 5), 1e-3), np.zeros(GATES)
+        weights, square, seen = self.weights.copy(), np.full((GATES, 5), 1e-9), np.zeros(GATES)
         outcome, states = np.zeros((256 * STEPS, 2)), np.zeros((5, STATES, 2))
         ones = lambda at, n, bit, size: np.stack((np.bincount(at, n, size), np.bincount(at, n * (bit == 1), size)), axis=1)
 
-        def step(lap, gate, slots, bit, node, n):
+        def step(lap, refined, gate, slots, bit, node, n):
             if lap == 0:
                 for t, slot in slots:
                     at = state_of(*self.counts(t, slot, bit)).ravel()
@@ -311,7 +319,7 @@ class Model:
                 g = np.bincount(gate.ravel(), (err * st).ravel(), GATES) / np.maximum(size, 1)
                 square[:, t] += g * g
                 weights[:, t] -= rate * g / np.sqrt(square[:, t]) * (size > 0)
-            if lap == 2:
+            if refined:
                 q = np.clip(np.clip(x, -12, 12) * 2 + STEPS // 2, 0, STEPS - 1.001)
                 i = q.astype(np.int64)
                 f = q - i
@@ -323,14 +331,15 @@ class Model:
         before = chunk.before(1), chunk.before(2)
         shifts = np.arange(8, 0, -1, dtype=np.int32)
         piece = 4000
-        for lap in range(3):
+        for lap in range(2):
             for k in range(0, len(chunk.words), piece):
+                refined = 2 * k >= len(chunk.words) - piece
                 s = Spelling(chunk.words[k : k + piece])
                 late = s.place >= 2
                 gate = gate_of(self.counts(2, s.slots[2], s.bit), np.broadcast_to(s.place[:, None], s.bit.shape))
                 c = np.broadcast_to(np.repeat(n[k : k + piece], s.sizes)[:, None].astype(np.float64), s.bit.shape)
                 if late.any():
-                    step(lap, gate[late], [(t, s.slots[t][late]) for t in range(3)], s.bit[late], s.node[late], c[late])
+                    step(lap, refined, gate[late], [(t, s.slots[t][late]) for t in range(3)], s.bit[late], s.node[late], c[late])
                 # The first two bytes of as large a share of the tokens, with the words before them.
                 lo, hi = (int(len(chunk.tokens) * x / max(1, len(chunk.words))) for x in (k, min(k + piece, len(chunk.words))))
                 w = chunk.tokens[lo:hi]
@@ -345,14 +354,14 @@ class Model:
                 node = np.concatenate(((h[:, :1] | 256) >> shifts, (h[:, 1:] | 256) >> shifts), axis=1)
                 real = np.ones(bit.shape)
                 real[w == 0, 8:] = 0
-                step(lap, gate, slots, bit, node, real)
+                step(lap, refined, gate, slots, bit, node, real)
             if lap == 0:
                 self.states = states
         return weights, seen, outcome.reshape(256, STEPS, 2), states
 
 
 def _fold(col):
-    return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(10))
+    return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(20))
 
 
 def _chunks(docs: DataFrame, text_col: str) -> DataFrame:
@@ -363,7 +372,7 @@ def _chunks(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     chunk = Chunk(pdf["text"])
-    n, tables = count_chunk(chunk, pdf["fold"].to_numpy() != 0)
+    n, tables = count_chunk(chunk, pdf["fold"].to_numpy() % 10 != 0)
     rows = [(0, int(pdf["chunk"].iloc[0]), w, int(c), None) for w, c in zip(chunk.words, n.tolist())]
     for t, table in enumerate(tables):
         for b in range(0, table.shape[1], BLOCK):
@@ -394,8 +403,8 @@ def score_documents(docs: DataFrame, *, text_col="text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Texts whose crc32(doc_id) is no multiple of 10 train; the tables and the words' counts come from
-    all of them, the weights and the refining table from those of remainder 1, each without its own
-    counts. Texts are dealt to chunks by hash, so a chunk's size depends on no source or copy. The
+    all of them, the weights and the refining table from those of remainder 1 by 20, each without its
+    own counts. Texts are dealt to chunks by hash, so a chunk's size depends on no source or copy. The
     model has a fixed size; words' counts are joined by word and go to the chunks that hold them.
 
     A null text is an empty one, which has the end token alone; a null doc_id counts as an empty id;
@@ -443,8 +452,8 @@ def score_documents(docs: DataFrame, *, text_col="text") -> DataFrame:
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         size = np.array([1 if w == END else len(w) + 1 for w in chunk.words])
         per = lambda x: np.add.reduceat(x[chunk.tokens], chunk.starts) if len(chunk.lengths) else np.zeros(0)
-        bits, n_bytes = -cache["m"].score(chunk), per(size)
-        return pd.DataFrame({"doc_id": texts["doc_id"], "held_out": texts["fold"] == 0, "n_tokens": chunk.lengths, "n_known": per((c > 0).astype(np.int64)), "train_tokens": n, "base_score": per(base), "score": -bits * math.log10(2), "n_bytes": n_bytes, "bits_per_byte": bits / n_bytes})
+        bits, n_bytes = -cache["m"].score(chunk, c / max(1, n)), per(size)
+        return pd.DataFrame({"doc_id": texts["doc_id"], "held_out": texts["fold"] % 10 == 0, "n_tokens": chunk.lengths, "n_known": per((c > 0).astype(np.int64)), "train_tokens": n, "base_score": per(base), "score": -bits * math.log10(2), "n_bytes": n_bytes, "bits_per_byte": bits / n_bytes})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, schema)
