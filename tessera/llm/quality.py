@@ -14,7 +14,7 @@ from tessera.llm.decontaminate import words_of
 
 #: Buckets of hashed features; labelled rows used for the fit; documents a feature must stand in; share of rows held out.
 BUCKETS = 1 << 20
-MOST_LABELLED = 12_000
+MOST_LABELLED = 10_000
 LEAST_ROWS = 8
 _LETTERS = bytes(c for c in range(256) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127 or c in (32, 9, 10, 11, 12, 13))
 _UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
@@ -63,14 +63,27 @@ class CumulativeLink:
     @staticmethod
     def fit(rows: list, grades: np.ndarray, top: int, *, l2=1.0, steps=120, rate=0.1) -> CumulativeLink:
         """Adam on the whole sample. Thresholds are a first one and logarithms of the gaps, so they stay in order even where a grade has no rows."""
-        size = np.fromiter((len(r) for r in rows), np.int64, len(rows))
-        flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) and size.sum() else np.zeros(0, np.int64)
-        seen = np.bincount(flat, minlength=BUCKETS)
+        seen = np.zeros(BUCKETS, np.int64)
+        for r in rows:
+            seen[r] += 1  # a row names a bucket once
         used = np.flatnonzero(seen >= LEAST_ROWS)
-        place = np.full(BUCKETS, -1, np.int64)
+        place = np.full(BUCKETS, -1, np.int32)
         place[used] = np.arange(len(used))
-        owner, col = np.repeat(np.arange(len(rows)), size), place[flat]
-        owner, col = owner[col >= 0], col[col >= 0]
+        # Slices of rows, so that a step needs little more memory than the rows themselves.
+        slices = []
+        for k in range(0, len(rows), 500):
+            cols = [c[c >= 0] for c in (place[np.asarray(r, np.int64)] for r in rows[k : k + 500])]
+            slices.append((slice(k, k + len(cols)), np.concatenate(cols), np.array([len(c) for c in cols])))
+
+        def scores(w):
+            return np.concatenate([np.bincount(np.repeat(np.arange(len(size)), size), w[col], len(size)) for _, col, size in slices]) if slices else np.zeros(0)
+
+        def gradient(slope):
+            out = np.zeros(len(used))
+            for at, col, size in slices:
+                out += np.bincount(col, np.repeat(slope[at], size), len(used))
+            return out
+
         w, first, gaps = np.zeros(len(used)), np.array([-1.0]), np.zeros(top - 1)
         params = [w, first, gaps]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -78,14 +91,14 @@ class CumulativeLink:
         for t in range(1, steps + 1):
             cuts = first[0] + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
             ext = np.concatenate(([-np.inf], cuts, [np.inf]))
-            s = np.bincount(owner, weights=w[col], minlength=len(rows))
+            s = scores(w)
             hi, lo = np.where(grades < top, _sigmoid(ext[np.minimum(grades + 1, top)] - s), 1.0), np.where(grades > 0, _sigmoid(ext[grades] - s), 0.0)
             p = np.maximum(hi - lo, 1e-9)
             slope = 1 - hi - lo  # of the loss, by the score
             up, down = hi * (1 - hi) / p, lo * (1 - lo) / p
             d_cut = np.array([down[grades == k + 1].sum() - up[grades == k].sum() for k in range(top)])
             d_gap = np.array([d_cut[k + 1 :].sum() * np.exp(gaps[k]) for k in range(top - 1)])
-            grads = [l2 * w + np.bincount(col, weights=slope[owner], minlength=len(used)), np.array([d_cut.sum()]) + 0.1 * first, d_gap + 0.1 * gaps]
+            grads = [l2 * w + gradient(slope), np.array([d_cut.sum()]) + 0.1 * first, d_gap + 0.1 * gaps]
             for i, g in enumerate(grads):
                 g = g / n
                 m[i] = 0.9 * m[i] + 0.1 * g
