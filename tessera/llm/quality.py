@@ -129,10 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Cumu
     def run(batches):
         at = Buckets()
         for b in batches:
-            yield b.assign(x=[np.asarray(features(t, at), np.int32) for t in b["text"]])[["grade", "x", "doc_id"]]
+            yield b.assign(x=[np.asarray(features(t, at), np.int32).tobytes() for t in b["text"]])[["grade", "x", "doc_id"]]
 
-    rows = labelled(docs, labels, most).mapInPandas(run, "grade int, x array<int>, doc_id long").toPandas().sort_values(["doc_id", "grade"])
-    return CumulativeLink.fit(list(rows["x"]), rows["grade"].to_numpy(np.int64), 2)
+    rows = labelled(docs, labels, most).mapInPandas(run, "grade int, x binary, doc_id long").toPandas().sort_values(["doc_id", "grade"])
+    return CumulativeLink.fit([np.frombuffer(x, np.int32) for x in rows["x"]], rows["grade"].to_numpy(np.int64), 2)
 
 
 def score(docs: DataFrame, model: CumulativeLink, *, text_col="text", keep=("doc_id",), least=0.5) -> DataFrame:
