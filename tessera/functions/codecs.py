@@ -164,9 +164,9 @@ def beneficial(size: Column, original: Column | int = 4096) -> Column:
 def coded(codec: Column, block: Column, packed: Column) -> Column:
     """What is stored: struct of CODED. Without benefit, and for RAW and SKIP, the block is stored raw with ratio 1."""
     name = F.upper(F.trim(codec))
-    known = F.when(name.isin("RAW", "SKIP", "LZ4", "LZ4HC"), True).otherwise(F.raise_error(F.concat(F.lit("unknown codec "), codec)).cast("boolean"))
+    name = F.when(name.isin("RAW", "SKIP", "LZ4", "LZ4HC"), name).otherwise(F.raise_error(F.concat(F.lit("unknown codec "), codec)).cast("string"))
     n = F.octet_length(block)
-    keep = known & name.isin("LZ4", "LZ4HC") & beneficial(F.octet_length(packed), n)
+    keep = name.isin("LZ4", "LZ4HC") & beneficial(F.octet_length(packed), n)
     return F.struct(
         F.when(keep, name).otherwise("RAW").alias("codec_used"), F.when(keep, F.octet_length(packed)).otherwise(n).alias("size"),
         F.when(keep, F.bround(F.octet_length(packed) / n, 6)).otherwise(1.0).alias("ratio"), keep.alias("benefit"),
