@@ -14,10 +14,10 @@ from tessera.llm.common import written
 from tessera.llm.components import components
 
 #: Frequent shingles that may be sent to every task; shingles in one block of members; queries that meet one block; bits of the filter for wanted rows.
-MOST_FREQUENT = 1 << 19
+MOST_FREQUENT = 1 << 21
 BLOCK = 2_000_000
 QUERIES = 2_000
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 25
 #: Shingles that are sorted at once when frequent ones are sought.
 CHUNK = 4_000_000
 SIGNATURES = 3
@@ -136,51 +136,68 @@ def _profiles(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
     return docs.select("doc_id", "k", "text").mapInPandas(run, "doc_id long, k long, n long, v long, prefix array<long>, sig array<long>")
 
 
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits, set where a row's h points: at most FILTER_BITS / 64 numbers reach the driver."""
+    p = hashes.select(F.pmod("h", F.lit(FILTER_BITS)).alias("p"))
+    at = p.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[at["i"].to_numpy(np.int64)] = at["x"]
+    return bits.view(np.uint64)
+
+
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    p = h % FILTER_BITS
+    return (bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def _open(docs: DataFrame, profiles: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
-    """Edges (a, b) between queries and members of opened groups.
+    """Edges (a, b, linked) between queries and members of opened groups.
 
-    rows: (g, part, v, query). Members of a part and the queries sent to it meet by (g, part), texts
-    with them; each query gives one edge at most, to the first member that it links with.
+    rows: (g, part, v, c, query). Members of a part and the queries sent to it meet by (g, part),
+    texts with them. c is what a set is known to be joined with: an edge that joins nothing new is
+    left out, so a part gives fewer edges than it has rows. Without ``linked``, an edge says that the
+    sets share half of their union.
     """
     reps = profiles.filter("n > 0").groupBy("v").agg(F.min("k").alias("k"))
     rows = written(rows.join(reps, "v"), "opened")
-    bit = F.pmod(F.xxhash64("k"), F.lit(FILTER_BITS))
-    words = rows.select(bit.alias("p")).distinct().groupBy(F.floor(F.col("p") / 8).alias("i")).agg(F.bit_or(F.expr("shiftleft(1, cast(p & 7 as int))")).alias("x"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    at = words.toPandas()
-    bits[at["i"].to_numpy(np.int64)] = at["x"].to_numpy(np.int64)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(rows.select(F.col("k").alias("h"))))
 
     def wanted(batches):
-        have = sent.value
         for b in batches:
-            p = b.pop("p").to_numpy(np.int64)
-            yield b[(have[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+            yield b[_in(sent.value, b["k"].to_numpy(np.int64))]
 
-    texts = docs.select("k", "text", bit.alias("p")).mapInPandas(wanted, "k long, text string")
-    met = rows.join(texts, "k").select("g", "part", "v", "query", "text").repartition("g", "part").sortWithinPartitions("g", "part", "query", "v")
+    texts = docs.select("k", "text").mapInPandas(wanted, "k long, text string")
+    met = rows.join(texts, "k").select("g", "part", "v", "c", "query", "text").repartition("g", "part").sortWithinPartitions("g", "part", "query", "v")
 
     def run(batches):
         shingle = Shingler(rule.words)
-        now, sets, ids, index, last = None, [], [], None, None
+        now = sets = ids = index = last = sides = None
+
+        def root(x):
+            while (y := sides.setdefault(x, x)) != x:
+                sides[x] = sides[y]
+                x = y
+            return x
+
         for b in batches:
             out = []
-            for g, part, v, query, text in zip(b["g"], b["part"], b["v"], b["query"], b["text"]):
+            for g, part, v, c, query, text in zip(b["g"].tolist(), b["part"].tolist(), b["v"].tolist(), b["c"].tolist(), b["query"].tolist(), b["text"]):
                 if now != (g, part):
-                    now, sets, ids, index, last = (g, part), [], [], None, None
+                    now, sets, ids, index, last, sides = (g, part), [], [], None, None, {}
                 if (v, query) == last:
                     continue  # a row that the table holds twice
                 last = (v, query)
                 s = shingle(text)
                 if not query:
-                    sets.append(s), ids.append(v)
+                    sets.append(s), ids.append((v, c))
                     continue
                 if not sets:
                     continue
                 if index is None:
                     flat = np.concatenate(sets)
                     order = np.argsort(flat, kind="stable")
-                    index = flat[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order], np.array([len(x) for x in sets])
+                    sizes = np.array([len(x) for x in sets])
+                    index = flat[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes
                 tokens, owner, sizes = index
                 lo, hi = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
                 some = hi > lo
@@ -189,61 +206,101 @@ def _open(docs: DataFrame, profiles: DataFrame, rows: DataFrame, rule: Rule) ->
                     continue
                 at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 both = np.bincount(owner[at], minlength=len(sets))
-                ok = np.flatnonzero((rule.den * both >= rule.num * (sizes + len(s) - both)) & (np.array(ids) != v))
-                if len(ok):
-                    out.append((v, ids[ok[0]]))
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return met.mapInPandas(run, "a long, b long")
+                union = sizes + len(s) - both
+                linked = rule.den * both >= rule.num * union
+                for i in np.flatnonzero(linked | (2 * both >= union)).tolist():
+                    u, uc = ids[i]
+                    if u == v:
+                        continue
+                    if linked[i]:
+                        x, y = root(("c", c)), root(("c", uc))
+                        if x != y:
+                            sides[x] = y
+                            out.append((v, u, True))
+                    else:
+                        x, y = root(("g", c)), root(("g", uc))
+                        if x != y:
+                            sides[x] = y
+                            out.append((v, u, False))
+            yield pd.DataFrame(out, columns=["a", "b", "linked"]).astype({"a": "int64", "b": "int64", "linked": "bool"})
+
+    return met.mapInPandas(run, "a long, b long, linked boolean")
 
 
 def _stars(profiles: DataFrame, rule: Rule) -> DataFrame:
-    """First groups: sets that share a signature, each to be held against the least set of its signature."""
-    sigs = profiles.filter("n > 0").select("v", "n", F.posexplode("sig").alias("i", "s")).distinct()
-    lead = sigs.groupBy("i", "s").agg(F.min(F.struct("v", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("i", "s", F.col("lead.v").alias("g"), F.col("lead.n").alias("g_n"))
-    near = F.col("n") * rule.den >= F.col("g_n") * rule.num, F.col("g_n") * rule.den >= F.col("n") * rule.num
-    pairs = sigs.join(lead, ["i", "s"]).filter("v <> g").filter(near[0] & near[1]).select("g", "v").distinct()
+    """First comparisons: sets that share a signature, each with the least set of its signature."""
+    sigs = profiles.filter("n > 0").select("v", F.posexplode("sig").alias("i", "s")).distinct()
+    lead = sigs.groupBy("i", "s").agg(F.min("v").alias("g"), F.count("*").alias("c")).filter("c > 1").select("i", "s", "g")
+    pairs = sigs.join(lead, ["i", "s"]).filter("v <> g").select("g", "v").distinct()
     parts = pairs.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    queries = pairs.join(parts, "g").select("g", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v", F.lit(True).alias("query"))
-    members = parts.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("g").alias("v"), F.lit(False).alias("query"))
+    queries = pairs.join(parts, "g").select("g", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v", F.col("v").alias("c"), F.lit(True).alias("query"))
+    members = parts.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("g").alias("v"), F.col("g").alias("c"), F.lit(False).alias("query"))
     return queries.union(members)
 
 
-def _qualifying(profiles: DataFrame, comps: DataFrame, rule: Rule) -> DataFrame:
-    """The token-group matrix: for every set, the groups that may hold a set it links with.
+def _sets(profiles: DataFrame, groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """(v, n, g, c): every set once, with its group and the component of links found so far."""
+    v = profiles.filter("n > 0").select("v", "n").distinct()
+    v = v.join(groups.select("v", F.col("comp").alias("g")), "v", "left").join(comps.select("v", F.col("comp").alias("c")), "v", "left")
+    return v.select("v", "n", F.coalesce("g", "v").alias("g"), F.coalesce("c", "v").alias("c"))
 
-    Groups are components found so far; a group's row of the matrix is the union of its sets'
-    prefixes. A set can link into a group only if the union holds enough of the set's prefix, so only
-    such groups are opened. Shingles of one group alone say nothing and are dropped first, by partial
-    aggregation, so shingles of a large group never meet.
+
+def _qualifying(profiles: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The token-group matrix: (v, open) for every set and the other groups that may hold a set it links with.
+
+    A group's row of the matrix is the union of its sets' prefixes. A set can link into a group only
+    if the union holds enough of the set's prefix, so only such groups are opened. Shingles of one
+    set say nothing: they are left out first, through a filter of fixed size that may let a few pass,
+    and with them all sets that keep too few.
     """
-    sets = profiles.filter("n > 0").select("v", "n", "prefix").join(comps, "v", "left").select("v", "n", F.coalesce("comp", "v").alias("g"), "prefix")
-    tokens = sets.select("v", "n", "g", F.explode("prefix").alias("t"))
-    shared = written(tokens.groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("t"), "shared-shingles")
-    cross = written(tokens.join(shared, "t", "left_semi").distinct(), "matrix")
+    seen = profiles.filter("n > 0").select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    sent = profiles.sparkSession.sparkContext.broadcast(_bitmap(seen))
+
+    def shared(batches):
+        for b in batches:
+            keep = [p[_in(sent.value, p)] for p in b["prefix"]]
+            b["prefix"] = keep
+            least = b["n"].to_numpy(np.int64) * rule.num // rule.den // 20 + 1
+            yield b[np.array([len(p) for p in keep]) >= least] if len(b) else b
+
+    left = profiles.filter("n > 0").select("v", "n", "prefix").mapInPandas(shared, "v long, n long, prefix array<long>")
+    tokens = left.dropDuplicates(["v"]).join(sets.select("v", "g"), "v").select("v", "n", "g", F.explode("prefix").alias("t"))
+    tokens = written(tokens, "shared-shingles")
+    between = tokens.groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("t")
+    cross = tokens.join(between, "t", "left_semi")
+    least = F.floor(F.floor(F.col("n") * rule.num / rule.den) / 20) + 1
+    enough = cross.groupBy("v", "n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= least).select("v")
+    cross = written(cross.join(enough, "v", "left_semi"), "matrix")
     matrix = cross.select("t", F.col("g").alias("open")).distinct()
-    bound = cross.join(matrix, "t").filter("open < g").groupBy("v", "n", "g", "open").agg(F.count("*").alias("hits"))
-    least = F.floor(F.col("n") * rule.num / rule.den / 20) + 1
-    return bound.filter(F.col("hits") >= least).select("v", "g", "open")
+    bound = cross.join(matrix, "t").filter("open < g").groupBy("v", "n", "open").agg(F.count("*").alias("hits"))
+    return bound.filter(F.col("hits") >= least).select("v", "open")
+
 
+def _opened(sets: DataFrame, other: DataFrame) -> DataFrame:
+    """Members of the groups to open, in blocks of about BLOCK shingles, and the queries to each block.
 
-def _opened(profiles: DataFrame, comps: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of the groups to open, in blocks of about BLOCK shingles, and the queries to each block."""
-    found = written(found, "qualifying")
+    Besides the groups that the matrix names, a set opens its own group unless it is in the group's
+    largest component: two sets of one component need no more links.
+    """
+    per = sets.groupBy("g", "c").agg(F.count("*").alias("n"), F.sum("n").alias("shingles"))
+    per = per.groupBy("g").agg(F.count("*").alias("comps"), F.max_by("c", "n").alias("most"), F.sum("shingles").alias("shingles"))
+    own = sets.join(per.filter("comps > 1"), "g").filter("c <> most").select("v", F.col("g").alias("open"))
+    found = written(other.select("v", "open").union(own), "qualifying")
     wanted = found.select(F.col("open").alias("g")).distinct()
-    members = profiles.filter("n > 0").select("v", "n").distinct().join(comps, "v", "left").select("v", "n", F.coalesce("comp", "v").alias("g")).join(wanted, "g")
-    parts = members.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
-    own = members.join(parts, "g").select("g", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v", F.lit(False).alias("query"))
-    queries = found.join(parts.withColumnRenamed("g", "open"), "open").select(F.col("open").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "v", F.lit(True).alias("query"))
-    return own.union(queries)
+    parts = per.join(wanted, "g").select("g", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("parts"))
+    members = sets.join(parts, "g").select("g", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v", "c", F.lit(False).alias("query"))
+    queries = found.join(parts.withColumnRenamed("g", "open"), "open").join(sets.select("v", "c"), "v")
+    queries = queries.select(F.col("open").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "v", "c", F.lit(True).alias("query"))
+    return members.union(queries)
 
 
 def link_documents(docs: DataFrame, rule: Rule = Rule(), *, text_col="text") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and v (id of the set of shingles).
 
-    Equal sets are one vertex. Sets with a common signature are held against one leader; components
-    of these links are the groups of the token-group matrix, which finds every other link between
-    groups. Links within a group change no component and are not sought.
+    Equal sets are one vertex. Sets with a common signature are compared with one leader; sets that
+    share half of their union with it make the groups of the token-group matrix. The matrix finds
+    every group that a set may link into; there, and within its own group, the set is held against
+    all members. Links that change no component are not returned.
 
     Null, empty and white-space texts have no shingles and stand alone; rows of equal texts, also
     under one doc_id, are one vertex; a null doc_id is never the least.
@@ -252,9 +309,10 @@ def link_documents(docs: DataFrame, rule: Rule = Rule(), *, text_col="text") ->
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, rule))
     profiles = written(_profiles(docs, rule, frequent), "profiles")
     first = written(_open(docs, profiles, _stars(profiles, rule), rule), "links-1")
-    comps = written(components(first), "groups")
-    second = written(_open(docs, profiles, _opened(profiles, comps, _qualifying(profiles, comps, rule)), rule), "links-2")
-    comps = components(first.union(second))
+    links = first.filter("linked")
+    sets = written(_sets(profiles, components(first), components(links)), "sets")
+    second = written(_open(docs, profiles, _opened(sets, _qualifying(profiles, sets, rule)), rule).filter("linked"), "links-2")
+    comps = components(links.select("a", "b").union(second.select("a", "b")))
     vertex = profiles.select("doc_id", "k", "n", "v").join(comps, "v", "left").withColumn("c", F.coalesce("comp", "v"))
     least = vertex.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     out = vertex.join(least, "c", "left")
