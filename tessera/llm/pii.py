@@ -72,12 +72,12 @@ def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), reach=64, le
     """Spans of personal data: one array of (start, end, value) for each pattern kind, and ``term`` (start, end, action).
 
     Pattern matches are the protected values. For a value v and a term t within ``reach`` characters
-    of it, p counts different texts: disclosure is PMI(t; v) / -log p(v), 1 for a term that stands
-    nowhere else. Terms of ``least_texts`` texts with v are generalised from ``general`` on and
-    removed from ``remove`` on, wherever they stand near v. Counts cover all texts.
+    of it, p counts documents: disclosure is PMI(t; v) / -log p(v), 1 for a term that stands nowhere
+    else. Terms that stand near v in ``least_texts`` different texts are generalised from ``general``
+    on and removed from ``remove`` on, wherever they stand near v. Counts cover all documents.
 
-    Null texts are empty ones and have no spans; equal texts have equal spans and count once in the
-    estimates; no rows are dropped. Adds n_chars to the ``keep`` columns.
+    Null texts are empty ones and have no spans; equal texts have equal spans, and are one text as
+    evidence; no rows are dropped. Adds n_chars to the ``keep`` columns.
     """
     src = docs.select(F.struct(*keep).alias("pii_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("pii_text"))
     found = src.select("pii_doc", "pii_text", *[base_spans(F.col("pii_text"), k).alias(k) for k in KINDS])
@@ -114,18 +114,17 @@ def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), reach=64, le
 
 def disclosing(base: DataFrame, src: DataFrame, least: int, general: float, remove: float) -> DataFrame:
     """(v, t, disclosure, action) of the terms that disclose a value."""
-    once = base.filter(F.size("near") > 0).select("hash", F.explode("near").alias("w")).select("hash", "w.v", "w.t").distinct()
-    pairs = written(once.groupBy("v", "t").agg(F.count("*").alias("n_vt")).filter(F.col("n_vt") >= least), "pii-pairs")
+    once = base.filter(F.size("near") > 0).select("pii_row", "hash", F.explode("near").alias("w")).select("pii_row", "hash", "w.v", "w.t").distinct()
+    pairs = once.groupBy("v", "t", "hash").agg(F.count("*").alias("n")).groupBy("v", "t").agg(F.sum("n").alias("n_vt"), F.count("*").alias("texts"))
+    pairs = written(pairs.filter(F.col("texts") >= least), "pii-pairs")
     wanted = pairs.select("t").distinct()
-    n_wanted = wanted.count()
-    if not n_wanted:
+    if wanted.isEmpty():
         return pairs.select("v", "t", F.lit(1.0).alias("disclosure"), F.lit("remove").alias("action"))
-    n_v = once.select("hash", "v").distinct().groupBy("v").agg(F.count("*").alias("n_v"))
-    seen = src.select(F.xxhash64("pii_text").alias("hash"), F.explode(F.array_distinct(F.filter(F.split(F.lower("pii_text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))).alias("t"))
-    # Up to so many terms the filter goes to every task; beyond, both sides are dealt by term.
-    seen = seen.join(F.broadcast(wanted) if n_wanted <= 100_000 else wanted, "t", "left_semi")
-    n_t = seen.distinct().groupBy("t").agg(F.count("*").alias("n_t"))
-    total = F.lit(float(base.select("hash").distinct().count()))
+    n_v = once.select("pii_row", "v").distinct().groupBy("v").agg(F.count("*").alias("n_v"))
+    # Every word's documents are counted before the join, so no word's rows meet.
+    words = F.array_distinct(F.filter(F.split(F.lower("pii_text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
+    n_t = src.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).join(wanted, "t", "left_semi")
+    total = F.lit(float(base.count()))
     p_v = F.col("n_v") / total
     score = F.log2(F.col("n_vt") * total / (F.col("n_t") * F.col("n_v"))) / F.greatest(-F.log2(p_v), F.lit(1e-9))
     scored = pairs.join(n_v, "v").join(n_t, "t").select("v", "t", score.alias("disclosure"))
