@@ -27,8 +27,6 @@ SIZES = (16, 21, 22, 20, 20)
 BLOCK = 1 << 14
 #: Characters in one chunk of texts, words and tokens in one step.
 CHUNK_CHARS = 24_000_000
-#: Uses in a chunk from which a word's whole spelling is counted; rarer ones are left to the shorter contexts and would only fill the table.
-LEAST_USES = 4
 WORDS, TOKENS = 40_000, 200_000
 END, GATES, STEPS = b"\n", 40, 33
 #: States of a slot of which one count is under RARE: that count, which one it is, and the steps of the other.
@@ -154,10 +152,8 @@ def count_chunk(chunk: Chunk, train: np.ndarray) -> tuple[np.ndarray, list[np.nd
         part = used[i : i + WORDS]
         s = Spelling([chunk.words[k] for k in part])
         weight = np.broadcast_to(np.repeat(n[part], s.sizes)[:, None].astype(np.float64), s.bit.shape)
-        for t in (0, 1):
+        for t in range(3):
             add(t, s.slots[t], s.bit, weight)
-        often = np.repeat(n[part] >= LEAST_USES, s.sizes)
-        add(2, s.slots[2][often], s.bit[often], weight[often])
     hashes, head = heads(chunk.words)
     before = chunk.before(1), chunk.before(2)
     at = np.flatnonzero(in_train)

@@ -122,6 +122,16 @@ def test_context_mix(spark):
     assert context_mix.score_documents(df.filter("false")).count() == 0
 
 
+def test_every_use_is_counted():
+    """A word that is rare in each chunk has all its uses in the spelling table, however texts are dealt to chunks."""
+    texts = [f"scarceword the and of filler{i}" for i in range(6)]
+    total = lambda parts: sum(context_mix.count_chunk(context_mix.Chunk(p), np.full(len(p), True))[1][2].astype(np.int64) for p in parts)
+    one, dealt = total([texts]), total([[t] for t in texts])
+    assert (one == dealt).all()
+    s = context_mix.Spelling([b"scarceword"])
+    assert (dealt[s.bit, s.slots[2]] >= 6).all()
+
+
 def test_bits_are_a_distribution():
     """The chances of all bytes after a context add up to one."""
     tables = [np.zeros((2, 1 << s), np.int32) for s in context_mix.SIZES]
