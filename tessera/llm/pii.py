@@ -68,16 +68,17 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(located(text, PATTERNS[kind], SIGNS[kind]), lambda s: valid(kind, s["value"]))
 
 
-def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), reach=64, least_texts=3, general=0.9, remove=0.98) -> DataFrame:
+def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), reach=64, general=0.9, remove=0.98) -> DataFrame:
     """Spans of personal data: one array of (start, end, value) for each pattern kind, and ``term`` (start, end, action).
 
     Pattern matches are the protected values. For a value v and a term t within ``reach`` characters
     of it, p counts documents: disclosure is PMI(t; v) / -log p(v), 1 for a term that stands nowhere
-    else. Terms that stand near v in ``least_texts`` different texts are generalised from ``general``
-    on and removed from ``remove`` on, wherever they stand near v. Counts cover all documents.
+    else. p(v|t) has one more document of t, in which v is as likely as in any, so a few documents say
+    less than many. Terms are generalised from ``general`` on and removed from ``remove`` on, wherever
+    they stand near v. Counts cover all documents.
 
-    Null texts are empty ones and have no spans; equal texts have equal spans, and are one text as
-    evidence; no rows are dropped. Adds n_chars to the ``keep`` columns.
+    Null texts are empty ones and have no spans; equal texts have equal spans, and each counts as a
+    document; no rows are dropped. Adds n_chars to the ``keep`` columns.
     """
     src = docs.select(F.struct(*keep).alias("pii_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("pii_text"))
     found = src.select("pii_doc", "pii_text", *[base_spans(F.col("pii_text"), k).alias(k) for k in KINDS])
@@ -101,22 +102,21 @@ def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), reach=64, le
     near = F.filter(F.flatten(F.transform("every", around)), free)
     empty = F.array().cast("array<struct<v:string,t:string,start:int,end:int>>")
     base = found.withColumn("every", every)
-    base = base.select("pii_doc", F.length("pii_text").cast("long").alias("n_chars"), F.xxhash64("pii_text").alias("hash"), *KINDS, F.when(F.size("every") > 0, near).otherwise(empty).alias("near"))
+    base = base.select("pii_doc", F.length("pii_text").cast("long").alias("n_chars"), *KINDS, F.when(F.size("every") > 0, near).otherwise(empty).alias("near"))
     base = written(base.withColumn("pii_row", F.monotonically_increasing_id()), "pii-base")
 
-    terms = written(disclosing(base, src, least_texts, general, remove), "pii-terms")
+    terms = written(disclosing(base, src, general, remove), "pii-terms")
     close = base.filter(F.size("near") > 0).select("pii_row", F.explode("near").alias("w")).select("pii_row", "w.*")
     extra = close.join(terms, ["v", "t"]).groupBy("pii_row", "start", "end").agg(F.min("action").alias("action"))
     extra = extra.groupBy("pii_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("term"))
-    out = base.drop("near", "hash").join(extra, "pii_row", "left")
+    out = base.drop("near").join(extra, "pii_row", "left")
     return out.select("pii_doc.*", "n_chars", *KINDS, F.coalesce("term", F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("term"))
 
 
-def disclosing(base: DataFrame, src: DataFrame, least: int, general: float, remove: float) -> DataFrame:
+def disclosing(base: DataFrame, src: DataFrame, general: float, remove: float) -> DataFrame:
     """(v, t, disclosure, action) of the terms that disclose a value."""
-    once = base.filter(F.size("near") > 0).select("pii_row", "hash", F.explode("near").alias("w")).select("pii_row", "hash", "w.v", "w.t").distinct()
-    pairs = once.groupBy("v", "t", "hash").agg(F.count("*").alias("n")).groupBy("v", "t").agg(F.sum("n").alias("n_vt"), F.count("*").alias("texts"))
-    pairs = written(pairs.filter(F.col("texts") >= least), "pii-pairs")
+    once = base.filter(F.size("near") > 0).select("pii_row", F.explode("near").alias("w")).select("pii_row", "w.v", "w.t").distinct()
+    pairs = written(once.groupBy("v", "t").agg(F.count("*").alias("n_vt")), "pii-pairs")
     wanted = pairs.select("t").distinct()
     if wanted.isEmpty():
         return pairs.select("v", "t", F.lit(1.0).alias("disclosure"), F.lit("remove").alias("action"))
@@ -126,7 +126,7 @@ def disclosing(base: DataFrame, src: DataFrame, least: int, general: float, remo
     n_t = src.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).join(wanted, "t", "left_semi")
     total = F.lit(float(base.count()))
     p_v = F.col("n_v") / total
-    score = F.log2(F.col("n_vt") * total / (F.col("n_t") * F.col("n_v"))) / F.greatest(-F.log2(p_v), F.lit(1e-9))
+    score = F.log2((F.col("n_vt") + p_v) / ((F.col("n_t") + 1) * p_v)) / F.greatest(-F.log2(p_v), F.lit(1e-9))
     scored = pairs.join(n_v, "v").join(n_t, "t").select("v", "t", score.alias("disclosure"))
     return scored.filter(F.col("disclosure") >= general).withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
 

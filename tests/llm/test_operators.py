@@ -377,6 +377,16 @@ def test_pii(spark):
     assert pii.query(empty(df)).count() == 0
 
 
+def test_disclosure_of_few_texts(spark):
+    """A value of one text, of two, and of exact copies."""
+    texts = ["text of uniqueterm only@one.example"] + [f"text of pairterm two@two.example {i}" for i in range(2)] + ["text of copyterm copy@copy.example"] * 40
+    texts += [f"text of plain words {i}" for i in range(3000 - len(texts))]
+    got = {r["doc_id"]: r["term"] for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).filter("doc_id < 60").collect()}
+    for i, term in ((0, "uniqueterm"), (1, "pairterm"), (2, "pairterm"), (3, "copyterm"), (42, "copyterm")):
+        assert [(t["start"], t["end"]) for t in got[i]] == [(8, 8 + len(term))]
+    assert got[0][0]["action"] == "generalise" and got[3][0]["action"] == "remove" and not got[43]
+
+
 # 10
 
 
