@@ -24,9 +24,10 @@ SPAN = "array<struct<start:int,end:int,value:string>>"
 GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 
-def located(text: Column, pattern: str, sign: str | None = None) -> Column:
+def located(text: Column, pattern: str | Column, sign: str | None = None) -> Column:
     """All matches with their places in code points: the text is split at the matches, and the lengths of pieces and matches add up."""
-    found, pieces = F.regexp_extract_all(text, F.lit(f"(?s){pattern}"), F.lit(0)), F.split(text, f"(?s){pattern}", -1)
+    pattern = pattern if isinstance(pattern, Column) else F.lit(f"(?s){pattern}")
+    found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
 
     def places(x: Column) -> Column:
         step = lambda a, i: F.struct(
@@ -68,67 +69,82 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(located(text, PATTERNS[kind], SIGNS[kind]), lambda s: valid(kind, s["value"]))
 
 
-def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), reach=64, general=0.9, remove=0.98) -> DataFrame:
+def outside(text: Column, spans: Column) -> Column:
+    """The text's parts between the spans, a space for each span; a word that reaches into a span is not in them."""
+
+    def step(a: Column, s: Column) -> Column:
+        value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        part = F.substring(text, a["at"] + 1, s["start"] - a["at"])
+        part = F.when(a["cut"], F.regexp_replace(part, r"^\p{L}+", "")).otherwise(part)
+        part = F.when(F.rlike(value, F.lit(r"^\p{L}")), F.regexp_replace(part, r"\p{L}+$", "")).otherwise(part)
+        return F.struct(
+            F.greatest(s["end"], a["at"]).alias("at"),
+            F.when(s["end"] >= a["at"], F.rlike(value, F.lit(r"\p{L}$"))).otherwise(a["cut"]).alias("cut"),
+            F.concat(a["out"], part, F.lit(" ")).alias("out"),
+        )
+
+    def rest(a: Column) -> Column:
+        part = F.substring(text, a["at"] + 1, F.length(text))
+        return F.concat(a["out"], F.when(a["cut"], F.regexp_replace(part, r"^\p{L}+", "")).otherwise(part))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit(False).alias("cut"), F.lit("").alias("out")), step, rest)
+
+
+def words(text: Column) -> Column:
+    """The different words of a text as they are written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), general=0.9, remove=0.98) -> DataFrame:
     """Spans of personal data: one array of (start, end, value) for each pattern kind, and ``term`` (start, end, action).
 
-    Pattern matches are the protected values. For a value v and a term t within ``reach`` characters
-    of it, p counts documents: disclosure is PMI(t; v) / -log p(v), 1 for a term that stands nowhere
-    else. p(v|t) has one more document of t, in which v is as likely as in any, so a few documents say
-    less than many. Terms are generalised from ``general`` on and removed from ``remove`` on, wherever
-    they stand near v. Counts cover all documents.
+    Pattern matches are the protected values. For a value v and a term t that stands outside values in
+    a document of v, p counts documents: disclosure is PMI(t; v) / -log p(v), 1 for a term that stands
+    nowhere else. p(v|t) has one more document of t, in which v is as likely as in any, so a few
+    documents say less than many. Terms are generalised from ``general`` on and removed from ``remove``
+    on, wherever they stand in any document, by the value that they disclose most. Counts cover all
+    documents.
 
     Null texts are empty ones and have no spans; equal texts have equal spans, and each counts as a
     document; no rows are dropped. Adds n_chars to the ``keep`` columns.
     """
     src = docs.select(F.struct(*keep).alias("pii_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("pii_text"))
-    found = src.select("pii_doc", "pii_text", *[base_spans(F.col("pii_text"), k).alias(k) for k in KINDS])
     text = F.col("pii_text")
-
-    def named(kind: str) -> Column:
-        return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
-
-    every = F.concat(*map(named, KINDS))
-
-    def around(s: Column) -> Column:
-        def side(at: Column, size: Column, cut_first: Column, cut_last: Column) -> Column:
-            inside = F.filter(located(F.substring(text, at + 1, size), TERM), lambda w: ~(cut_first & (w["start"] == 0)) & ~(cut_last & (w["end"] == size)))
-            return F.transform(inside, lambda w: F.struct(F.concat(s["kind"], F.lit(":"), s["value"]).alias("v"), F.lower(w["value"]).alias("t"), (w["start"] + at).alias("start"), (w["end"] + at).alias("end")))
-
-        left = F.greatest(s["start"] - reach, F.lit(0))
-        right = F.least(F.length(text) - s["end"], F.lit(reach))
-        return F.concat(side(left, s["start"] - left, left > 0, F.lit(False)), side(s["end"], right, F.lit(False), s["end"] + right < F.length(text)))
-
-    free = lambda w: ~F.exists(F.col("every"), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    near = F.filter(F.flatten(F.transform("every", around)), free)
-    empty = F.array().cast("array<struct<v:string,t:string,start:int,end:int>>")
-    base = found.withColumn("every", every)
-    base = base.select("pii_doc", F.length("pii_text").cast("long").alias("n_chars"), *KINDS, F.when(F.size("every") > 0, near).otherwise(empty).alias("near"))
-    base = written(base.withColumn("pii_row", F.monotonically_increasing_id()), "pii-base")
-
-    terms = written(disclosing(base, src, general, remove), "pii-terms")
-    close = base.filter(F.size("near") > 0).select("pii_row", F.explode("near").alias("w")).select("pii_row", "w.*")
-    extra = close.join(terms, ["v", "t"]).groupBy("pii_row", "start", "end").agg(F.min("action").alias("action"))
-    extra = extra.groupBy("pii_row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("term"))
-    out = base.drop("near").join(extra, "pii_row", "left")
+    found = src.select("pii_doc", "pii_text", F.length(text).cast("long").alias("n_chars"), *[base_spans(text, k).alias(k) for k in KINDS])
+    base = written(found.withColumn("pii_row", F.monotonically_increasing_id()), "pii-base")
+
+    terms = written(disclosing(base, general, remove), "pii-terms")
+    # By hashes, which are shorter to deal out; the terms' own letters decide below.
+    placed = base.select("pii_row", F.explode(F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(F.lower(w))))).alias("h"))
+    here = placed.join(terms.select(F.xxhash64("t").alias("h"), "t", "action"), "h").groupBy("pii_row").agg(F.map_from_entries(F.collect_list(F.struct("t", "action"))).alias("by_term"))
+    named = base.join(here, "pii_row").withColumn("written_as", F.filter(words(text), lambda w: F.array_contains(F.map_keys("by_term"), F.lower(w))))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("written_as", "|"), F.lit(r")(?!\p{L})"))
+    free = lambda w: ~F.exists(F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS]), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+    action = lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at("by_term", F.lower(w["value"])).alias("action"))
+    spans = F.transform(F.filter(located(text, pattern), free), action)
+    extra = named.filter(F.size("written_as") > 0).select("pii_row", spans.alias("term"))
+    out = base.drop("pii_text").join(extra, "pii_row", "left")
     return out.select("pii_doc.*", "n_chars", *KINDS, F.coalesce("term", F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("term"))
 
 
-def disclosing(base: DataFrame, src: DataFrame, general: float, remove: float) -> DataFrame:
-    """(v, t, disclosure, action) of the terms that disclose a value."""
-    once = base.filter(F.size("near") > 0).select("pii_row", F.explode("near").alias("w")).select("pii_row", "w.v", "w.t").distinct()
-    pairs = written(once.groupBy("v", "t").agg(F.count("*").alias("n_vt")), "pii-pairs")
-    wanted = pairs.select("t").distinct()
-    if wanted.isEmpty():
-        return pairs.select("v", "t", F.lit(1.0).alias("disclosure"), F.lit("remove").alias("action"))
-    n_v = once.select("pii_row", "v").distinct().groupBy("v").agg(F.count("*").alias("n_v"))
+def disclosing(base: DataFrame, general: float, remove: float) -> DataFrame:
+    """(t, disclosure, action) of the terms that disclose a value."""
+    text = F.col("pii_text")
+    lowered = lambda w: F.array_distinct(F.transform(w, F.lower))
+    value = lambda k: F.transform(k, lambda s: F.concat(F.lit(f"{k}:"), F.lower(s["value"])))
+    spans = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
+    held = base.filter(" or ".join(f"size({k}) > 0" for k in KINDS)).select(F.array_distinct(F.concat(*map(value, KINDS))).alias("vs"), lowered(words(outside(text, spans))).alias("ts"))
+    held = written(held, "pii-held")
+    n_v = held.select(F.explode("vs").alias("v")).groupBy("v").agg(F.count("*").alias("n_v"))
+    pairs = held.select(F.explode("vs").alias("v"), "ts").select("v", F.explode("ts").alias("t")).groupBy("v", "t").agg(F.count("*").alias("n_vt"))
     # Every word's documents are counted before the join, so no word's rows meet.
-    words = F.array_distinct(F.filter(F.split(F.lower("pii_text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 4))
-    n_t = src.select(F.explode(words).alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).join(wanted, "t", "left_semi")
+    n_t = base.select(F.explode(lowered(words(text))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     total = F.lit(float(base.count()))
     p_v = F.col("n_v") / total
     score = F.log2((F.col("n_vt") + p_v) / ((F.col("n_t") + 1) * p_v)) / F.greatest(-F.log2(p_v), F.lit(1e-9))
-    scored = pairs.join(n_v, "v").join(n_t, "t").select("v", "t", score.alias("disclosure"))
-    return scored.filter(F.col("disclosure") >= general).withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
+    scored = pairs.join(n_v, "v").join(n_t, "t").groupBy("t").agg(F.max(score).alias("disclosure")).filter(F.col("disclosure") >= general)
+    return scored.withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
 
 
 def span_list(kinds=KINDS, term: bool = False) -> Column:

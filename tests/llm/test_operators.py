@@ -387,6 +387,27 @@ def test_disclosure_of_few_texts(spark):
     assert got[0][0]["action"] == "generalise" and got[3][0]["action"] == "remove" and not got[43]
 
 
+def test_disclosure_over_whole_documents(spark):
+    """Terms far from their value, and in a text without it."""
+    filler = " ".join(["plain words that every text holds"] * 5)
+    one = f"only@one.example {filler} Uniqueterm {filler} éuniqueterm uniqueterm2 UNIQUETERM"
+    two = [f"two@two.example {filler} pairterm {i}" for i in range(2)]
+    copies = [f"copy@copy.example {filler} copyterm"] * 40
+    texts = [one, *two, *copies, *[f"home@home.example {filler} manyterm {i}" for i in range(60)], f"no value here but manyterm {filler}"]
+    texts += [f"{filler} {i}" for i in range(3000 - len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["term"] for r in pii.sanitise(df).filter("doc_id < 120").collect()}
+    # éuniqueterm is another word, which stands in this text alone too.
+    spans = lambda i, w: [(m.start(), m.end()) for m in re.finditer(rf"(?i)(?<![^\W\d_])(?:{w})(?![^\W\d_])", texts[i])]
+    at = lambda i: [(t["start"], t["end"]) for t in got[i]]
+    assert at(0) == spans(0, "uniqueterm|éuniqueterm") and len(at(0)) == 4 and at(0)[0][0] > 64
+    assert at(1) == spans(1, "pairterm") and at(2) == spans(2, "pairterm") and len(at(1)) == 1
+    assert at(3) == spans(3, "copyterm") and len(at(3)) == 1 and {t["action"] for t in got[3]} == {"remove"}
+    without = next(i for i, t in enumerate(texts) if t.startswith("no value"))
+    assert spans(without, "manyterm")[0] in at(without)
+    assert not got[without + 1]
+
+
 # 10
 
 
