@@ -318,7 +318,7 @@ def file_index(spark, sf_dir):
 
 @query("SELECT doc_id::VARCHAR AS path, sha256(unhex(rpad(substr(hex(encode(text)), 2001, 8192), greatest(least((octet_length(encode(text)) + 4095) // 4096 * 4096 - 1000, 4096), 0)::INT * 2, '0'))) AS data FROM documents WHERE doc_id = 0")
 def read_range(spark, sf_dir):
-    fr = plans.engine_frames(plans.engine(sources.document_blocks(spark, sf_dir).filter("path = '0'")))
+    fr = plans.engine_frames(plans.engine(sources.document_blocks(spark, sf_dir)))
     return files.read_range(files.index(fr), fr, "0", 1000, 4096).select("path", F.sha2("data", 256).alias("data"))
 
 

@@ -1,11 +1,13 @@
 """Unit tables, round trips and sequential models of the block engine."""
 
+import hashlib
 from collections import OrderedDict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import catalog
 from tessera.constants import BLOCK, Adaptivity
 from tessera.functions import bytes as fb
 from tessera.functions import codecs
@@ -151,6 +153,18 @@ def test_read_path_restores_every_byte(spark):
     assert files.truncate(idx, "a", 3).filter("path = 'a'").first()["size"] == 3 and files.exists(files.create(idx, "z"), "z").first()[0]
 
 
+def test_read_range_has_all_documents(spark, tmp_path, monkeypatch):
+    """The query's store and index hold every document, and the operator chooses the path."""
+    docs = [(i, c * 6000, "en", "web", 6000) for i, c in enumerate("abc")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    given, read = [], files.read_range
+    monkeypatch.setattr(files, "read_range", lambda idx, fr, *a: given.append((idx, fr)) or read(idx, fr, *a))
+    got = catalog.queries()["read_range"](spark, str(tmp_path)).collect()
+    assert [(r["path"], r["data"]) for r in got] == [("0", hashlib.sha256(b"a" * 4096).hexdigest())]
+    for x in given[0]:
+        assert {r["path"] for r in x.select("path").distinct().collect()} == {"0", "1", "2"}
+
+
 def test_firmware_and_pipeline(spark):
     b = sources.branch_stream(spark, 100)
     f = plans.firmware(b).collect()
