@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,24 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext._conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir, which all executors share.
+
+    Where none is set, a session on one machine (local[...]) gets a temporary folder of its own; on a cluster it is an error.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context._conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
-        spark.conf.set("spark.checkpoint.dir", path) if _settable(spark) else None
-        spark.sparkContext._conf.set("spark.checkpoint.dir", path)
+        context._conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
-    except Exception:
-        return False
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
@@ -55,3 +53,14 @@ def hashed(*cols):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def packed(rows: DataFrame, kinds: dict) -> list[np.ndarray]:
+    """Columns of a bounded table of whole numbers on the driver, as arrays of the kinds named: each task sends one row of bytes."""
+
+    def run(batches):
+        parts = [[b[c].to_numpy(np.int64).astype(k) for c, k in kinds.items()] for b in batches]
+        yield pd.DataFrame([[np.concatenate(x).tobytes() for x in zip(*parts)]] if parts else [], columns=list(kinds))
+
+    found = rows.select(*kinds).mapInPandas(run, ", ".join(f"`{c}` binary" for c in kinds)).collect()
+    return [np.frombuffer(b"".join(r[c] for r in found), k) for c, k in kinds.items()]

@@ -10,14 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import packed, written
 from tessera.llm.components import components
 
-#: Frequent shingles that may be sent to every task; shingles in one block of members; queries that meet one block; bits of the filter for wanted rows.
+#: Frequent shingles that may be sent to every task; shingles in one block of members; queries that meet one block; logarithms of the least and most bits of a filter.
 MOST_FREQUENT = 1 << 21
 BLOCK = 2_000_000
 QUERIES = 2_000
-FILTER_BITS = 1 << 25
+FILTER_BITS = (16, 27)
 #: Shingles that are sorted at once when frequent ones are sought.
 CHUNK = 4_000_000
 SIGNATURES = 3
@@ -76,7 +76,7 @@ def _frequent(docs: DataFrame, rule: Rule) -> dict:
     """Shingles of the most documents, with counts: at most MOST_FREQUENT.
 
     A chunk of documents reports the shingles that it holds twice. Any order of shingles keeps the
-    join exact; this one puts shared passages last.
+    join exact; this one puts shared passages last, by the whole part of the logarithm of their count.
     """
 
     def run(batches):
@@ -103,10 +103,11 @@ def _frequent(docs: DataFrame, rule: Rule) -> dict:
         if (total := total + n) > MOST_FREQUENT:
             break
         least = 2**step
-    rows = seen.filter(F.col("n") >= least).toPandas() if least else pd.DataFrame({"t": [], "n": []})
-    t = rows["t"].to_numpy(np.int64).view(np.uint64)
+    if not least:
+        return {"t": np.zeros(0, np.uint64), "n": np.zeros(0, np.uint8)}
+    t, n = packed(seen.filter(F.col("n") >= least).select("t", F.floor(F.log2("n")).cast("long").alias("n")), {"t": np.uint64, "n": np.uint8})
     at = np.argsort(t)
-    return {"t": t[at], "n": rows["n"].to_numpy(np.int64)[at]}
+    return {"t": t[at], "n": n[at]}
 
 
 def _profiles(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
@@ -136,18 +137,33 @@ def _profiles(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
     return docs.select("doc_id", "k", "text").mapInPandas(run, "doc_id long, k long, n long, v long, prefix array<long>, sig array<long>")
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits, set where a row's h points: at most FILTER_BITS / 64 numbers reach the driver."""
-    p = hashes.select(F.pmod("h", F.lit(FILTER_BITS)).alias("p"))
-    at = p.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[at["i"].to_numpy(np.int64)] = at["x"]
-    return bits.view(np.uint64)
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A filter for the numbers of a one-column table, with eight bits and more for each up to the most: at most 2^27 bits reach the driver."""
+    col = keys.columns[0]
+    low, high = FILTER_BITS
+    size = min(max(low, (8 * keys.count()).bit_length()), high)
+
+    def placed(batches):
+        for b in batches:
+            p = np.unique(b[col].to_numpy(np.int64) & ((1 << size) - 1))
+            part, at = np.unique(p >> low, return_index=True)
+            yield pd.DataFrame({"i": part, "at": [x.astype(np.uint16).tobytes() for x in np.split(p & ((1 << low) - 1), at[1:])] if len(p) else []})
+
+    def merged(pdf):
+        bits = np.zeros(1 << low, np.uint8)
+        for x in pdf["at"]:
+            bits[np.frombuffer(x, np.uint16)] = 1
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    out = np.zeros((1 << size) // 8, np.uint8)
+    for i, x in keys.mapInPandas(placed, "i long, at binary").groupBy("i").applyInPandas(merged, "i long, bits binary").toLocalIterator():
+        out[i << (low - 3) : (i + 1) << (low - 3)] = np.frombuffer(bytes(x), np.uint8)
+    return out
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    p = h % FILTER_BITS
-    return (bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+    p = h & (8 * len(bits) - 1)
+    return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
 
 def _open(docs: DataFrame, profiles: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
@@ -160,7 +176,7 @@ def _open(docs: DataFrame, profiles: DataFrame, rows: DataFrame, rule: Rule) ->
     """
     reps = profiles.filter("n > 0").groupBy("v").agg(F.min("k").alias("k"))
     rows = written(rows.join(reps, "v"), "opened")
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(rows.select(F.col("k").alias("h"))))
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(rows.select("k")))
 
     def wanted(batches):
         for b in batches:
@@ -250,7 +266,7 @@ def _qualifying(profiles: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     A group's row of the matrix is the union of its sets' prefixes. A set can link into a group only
     if the union holds enough of the set's prefix, so only such groups are opened. Shingles of one
-    set say nothing: they are left out first, through a filter of fixed size that may let a few pass,
+    set say nothing: they are left out first, through a filter that may let a few pass,
     and with them all sets that keep too few.
     """
     seen = profiles.filter("n > 0").select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
