@@ -1,4 +1,10 @@
-"""Personal data by pattern, and terms that disclose it by corpus co-occurrence."""
+"""Personal data by pattern, and terms that disclose it by corpus co-occurrence.
+
+Protected values are matches of the base patterns and secrets (long strings of letters and digits
+together, as keys and tokens are). What a term t tells of a value v is their pointwise mutual
+information; the rest of v's information content, -log2 p(v|t) bits, stays hidden. Terms that leave
+too little hidden are generalised or removed.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +13,49 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 #: A match starts where no match could have begun earlier, or where the last one ended; so a run of characters is read once, however long it is.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{24,}+",
 }
 #: A text without these has no match.
-SIGNS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+SIGNS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "secret": r"[A-Za-z0-9+/_-]{24}"}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 TERM = r"[\p{L}]{4,}+"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 #: What stands for a value in a sanitised text.
-GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "term": "[TERM]"}
+
+
+#: Elements that one fold adds up; folds of folds keep long arrays from being copied at every step.
+FOLD = 64
+#: Cells of the filter for words, of 64 bits each.
+CELLS = 1 << 20
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, start: Column, op) -> Column:
+    """For each of the values, op over start and all values before it; op is a sum or a maximum."""
+
+    def part(x: Column, first: Column) -> Column:
+        step = lambda a, v: F.struct(op(a["at"], v).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+        return F.aggregate(x, F.struct(first.alias("at"), F.slice(F.array(first), 1, 0).alias("out")), step)["out"]
+
+    def whole(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(FOLD)), lambda i: F.slice(v, i, F.lit(FOLD)))
+        starts = lambda p: part(F.transform(p, lambda x: F.aggregate(F.slice(x, 2, FOLD), F.get(x, F.lit(0)), op)), start)
+        return let(parts, lambda p: F.flatten(F.zip_with(p, starts(p), part)))
+
+    return let(values, lambda v: F.when(F.size(v) > FOLD, whole(v)).otherwise(part(v, start)))
 
 
 def located(text: Column, pattern: str | Column, sign: str | None = None) -> Column:
@@ -30,14 +64,12 @@ def located(text: Column, pattern: str | Column, sign: str | None = None) -> Col
     found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
 
     def places(x: Column) -> Column:
-        step = lambda a, i: F.struct(
-            (a["at"] + F.length(F.get(x["p"], i)) + F.length(F.get(x["m"], i))).alias("at"),
-            F.array_append(a["out"], F.struct((a["at"] + F.length(F.get(x["p"], i))).alias("start"), (a["at"] + F.length(F.get(x["p"], i)) + F.length(F.get(x["m"], i))).alias("end"), F.get(x["m"], i).alias("value"))).alias("out"),
-        )
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.when(F.size(x["m"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), empty, step)["out"]).otherwise(F.array().cast(SPAN))
-
-    all_places = F.get(F.transform(F.array(F.struct(found.alias("m"), pieces.alias("p"))), places), F.lit(0))
+        # The last piece has no match after it.
+        sizes = F.zip_with(F.slice(x["p"], F.lit(1), F.size(x["m"])), x["m"], lambda p, m: F.length(p) + F.length(m))
+        ends = F.transform(running(sizes, F.lit(0), lambda a, n: a + n), lambda at, i: at + F.length(F.get(x["p"], i)) + F.length(F.get(x["m"], i)))
+        return F.zip_with(ends, x["m"], lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")))
+
+    all_places = let(F.struct(found.alias("m"), pieces.alias("p")), lambda x: F.when(F.size(x["m"]) > 0, places(x)).otherwise(F.array().cast(SPAN)))
     return all_places if sign is None else F.when(F.rlike(text, F.lit(sign)), all_places).otherwise(F.array().cast(SPAN))
 
 
@@ -71,24 +103,20 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def outside(text: Column, spans: Column) -> Column:
     """The text's parts between the spans, a space for each span; a word that reaches into a span is not in them."""
+    reach = lambda s: running(F.transform(s, lambda x: x["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    letters = lambda at: F.rlike(F.substring(text, at, F.lit(2)), F.lit(r"^\p{L}\p{L}"))
+
+    def part(at: Column, stop: Column) -> Column:
+        x = F.substring(text, at + 1, stop - at)
+        x = F.when((at > 0) & letters(at), F.regexp_replace(x, r"^\p{L}+", "")).otherwise(x)
+        return F.when((stop > 0) & letters(stop), F.regexp_replace(x, r"\p{L}+$", "")).otherwise(x)
 
-    def step(a: Column, s: Column) -> Column:
-        value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        part = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        part = F.when(a["cut"], F.regexp_replace(part, r"^\p{L}+", "")).otherwise(part)
-        part = F.when(F.rlike(value, F.lit(r"^\p{L}")), F.regexp_replace(part, r"\p{L}+$", "")).otherwise(part)
-        return F.struct(
-            F.greatest(s["end"], a["at"]).alias("at"),
-            F.when(s["end"] >= a["at"], F.rlike(value, F.lit(r"\p{L}$"))).otherwise(a["cut"]).alias("cut"),
-            F.concat(a["out"], part, F.lit(" ")).alias("out"),
-        )
-
-    def rest(a: Column) -> Column:
-        part = F.substring(text, a["at"] + 1, F.length(text))
-        return F.concat(a["out"], F.when(a["cut"], F.regexp_replace(part, r"^\p{L}+", "")).otherwise(part))
+    def parts(s: Column) -> Column:
+        before = F.zip_with(reach(s), s, lambda at, x: F.when(x["start"] > at, part(at, x["start"])).otherwise(F.lit("")))
+        return F.concat(F.array_join(before, " "), F.lit(" "), part(F.array_max(F.transform(s, lambda x: x["end"])), F.length(text)))
 
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit(False).alias("cut"), F.lit("").alias("out")), step, rest)
+    return let(ordered, lambda s: F.when(F.size(s) > 0, parts(s)).otherwise(text))
 
 
 def words(text: Column) -> Column:
@@ -96,18 +124,19 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
-def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), general=0.9, remove=0.98) -> DataFrame:
-    """Spans of personal data: one array of (start, end, value) for each pattern kind, and ``term`` (start, end, action).
+def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), general=(1.0, 0.1), remove=(0.1, 0.02)) -> DataFrame:
+    """Spans of personal data: one array of (start, end, value) for each kind, and ``term`` (start, end, action).
 
-    Pattern matches are the protected values. For a value v and a term t that stands outside values in
-    a document of v, p counts documents: disclosure is PMI(t; v) / -log p(v), 1 for a term that stands
-    nowhere else. p(v|t) has one more document of t, in which v is as likely as in any, so a few
-    documents say less than many. Terms are generalised from ``general`` on and removed from ``remove``
-    on, wherever they stand in any document, by the value that they disclose most. Counts cover all
-    documents.
+    For a value v and a term t that stands outside values in a document of v, p counts documents: t
+    leaves IC(v) - PMI(t; v) = -log2 p(v|t) bits of v hidden. p(v|t) has one more document of t, in
+    which v is as likely as in any, so few documents say less than many. Terms are generalised if no
+    more stays hidden than ``general`` allows, in bits and as a share of IC(v), and removed if no more
+    than ``remove`` allows, wherever they stand in any document, by the value of which they tell most.
+    Counts cover all documents. For rare values the bits decide, and they mean the same at every size.
 
     Null texts are empty ones and have no spans; equal texts have equal spans, and each counts as a
-    document; no rows are dropped. Adds n_chars to the ``keep`` columns.
+    document; no rows are dropped; repeated rows and null ids are rows of their own; columns in
+    ``keep`` may have any name but those added. Adds n_chars to the ``keep`` columns.
     """
     src = docs.select(F.struct(*keep).alias("pii_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("pii_text"))
     text = F.col("pii_text")
@@ -115,9 +144,10 @@ def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), general=0.9,
     base = written(found.withColumn("pii_row", F.monotonically_increasing_id()), "pii-base")
 
     terms = written(disclosing(base, general, remove), "pii-terms")
-    # By hashes, which are shorter to deal out; the terms' own letters decide below.
-    placed = base.select("pii_row", F.explode(F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(F.lower(w))))).alias("h"))
-    here = placed.join(terms.select(F.xxhash64("t").alias("h"), "t", "action"), "h").groupBy("pii_row").agg(F.map_from_entries(F.collect_list(F.struct("t", "action"))).alias("by_term"))
+    # By hashes, which are shorter to deal out; the terms' own letters decide below. Most words are told from terms before they are dealt out.
+    placed = base.select("pii_row", F.explode(hashes(words(text))).alias("h"))
+    placed = placed.join(F.broadcast(cells(terms.select("h"))), F.col("h").bitwiseAND(F.lit(CELLS - 1)) == F.col("cell")).filter(F.expr("getbit(bits, cast(shiftright(h, 20) & 63 as int)) = 1")).select("pii_row", "h")
+    here = placed.join(terms, "h").groupBy("pii_row").agg(F.map_from_entries(F.collect_set(F.struct("t", "action"))).alias("by_term"))
     named = base.join(here, "pii_row").withColumn("written_as", F.filter(words(text), lambda w: F.array_contains(F.map_keys("by_term"), F.lower(w))))
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("written_as", "|"), F.lit(r")(?!\p{L})"))
     free = lambda w: ~F.exists(F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS]), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
@@ -128,10 +158,23 @@ def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), general=0.9,
     return out.select("pii_doc.*", "n_chars", *KINDS, F.coalesce("term", F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("term"))
 
 
-def disclosing(base: DataFrame, general: float, remove: float) -> DataFrame:
-    """(t, disclosure, action) of the terms that disclose a value."""
+def lowered(w: Column) -> Column:
+    return F.array_distinct(F.transform(w, F.lower))
+
+
+def hashes(w: Column) -> Column:
+    """Different hashes of words in lower case."""
+    return F.array_distinct(F.transform(w, lambda x: F.xxhash64(F.lower(x))))
+
+
+def cells(h: DataFrame) -> DataFrame:
+    """A filter for hashes: (cell, bits), at most CELLS rows however many hashes there are."""
+    return h.groupBy(F.col("h").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(h, 20) & 63 as int))")).alias("bits"))
+
+
+def disclosing(base: DataFrame, general: tuple, remove: tuple) -> DataFrame:
+    """(t, h, level, action) of the terms that disclose a value; h is the term's hash."""
     text = F.col("pii_text")
-    lowered = lambda w: F.array_distinct(F.transform(w, F.lower))
     value = lambda k: F.transform(k, lambda s: F.concat(F.lit(f"{k}:"), F.lower(s["value"])))
     spans = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
     held = base.filter(" or ".join(f"size({k}) > 0" for k in KINDS)).select(F.array_distinct(F.concat(*map(value, KINDS))).alias("vs"), lowered(words(outside(text, spans))).alias("ts"))
@@ -139,12 +182,13 @@ def disclosing(base: DataFrame, general: float, remove: float) -> DataFrame:
     n_v = held.select(F.explode("vs").alias("v")).groupBy("v").agg(F.count("*").alias("n_v"))
     pairs = held.select(F.explode("vs").alias("v"), "ts").select("v", F.explode("ts").alias("t")).groupBy("v", "t").agg(F.count("*").alias("n_vt"))
     # Every word's documents are counted before the join, so no word's rows meet.
-    n_t = base.select(F.explode(lowered(words(text))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    n_t = base.select(F.explode(hashes(words(text))).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
     total = F.lit(float(base.count()))
-    p_v = F.col("n_v") / total
-    score = F.log2((F.col("n_vt") + p_v) / ((F.col("n_t") + 1) * p_v)) / F.greatest(-F.log2(p_v), F.lit(1e-9))
-    scored = pairs.join(n_v, "v").join(n_t, "t").groupBy("t").agg(F.max(score).alias("disclosure")).filter(F.col("disclosure") >= general)
-    return scored.withColumn("action", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise"))
+    hidden = -F.log2((F.col("n_vt") + F.col("n_v") / total) / (F.col("n_t") + 1))
+    within = lambda most: (F.col("hidden") <= most[0]) & (F.col("hidden") <= F.lit(most[1]) * -F.log2(F.col("n_v") / total))
+    scored = pairs.withColumn("h", F.xxhash64("t")).join(n_v, "v").join(n_t, "h").withColumn("hidden", hidden)
+    scored = scored.withColumn("level", F.when(within(remove), 2).when(within(general), 1).otherwise(0)).filter("level > 0")
+    return scored.groupBy("t", "h").agg(F.max("level").alias("level")).withColumn("action", F.when(F.col("level") == 2, "remove").otherwise("generalise"))
 
 
 def span_list(kinds=KINDS, term: bool = False) -> Column:
@@ -162,18 +206,15 @@ def rewrite(text: Column) -> Column:
 
     typed = list(map(named, KINDS))
     typed.append(F.transform("term", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), F.when(s["action"] == "remove", F.lit("")).otherwise(F.lit(GENERAL["term"])).alias("by"))))
-    spans = F.array_sort(F.concat(*typed))
 
-    def step(a: Column, s: Column) -> Column:
-        end = -s["neg_end"]
-        apart = s["start"] >= a["at"]
-        out = F.when(apart, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["by"])).otherwise(a["out"])
-        return F.struct(F.greatest(end, a["at"]).alias("at"), out.alias("out"))
+    def pieces(s: Column) -> Column:
+        before = running(F.transform(s, lambda x: -x["neg_end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        parts = F.zip_with(before, s, lambda at, x: F.when(x["start"] >= at, F.concat(F.substring(text, at + 1, x["start"] - at), x["by"])).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(F.transform(s, lambda x: -x["neg_end"])) + 1, F.length(text)))
 
-    state = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, state).otherwise(text)
+    return let(F.array_sort(F.concat(*typed)), lambda s: F.when(F.size(s) > 0, pieces(s)).otherwise(text))
 
 
 def query(docs: DataFrame) -> DataFrame:
     s = sanitise(docs)
-    return s.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(span_list(), 256).alias("base_sha256"), span_list(term=True).alias("spans"))
+    return s.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(span_list(BASE), 256).alias("base_sha256"), span_list(term=True).alias("spans"))

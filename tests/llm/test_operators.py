@@ -408,6 +408,58 @@ def test_disclosure_over_whole_documents(spark):
     assert not got[without + 1]
 
 
+def test_disclosure_by_brute_force(spark):
+    """Every term's span and action from counts made in plain Python."""
+    r = np.random.default_rng(11)
+    vocabulary = ["".join(r.choice(list("abdelmnorst"), int(r.integers(3, 8)))) for _ in range(400)]
+    p = 1 / np.arange(1, 401)
+    values = [f"user{k}@site.example" for k in range(30)] + ["tok" + "9f8e7d6c5b4a" * 3]
+    texts = []
+    for i in range(400):
+        w = list(r.choice(vocabulary, int(r.integers(3, 40)), p=p / p.sum()))
+        for _ in range(int(r.integers(0, 3)) if i % 3 == 0 else 0):
+            k = int(r.integers(len(values)))
+            w.insert(int(r.integers(len(w))), values[k])
+            w.insert(int(r.integers(len(w))), "friend" + chr(97 + k % 26) * (2 + k // 26))
+        texts.append(" ".join(w).capitalize() if i % 5 else " ".join(w))
+    base = [brute_spans(t) | {"secret": [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}", t)]} for t in texts]
+    of = lambda i: {(k, texts[i][a:b].lower()) for k in base[i] for a, b in base[i][k]}
+    word = re.compile(r"[^\W\d_]{4,}")
+    n_t, n_v, n_vt = Counter(), Counter(), Counter()
+    for i, t in enumerate(texts):
+        inside = [s for k in base[i] for s in base[i][k]]
+        n_t.update({m[0].lower() for m in word.finditer(t)})
+        n_v.update(of(i))
+        outside = {m[0].lower() for m in word.finditer(t) if not any(a < m.end() and m.start() < b for a, b in inside)}
+        n_vt.update((v, x) for v in of(i) for x in outside)
+    level = Counter()
+    for (v, x), n in n_vt.items():
+        p_v = n_v[v] / len(texts)
+        hidden = -np.log2((n + p_v) / (n_t[x] + 1))
+        level[x] = max(level[x], 2 if hidden <= min(0.1, 0.02 * -np.log2(p_v)) else 1 if hidden <= min(1.0, 0.1 * -np.log2(p_v)) else 0)
+    got = {x["doc_id"]: x for x in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        inside = [s for k in base[i] for s in base[i][k]]
+        free = [m for m in word.finditer(t) if not any(a < m.end() and m.start() < b for a, b in inside)]
+        want = [(m.start(), m.end(), "remove" if level[m[0].lower()] == 2 else "generalise") for m in free if level[m[0].lower()]]
+        assert [tuple(x) for x in got[i]["term"]] == want, t
+        assert [(x["start"], x["end"]) for x in got[i]["secret"]] == base[i]["secret"]
+        found += len(want)
+    assert found > 5
+
+
+def test_many_values_in_one_text(spark):
+    """Thousands of matches, more than one fold holds; null ids, and columns that clash with inner names."""
+    text = " ".join(f"w{i} a{i}@b.c +49 {10_000_000 + i}" for i in range(3000))
+    df = spark.createDataFrame([(None, text, "x"), (None, None, "y"), (1, "", "z")], "doc_id long, text string, pii_text string")
+    rows = pii.sanitise(df, keep=("doc_id", "text", "pii_text")).withColumn("new", pii.rewrite(F.col("text"))).collect()
+    assert len(rows) == 3 and {r["pii_text"] for r in rows} == {"x", "y", "z"}
+    big = next(r for r in rows if r["n_chars"])
+    assert [(x["start"], x["end"]) for x in big["email"]] == brute_spans(text)["email"] and len(big["phone"]) == 3000
+    assert big["new"] == " ".join(f"w{i} [EMAIL] [PHONE]" for i in range(3000))
+
+
 # 10
 
 
