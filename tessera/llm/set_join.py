@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,30 +45,45 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted different shingle hashes (uint64) of a text; word hashes are remembered."""
+    """Sorted different shingle hashes (uint64) of a text.
+
+    A word's hash is a polynomial of its bytes modulo 2^64, taken from running sums over the whole
+    text at once: the sum between a word's ends over the power at its start.
+    """
+
+    BASE = 0xD6E8FEB86659FD93
 
     def __init__(self, words: int):
-        self.k, self.seen = words, {}
+        self.k = words
         self.by = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64)) for i in range(words)]
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _words(self, raw: np.ndarray) -> np.ndarray:
+        n = len(raw)
+        if len(self.up) <= n:
+            powers = lambda x: np.concatenate((np.ones(1, np.uint64), np.multiply.accumulate(np.full(2 * n, x, np.uint64))))
+            self.up, self.down = powers(self.BASE), powers(pow(self.BASE, -1, 1 << 64))
+        out = self.space[raw]
+        edge = np.flatnonzero(out[1:] != out[:-1]) + 1
+        edge = np.concatenate(([0] if not out[0] else [], edge, [n] if not out[-1] else [])).astype(np.int64)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=total[1:])
+        start, end = edge[::2], edge[1::2]
+        return _mixed((total[end] - total[start]) * self.down[start])
 
     def __call__(self, text: str | None) -> np.ndarray:
-        w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not w:
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+        h = self._words(raw) if len(raw) else raw
+        if not len(h):
             return np.zeros(0, np.uint64)
-        seen = self.seen
-        if len(seen) > 2_000_000:
-            seen.clear()
-        try:
-            h = np.fromiter(map(seen.__getitem__, w), np.uint64, len(w))
-        except KeyError:
-            for x in set(w).difference(seen):
-                seen[x] = xxhash.xxh3_64_intdigest(x)
-            h = np.fromiter(map(seen.__getitem__, w), np.uint64, len(w))
         n = min(self.k, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for i in range(n):
             out = _mixed(out + h[i : len(h) - n + 1 + i] * self.by[i])
-        return np.unique(out)
+        out.sort()
+        return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def _frequent(docs: DataFrame, rule: Rule) -> dict:
