@@ -144,24 +144,21 @@ def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), general=(1.0
     base = written(found.withColumn("pii_row", F.monotonically_increasing_id()), "pii-base")
 
     terms = written(disclosing(base, general, remove), "pii-terms")
-    # By hashes, which are shorter to deal out; the terms' own letters decide below. Most words are told from terms before they are dealt out.
+    # Most words are told from terms before they are dealt out.
     placed = base.select("pii_row", F.explode(hashes(words(text))).alias("h"))
     placed = placed.join(F.broadcast(cells(terms.select("h"))), F.col("h").bitwiseAND(F.lit(CELLS - 1)) == F.col("cell")).filter(F.expr("getbit(bits, cast(shiftright(h, 20) & 63 as int)) = 1")).select("pii_row", "h")
-    here = placed.join(terms, "h").groupBy("pii_row").agg(F.map_from_entries(F.collect_set(F.struct("t", "action"))).alias("by_term"))
-    named = base.join(here, "pii_row").withColumn("written_as", F.filter(words(text), lambda w: F.array_contains(F.map_keys("by_term"), F.lower(w))))
+    here = placed.join(terms, "h").groupBy("pii_row").agg(F.map_from_entries(F.collect_set(F.struct("h", "action"))).alias("by_term"))
+    own = lambda w: F.xxhash64(F.lower(w))
+    named = base.join(here, "pii_row").withColumn("written_as", F.filter(words(text), lambda w: F.array_contains(F.map_keys("by_term"), own(w))))
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("written_as", "|"), F.lit(r")(?!\p{L})"))
     free = lambda w: ~F.exists(F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS]), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    action = lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at("by_term", F.lower(w["value"])).alias("action"))
+    action = lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at("by_term", own(w["value"])).alias("action"))
     spans = F.transform(F.filter(located(text, pattern), free), action)
     extra = named.filter(F.size("written_as") > 0).select("pii_row", spans.alias("term"))
     out = base.drop("pii_text").join(extra, "pii_row", "left")
     return out.select("pii_doc.*", "n_chars", *KINDS, F.coalesce("term", F.array().cast("array<struct<start:int,end:int,action:string>>")).alias("term"))
 
 
-def lowered(w: Column) -> Column:
-    return F.array_distinct(F.transform(w, F.lower))
-
-
 def hashes(w: Column) -> Column:
     """Different hashes of words in lower case."""
     return F.array_distinct(F.transform(w, lambda x: F.xxhash64(F.lower(x))))
@@ -173,22 +170,26 @@ def cells(h: DataFrame) -> DataFrame:
 
 
 def disclosing(base: DataFrame, general: tuple, remove: tuple) -> DataFrame:
-    """(t, h, level, action) of the terms that disclose a value; h is the term's hash."""
+    """(h, level, action) of the terms that disclose a value; h is the term's hash."""
     text = F.col("pii_text")
-    value = lambda k: F.transform(k, lambda s: F.concat(F.lit(f"{k}:"), F.lower(s["value"])))
+    value = lambda k: F.transform(k, lambda s: F.xxhash64(F.lit(k), F.lower(s["value"])))
     spans = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
-    held = base.filter(" or ".join(f"size({k}) > 0" for k in KINDS)).select(F.array_distinct(F.concat(*map(value, KINDS))).alias("vs"), lowered(words(outside(text, spans))).alias("ts"))
+    held = base.filter(" or ".join(f"size({k}) > 0" for k in KINDS)).select("pii_row", F.array_distinct(F.concat(*map(value, KINDS))).alias("vs"), hashes(words(outside(text, spans))).alias("hs"))
     held = written(held, "pii-held")
-    n_v = held.select(F.explode("vs").alias("v")).groupBy("v").agg(F.count("*").alias("n_v"))
-    pairs = held.select(F.explode("vs").alias("v"), "ts").select("v", F.explode("ts").alias("t")).groupBy("v", "t").agg(F.count("*").alias("n_vt"))
+    p_v = F.col("n_v") / F.lit(float(base.count()))
+    values = held.select("pii_row", F.explode("vs").alias("v"))
+    n_v = values.groupBy("v").agg(F.count("*").alias("n_v"))
+    values = values.join(n_v, "v").groupBy("pii_row").agg(F.collect_list(F.struct("v", "n_v")).alias("vs"), F.max("n_v").alias("most"))
     # Every word's documents are counted before the join, so no word's rows meet.
     n_t = base.select(F.explode(hashes(words(text))).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
-    total = F.lit(float(base.count()))
-    hidden = -F.log2((F.col("n_vt") + F.col("n_v") / total) / (F.col("n_t") + 1))
-    within = lambda most: (F.col("hidden") <= most[0]) & (F.col("hidden") <= F.lit(most[1]) * -F.log2(F.col("n_v") / total))
-    scored = pairs.withColumn("h", F.xxhash64("t")).join(n_v, "v").join(n_t, "h").withColumn("hidden", hidden)
-    scored = scored.withColumn("level", F.when(within(remove), 2).when(within(general), 1).otherwise(0)).filter("level > 0")
-    return scored.groupBy("t", "h").agg(F.max("level").alias("level")).withColumn("action", F.when(F.col("level") == 2, "remove").otherwise("generalise"))
+    # n_vt is n_v at most, so a term of more documents than the limit allows for any value of its text is none.
+    may = F.col("n_t") + 1 <= F.lit(2.0 ** general[0] * (1 + 1e-9)) * (F.col("most") + 1)
+    rare = held.select("pii_row", F.explode("hs").alias("h")).join(n_t, "h").join(values, "pii_row").filter(may)
+    pairs = rare.select("h", "n_t", F.explode("vs").alias("x")).select("h", "n_t", "x.v", "x.n_v").groupBy("h", "v", "n_t", "n_v").agg(F.count("*").alias("n_vt"))
+    hidden = -F.log2((F.col("n_vt") + p_v) / (F.col("n_t") + 1))
+    within = lambda most: (F.col("hidden") <= most[0]) & (F.col("hidden") <= F.lit(most[1]) * -F.log2(p_v))
+    scored = pairs.withColumn("hidden", hidden).withColumn("level", F.when(within(remove), 2).when(within(general), 1).otherwise(0)).filter("level > 0")
+    return scored.groupBy("h").agg(F.max("level").alias("level")).withColumn("action", F.when(F.col("level") == 2, "remove").otherwise("generalise"))
 
 
 def span_list(kinds=KINDS, term: bool = False) -> Column:
