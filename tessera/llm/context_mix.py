@@ -1,52 +1,81 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-A text is its lower-cased words, each followed by a space, and one end byte. Every bit of every byte
-is predicted by five tables of counts, each indexed by a hash of a context and the byte's bits so
-far: two bytes of the word, four bytes, all bytes of the word, and, for the first two bytes of a
-word, the word before and the one before that. The predictions meet in the logistic domain under
-weights that a gate selects (how often the word's bytes were seen, and the place in the word); the
-result is refined by a table of outcomes by partial byte and prediction.
-
-Whatever depends on the word alone is worked out once for each different word of a chunk of texts.
+A text is its lower-cased words and one end. Every word has a code: its place in the order of the
+training texts' word counts, as a bucket of four bits and the place in it; words that training texts
+hold less than twice have place 0 and are spelled, byte by byte with a closing space. So a text is
+a row of symbols of at most eight bits. Each bit is predicted by five predictors: four take counts of
+what followed a hashed context (the symbol's own beginning with nothing else, with the word before,
+with the most frequent of the eight words before, with the two words before; or the bytes before, for
+spelled words), the fifth is the word that last followed the same two words in the same text. Their
+predictions meet in the logistic domain under weights that a gate selects; a table refines the result.
+
+Counts are kept by hash of 56 bits and symbol in partitions that grow in number with the input; chunks
+of texts ask for those that they meet, and get the states of the predictors back. Rows hold packed
+arrays. Whatever depends on the training texts is a sum of whole numbers, or is learned by a chunk of
+fixed membership in a fixed order, so other partitionings and lost executors change nothing.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
-#: Logarithms of the tables' sizes: word's last 2 bytes, last 4, all; word before, the one before it. A model is so large at any input.
-SIZES = (16, 21, 22, 20, 20)
-BLOCK = 1 << 14
-#: Characters in one chunk of texts, words and tokens in one step.
-CHUNK_CHARS = 24_000_000
-WORDS, TOKENS = 40_000, 200_000
-END, GATES, STEPS = b"\n", 40, 33
-#: States of a slot of which one count is under RARE: that count, which one it is, and the steps of the other.
-RARE, LEVELS = 4, np.array([1, 2, 3, 4, 5, 6, 8, 11, 15, 21, 30, 45, 70, 120, 250, 600, 2000, 10_000, 100_000])
-STATES = 2 * RARE * (len(LEVELS) + 1)
-FIRST = (0.15, 0.3, 0.6, 0.2, 0.1)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_P = 0xD6E8FEB86659FD93
-_P_INV = pow(_P, -1, 1 << 64)
+#: Characters in one chunk of texts; bits that are worked on at once; contexts; states of a context; kinds of bits.
+CHUNK_CHARS = 8_000_000
+STEP_BITS = 1_500_000
+CONTEXTS, KINDS = 4, 3
+END = b"\n"
+#: Places of words in order of their counts: bucket j holds 4^j of them; rarer words are spelled.
+BUCKETS = 14
+FIRST = np.array([(4**j - 1) // 3 for j in range(BUCKETS + 1)], np.int64)
+#: Word counts by quarters of powers of two.
+CLASSES = 256
+#: States: nothing seen; one bit alone seen so often; both seen, by the logarithm of their ratio in halves.
+ALONE = np.array([1, 2, 3, 4, 6, 10, 20, 50, 200])
+RATIOS = 10
+STATES = 1 + 2 * len(ALONE) + 2 * RATIOS + 1
+_MIX = 2 + 2 * len(ALONE) - 1
+#: Bins of states, for the sample of bits that the weights are fitted to.
+BINS = np.array([0] + [1, 1, 2, 2, 2, 3, 3, 3, 3] + [4, 4, 5, 5, 5, 6, 6, 6, 6] + [7] * 5 + [8] * 3 + [9] * 2 + [10] + [11] * 2 + [12] * 3 + [13] * 5)
+N_BINS = 14
+GATES, STEPS = KINDS * 4, 33
+_ODD, _EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+    x = (x ^ (x >> np.uint64(32))) * _EVEN
+    x = (x ^ (x >> np.uint64(29))) * _ODD
+    return x ^ (x >> np.uint64(32))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def pack(*arrays) -> bytes:
+    raw = pickle.dumps(arrays, 5)
+    return pa.compress(raw, "zstd", asbytes=True) + len(raw).to_bytes(8, "little")
+
+
+def unpack(data: bytes) -> tuple:
+    return pickle.loads(pa.decompress(data[:-8], int.from_bytes(data[-8:], "little"), "zstd", asbytes=True))
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """A sorted array as differences, byte by byte, which compress well."""
+    return np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+
+
+def from_planes(p: np.ndarray, kind) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(p.T).view(kind).ravel(), dtype=kind)
+
+
+# Chunks: texts as numbers of words.
 
 
 class Ids(dict):
@@ -56,394 +85,533 @@ class Ids(dict):
 
 
 class Chunk:
-    """Texts as word numbers: tokens of all texts in a row, ends included."""
+    """Tokens of all texts in a row, ends included, as numbers of words in order of partition and hash."""
 
-    def __init__(self, texts):
-        ids = Ids({END: 0})
-        parts, ends = [], []
-        zero = np.zeros(1, np.int32)
+    def __init__(self, texts, parts: int):
+        ids, rows = Ids({END: 0}), []
+        end = np.zeros(1, np.int32)
         for t in texts:
             w = (t or "").encode("utf-8", "surrogatepass").lower().split()
-            parts += [np.fromiter(map(ids.__getitem__, w), np.int32, len(w)), zero]
-            ends.append(len(w) + 1)
-        self.lengths = np.array(ends, np.int64)
-        self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.words = list(ids)
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64) if ends else np.zeros(0, np.int64)
-
-    def before(self, by: int) -> np.ndarray:
-        """Number of the word ``by`` places before each token, -1 before a text's start."""
-        out = np.full(len(self.tokens), -1, np.int64)
-        out[by:] = self.tokens[:-by]
-        place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)
-        out[place < by] = -1
+            rows += [np.fromiter(map(ids.__getitem__, w), np.int32, len(w)), end]
+        self.lengths = np.array([len(r) + 1 for r in rows[::2]], np.int64)
+        words = list(ids)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        self.part = (h >> np.uint64(40)).astype(np.int64) % parts
+        order = np.lexsort((h, self.part))
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words))
+        self.tokens = place[np.concatenate(rows)] if rows else np.zeros(0, np.int32)
+        self.words, self.hashes, self.part = [words[i] for i in order], h[order], self.part[order]
+
+
+def first_pass(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """A chunk's body and, for each partition of words, the hashes and training counts of its words."""
+    pdf = pdf.sort_values(["h", "doc_id"], kind="stable").reset_index(drop=True)
+    # Rows that are equal are scored once.
+    again = pdf.duplicated(["h", "doc_id", "text"])
+    copies = pdf.groupby((~again).cumsum())["copies"].sum().to_numpy(np.int64)
+    pdf = pdf[~again]
+    chunk = Chunk(pdf["text"], parts)
+    held = pdf["fold"].to_numpy() == 0
+    times = np.repeat(np.where(held, 0, copies), chunk.lengths)
+    counts = np.bincount(chunk.tokens, times, len(chunk.words)).astype(np.int64)
+    number = int(pdf["chunk"].iloc[0])
+    ids = [0 if x is None else int(x) for x in pdf["doc_id"]]
+    body = pack(chunk.tokens, chunk.lengths.astype(np.int32), b" ".join(chunk.words), np.array(ids, np.int64), pdf["doc_id"].isna().to_numpy(), held, copies)
+    rows = [(0, number, -1, body)]
+    for p in np.unique(chunk.part):
+        a, b = np.searchsorted(chunk.part, (p, p + 1))
+        rows.append((1, number, int(p), pack(planes(chunk.hashes[a:b]), counts[a:b])))
+    return pd.DataFrame(rows, columns=["kind", "chunk", "p", "data"])
+
+
+class Body:
+    def __init__(self, data: bytes):
+        self.tokens, self.lengths, words, self.ids, self.null, self.held, self.copies = unpack(data)
+        self.words = words.split(b" ")
+        self.lengths = self.lengths.astype(np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)
+
+
+# Words: counts over all training texts, and places in their order.
+
+
+def _merged(pdf: pd.DataFrame):
+    """Of one partition: hashes and counts over all chunks, and each chunk's hashes."""
+    blobs = [unpack(x) for x in pdf["data"]]
+    own = [from_planes(h, np.uint64) for h, _ in blobs]
+    every, at = np.unique(np.concatenate(own), return_inverse=True)
+    return every, np.bincount(at, np.concatenate([c for _, c in blobs]), len(every)).astype(np.int64), own
+
+
+def _class(c: np.ndarray) -> np.ndarray:
+    """Larger counts first: by quarters of powers of two, at most CLASSES."""
+    return CLASSES - 1 - np.minimum((4 * np.log2(np.maximum(c, 1))).astype(np.int64), CLASSES - 1)
+
+
+def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    every, c, _ = _merged(pdf)
+    sizes = np.bincount(_class(c[c > 1]), minlength=CLASSES).astype(np.int64)
+    return pd.DataFrame({"p": pdf["p"].iloc[:1], "tokens": [int(c.sum())], "words": [int((c > 0).sum())], "sizes": [sizes.tobytes()]})
+
+
+def place_words(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    """For each chunk, places and counts of its words in this partition. starts: the first place of each class here."""
+    every, c, own = _merged(pdf)
+    known = np.flatnonzero(c > 1)
+    known = known[np.lexsort((every[known], -c[known]))]
+    kind = _class(c[known])
+    place = np.zeros(len(every), np.int64)
+    place[known] = 1 + starts[kind] + np.arange(len(known)) - np.searchsorted(kind, kind, "left")
+    place[place >= FIRST[BUCKETS]] = 0
+    rows = []
+    for chunk, h in zip(pdf["chunk"], own):
+        at = np.searchsorted(every, h)
+        rows.append((2, chunk, int(pdf["p"].iloc[0]), pack(place[at].astype(np.uint32), c[at])))
+    return pd.DataFrame(rows, columns=["kind", "chunk", "p", "data"])
+
+
+# Symbols and their contexts.
+
+
+class Codes:
+    """Symbols of different words: value (in the highest of eight bits), bits, first of the word, and what the contexts hold of the word itself."""
+
+    def __init__(self, words: list[bytes], place: np.ndarray):
+        j = np.searchsorted(FIRST, place, "right") - 1
+        index, rest = place - FIRST[j], 2 * j
+        top = np.minimum(rest, 4)
+        parts = [(np.arange(len(place)), (j << 4) | ((index >> (rest - top)) << (4 - top)), 4 + top, np.zeros(len(place), np.uint64), np.zeros(len(place), np.int64))]
+        inner, done, at = _mix(((j << 4) | (index >> (rest - top))).astype(np.uint64) + np.uint64(1)), top, 1
+        while (more := np.flatnonzero(rest > done)).size:
+            n = np.minimum(rest - done, 8)
+            value = (index >> (rest - done - n)) & ((1 << n) - 1)
+            parts.append((more, (value << (8 - n))[more], n[more], inner[more], np.full(len(more), at)))
+            inner, done, at = _mix(inner * _ODD + value.astype(np.uint64) + np.uint64(7)), done + n, at + 1
+        spelled = np.flatnonzero(place == 0)
+        size = np.fromiter((len(words[i]) + 1 for i in spelled), np.int64, len(spelled))
+        flat = np.frombuffer(b"".join(words[i] + b" " for i in spelled), np.uint8)
+        owner, begin = np.repeat(spelled, size), np.repeat(np.cumsum(size) - size, size)
+        where = np.arange(len(flat)) - begin
+        b = flat.astype(np.uint64) + np.uint64(1)
+        back = []
+        for k in range(1, 6):
+            x = np.zeros(len(flat), np.uint64)
+            x[k:] = b[:-k]
+            x[where < k] = 0
+            back.append(x)
+        two = back[0] * np.uint64(512) + back[1]
+        three = two * np.uint64(512) + back[2]
+        five = (three * np.uint64(512) + back[3]) * np.uint64(512) + back[4]
+        parts.append((owner, flat.astype(np.int64), np.full(len(flat), 8), two, 1 + where))
+        word, self.value, self.bits, self.inner, step = (np.concatenate(x) for x in zip(*parts))
+        self.spelled = np.concatenate([np.zeros(len(x[0]), bool) for x in parts[:-1]] + [np.ones(len(flat), bool)])
+        n = len(word) - len(flat)
+        self.three, self.five = (np.concatenate((np.zeros(n, np.uint64), x)) for x in (three, five))
+        order = np.lexsort((step, word))
+        self.value, self.bits, self.inner, self.spelled, self.three, self.five = (x[order] for x in (self.value.astype(np.uint8), self.bits.astype(np.uint8), self.inner, self.spelled, self.three, self.five))
+        self.first = step[order] == 0
+        self.count = np.bincount(word, minlength=len(words))
+        self.start = np.cumsum(self.count) - self.count
+
+
+class Symbols:
+    """All symbols of a chunk in order, with keys (context hash and value) for each context."""
+
+    def __init__(self, body: Body, place: np.ndarray):
+        t = body.tokens
+        self.codes = codes = Codes(body.words, place.astype(np.int64))
+        n = codes.count[t]
+        self.token = np.repeat(np.arange(len(t), dtype=np.int32), n)
+        begin = np.cumsum(n) - n
+        self.at = (codes.start[t] - begin)[self.token] + np.arange(len(self.token))
+        self.begin = begin
+        self.bits, self.value = codes.bits[self.at], codes.value[self.at]
+        where = np.arange(len(t)) - np.repeat(body.starts, body.lengths)
+        r = place[t].astype(np.int64)
+        end = body.words.index(END)
+        far = 1 << 40
+
+        def before(x, by, none):
+            out = np.full(len(x), none, x.dtype)
+            out[by:] = x[:-by] if by else x
+            out[where < by] = none
+            return out
+
+        one, two = before(r, 1, far), before(r, 2, far)
+        rare = np.where((r == 0) | (t == end), far, r)
+        topic = np.full(len(t), far)
+        for k in range(1, 9):
+            np.minimum(topic, before(rare, k, far), out=topic)
+        u = lambda x: x.astype(np.uint64)
+        self.outer = [np.zeros(len(t), np.uint64), _mix(u(one) + np.uint64(3)), _mix(u(topic) * _ODD + np.uint64(5)), _mix(_mix(u(one) + np.uint64(11)) + u(two))]
+        self.match = self._match(body, one, two, where)
+
+    def _match(self, body: Body, one, two, where) -> np.ndarray:
+        """For each token, the word that followed the same two words last in this text, or -1."""
+        doc = np.repeat(np.arange(len(body.lengths), dtype=np.uint64), body.lengths)
+        h = _mix(_mix(one.astype(np.uint64)) + two.astype(np.uint64) * _ODD + doc * _EVEN)
+        order = np.argsort(h, kind="stable")
+        same = np.concatenate(([False], h[order[1:]] == h[order[:-1]])) if len(h) else np.zeros(0, bool)
+        out = np.full(len(h), -1, np.int64)
+        out[order[1:][same[1:]]] = body.tokens[order[:-1][same[1:]]]
+        out[where < 2] = -1
         return out
 
+    def keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols that have a context k, and their keys."""
+        c = self.codes
+        at = np.flatnonzero(c.spelled[self.at] | c.first[self.at]) if k == 3 else np.arange(len(self.at))
+        x, spelled = self.at[at], c.spelled[self.at[at]]
+        own = (c.three, c.five, c.inner, c.inner)[k][x]
+        if k == 3:
+            # Spelled: all bytes so far would be one context a word; the last two with the place of the word before do.
+            context = np.where(spelled, _mix(own + np.uint64(99)) + self.outer[1][self.token[at]], self.outer[3][self.token[at]])
+        else:
+            context = np.where(spelled, own * _ODD + (self.outer[2][self.token[at]] if k == 2 else np.uint64(0)), c.inner[x] * _ODD + self.outer[k][self.token[at]])
+        context = _mix(context + spelled.astype(np.uint64) * np.uint64(1 << 17) + np.uint64(k * 1_000_003))
+        return at, (context & ~np.uint64(255)) | self.value[at].astype(np.uint64)
+
+    def guessed(self) -> np.ndarray:
+        """For each symbol: bits that the fifth predictor gets right, plus 100 if it then errs in this symbol; -1 without a guess."""
+        c, guess = self.codes, self.match[self.token]
+        step = np.arange(len(self.token)) - self.begin[self.token]
+        has = (guess >= 0) & (step < c.count[np.maximum(guess, 0)])
+        other = (c.start[np.maximum(guess, 0)] + step)[has]
+        diff = np.full(len(has), 255, np.int64)
+        diff[has] = c.value[other] ^ self.value[has]
+        diff[has] |= (c.bits[other] != self.bits[has]).astype(np.int64)
+        right = np.where(diff == 0, 8, 8 - np.ceil(np.log2(diff + 1)).astype(np.int64))
+        bad = np.where(diff != 0, step, 1 << 20)
+        first = np.minimum.reduceat(bad, self.begin)[self.token] if len(bad) else bad
+        out = np.where(diff == 0, 8, 100 + right)
+        return np.where(has & (step <= first), out, -1).astype(np.int16)
+
+
+def second_pass(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Keys of a chunk's contexts with their training counts, dealt to partitions by hash."""
+    body, place, _ = opened(pdf)
+    s = Symbols(body, place)
+    times = np.repeat(np.where(body.held, 0, body.copies), body.lengths)[s.token]
+    number, rows = int(pdf["chunk"].iloc[0]), []
+    for k in range(CONTEXTS):
+        at, keys = s.keys(k)
+        every = np.unique(keys)
+        counts = np.bincount(np.searchsorted(every, keys), times[at], len(every)).astype(np.int64)
+        part = _part(every, parts)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(edges)):
+            here = order[edges[p] : edges[p + 1]]
+            rows.append((3, number, int(p * CONTEXTS + k), pack(planes(every[here]), counts[here].astype(np.uint32))))
+    return pd.DataFrame(rows, columns=["kind", "chunk", "p", "data"])
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """By the context alone: all symbols of a context meet."""
+    return ((_mix(keys >> np.uint64(8)) >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+
+
+def opened(pdf: pd.DataFrame) -> tuple[Body, np.ndarray, np.ndarray]:
+    """A chunk's body, and places and counts of its words."""
+    body = Body(pdf.loc[pdf["kind"] == 0, "data"].iloc[0])
+    got = [unpack(x) for x in pdf[pdf["kind"] == 2].sort_values("p")["data"]]
+    return body, np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+
+# States of contexts.
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of words with their closing space in a row (the end byte stands alone), and each word's number of bytes."""
-    flat = np.frombuffer(b"".join(w if w == END else w + b" " for w in words), np.uint8)
-    return flat, np.fromiter((1 if w == END else len(w) + 1 for w in words), np.int64, len(words))
 
+def state_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The state of a bit that was 0 and 1 so often after a context; swapping the counts mirrors the state."""
+    high, low = np.maximum(n0, n1), np.minimum(n0, n1)
+    alone = np.searchsorted(ALONE, high, "right") + np.where(n1 > n0, len(ALONE), 0)
+    out = np.where(high > 0, alone, 0)
+    both = np.flatnonzero(low > 0)
+    ratio = np.log((n1[both] + 0.4) / (n0[both] + 0.4))
+    out[both] = _MIX + RATIOS + np.clip(np.trunc(2 * ratio + 0.5 * np.sign(ratio)), -RATIOS, RATIOS).astype(np.int64)
+    return out.astype(np.uint8)
 
-def _slots(context: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
-    return (((context[:, None] + node.astype(np.uint64) * _ODD) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - size)).astype(np.int64)
 
+def mirrored() -> np.ndarray:
+    n = len(ALONE)
+    return np.concatenate(([0], np.arange(n) + 1 + n, np.arange(n) + 1, _MIX + 2 * RATIOS - np.arange(2 * RATIOS + 1)))
 
-class Spelling:
-    """Bits and table slots of words: arrays of (bytes, 8)."""
 
-    def __init__(self, words: list[bytes]):
-        flat, self.sizes = spelled(words)
-        starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
-        self.starts = starts
-        first = np.repeat(starts, self.sizes)
-        self.place = np.arange(len(flat)) - first
-        b = flat.astype(np.uint64) + np.uint64(1)
-        back = []
-        for k in range(1, 5):
-            x = np.zeros(len(flat), np.uint64)
-            x[k:] = b[:-k]
-            x[self.place < k] = 0
-            back.append(x)
-        power, inverse = _powers(_P, len(flat) + 1), _powers(_P_INV, len(flat) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(b * power[:-1], dtype=np.uint64)))
-        prefix = (total[:-1] - total[first]) * inverse[first]
-        two = back[0] * np.uint64(512) + back[1] + np.uint64(1 << 40)
-        four = (((back[0] * np.uint64(512) + back[1]) * np.uint64(512) + back[2]) * np.uint64(512) + back[3]) + np.uint64(2 << 40)
-        shifts = np.arange(7, -1, -1, dtype=np.uint8)
-        self.bit = (flat[:, None] >> shifts) & 1
-        self.node = ((flat[:, None].astype(np.int32) | 256) >> (shifts.astype(np.int32) + 1)).astype(np.int32)
-        self.slots = [_slots(_mix(c), self.node, s) for c, s in ((two, SIZES[0]), (four, SIZES[1]), (prefix + np.uint64(77), SIZES[2]))]
-
-
-def head_slots(hashes: np.ndarray, head: np.ndarray, words: np.ndarray, before: np.ndarray, table: int) -> np.ndarray:
-    """Slots of the first two bytes' bits in a table of words before: (tokens, 16)."""
-    context = np.where(before >= 0, hashes[before], np.uint64(1)) + np.uint64(table)
-    h = head[words]
-    shifts = np.arange(8, 0, -1, dtype=np.int32)
-    one, two = (h[:, :1] | 256) >> shifts, (h[:, 1:] | 256) >> shifts
-    second = _mix(context + (h[:, 0].astype(np.uint64) + np.uint64(3)) * _ODD)
-    return np.concatenate((_slots(_mix(context), one, SIZES[table]), _slots(second, two, SIZES[table])), axis=1)
-
-
-def heads(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's hash and first two bytes; the end has one byte."""
-    import xxhash
-
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    two = np.array([(10, 0) if w == END else ((w + b" ")[0], (w + b" ")[1]) for w in words], np.int32).reshape(-1, 2)
-    return h, two
-
-
-def count_chunk(chunk: Chunk, train: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words' counts in training texts, and the tables: arrays (slots, 2) of how often 0 and 1 followed."""
-    in_train = np.repeat(train, chunk.lengths)
-    n = np.bincount(chunk.tokens[in_train], minlength=len(chunk.words))
-    tables = [np.zeros((2, 1 << s), np.int32) for s in SIZES]
-
-    def add(t: int, slot: np.ndarray, bit: np.ndarray, weight=None) -> None:
-        size = 1 << SIZES[t]
-        both = np.bincount((slot + bit.astype(np.int64) * size).ravel(), None if weight is None else weight.ravel(), 2 * size)
-        tables[t] += both.astype(np.int32).reshape(2, size)
-
-    used = np.flatnonzero(n)
-    for i in range(0, len(used), WORDS):
-        part = used[i : i + WORDS]
-        s = Spelling([chunk.words[k] for k in part])
-        weight = np.broadcast_to(np.repeat(n[part], s.sizes)[:, None].astype(np.float64), s.bit.shape)
-        for t in range(3):
-            add(t, s.slots[t], s.bit, weight)
-    hashes, head = heads(chunk.words)
-    before = chunk.before(1), chunk.before(2)
-    at = np.flatnonzero(in_train)
-    for i in range(0, len(at), TOKENS):
-        part = at[i : i + TOKENS]
-        w = chunk.tokens[part]
-        two = w != 0
-        bit = head_bits(head[w])
-        for t in (3, 4):
-            slot = head_slots(hashes, head, w, before[t - 3][part], t)
-            add(t, slot[:, :8], bit[:, :8])
-            add(t, slot[two, 8:], bit[two, 8:])
-    return n, tables
-
-
-def head_bits(two: np.ndarray) -> np.ndarray:
-    shifts = np.arange(7, -1, -1, dtype=np.int32)
-    return np.concatenate(((two[:, :1] >> shifts) & 1, (two[:, 1:] >> shifts) & 1), axis=1).astype(np.uint8)
-
-
-def stretch(n0, n1):
-    return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))).astype(np.float32)
+_SMALL = 64
+_TABLE = state_of(*(x.ravel() for x in np.meshgrid(np.arange(_SMALL), np.arange(_SMALL), indexing="ij"))).reshape(_SMALL, _SMALL)
 
 
-def squash(x):
-    return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
+def states_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    out = _TABLE[np.minimum(n0, _SMALL - 1), np.minimum(n1, _SMALL - 1)]
+    large = np.flatnonzero((n0 >= _SMALL) | (n1 >= _SMALL))
+    out[large] = state_of(n0[large], n1[large])
+    return out
 
 
-def gate_of(seen: tuple, place: np.ndarray) -> np.ndarray:
-    """By how often the word so far was seen, whether one bit alone followed, and the place in the word."""
-    n0, n1 = seen
-    level = np.searchsorted(np.array([1, 3, 16, 256]), n0 + n1, "right")
-    return (level * 2 + ((n0 <= 0) | (n1 <= 0))) * 4 + np.minimum(np.where(place >= 4, 3, np.where(place >= 2, 2, place)), 3)
+def path_states(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted different keys: states of the eight bits on each symbol's path, (8, keys); and as if the symbol had been counted once less."""
+    full, less = np.empty((8, len(keys)), np.uint8), np.empty((8, len(keys)), np.uint8)
 
+    def total(bits):
+        new = np.concatenate(([True], (keys[1:] >> np.uint64(bits)) != (keys[:-1] >> np.uint64(bits))))
+        return np.add.reduceat(counts, np.flatnonzero(new))[np.cumsum(new) - 1]
 
-def state_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """The slot's state, or -1 where both counts are large enough to be a ratio."""
-    low, high = np.minimum(n0, n1), np.maximum(n0, n1)
-    s = (np.minimum(low, RARE - 1).astype(np.int64) * 2 + (n1 > n0)) * (len(LEVELS) + 1) + np.searchsorted(LEVELS, high, "right")
-    return np.where(low < RARE, s, -1)
-
-
-class Model:
-    """Counts, weights by gate and the refining table."""
-
-    def __init__(self, tables: list[np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None, states: np.ndarray | None = None):
-        self.tables = tables
-        self.weights = np.tile(np.array(FIRST, np.float64), (GATES, 1)) if weights is None else weights
-        grid = squash((np.arange(STEPS) - STEPS // 2) / 2.0)
-        self.refine = np.tile(grid, (256, 1)) if refine is None else refine
-        #: Outcomes of slots in a state, by table: how often, and how often a 1 followed.
-        self.states = np.zeros((5, STATES, 2)) if states is None else states
-        self._st: list | None = None
-
-    def _stretched(self, t: int, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-        """From what followed slots in that state; where both counts are large, from their ratio."""
-        plain = stretch(n0.astype(np.float32), n1.astype(np.float32))
-        state = state_of(n0, n1)
-        k = np.arange(STATES)
-        high = np.concatenate(([0], LEVELS))[k % (len(LEVELS) + 1)]
-        low, one = k // (len(LEVELS) + 1) // 2, k // (len(LEVELS) + 1) % 2
-        prior = (np.where(one == 1, high, low) + 0.1) / (high + low + 0.2)
-        n, ones = self.states[t].T
-        p = (ones + 2 * prior) / (n + 2)
-        return np.where(state >= 0, np.log(p / (1 - p)).astype(np.float32)[state], plain)
-
-    def predictions(self, t: int, slot: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-        """Stretched probability of a 1; with own bits, as if each had not been counted once."""
-        if own is None:
-            if self._st is None:
-                self._st = [self._stretched(i, x[0], x[1]) for i, x in enumerate(self.tables)]
-            return self._st[t][slot]
-        return self._stretched(t, *self.counts(t, slot, own))
-
-    def counts(self, t: int, slot: np.ndarray, own: np.ndarray | None = None):
-        n0, n1 = self.tables[t][0][slot], self.tables[t][1][slot]
-        return (n0, n1) if own is None else (np.maximum(n0 - (own == 0), 0), np.maximum(n1 - own, 0))
-
-    def log2(self, x: np.ndarray, node: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """log2 of the probability of the bit after refinement: the mean of both predictions."""
-        x = np.clip(x, -12, 12)
-        p = squash(x)
-        q = np.clip(x * 2 + STEPS // 2, 0, STEPS - 1.001)
-        i = q.astype(np.int32)
-        f = q - i
-        flat = self.refine.ravel()
-        at = node * STEPS + i
-        p = (p + flat[at] * (1 - f) + flat[at + 1] * f) / 2
-        return np.log2(np.where(bit == 1, p, 1 - p))
-
-    def word_parts(self, words: list[bytes]):
-        """For all words: log2 probability of all bytes after the second, and for the first two bytes (words, 16) sums of weighted predictions and gates."""
-        tail = np.zeros(len(words))
-        sums, gates = np.zeros((len(words), 16), np.float32), np.zeros((len(words), 16), np.int8)
-        for k in range(0, len(words), WORDS):
-            s = Spelling(words[k : k + WORDS])
-            gate = gate_of(self.counts(2, s.slots[2]), np.broadcast_to(s.place[:, None], s.bit.shape))
-            x = sum(self.weights[gate, t] * self.predictions(t, s.slots[t]) for t in range(3))
-            late = s.place >= 2
-            bits = np.zeros(len(s.place))
-            bits[late] = self.log2(x[late], s.node[late], s.bit[late]).sum(axis=1)
-            tail[k : k + len(s.sizes)] = np.add.reduceat(bits, s.starts)
-            sums[k : k + len(s.sizes), :8], gates[k : k + len(s.sizes), :8] = x[s.starts], gate[s.starts]
-            more = s.sizes > 1
-            sums[k : k + len(s.sizes)][more, 8:], gates[k : k + len(s.sizes)][more, 8:] = x[s.starts[more] + 1], gate[s.starts[more] + 1]
-        return tail, sums, gates
-
-    def score(self, chunk: Chunk) -> np.ndarray:
-        """log2 probability of each text."""
-        if not len(chunk.lengths):
-            return np.zeros(0)
-        tail, sums, gates = self.word_parts(chunk.words)
-        hashes, head = heads(chunk.words)
-        before = chunk.before(1), chunk.before(2)
-        shifts = np.arange(8, 0, -1, dtype=np.int32)
-        out = np.empty(len(chunk.tokens))
-        for k in range(0, len(out), TOKENS):
-            w = chunk.tokens[k : k + TOKENS]
-            gate, h = gates[w], head[w]
-            x = sums[w].astype(np.float64)
-            for t in (3, 4):
-                x += self.weights[gate, t] * self.predictions(t, head_slots(hashes, head, w, before[t - 3][k : k + TOKENS], t))
-            node = np.concatenate(((h[:, :1] | 256) >> shifts, (h[:, 1:] | 256) >> shifts), axis=1)
-            bits = self.log2(x, node, head_bits(h))
-            bits[w == 0, 8:] = 0
-            out[k : k + TOKENS] = bits.sum(axis=1) + tail[w]
-        return np.add.reduceat(out, chunk.starts)
-
-    def learn(self, chunk: Chunk, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Three laps over texts whose own counts are left out: outcomes of states; then online weights; then weights and outcomes for the refining table.
-
-        Returns weights, bits seen by gate, the refining table's outcomes (256, STEPS, 2) and the states' (5, STATES, 2).
-        """
-        weights, square, seen = self.weights.copy(), np.full((GATES, 5), 1e-3), np.zeros(GATES)
-        outcome, states = np.zeros((256 * STEPS, 2)), np.zeros((5, STATES, 2))
-        ones = lambda at, n, bit, size: np.stack((np.bincount(at, n, size), np.bincount(at, n * (bit == 1), size)), axis=1)
-
-        def step(lap, gate, slots, bit, node, n):
-            if lap == 0:
-                for t, slot in slots:
-                    at = state_of(*self.counts(t, slot, bit)).ravel()
-                    ok = at >= 0
-                    states[t] += ones(at[ok], n.ravel()[ok], bit.ravel()[ok], STATES)
-                return
-            inputs = [(t, self.predictions(t, slot, bit)) for t, slot in slots]
-            x = sum(weights[gate, t] * st for t, st in inputs)
-            err = (squash(x) - bit) * n
-            size = np.bincount(gate.ravel(), n.ravel(), GATES)
-            seen[:] += size
-            for t, st in inputs:
-                g = np.bincount(gate.ravel(), (err * st).ravel(), GATES) / np.maximum(size, 1)
-                square[:, t] += g * g
-                weights[:, t] -= rate * g / np.sqrt(square[:, t]) * (size > 0)
-            if lap == 2:
-                q = np.clip(np.clip(x, -12, 12) * 2 + STEPS // 2, 0, STEPS - 1.001)
-                i = q.astype(np.int64)
-                f = q - i
-                for at, part in ((i, 1 - f), (i + 1, f)):
-                    outcome[:] += ones((node * STEPS + at).ravel(), (part * n).ravel(), bit.ravel(), 256 * STEPS)
-
-        n = np.bincount(chunk.tokens, minlength=len(chunk.words))
-        hashes, head = heads(chunk.words)
-        before = chunk.before(1), chunk.before(2)
-        shifts = np.arange(8, 0, -1, dtype=np.int32)
-        piece = 4000
-        for lap in range(3):
-            for k in range(0, len(chunk.words), piece):
-                s = Spelling(chunk.words[k : k + piece])
-                late = s.place >= 2
-                gate = gate_of(self.counts(2, s.slots[2], s.bit), np.broadcast_to(s.place[:, None], s.bit.shape))
-                c = np.broadcast_to(np.repeat(n[k : k + piece], s.sizes)[:, None].astype(np.float64), s.bit.shape)
-                if late.any():
-                    step(lap, gate[late], [(t, s.slots[t][late]) for t in range(3)], s.bit[late], s.node[late], c[late])
-                # The first two bytes of as large a share of the tokens, with the words before them.
-                lo, hi = (int(len(chunk.tokens) * x / max(1, len(chunk.words))) for x in (k, min(k + piece, len(chunk.words))))
-                w = chunk.tokens[lo:hi]
-                if not len(w):
-                    continue
-                words, at = np.unique(w, return_inverse=True)
-                s = Spelling([chunk.words[i] for i in words])
-                here = np.stack((s.starts, np.minimum(s.starts + 1, len(s.place) - 1)), axis=1)[at]
-                h, bit = head[w], head_bits(head[w])
-                slots = [(t, s.slots[t][here].reshape(len(w), 16)) for t in range(3)] + [(t, head_slots(hashes, head, w, before[t - 3][lo:hi], t)) for t in (3, 4)]
-                gate = gate_of(self.counts(2, slots[2][1], bit), np.repeat(np.array([0, 1]), 8)[None, :].repeat(len(w), 0))
-                node = np.concatenate(((h[:, :1] | 256) >> shifts, (h[:, 1:] | 256) >> shifts), axis=1)
-                real = np.ones(bit.shape)
-                real[w == 0, 8:] = 0
-                step(lap, gate, slots, bit, node, real)
-            if lap == 0:
-                self.states = states
-        return weights, seen, outcome.reshape(256, STEPS, 2), states
+    above = total(8)
+    for d in range(8):
+        here = total(7 - d)
+        one = (keys >> np.uint64(7 - d)) & np.uint64(1) == 1
+        other = above - here
+        for out, own in ((full, here), (less, np.maximum(here - 1, 0))):
+            out[d] = states_of(np.where(one, other, own), np.where(one, own, other))
+        above = here
+    return full, less
 
 
-def _fold(col):
-    return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(10))
+def third_pass(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Counts of one partition's keys over all chunks; each chunk gets the states of its own."""
+    own = []
+    every, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for data in pdf["data"]:
+        p, c = unpack(data)
+        own.append(p)
+        keys, counts = np.concatenate((every, from_planes(p, np.uint64))), np.concatenate((total, c))
+        every, at = np.unique(keys, return_inverse=True)
+        total = np.bincount(at, counts, len(every)).astype(np.int64)
+    full, less = path_states(every, total)
+    rows = []
+    for chunk, p, keys in zip(pdf["chunk"], pdf["p"], own):
+        at = np.searchsorted(every, from_planes(keys, np.uint64))
+        f = full[:, at]
+        rows.append((4, chunk, p, pack(f, less[:, at] ^ f)))
+    return pd.DataFrame(rows, columns=["kind", "chunk", "p", "data"])
 
 
-def _chunks(docs: DataFrame, text_col: str) -> DataFrame:
-    chars = docs.select(F.sum(F.length(text_col))).first()[0] or 0
-    n = max(1, math.ceil(chars / CHUNK_CHARS))
-    return docs.select("doc_id", F.col(text_col).alias("text"), _fold(F.col("doc_id")).cast("int").alias("fold"), F.pmod(F.xxhash64("doc_id", text_col), F.lit(n)).cast("int").alias("chunk"))
+# The mixer.
 
 
-def _count(pdf: pd.DataFrame) -> pd.DataFrame:
-    chunk = Chunk(pdf["text"])
-    n, tables = count_chunk(chunk, pdf["fold"].to_numpy() != 0)
-    rows = [(0, int(pdf["chunk"].iloc[0]), w, int(c), None) for w, c in zip(chunk.words, n.tolist())]
-    for t, table in enumerate(tables):
-        for b in range(0, table.shape[1], BLOCK):
-            part = table[:, b : b + BLOCK]
-            if part.any():
-                rows.append((1 + t, b // BLOCK, None, 0, pa.compress(part.astype(np.int32).tobytes(), "zstd", asbytes=True)))
-    return pd.DataFrame(rows, columns=["kind", "key", "word", "n", "data"])
+def squash(x):
+    return 1 / (1 + np.exp(-x))
+
+
+class Mixer:
+    """Predictions of states, weights by gate and the refining table, learned from counts of what happened."""
+
+    def __init__(self):
+        self.happened = np.zeros((CONTEXTS * KINDS * STATES, 2))
+        self.cells = np.zeros((N_BINS**CONTEXTS * 3 * KINDS, 2))
+
+    def see(self, states: list[np.ndarray], guess: np.ndarray, kind: np.ndarray, bit: np.ndarray, n: np.ndarray) -> None:
+        """Takes in bits: states by context, guess (0 none, 1, 2), kind, the bit and how many such texts there are."""
+        for k, s in enumerate(states):
+            self.happened += _tally((k * KINDS + kind) * STATES + s, bit, n, len(self.happened))
+        self.cells += _tally(self._cell(states, guess, kind), bit, n, len(self.cells))
+
+    @staticmethod
+    def _cell(states, guess, kind) -> np.ndarray:
+        cell = kind.astype(np.int32)
+        for s in states:
+            cell = cell * N_BINS + _BINS32[s]
+        return cell * 3 + guess
+
+    def fit(self, laps: int = 10, rate: float = 0.05) -> Mixer:
+        """Online over cells of equal bins in a fixed order: gradient steps of the logistic loss, weighted by how often a cell was seen."""
+        mirror = mirrored()
+        n = self.happened.reshape(CONTEXTS, KINDS, STATES, 2)
+        n = n + n[:, :, mirror][..., ::-1]  # a mirrored state predicts the other bit
+        value = np.concatenate(([0.0], np.log((ALONE + 0.1) / 0.1) * -1, np.log((ALONE + 0.1) / 0.1), (np.arange(2 * RATIOS + 1) - RATIOS) / 2))
+        prior = squash(value)
+        self.stretch = np.log((n[..., 1] + 4 * prior) / (n[..., 0] + 4 * (1 - prior)))
+        weight = n.sum(axis=3) + 1e-6
+        at = np.flatnonzero(self.cells.sum(axis=1))
+        at = at[np.argsort(_mix(at.astype(np.uint64)))]
+        rest, guess = np.divmod(at, 3)
+        kind, bins = rest // N_BINS**CONTEXTS, []
+        for k in range(CONTEXTS):
+            bins.append(rest // N_BINS ** (CONTEXTS - 1 - k) % N_BINS)
+        inputs = np.zeros((len(at), CONTEXTS + 1))
+        for k in range(CONTEXTS):
+            mean = np.stack([np.bincount(BINS, weight[k, q] * self.stretch[k, q], N_BINS) / np.bincount(BINS, weight[k, q], N_BINS) for q in range(KINDS)])
+            inputs[:, k] = mean[kind, bins[k]]
+        inputs[:, CONTEXTS] = (guess == 1) * 1.0 - (guess == 2)
+        gate = self._gate(kind, bins[1] > 0, bins[3] > 0)
+        zeros, ones = self.cells[at].T
+        seen = zeros + ones
+        self.weights = np.tile(np.array([0.3, 0.3, 0.4, 0.3, 1.5]), (GATES, 1))
+        square = np.full((GATES, CONTEXTS + 1), 1e-4)
+        for _ in range(laps):
+            for a in range(0, len(at), 128):
+                part = slice(a, a + 128)
+                g, x = gate[part], inputs[part]
+                err = seen[part] * squash((self.weights[g] * x).sum(axis=1)) - ones[part]
+                size = np.maximum(np.bincount(g, seen[part], GATES), 1)
+                step = np.stack([np.bincount(g, err * x[:, i], GATES) / size for i in range(CONTEXTS + 1)], axis=1)
+                square += step * step
+                self.weights -= rate * step / np.sqrt(square)
+        x = (self.weights[gate] * inputs).sum(axis=1)
+        i, f = self._grid(x)
+        outcome = np.zeros((GATES * STEPS, 2))
+        for j, part in ((i, 1 - f), (i + 1, f)):
+            outcome += np.stack([np.bincount(gate * STEPS + j, part * y, GATES * STEPS) for y in (zeros, ones)], axis=1)
+        start = np.tile(squash((np.arange(STEPS) - STEPS // 2) / 2.0), GATES)
+        self.refine = ((outcome[:, 1] + 16 * start) / (outcome.sum(axis=1) + 16)).astype(np.float32)
+        return self
+
+    @staticmethod
+    def _gate(kind, one, two):
+        return (kind * 2 + one) * 2 + two
+
+    @staticmethod
+    def _grid(x):
+        q = np.clip(2 * x + STEPS // 2, 0, STEPS - 1.001)
+        i = q.astype(np.int32)
+        return i, q - i
+
+    def chance(self, states: list[np.ndarray], guess: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The probability of a 1: the mean of mixed and refined predictions."""
+        gate = self._gate(kind, states[1] > 0, states[3] > 0).astype(np.int32)
+        w, st = self.weights.astype(np.float32).T, self.stretch.astype(np.float32).reshape(CONTEXTS, -1)
+        at = kind.astype(np.int32) * STATES
+        x = np.array([0, 1, -1], np.float32)[guess] * w[CONTEXTS][gate]
+        for k, s in enumerate(states):
+            x += w[k][gate] * st[k][at + s]
+        x = np.clip(x, -14, 14)
+        i, f = self._grid(x)
+        r = gate * STEPS + i
+        return (squash(x) + self.refine[r] * (1 - f) + self.refine[r + 1] * f) / 2
+
+
+_BINS32 = BINS.astype(np.int32)
+
+
+def _tally(at: np.ndarray, bit: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at * np.int64(2) + bit, n, 2 * size).reshape(size, 2)
+
+
+class Bits:
+    """Bits of symbols [a, b): symbol, place in it, value, kind and guess, and states of the contexts."""
+
+    def __init__(self, s: Symbols, guessed: np.ndarray, where: list[np.ndarray], a: int, b: int):
+        n = s.bits[a:b].astype(np.int64)
+        self.symbol = np.repeat(np.arange(a, b, dtype=np.int32), n)
+        self.depth = (np.arange(len(self.symbol), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)).astype(np.int32)
+        self.bit = ((s.value[self.symbol] >> (7 - self.depth).astype(np.uint8)) & 1).astype(np.int32)
+        spelled, first = s.codes.spelled[s.at[self.symbol]], s.codes.first[s.at[self.symbol]]
+        self.kind = np.where(spelled, 2, np.where(first & (self.depth < 4), 0, 1)).astype(np.int32)
+        g = guessed[self.symbol]
+        right, errs = np.where(g >= 100, g - 100, g), g >= 100
+        self.guess = np.where(self.depth < right, 2 - self.bit, np.where(errs & (self.depth == right), 1 + self.bit, 0))
+        self.where = [w[self.symbol] for w in where]
+
+    def states(self, tables: list[np.ndarray]) -> list[np.ndarray]:
+        """tables: (keys + 1, 8) for each context; the last row is for symbols without it."""
+        return [t.ravel()[w * np.int64(8) + self.depth] for t, w in zip(tables, self.where)]
+
+
+def score_chunk(pdf: pd.DataFrame, parts: int, n: int, v: int) -> pd.DataFrame:
+    """Learns from the chunk's training texts, each without its own counts, then scores all its texts."""
+    body, place, counts = opened(pdf)
+    s = Symbols(body, place)
+    got = pdf[pdf["kind"] == 4].sort_values("p")
+    where, full, less = [], [], []
+    for k in range(CONTEXTS):
+        at, keys = s.keys(k)
+        every, inverse = np.unique(keys, return_inverse=True)
+        order = np.argsort(_part(every, parts), kind="stable")
+        blobs = [unpack(x) for x in got.loc[got["p"] % CONTEXTS == k, "data"]]
+        tables = []
+        for part in (0, 1):
+            t = np.zeros((len(every) + 1, 8), np.uint8)
+            t[order] = np.concatenate([b[part] for b in blobs], axis=1).T
+            tables.append(t)
+        full.append(tables[0])
+        less.append(tables[0] ^ tables[1])
+        w = np.full(len(s.at), len(every), np.int32)
+        w[at] = inverse
+        where.append(w)
+    guessed = s.guessed()
+    size = np.cumsum(s.bits.astype(np.int64))
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(size, np.arange(STEP_BITS, size[-1], STEP_BITS)), [len(size)])))
+    times = np.repeat(np.where(body.held, 0, body.copies), body.lengths)
+    mixer = Mixer()
+    for a, b in zip(cuts, cuts[1:]):
+        x = Bits(s, guessed, where, a, b)
+        mixer.see(x.states(less), x.guess, x.kind, x.bit, times[s.token[x.symbol]])
+    mixer.fit()
+    bits = np.zeros(len(body.tokens))
+    for a, b in zip(cuts, cuts[1:]):
+        x = Bits(s, guessed, where, a, b)
+        p = mixer.chance(x.states(full), x.guess, x.kind)
+        bits -= np.bincount(s.token[x.symbol], np.log2(np.where(x.bit == 1, p, 1 - p)), len(bits))
+    per = lambda x: np.add.reduceat(x, body.starts)
+    t = body.tokens
+    base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
+    length = np.array([1 if w == END else len(w) + 1 for w in body.words])
+    bits, n_bytes = per(bits), per(length[t])
+    ids = pd.array(body.ids, "Int64")
+    ids[body.null] = pd.NA
+    out = pd.DataFrame({"doc_id": ids, "held_out": body.held, "n_tokens": body.lengths, "n_known": per((counts[t] > 0).astype(np.int64)), "train_tokens": n, "base_score": per(base[t]), "score": -bits * math.log10(2), "n_bytes": n_bytes, "bits_per_byte": bits / n_bytes})
+    return out.loc[out.index.repeat(body.copies)]
 
 
-def _summed(batches):
-    """Streams blocks sorted by kind and key: one sum at a time is held."""
-    now, total = None, None
-    out = lambda: pd.DataFrame([(*now, total.shape[0] and pa.compress(total.tobytes(), "zstd", asbytes=True))], columns=["kind", "key", "data"])
+def _fold(col):
+    return F.pmod(F.crc32(F.coalesce(col, F.lit("")).cast("binary")), F.lit(10))
+
+
+def _once(batches):
+    """Equal rows of a task become two at most, so a row that repeats without end never meets as such in one task."""
+    seen, more = set(), {}
     for b in batches:
-        for kind, key, data in zip(b["kind"], b["key"], b["data"]):
-            part = np.frombuffer(pa.decompress(data, 2 * BLOCK * 4, "zstd", asbytes=True), np.int32).astype(np.int64)
-            if now != (kind, key):
-                if now is not None:
-                    yield out()
-                now, total = (kind, key), part
+        first = []
+        for i, key in enumerate(zip(b["doc_id"], b["h"])):
+            if key not in seen:
+                seen.add(key)
+                first.append(i)
+            elif key in more:
+                more[key][-1] += 1
             else:
-                total = total + part
-    if now is not None:
-        yield out()
+                more[key] = b.iloc[i].tolist()
+        yield b.iloc[first]
+    if more:
+        yield pd.DataFrame(more.values(), columns=["doc_id", "text", "fold", "h", "chunk", "copies"])
 
 
-def score_documents(docs: DataFrame, *, text_col="text") -> DataFrame:
+def score_documents(docs: DataFrame, *, text_col="text", chunk_chars=CHUNK_CHARS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
-    Texts whose crc32(doc_id) is no multiple of 10 train; the tables and the words' counts come from
-    all of them, the weights and the refining table from those of remainder 1, each without its own
-    counts. Texts are dealt to chunks by hash, so a chunk's size depends on no source or copy. The
-    model has a fixed size; words' counts are joined by word and go to the chunks that hold them.
+    Texts whose crc32(doc_id) is no multiple of 10 train: counts of words and contexts come from all
+    of them. Chunks of about ``chunk_chars`` characters are dealt by a hash of id and text; each
+    learns states, weights and refining table from all its training texts, as if a text's own use
+    of a context had not been counted, and scores its texts with the full counts.
 
-    A null text is an empty one, which has the end token alone; a null doc_id counts as an empty id;
-    repeated rows are scored alike, each in its own right.
+    A null text is an empty one, which has the end alone; a null doc_id counts as an empty id; equal
+    rows are scored alike and each stays; other columns are left out.
     """
-    spark = docs.sparkSession
-    docs = _chunks(docs, text_col)
-    counted = written(docs.groupBy("chunk").applyInPandas(_count, "kind int, key int, word binary, n long, data binary"), "lm-counts")
-    sums = counted.filter("kind > 0").select("kind", "key", "data").repartition("kind", "key").sortWithinPartitions("kind", "key").mapInPandas(_summed, "kind int, key int, data binary")
-    tables = [np.zeros((2, 1 << s), np.int32) for s in SIZES]
-    for kind, key, data in sums.toLocalIterator():
-        part = np.frombuffer(pa.decompress(bytes(data), 2 * BLOCK * 8, "zstd", asbytes=True), np.int64).reshape(2, -1)
-        tables[kind - 1][:, key * BLOCK : (key + 1) * BLOCK] = np.minimum(part, 2**31 - 1)
-    sent = spark.sparkContext.broadcast(tables)
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights, seen, outcome, states = Model(sent.value).learn(Chunk(pdf["text"]))
-        v = np.concatenate(((weights * seen[:, None]).ravel(), seen, outcome.ravel(), states.ravel()))
-        at = np.flatnonzero(v)
-        return pd.DataFrame({"i": at, "v": v[at]})
-
-    learned = docs.filter("fold = 1").groupBy("chunk").applyInPandas(learn, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    cuts = np.cumsum([GATES * 5, GATES, 256 * STEPS * 2, 5 * STATES * 2])
-    flat = np.zeros(cuts[-1])
-    flat[learned["i"].to_numpy(np.int64)] = learned["v"]
-    model = Model(tables)
-    weighted, seen, outcome, states = np.split(flat, cuts[:-1])
-    weights = np.where(seen[:, None] > 0, weighted.reshape(GATES, 5) / np.maximum(seen, 1)[:, None], model.weights)
-    outcome = outcome.reshape(256, STEPS, 2)
-    refine = (outcome[..., 1] + 4 * model.refine) / (outcome[..., 0] + 4)
-    tuned = spark.sparkContext.broadcast((weights, refine, states.reshape(5, STATES, 2)))
-
-    words = counted.filter("kind = 0").select(F.col("key").alias("chunk"), "word", "n")
-    vocabulary = written(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    known = words.select("chunk", "word").join(vocabulary, "word")
-    cache: dict = {}
-
-    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if "m" not in cache:
-            cache["m"] = Model(sent.value, *tuned.value)
-        chunk = Chunk(texts["text"])
-        counts = dict(zip(map(bytes, known["word"]), known["c"].tolist()))
-        c = np.fromiter((counts[w] for w in chunk.words), np.float64, len(chunk.words))
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        size = np.array([1 if w == END else len(w) + 1 for w in chunk.words])
-        per = lambda x: np.add.reduceat(x[chunk.tokens], chunk.starts) if len(chunk.lengths) else np.zeros(0)
-        bits, n_bytes = -cache["m"].score(chunk), per(size)
-        return pd.DataFrame({"doc_id": texts["doc_id"], "held_out": texts["fold"] == 0, "n_tokens": chunk.lengths, "n_known": per((c > 0).astype(np.int64)), "train_tokens": n, "base_score": per(base), "score": -bits * math.log10(2), "n_bytes": n_bytes, "bits_per_byte": bits / n_bytes})
-
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    chars = docs.select(F.sum(F.length("text"))).first()[0] or 0
+    n_chunks = max(1, math.ceil(chars / chunk_chars))
+    word_parts = max(1, n_chunks // 8)
+    rows = "kind int, chunk int, p int, data binary"
+    h = F.xxhash64("doc_id", "text")
+    dealt = docs.select("doc_id", "text", _fold(F.col("doc_id")).cast("int").alias("fold"), h.alias("h"), F.pmod(F.shiftright(h, 7), F.lit(n_chunks)).cast("int").alias("chunk"), F.lit(1).cast("long").alias("copies"))
+    dealt = dealt.mapInPandas(_once, dealt.schema)
+    begun = written(dealt.groupBy("chunk").applyInPandas(lambda pdf: first_pass(pdf, word_parts), rows), "lm-begun")
+
+    words = begun.filter("kind = 1")
+    sums = words.groupBy("p").applyInPandas(count_words, "p int, tokens long, words long, sizes binary").collect()
+    n, v = sum(r["tokens"] for r in sums), sum(r["words"] for r in sums)
+    sizes = np.zeros((word_parts, CLASSES), np.int64)
+    for r in sums:
+        sizes[r["p"]] = np.frombuffer(r["sizes"], np.int64)
+    flat = sizes.T.ravel()
+    starts = (np.cumsum(flat) - flat).reshape(CLASSES, word_parts)
+    places = written(words.groupBy("p").applyInPandas(lambda pdf: place_words(pdf, starts[:, int(pdf["p"].iloc[0])]), rows), "lm-places")
+
+    known = begun.filter("kind = 0").union(places)
+    keys = known.groupBy("chunk").applyInPandas(lambda pdf: second_pass(pdf, n_chunks), rows)
+    states = keys.groupBy("p").applyInPandas(third_pass, rows)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(score, schema)
+    return known.union(states).groupBy("chunk").applyInPandas(lambda pdf: score_chunk(pdf, n_chunks, n, v), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
