@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -64,3 +65,11 @@ def packed(rows: DataFrame, kinds: dict) -> list[np.ndarray]:
 
     found = rows.select(*kinds).mapInPandas(run, ", ".join(f"`{c}` binary" for c in kinds)).collect()
     return [np.frombuffer(b"".join(r[c] for r in found), k) for c, k in kinds.items()]
+
+
+def extended(src: DataFrame, added: str) -> str:
+    """The schema of src's columns and those added; a column of src under an added name is an error."""
+    names = [c.split()[0] for c in re.sub(r"<[^()]*>", "", added).split(", ")]
+    if clash := sorted({c.lower() for c in src.columns} & {c.lower() for c in names}):
+        raise ValueError(f"columns {clash} have names that the result needs; rename them first")
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields), added])

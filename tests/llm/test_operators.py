@@ -1,6 +1,7 @@
 """Each training-data operator against a brute-force version, and on awkward rows."""
 
 import hashlib
+import html
 import re
 from collections import Counter
 
@@ -312,6 +313,46 @@ def test_html(spark):
     assert html_text.query(empty(df)).count() == 0
 
 
+def article_of(page):
+    """What lies between article tags, by patterns alone."""
+    inner = re.search(r"(?s)<article[^>]*>(.*)</article>", page)[1]
+    parts = re.split(r"</?(?:p|h1|ul|li|div|article)\b[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in parts]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_html_all_pages():
+    import pyarrow.parquet as pq
+
+    pages = [x for x in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist() if x]
+    assert all(html_text.main_text(x) == article_of(x) for x in pages)
+
+
+def test_html_density_decides(monkeypatch):
+    """Pages without landmarks, class names or article: the text is found by density alone, and not found without it."""
+    import pyarrow.parquet as pq
+
+    pages = [x for x in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist() if x and len(article_of(x)) > 1000]
+    bare = [re.sub(r"(</?)(?:nav|article|footer)\b", r"\1div", x.replace(' class="ad"', "")) for x in pages]
+    right = lambda: np.mean([html_text.main_text(b) == article_of(x) for b, x in zip(bare, pages)])
+    assert len(pages) > 60 and right() > 0.95
+    monkeypatch.setattr(html_text, "densities", lambda root, order: None)
+    assert right() == 0
+
+
+def test_html_marks():
+    """A mark on a paragraph or on what holds the main text says nothing; formulas are text; a marked part beside it goes."""
+    text = "".join(f"<p>Paragraph {i} of the main text, long enough to be one, with nothing else in it.</p>" for i in range(6))
+    want = re.findall(r"<p>(.*?)</p>", text)
+    get = lambda x: html_text.main_text(x).split("\n\n")
+    assert get(f"<body><form action=x>{text}<button>Go</button></form></body>") == want
+    assert get(f'<body><div class="social header"><div>{text}</div></div><div class="comments"><p>Nice one, thank you very much for that text.</p></div></body>') == want
+    assert get(f'<body><div><p class="entry-header">Top line of it all, in words.</p>{text}<p id="share-price">The price of a share was <math><mi>x</mi></math> then.</p></div></body>') == ["Top line of it all, in words.", *want, "The price of a share was x then."]
+    comments = "".join(f"<p>Reader {i} says that this is a long and good text about nothing at all.</p>" for i in range(9))
+    assert get(f'<body><div id=main><h1>Title of the page</h1>{text}<div class="comments">{comments}</div></div></body>') == ["Title of the page", *want]
+    assert get(f"<body><div><a href=1>one link</a> <a href=2>two links</a></div><h1>Title of the page</h1><div>{text}</div><div>{text}</div></body>") == ["Title of the page", *want, *want]
+
+
 # 7
 
 
