@@ -19,8 +19,8 @@ def terms(text: Column) -> Column:
 
 
 def _unit(h: Column, shift: int) -> Column:
-    """32 bits of a hash as a number between 0 and 1, never 0."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * F.lit(2.0**-32)
+    """21 bits of a hash as a number between 0 and 1, never 0."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0x1FFFFF)) + F.lit(0.5)) * F.lit(2.0**-21)
 
 
 def sample(term: Column, log_weight: Column, k: int) -> Column:
@@ -30,10 +30,10 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     equal for weights in one step, and so is the value, which depends on r, c, b and t alone: two
     texts share a sample with the probability of their generalised Jaccard similarity.
     """
-    h, g, q = F.xxhash64(term, F.lit(3 * k)), F.xxhash64(term, F.lit(3 * k + 1)), F.xxhash64(term, F.lit(3 * k + 2))
-    r = -F.ln(_unit(h, 0) * _unit(h, 32))
-    c = -F.ln(_unit(g, 0) * _unit(g, 32))
-    b = _unit(q, 0)
+    h, g = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    r = -F.ln(_unit(h, 0) * _unit(h, 21))
+    c = -F.ln(_unit(g, 0) * _unit(g, 21))
+    b = _unit(h.bitwiseXOR(F.shiftright(g, 21)), 42)
     return F.ln(c) - r * (F.floor(log_weight / r + b) - b + F.lit(1.0))
 
 
@@ -63,25 +63,39 @@ def as_text(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
+def neighbours(docs: DataFrame) -> DataFrame:
+    """(k, doc_id, n, next_k, times, last): each different row (doc_id, text) with the row that follows it by doc_id.
+
+    Of equal rows all but the last are followed by their equal, ``times`` of them in one row here; the
+    last one is followed by the next different row. Rows of one doc_id go by their hash k, null ids first.
+    """
+    ids = docs.groupBy("k", "doc_id").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
+    order = with_next(ids.select("doc_id", "k", "n", "copies"), "doc_id", "k")
+    both = F.array(F.struct(F.col("next_k"), F.lit(1).cast("long").alias("times"), F.lit(True).alias("last")), F.struct(F.col("k").alias("next_k"), (F.col("copies") - 1).alias("times"), F.lit(False).alias("last")))
+    return order.select("k", "doc_id", "n", F.explode(both).alias("x")).select("k", "doc_id", "n", "x.*").filter("times > 0")
+
+
 def query(docs: DataFrame) -> DataFrame:
-    """Every document, its edited text and the next document. doc_id must be distinct and not null; null texts are empty."""
+    """Every document, its edited text and the next document.
+
+    Null texts are empty; null and repeated ids and repeated rows keep all their rows (see neighbours);
+    an empty table gives none. Other columns are left out.
+    """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = written(docs.select("doc_id", F.length("text").cast("long").alias("n")), "fingerprint-ids")
-    if ids.isEmpty():
-        near = F.lit(None).cast("double")
-        return docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("edited_sha256"), F.lit("").alias("fingerprint"), F.lit("").alias("edited_fingerprint"), near.alias("near_edited"), near.alias("near_next"))
-    order = with_next(ids, "doc_id").select("doc_id", "n", "next_doc_id")
+    docs = docs.withColumn("k", F.xxhash64("doc_id", "text"))
+    order = written(neighbours(docs.select("k", "doc_id", F.length("text").cast("long").alias("n"))), "fingerprint-order")
     # Each document sends its neighbour before it only as many first characters as that one replaces.
-    need = order.select(F.col("next_doc_id").alias("doc_id"), F.floor(F.col("n") / 4).cast("int").alias("want"), F.col("doc_id").alias("to_doc_id"))
-    own = docs.join(need, "doc_id")
-    sent = own.select(F.col("to_doc_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("want")).alias("start"))
-    edit = docs.join(sent, "doc_id")
+    need = order.select(F.col("next_k").alias("k"), F.floor(F.col("n") / 4).cast("int").alias("want"), F.col("k").alias("to_k"), "last")
+    texts = docs.select("k", "text")
+    sent = texts.join(need, "k").select(F.col("to_k").alias("k"), "last", F.substring("text", F.lit(1), F.col("want")).alias("start")).dropDuplicates(["k", "last"])
     keep = F.length("text") - F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), keep), "start")
-    both = edit.select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text")), F.struct(F.lit(1).alias("v"), edited.alias("text")))).alias("x")).select("doc_id", "x.v", "x.text")
+    edit = texts.dropDuplicates(["k"]).join(sent, "k")
+    both = edit.select("k", "last", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text")), F.struct(F.lit(1).alias("v"), edited.alias("text")))).alias("x")).select("k", "last", "x.v", "x.text")
     both = both.withColumn("sha", F.when(F.col("v") == 1, F.sha2("text", 256))).withColumn("n_chars", F.length("text").cast("long"))
-    sigs = fingerprints(both, ["doc_id", "v", "sha", "n_chars"])
-    one = sigs.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(F.when(F.col("v") == 0, F.col("sig"))).alias("sig"), F.max(F.when(F.col("v") == 1, F.col("sig"))).alias("edited_sig"))
+    sigs = fingerprints(both, ["k", "last", "v", "sha", "n_chars"])
+    one = sigs.groupBy("k", "last").agg(F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"), F.max(F.when(F.col("v") == 0, F.col("sig"))).alias("sig"), F.max(F.when(F.col("v") == 1, F.col("sig"))).alias("edited_sig"))
     one = written(one, "fingerprints")
-    after = order.select("doc_id", F.col("next_doc_id")).join(one.select(F.col("doc_id").alias("next_doc_id"), F.col("sig").alias("next_sig")), "next_doc_id").drop("next_doc_id")
-    return one.join(after, "doc_id").select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sig")).alias("fingerprint"), as_text(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
+    after = order.join(one.filter("last").select(F.col("k").alias("next_k"), F.col("sig").alias("next_sig")), "next_k").select("k", "last", "doc_id", "times", "next_sig")
+    out = one.join(after, ["k", "last"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("sig")).alias("fingerprint"), as_text(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))

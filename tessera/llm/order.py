@@ -6,24 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import shuffle_partitions
+from tessera.llm.common import shuffle_partitions, written
 
 
-def with_next(ids: DataFrame, col: str) -> DataFrame:
-    """ids with next_<c> of every column c, from the row that follows by ``col``; after the last comes the first.
+def with_next(ids: DataFrame, *order: str) -> DataFrame:
+    """ids with next_<c> of every column c, from the row that follows by the ``order`` columns, nulls first; after the last comes the first.
 
-    Rows go to ranges between quantiles of the column, so no range grows beyond its share; only each
-    range's first row is looked at across ranges. ``col`` must be distinct and not null. A single row
-    follows itself.
+    Rows go to ranges of the order as a whole, so neither a range nor equal values of its first
+    columns meet in one task; only each range's first row is looked at across ranges. The columns
+    together must be distinct. A single row follows itself.
     """
-    n = shuffle_partitions(ids.sparkSession)
-    cuts = sorted(set(ids.stat.approxQuantile(col, [i / n for i in range(1, n)], 0.25 / n)))
-    cell = sum((F.when(F.col(col) >= F.lit(c).cast("double"), 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) <= 16 else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(col)))
-    row = F.struct(*ids.columns)
-    # On one key alone the ranges would meet at random in tasks, so the range is the partition key.
-    ids = ids.withColumn("cell", cell)
-    heads = ids.groupBy("cell").agg(F.min_by(row, col).alias("head"), F.min(F.col(col)).alias("k"))
-    by = Window.orderBy("k")
-    heads = heads.select("cell", F.coalesce(F.lead("head").over(by), F.first("head").over(by)).alias("after"))
-    nxt = ids.withColumn("follows", F.lead(row).over(Window.partitionBy("cell").orderBy(col))).join(heads, "cell")
-    return nxt.withColumn("follows", F.coalesce("follows", "after")).select(*[c for c in ids.columns if c != "cell"], *[F.col(f"follows.{c}").alias(f"next_{c}") for c in ids.columns if c != "cell"])
+    row, kept = F.struct(*ids.columns), ids.columns
+    by = [F.col(c).asc_nulls_first() for c in order]
+    ranged = written(ids.repartitionByRange(shuffle_partitions(ids.sparkSession), *by).withColumn("cell", F.spark_partition_id()), "ranges")
+    heads = ranged.groupBy("cell").agg(F.min(F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order], row.alias("row"))).alias("m")).select("cell", F.col("m.row").alias("head"))
+    # One row a range.
+    over = Window.orderBy("cell")
+    heads = heads.select("cell", F.coalesce(F.lead("head").over(over), F.first("head").over(over)).alias("after"))
+    nxt = ranged.withColumn("follows", F.lead(row).over(Window.partitionBy("cell").orderBy(*by))).join(heads, "cell")
+    nxt = nxt.withColumn("follows", F.coalesce("follows", "after"))
+    return nxt.select(*kept, *[F.col(f"follows.{c}").alias(f"next_{c}") for c in kept])

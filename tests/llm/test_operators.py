@@ -237,11 +237,23 @@ def test_fingerprints(spark, docs):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_fingerprints_of_repeated_rows(spark):
+    """Null and repeated ids, equal rows: every row stays, and equal rows follow each other."""
+    rows = [(None, "a b c d"), (None, "a b c d"), (1, "x y z w v"), (1, "other text of one id"), (1, "other text of one id"), (1, "other text of one id"), (2, None), (None, "e f g h")]
+    got = [r.asDict() for r in fingerprint.query(spark.createDataFrame([(*x, "n") for x in rows], "doc_id long, text string, n string")).collect()]
+    assert Counter((g["doc_id"], g["n_chars"]) for g in got) == Counter((i, len(t or "")) for i, t in rows)
+    same = [g for g in got if g["n_chars"] == 20]
+    assert [g["near_next"] == 1 for g in same].count(True) >= 2
+    assert sum(g["edited_sha256"] == hashlib.sha256(("other text of o" + "other").encode()).hexdigest() for g in same) == 2
+
+
 def test_with_next(spark):
-    ids = spark.createDataFrame([(int(i) ** 3 - 5, i) for i in np.random.default_rng(0).permutation(200).tolist()], "k long, x long")
-    rows = {r["k"]: r["next_k"] for r in order.with_next(ids, "k").collect()}
-    s = sorted(rows)
-    assert rows == {a: b for a, b in zip(s, s[1:] + s[:1])}
+    values = [(int(i) ** 3 - 5, i) for i in np.random.default_rng(0).permutation(200).tolist()] + [(7, 900 + i) for i in range(60)] + [(None, 5), (None, 6)]
+    ids = spark.createDataFrame(values, "k long, x long")
+    rows = {(r["k"], r["x"]): (r["next_k"], r["next_x"]) for r in order.with_next(ids, "k", "x").collect()}
+    s = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert rows == {a: b for a, b in zip(s, s[1:] + s[:1])} and len(rows) == 262
+    assert order.with_next(ids.filter("false"), "k", "x").count() == 0
 
 
 # 4
