@@ -67,9 +67,12 @@ def packed(rows: DataFrame, kinds: dict) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(r[c] for r in found), k) for c, k in kinds.items()]
 
 
-def extended(src: DataFrame, added: str) -> str:
-    """The schema of src's columns and those added; a column of src under an added name is an error."""
-    names = [c.split()[0] for c in re.sub(r"<[^()]*>", "", added).split(", ")]
-    if clash := sorted({c.lower() for c in src.columns} & {c.lower() for c in names}):
-        raise ValueError(f"columns {clash} have names that the result needs; rename them first")
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields), added])
+def spared(keep, added: str) -> list[str]:
+    """The columns to keep but those that have the name of an added one, which gives its place to that."""
+    names = {c.split()[0].lower() for c in re.sub(r"<[^()]*>", "", added).split(", ")}
+    return [c for c in keep if c.lower() not in names]
+
+
+def fields(src: DataFrame, added: str = "") -> str:
+    """The schema of src's columns and those added."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields), *([added] if added else [])])

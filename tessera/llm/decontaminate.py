@@ -1,4 +1,9 @@
-"""Benchmark passages in training shards, found by an FM-index over each shard's words."""
+"""Benchmark passages in training shards, found by an FM-index over each shard's words.
+
+The index is over what can hold a phrase: words of no test item are one separator, and so are runs of
+the others that are shorter than the shortest phrase. This drops no occurrence, so counts, places and
+spans are those of an index over all words of the shard.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +13,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import fields, spared
+
 #: ASCII letters and digits and every byte above ASCII make words; A-Z count as a-z.
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: Words of test items that may be sent to every task.
-MOST_WORDS = 20_000_000
+#: Characters of test items that are sent to every task at once; more are searched in several rounds.
+MOST_CHARS = 40_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -98,7 +105,8 @@ class FMIndex:
         suffixes = suffix_array(seq)
         self.wave = WaveletMatrix(seq[suffixes - 1].astype(np.int32), max(1, int(symbols - 1).bit_length()))
         self.first = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=symbols))))
-        self.marked = np.where(suffixes % every == 0, suffixes, -1)
+        kept = suffixes % every == 0
+        self.marked, self.before, self.sampled = kept, np.cumsum(kept, dtype=np.int32), suffixes[kept].astype(np.int32)
         self.n = len(seq)
 
     def find(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +121,8 @@ class FMIndex:
         at, steps, out = rows.copy(), np.zeros_like(rows), np.full(len(rows), -1, np.int64)
         todo = np.arange(len(rows))
         while len(todo):
-            known = self.marked[at[todo]]
-            hit = known >= 0
-            out[todo[hit]] = known[hit] + steps[todo[hit]]
+            hit = self.marked[at[todo]]
+            out[todo[hit]] = self.sampled[self.before[at[todo[hit]]] - 1] + steps[todo[hit]]
             todo = todo[~hit]
             if len(todo):
                 c, before = self.wave.access(at[todo])
@@ -124,16 +131,11 @@ class FMIndex:
         return out
 
 
-def search_shard(docs: list[tuple], phrases: Phrases) -> list[tuple]:
-    """For (key, text) of one shard: (key, number of words, hit words, item ids, removal spans in code points).
-
-    The index holds the words of test items in place and one separator for any run of other words;
-    runs too short for the shortest phrase become separators too. So a phrase occurs in the index
-    exactly where it occurs in the shard.
-    """
+def search_shard(texts: list, phrases: Phrases) -> list[tuple]:
+    """For each text of a shard: number of words, whether each is hit (none: nothing is), and item ids."""
     parts, doc_at, word_at, counts = [], [], [], []
     ids_of = Known(phrases.ids).__getitem__
-    for d, (_, text) in enumerate(docs):
+    for d, text in enumerate(texts):
         w = words_of(text)
         counts.append(len(w))
         ids = np.fromiter(map(ids_of, w), np.int32, len(w))
@@ -155,17 +157,37 @@ def search_shard(docs: list[tuple], phrases: Phrases) -> list[tuple]:
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(phrases.windows):
             by_size.setdefault(len(w), []).append(i)
+        cover = np.zeros(len(seq) + 1, np.int64)
         for size, which in by_size.items():
             lo, hi = index.find(np.array([phrases.windows[i] for i in which], np.int64))
-            for i, a, b in zip(which, lo, hi):
-                for start in range(a, b, 1 << 20):
-                    at = index.locate(np.arange(start, min(b, start + (1 << 20))))
-                    for d, w in zip(doc_of[at].tolist(), word_of[at].tolist()):
-                        if d not in hits:
-                            hits[d] = np.zeros(counts[d], bool)
-                        hits[d][w : w + size] = True
-                        items.setdefault(d, set()).update(phrases.owners[i])
-    return [(key, counts[d], int(hits[d].sum()) if d in hits else 0, sorted(items.get(d, ()), key=str), spans_of(text, hits[d]) if d in hits else []) for d, (key, text) in enumerate(docs)]
+            some = np.flatnonzero(hi > lo)
+            for rows, owner in _batches(lo[some], hi[some], np.array(which, np.int64)[some]):
+                at = index.locate(rows)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + size, -1)
+                for pair in np.unique(doc_of[at] * np.int64(len(phrases.windows)) + owner).tolist():
+                    d, i = divmod(pair, len(phrases.windows))
+                    items.setdefault(d, set()).update(phrases.owners[i])
+        inside = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        for d, words in zip(*_split(doc_of[inside], word_of[inside])):
+            hits[d] = np.zeros(counts[d], bool)
+            hits[d][words] = True
+    return [(counts[d], hits.get(d), sorted(items.get(d, ()), key=str)) for d in range(len(texts))]
+
+
+def _batches(lo: np.ndarray, hi: np.ndarray, owner: np.ndarray, most: int = 1 << 20):
+    """Rows of all ranges with their phrase, at most ``most`` at once however often a phrase occurs."""
+    ends = np.cumsum(hi - lo)
+    for a in range(0, int(ends[-1]) if len(ends) else 0, most):
+        x = np.arange(a, min(a + most, int(ends[-1])))
+        r = np.searchsorted(ends, x, "right")
+        yield hi[r] - (ends[r] - x), owner[r]
+
+
+def _split(keys: np.ndarray, values: np.ndarray) -> tuple[list, list]:
+    """Values by rising key."""
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    return keys[np.concatenate(([0], cuts))].tolist() if len(keys) else [], np.split(values, cuts) if len(keys) else []
 
 
 _GAP = np.zeros(1, np.int32)
@@ -188,57 +210,72 @@ def cut(text: str, spans) -> str:
     return "".join(out) + text[at:]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window=10, shard_words=4_000_000, text_col="text", keep=("doc_id",), remove=False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window=10, shard_words=4_000_000, text_col="text", keep=("doc_id",), remove=False, most_chars=MOST_CHARS) -> DataFrame:
     """Words of each document that lie in an occurrence of a test window.
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter one. Each task
     indexes its documents in shards of about ``shard_words`` words and searches all windows in each;
     no row leaves its task. Adds n_words, n_hit, items (ids as strings, sorted) and spans (start, end
-    in code points); with ``remove``, text_cut is the text without its spans.
+    in code points); with ``remove``, text_cut is the text without its spans. More than ``most_chars``
+    characters of items are searched in rounds, each with a share of the items by hash.
 
-    Null and empty texts have no words; items without words have no window; an empty benchmark hits
-    nothing; repeated rows are judged alike.
+    Null and empty texts have no words; items without words have no window; items of one id are one;
+    an empty benchmark hits nothing; repeated rows are judged alike; a column in ``keep`` with the
+    name of an added one gives way to it.
     """
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").filter("text is not null")
-    bound = rows.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if bound > 2 * MOST_WORDS:
-        raise ValueError(f"{bound} characters of test items; at most {2 * MOST_WORDS} may be sent to every task")
-    items = [(r[0], r[1]) for r in rows.collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
+    chars = rows.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    rounds = max(1, -(-chars // most_chars))
+    added = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>" + ", text_cut string" * remove
+    keep = spared(keep, added)
+    schema = fields(docs.select(*keep), added)
+    src = docs.select(*keep, F.col(text_col).alias("text\0"))
+    before = fields(src, "`hit\0` binary, `items\0` array<string>")
+    for r in range(rounds):
+        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r) if rounds > 1 else rows
+        sent = docs.sparkSession.sparkContext.broadcast([(x[0], x[1]) for x in part.collect()])
+        last = r == rounds - 1
+        src = src.mapInPandas(_round(sent, window, shard_words, remove, last), schema if last else before)
+    return src
+
+
+def _round(sent, window: int, shard_words: int, remove: bool, last: bool):
     def run(batches):
-        phrases = Phrases(sent.value, window)
-        held, size = [], 0
+        phrases, held, size = Phrases(sent.value, window), [], 0
 
         def flush():
-            whole = [b for b, _ in held]
-            texts = [t for _, ts in held for t in ts]
-            found = search_shard(list(enumerate(texts)), phrases)
-            at = 0
-            for b in whole:
-                part = found[at : at + len(b)]
-                own = texts[at : at + len(b)]
-                at += len(b)
-                b["n_words"], b["n_hit"], b["items"], b["spans"] = [x[1] for x in part], [x[2] for x in part], [x[3] for x in part], [[{"start": s, "end": e} for s, e in x[4]] for x in part]
+            found = iter(search_shard([t for b in held for t in b["text\0"]], phrases))
+            for b in held:
+                out = []
+                for i in range(len(b)):
+                    n, hit, items = next(found)
+                    if "hit\0" in b and b["hit\0"].iloc[i] is not None:
+                        old = np.unpackbits(np.frombuffer(b["hit\0"].iloc[i], np.uint8), count=n).astype(bool)
+                        hit = old if hit is None else hit | old
+                        items = sorted({*items, *b["items\0"].iloc[i]}, key=str)
+                    out.append((n, hit, items))
+                texts = list(b["text\0"])
+                if not last:
+                    yield b.assign(**{"hit\0": [None if h is None else np.packbits(h).tobytes() for _, h, _ in out], "items\0": [x for _, _, x in out]})
+                    continue
+                b = b.drop(columns=[c for c in b.columns if c.endswith("\0")])
+                spans = [[] if h is None else spans_of(t, h) for t, (_, h, _) in zip(texts, out)]
+                b["n_words"], b["n_hit"], b["items"], b["spans"] = [x[0] for x in out], [0 if x[1] is None else int(x[1].sum()) for x in out], [x[2] for x in out], [[{"start": s, "end": e} for s, e in x] for x in spans]
                 if remove:
-                    b["text_cut"] = [cut(t, x[4]) if x[4] else t for t, x in zip(own, part)]
+                    b["text_cut"] = [cut(t, x) if x else t for t, x in zip(texts, spans)]
                 yield b
 
         for b in batches:
             for k in range(0, len(b), 512):
-                piece = b.iloc[k : k + 512].reset_index(drop=True)
-                texts = list(piece.pop("text_"))
-                held.append((piece, texts))
-                size += sum(len(t) for t in texts if t) // 6
+                held.append(b.iloc[k : k + 512].reset_index(drop=True))
+                size += sum(len(t) for t in held[-1]["text\0"] if t) // 6
                 if size >= shard_words:
                     yield from flush()
                     held, size = [], 0
         if held:
             yield from flush()
 
-    src = docs.select(*keep, F.col(text_col).alias("text_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>" + ", text_cut string" * remove
-    return src.mapInPandas(run, schema)
+    return run
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import extended
+from tessera.llm.common import fields, spared
 
 #: Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,7 +255,7 @@ def extract_pages(pages: DataFrame, *, html_col="html", keep=("page_id", "url"))
     """Adds text: blocks of the page's main text, joined by blank lines.
 
     Null, empty and text-free pages give an empty text. Pages are independent, so repeated rows give
-    equal texts; columns other than ``keep`` are dropped, and one of those named text is an error.
+    equal texts; columns other than ``keep`` are dropped, and so is one of those named text.
     """
 
     def run(batches):
@@ -263,8 +263,8 @@ def extract_pages(pages: DataFrame, *, html_col="html", keep=("page_id", "url"))
             b["text"] = [main_text(x) for x in b.pop("html\0")]
             yield b
 
-    kept = pages.select(*keep)
-    return pages.select(*keep, F.col(html_col).alias("html\0")).mapInPandas(run, extended(kept, "text string"))
+    keep = spared(keep, "text string")
+    return pages.select(*keep, F.col(html_col).alias("html\0")).mapInPandas(run, fields(pages.select(*keep), "text string"))
 
 
 def query(pages: DataFrame) -> DataFrame:

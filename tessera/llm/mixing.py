@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import SPACE_WORD, written
+from tessera.llm.common import SPACE_WORD, spared, written
 
 #: Ranges of the shuffle key within a source, and of the virtual finish time.
 KEY_RANGES = 1024
@@ -44,8 +44,10 @@ def mix_sources(docs: DataFrame, *, weights=(5, 2, 1), share=1.5, most=2, seed=1
 
     Null text has size 0; a null source is a source of its own; documents of no words take none;
     equal ids and repeated rows each count, ties going by id and then by row.
-    Returns the ``keep`` columns of docs, size, source_size, target, taken and the row's number ``mix_row``.
+    Returns the ``keep`` columns of docs, size, source_size, target, taken and the row's number
+    ``mix_row``; a kept column with one of these names gives way to it.
     """
+    keep = spared(keep, "size x, source_size x, target x, taken x, mix_row x")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select(F.struct(*keep).alias("mix_doc"), F.col("source").alias("mix_source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), key.alias("mix_key"), F.col("doc_id").alias("mix_id"), F.monotonically_increasing_id().alias("mix_row"))
     sized = written(sized.withColumn("key_range", (F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") / F.lit(2**32 // KEY_RANGES)).cast("int")), "mix-sizes")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import spared, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -135,9 +135,10 @@ def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), general=(1.0
     Counts cover all documents. For rare values the bits decide, and they mean the same at every size.
 
     Null texts are empty ones and have no spans; equal texts have equal spans, and each counts as a
-    document; no rows are dropped; repeated rows and null ids are rows of their own; columns in
-    ``keep`` may have any name but those added. Adds n_chars to the ``keep`` columns.
+    document; no rows are dropped; repeated rows and null ids are rows of their own; a column in
+    ``keep`` with the name of an added one gives way to it. Adds n_chars to the ``keep`` columns.
     """
+    keep = spared(keep, ", ".join(f"{c} x" for c in ("n_chars", *KINDS, "term")))
     src = docs.select(F.struct(*keep).alias("pii_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("pii_text"))
     text = F.col("pii_text")
     found = src.select("pii_doc", "pii_text", F.length(text).cast("long").alias("n_chars"), *[base_spans(text, k).alias(k) for k in KINDS])

@@ -76,6 +76,14 @@ def test_decontaminate(spark, docs):
             assert got[i]["text_cut"] == t
         else:
             assert len(decontaminate.words_of(got[i]["text_cut"])) >= n - hit - len(got[i]["spans"])
+    # In rounds, with clashing columns, and a phrase that stands at thousands of places.
+    more = spark.createDataFrame([(i, t, "x", 1) for i, t in rows] + [(500, "hot word now " * 4000, "x", 1)], "doc_id long, text string, hit string, size int")
+    hot = bench.union(spark.createDataFrame([(7, "hot word now")], "item_id long, text string"))
+    once = {r["doc_id"]: tuple(r) for r in decontaminate.decontaminate(more, hot, keep=("doc_id", "hit"), shard_words=50).collect()}
+    assert once == {r["doc_id"]: tuple(r) for r in decontaminate.decontaminate(more, hot, keep=("doc_id", "hit"), most_chars=200).collect()}
+    assert once[500][2:5] == (12000, 12000, ["7"]) and all(once[i][2:4] == brute_hits(t, items)[:2] for i, t in rows)
+    clash = decontaminate.decontaminate(docs.withColumn("n_words", F.lit("mine")), bench, keep=("doc_id", "N_words", "lang"))
+    assert clash.columns[:3] == ["doc_id", "lang", "n_words"] and {r["doc_id"]: r["n_words"] for r in clash.collect()} == {i: brute_hits(t, items)[0] for i, t in rows}
     assert decontaminate.query(empty(docs), bench).count() == 0
     assert decontaminate.query(docs, empty(bench)).filter("contaminated").count() == 0
 
