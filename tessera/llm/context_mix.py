@@ -1,18 +1,21 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-A text is its lower-cased words and one end. Every word has a code: its place in the order of the
-training texts' word counts, as a bucket of four bits and the place in it; words that training texts
-hold less than twice have place 0 and are spelled, byte by byte with a closing space. So a text is
-a row of symbols of at most eight bits. Each bit is predicted by five predictors: four take counts of
-what followed a hashed context (the symbol's own beginning with nothing else, with the word before,
-with the most frequent of the eight words before, with the two words before; or the bytes before, for
-spelled words), the fifth is the word that last followed the same two words in the same text. Their
-predictions meet in the logistic domain under weights that a gate selects; a table refines the result.
+A text is its lower-cased words and one end. Where the two words before stood in the text already, one
+bit says whether the word that followed them last follows again; a table of what happened predicts it.
+Any other word has a code: its place in the order of the training texts' word counts, as a bucket of
+four bits and the place in it; words that training texts hold less than twice have place 0 and are
+spelled, byte by byte with a closing space. So it is a row of symbols of at most eight bits. Each of
+their bits is predicted by counts of what followed three hashed contexts: the symbol's beginning alone,
+with the word before (the first symbol, if that word is among the 1,365 most frequent), and with the
+language word (the most frequent of the 32 words before); for spelled words the three and five bytes
+before, and two bytes with the language word. The predictions meet in the logistic domain under
+weights that a gate selects; a table refines the result.
 
 Counts are kept by hash of 56 bits and symbol in partitions that grow in number with the input; chunks
 of texts ask for those that they meet, and get the states of the predictors back. Rows hold packed
-arrays. Whatever depends on the training texts is a sum of whole numbers, or is learned by a chunk of
-fixed membership in a fixed order, so other partitionings and lost executors change nothing.
+arrays. All symbols that have the same contexts in a chunk are worked out once. Whatever depends on
+the training texts is a sum of whole numbers, or is learned by a chunk of fixed membership in a fixed
+order, so other partitionings and lost executors change nothing.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
-#: Characters in one chunk of texts; bits that are worked on at once; contexts; states of a context; kinds of bits.
+#: Characters in one chunk of texts; bits that are worked on at once; contexts; kinds of bits; words before that may name the language; most frequent words that are contexts.
 CHUNK_CHARS = 8_000_000
 STEP_BITS = 1_500_000
-CONTEXTS, KINDS = 4, 3
+CONTEXTS, KINDS = 3, 3
+REACH = 32
+FREQUENT = 1_365
 END = b"\n"
 #: Places of words in order of their counts: bucket j holds 4^j of them; rarer words are spelled.
 BUCKETS = 14
@@ -59,20 +64,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def pack(*arrays) -> bytes:
     raw = pickle.dumps(arrays, 5)
-    return pa.compress(raw, "zstd", asbytes=True) + len(raw).to_bytes(8, "little")
+    return _CODEC.compress(raw, asbytes=True) + len(raw).to_bytes(8, "little")
 
 
 def unpack(data: bytes) -> tuple:
-    return pickle.loads(pa.decompress(data[:-8], int.from_bytes(data[-8:], "little"), "zstd", asbytes=True))
+    return pickle.loads(_CODEC.decompress(data[:-8], int.from_bytes(data[-8:], "little"), asbytes=True))
+
+
+_CODEC = pa.Codec("zstd", compression_level=3)
 
 
 def planes(x: np.ndarray) -> np.ndarray:
     """A sorted array as differences, byte by byte, which compress well."""
-    return np.ascontiguousarray(np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+    return by_byte(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def by_byte(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
+
+
+def from_bytes(p: np.ndarray, kind) -> np.ndarray:
+    return np.ascontiguousarray(p.T).view(kind).ravel()
 
 
 def from_planes(p: np.ndarray, kind) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(p.T).view(kind).ravel(), dtype=kind)
+    return np.cumsum(from_bytes(p, kind), dtype=kind)
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys, and each key's number among them."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    new = np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])) if len(keys) else np.zeros(0, bool)
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return sorted_keys[new], number
 
 
 # Chunks: texts as numbers of words.
@@ -84,53 +110,70 @@ class Ids(dict):
         return n
 
 
-class Chunk:
-    """Tokens of all texts in a row, ends included, as numbers of words in order of partition and hash."""
+def dealt(words: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and partitions of words in order of partition and hash, and the words' numbers in that order."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    part = (h >> np.uint64(40)).astype(np.int64) % parts
+    order = np.lexsort((h, part))
+    return h[order], part[order], order
 
-    def __init__(self, texts, parts: int):
-        ids, rows = Ids({END: 0}), []
-        end = np.zeros(1, np.int32)
-        for t in texts:
-            w = (t or "").encode("utf-8", "surrogatepass").lower().split()
-            rows += [np.fromiter(map(ids.__getitem__, w), np.int32, len(w)), end]
-        self.lengths = np.array([len(r) + 1 for r in rows[::2]], np.int64)
-        words = list(ids)
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        self.part = (h >> np.uint64(40)).astype(np.int64) % parts
-        order = np.lexsort((h, self.part))
-        place = np.empty(len(words), np.int32)
-        place[order] = np.arange(len(words))
-        self.tokens = place[np.concatenate(rows)] if rows else np.zeros(0, np.int32)
-        self.words, self.hashes, self.part = [words[i] for i in order], h[order], self.part[order]
+
+def packed_texts(batches):
+    """The rows of one task, by chunk; equal rows become one with their number."""
+    for b in batches:
+        b = b.assign(copies=b.groupby("h")["copies"].transform("sum")).drop_duplicates("h")
+        for chunk, part in b.groupby("chunk"):
+            yield pd.DataFrame({"kind": [0], "chunk": [chunk], "p": [-1], "data": [pack(*(part[c].tolist() for c in ("doc_id", "text", "fold", "h", "copies")))]})
 
 
 def first_pass(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
     """A chunk's body and, for each partition of words, the hashes and training counts of its words."""
-    pdf = pdf.sort_values(["h", "doc_id"], kind="stable").reset_index(drop=True)
-    # Rows that are equal are scored once.
-    again = pdf.duplicated(["h", "doc_id", "text"])
-    copies = pdf.groupby((~again).cumsum())["copies"].sum().to_numpy(np.int64)
-    pdf = pdf[~again]
-    chunk = Chunk(pdf["text"], parts)
-    held = pdf["fold"].to_numpy() == 0
-    times = np.repeat(np.where(held, 0, copies), chunk.lengths)
-    counts = np.bincount(chunk.tokens, times, len(chunk.words)).astype(np.int64)
-    number = int(pdf["chunk"].iloc[0])
-    ids = [0 if x is None else int(x) for x in pdf["doc_id"]]
-    body = pack(chunk.tokens, chunk.lengths.astype(np.int32), b" ".join(chunk.words), np.array(ids, np.int64), pdf["doc_id"].isna().to_numpy(), held, copies)
-    rows = [(0, number, -1, body)]
-    for p in np.unique(chunk.part):
-        a, b = np.searchsorted(chunk.part, (p, p + 1))
-        rows.append((1, number, int(p), pack(planes(chunk.hashes[a:b]), counts[a:b])))
-    return pd.DataFrame(rows, columns=["kind", "chunk", "p", "data"])
+    number, rows = int(pdf["chunk"].iloc[0]), {}
+    for data in pdf["data"]:
+        for doc_id, text, fold, h, copies in zip(*unpack(data)):
+            if (h, doc_id) in rows:
+                rows[h, doc_id][-1] += copies  # rows that are equal are scored once
+            else:
+                rows[h, doc_id] = [doc_id, text, fold, copies]
+    rows = [rows[k] for k in sorted(rows, key=lambda k: (k[0], k[1] is None, k[1] or ""))]
+    ids, parts_of = Ids({END: 0}), []
+    for _, text, _, _ in rows:
+        w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        parts_of += [np.fromiter(map(ids.__getitem__, w), np.int32, len(w)), np.zeros(1, np.int32)]
+    tokens, words = np.concatenate(parts_of), list(ids)
+    lengths = np.array([len(x) + 1 for x in parts_of[::2]], np.int32)
+    # Frequent words first: small numbers are short.
+    order = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+    place = np.empty(len(words), np.int32)
+    place[order] = np.arange(len(words), dtype=np.int32)
+    tokens, words = place[tokens], [words[i] for i in order]
+    held, copies = np.array([r[2] == 0 for r in rows]), np.array([r[3] for r in rows], np.int64)
+    counts = np.bincount(tokens, np.repeat(np.where(held, 0, copies), lengths), len(words)).astype(np.int64)
+    null = np.array([r[0] is None for r in rows])
+    out = [(0, number, -1, pack(by_byte(tokens), lengths, b" ".join(words), np.array([int(r[0] or 0) for r in rows], np.int64), null, held, copies))]
+    h, part, order = dealt(words, parts)
+    for p in np.unique(part):
+        a, b = np.searchsorted(part, (p, p + 1))
+        out.append((1, number, int(p), pack(planes(h[a:b]), counts[order[a:b]].astype(np.uint32))))
+    return pd.DataFrame(out, columns=["kind", "chunk", "p", "data"])
 
 
 class Body:
-    def __init__(self, data: bytes):
-        self.tokens, self.lengths, words, self.ids, self.null, self.held, self.copies = unpack(data)
-        self.words = words.split(b" ")
-        self.lengths = self.lengths.astype(np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)
+    """A chunk's texts as numbers of words, and places and counts of its words over all training texts."""
+
+    def __init__(self, pdf: pd.DataFrame, places: Places):
+        tokens, lengths, words, self.ids, self.null, self.held, self.copies = unpack(pdf.loc[pdf["kind"] == 0, "data"].iloc[0])
+        self.words, self.tokens, self.lengths = words.split(b" "), from_bytes(tokens, np.int32), lengths.astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.times = np.repeat(np.where(self.held, 0, self.copies), self.lengths)
+        order, own, counts = dealt(self.words, places.parts)[2], [], []
+        for p, data in sorted(zip(pdf["p"], pdf["data"]), key=lambda x: x[0]):
+            if p >= 0:
+                n, c = (from_bytes(x, np.uint32).astype(np.int64) for x in unpack(data))
+                own.append(places.of(p, n, c))
+                counts.append(c)
+        self.place, self.counts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        self.place[order], self.counts[order] = np.concatenate(own), np.concatenate(counts)
 
 
 # Words: counts over all training texts, and places in their order.
@@ -149,52 +192,68 @@ def _class(c: np.ndarray) -> np.ndarray:
     return CLASSES - 1 - np.minimum((4 * np.log2(np.maximum(c, 1))).astype(np.int64), CLASSES - 1)
 
 
-def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    every, c, _ = _merged(pdf)
-    sizes = np.bincount(_class(c[c > 1]), minlength=CLASSES).astype(np.int64)
-    return pd.DataFrame({"p": pdf["p"].iloc[:1], "tokens": [int(c.sum())], "words": [int((c > 0).sum())], "sizes": [sizes.tobytes()]})
-
+def place_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk, counts of its words in this partition and places among the words of their class here (0 for words that are spelled), from 1.
 
-def place_words(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-    """For each chunk, places and counts of its words in this partition. starts: the first place of each class here."""
+    One more row has the partition's tokens, words and sizes of classes.
+    """
     every, c, own = _merged(pdf)
+    p = int(pdf["p"].iloc[0])
     known = np.flatnonzero(c > 1)
     known = known[np.lexsort((every[known], -c[known]))]
     kind = _class(c[known])
     place = np.zeros(len(every), np.int64)
-    place[known] = 1 + starts[kind] + np.arange(len(known)) - np.searchsorted(kind, kind, "left")
-    place[place >= FIRST[BUCKETS]] = 0
-    rows = []
+    place[known] = 1 + np.arange(len(known)) - np.searchsorted(kind, kind, "left")
+    rows = [(5, -1, p, pack(int(c.sum()), int((c > 0).sum()), np.bincount(kind, minlength=CLASSES).astype(np.int64)))]
     for chunk, h in zip(pdf["chunk"], own):
         at = np.searchsorted(every, h)
-        rows.append((2, chunk, int(pdf["p"].iloc[0]), pack(place[at].astype(np.uint32), c[at])))
+        rows.append((2, chunk, p, pack(by_byte(place[at].astype(np.uint32)), by_byte(c[at].astype(np.uint32)))))
     return pd.DataFrame(rows, columns=["kind", "chunk", "p", "data"])
 
 
+class Places:
+    """Sums over all partitions of words: tokens, different words, and the first place of each class in each partition."""
+
+    def __init__(self, rows: list):
+        self.parts = len(rows)
+        self.tokens, self.words, sizes = 0, 0, np.zeros((self.parts, CLASSES), np.int64)
+        for p, data in rows:
+            tokens, words, sizes[p] = unpack(data)
+            self.tokens, self.words = self.tokens + tokens, self.words + words
+        flat = sizes.T.ravel()
+        self.starts = (np.cumsum(flat) - flat).reshape(CLASSES, self.parts)
+
+    def of(self, p: int, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        out = np.where(own > 0, own + self.starts[_class(counts), p], 0)
+        return np.where(out < FIRST[BUCKETS], out, 0)
+
+
 # Symbols and their contexts.
 
 
 class Codes:
-    """Symbols of different words: value (in the highest of eight bits), bits, first of the word, and what the contexts hold of the word itself."""
+    """Codes of different words: the first symbol of each, and all further symbols in a row.
+
+    A symbol is a value in the highest of eight bits and a number of bits.
+    """
 
     def __init__(self, words: list[bytes], place: np.ndarray):
         j = np.searchsorted(FIRST, place, "right") - 1
         index, rest = place - FIRST[j], 2 * j
         top = np.minimum(rest, 4)
-        parts = [(np.arange(len(place)), (j << 4) | ((index >> (rest - top)) << (4 - top)), 4 + top, np.zeros(len(place), np.uint64), np.zeros(len(place), np.int64))]
-        inner, done, at = _mix(((j << 4) | (index >> (rest - top))).astype(np.uint64) + np.uint64(1)), top, 1
+        self.value, self.bits = ((j << 4) | ((index >> (rest - top)) << (4 - top))).astype(np.uint8), (4 + top).astype(np.uint8)
+        inner, done, step, parts = _mix(((j << 4) | (index >> (rest - top))).astype(np.uint64) + np.uint64(1)), top, 1, []
         while (more := np.flatnonzero(rest > done)).size:
             n = np.minimum(rest - done, 8)
             value = (index >> (rest - done - n)) & ((1 << n) - 1)
-            parts.append((more, (value << (8 - n))[more], n[more], inner[more], np.full(len(more), at)))
-            inner, done, at = _mix(inner * _ODD + value.astype(np.uint64) + np.uint64(7)), done + n, at + 1
+            none = np.zeros(len(more), np.uint64)
+            parts.append((more, np.full(len(more), step), (value << (8 - n))[more], n[more], inner[more], none, none))
+            inner, done, step = _mix(inner * _ODD + value.astype(np.uint64) + np.uint64(7)), done + n, step + 1
         spelled = np.flatnonzero(place == 0)
         size = np.fromiter((len(words[i]) + 1 for i in spelled), np.int64, len(spelled))
         flat = np.frombuffer(b"".join(words[i] + b" " for i in spelled), np.uint8)
-        owner, begin = np.repeat(spelled, size), np.repeat(np.cumsum(size) - size, size)
-        where = np.arange(len(flat)) - begin
-        b = flat.astype(np.uint64) + np.uint64(1)
-        back = []
+        where = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        b, back = flat.astype(np.uint64) + np.uint64(1), []
         for k in range(1, 6):
             x = np.zeros(len(flat), np.uint64)
             x[k:] = b[:-k]
@@ -203,107 +262,109 @@ class Codes:
         two = back[0] * np.uint64(512) + back[1]
         three = two * np.uint64(512) + back[2]
         five = (three * np.uint64(512) + back[3]) * np.uint64(512) + back[4]
-        parts.append((owner, flat.astype(np.int64), np.full(len(flat), 8), two, 1 + where))
-        word, self.value, self.bits, self.inner, step = (np.concatenate(x) for x in zip(*parts))
-        self.spelled = np.concatenate([np.zeros(len(x[0]), bool) for x in parts[:-1]] + [np.ones(len(flat), bool)])
-        n = len(word) - len(flat)
-        self.three, self.five = (np.concatenate((np.zeros(n, np.uint64), x)) for x in (three, five))
+        parts.append((np.repeat(spelled, size), 1 + where, flat.astype(np.int64), np.full(len(flat), 8), three, five, two))
+        word, step, value, bits, *own = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((step, word))
-        self.value, self.bits, self.inner, self.spelled, self.three, self.five = (x[order] for x in (self.value.astype(np.uint8), self.bits.astype(np.uint8), self.inner, self.spelled, self.three, self.five))
-        self.first = step[order] == 0
+        #: Further symbols: value, bits, and what each context holds of the word itself (five bytes: 0 for coded words).
+        self.more_value, self.more_bits = value.astype(np.uint8)[order], bits.astype(np.uint8)[order]
+        self.more_own = [x[order] for x in own]
         self.count = np.bincount(word, minlength=len(words))
         self.start = np.cumsum(self.count) - self.count
+        self.spelled = place == 0
 
 
 class Symbols:
-    """All symbols of a chunk in order, with keys (context hash and value) for each context."""
-
-    def __init__(self, body: Body, place: np.ndarray):
-        t = body.tokens
-        self.codes = codes = Codes(body.words, place.astype(np.int64))
-        n = codes.count[t]
-        self.token = np.repeat(np.arange(len(t), dtype=np.int32), n)
-        begin = np.cumsum(n) - n
-        self.at = (codes.start[t] - begin)[self.token] + np.arange(len(self.token))
-        self.begin = begin
-        self.bits, self.value = codes.bits[self.at], codes.value[self.at]
-        where = np.arange(len(t)) - np.repeat(body.starts, body.lengths)
-        r = place[t].astype(np.int64)
+    """Different symbols of a chunk with their contexts, and the numbers of those that each token is made of.
+
+    Rows are first symbols, one for each different (language word, word before, symbol), then all
+    further symbols of each different (language word, word).
+    """
+
+    def __init__(self, body: Body):
+        t, place = body.tokens, body.place
+        codes = Codes(body.words, place)
+        self.where = where = np.arange(len(t)) - np.repeat(body.starts, body.lengths)
+        r, none = place[t], np.int64(1) << 29
         end = body.words.index(END)
-        far = 1 << 40
 
-        def before(x, by, none):
-            out = np.full(len(x), none, x.dtype)
-            out[by:] = x[:-by] if by else x
+        def before(x, by):
+            out = np.full(len(x), none)
+            out[by:] = x[:-by]
             out[where < by] = none
             return out
 
-        one, two = before(r, 1, far), before(r, 2, far)
-        rare = np.where((r == 0) | (t == end), far, r)
-        topic = np.full(len(t), far)
-        for k in range(1, 9):
-            np.minimum(topic, before(rare, k, far), out=topic)
+        one = before(r, 1)
+        one[one > FREQUENT] = 0
+        # The least place of the words before, by doubling the reach.
+        language, by = before(np.where((r == 0) | (t == end), none, r), 1), 1
+        while by < REACH:
+            np.minimum(language, before(language, by), out=language)
+            by *= 2
+        self.guess = self._guesses(body)
+        self.hit = self.guess == t
+        coded = ~self.hit
+        # First symbols.
+        first, self.first = numbered((language << 34) | (one.clip(0, FREQUENT + 1) << 12) | (codes.bits[t].astype(np.int64) << 8) | codes.value[t])
+        # Further ones.
+        has = codes.count[t] > 0
+        pairs, number = numbered((language[has] << 31) | t[has])
+        n = codes.count[pairs & ((1 << 31) - 1)]
+        self.more = np.full(len(t), -1, np.int64)
+        self.more[has] = number
+        word = pairs & ((1 << 31) - 1)
+        at = np.repeat(codes.start[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        owner, word = np.repeat(np.arange(len(pairs)), n), np.repeat(word, n)
+        self.more_start = len(first) + np.cumsum(n) - n
+        self.value = np.concatenate((first & 255, codes.more_value[at])).astype(np.uint8)
+        self.bits = np.concatenate((first >> 8 & 15, codes.more_bits[at])).astype(np.uint8)
+        spelled = codes.spelled[word]
+        self.kind = np.concatenate((np.zeros(len(first), np.int32), np.where(spelled, 2, 1).astype(np.int32)))
+        times = np.where(coded, body.times, 0)
+        seen = np.bincount(self.more[has], times[has], len(pairs)) if len(pairs) else np.zeros(0)
+        self.times = np.concatenate((np.bincount(self.first, times, len(first)), seen[owner])).astype(np.int64)
         u = lambda x: x.astype(np.uint64)
-        self.outer = [np.zeros(len(t), np.uint64), _mix(u(one) + np.uint64(3)), _mix(u(topic) * _ODD + np.uint64(5)), _mix(_mix(u(one) + np.uint64(11)) + u(two))]
-        self.match = self._match(body, one, two, where)
-
-    def _match(self, body: Body, one, two, where) -> np.ndarray:
+        tongue = np.concatenate((first >> 34, (pairs >> 31)[owner]))
+        own = [np.concatenate((np.zeros(len(first), np.uint64), x[at])) for x in codes.more_own]
+        side = np.where(self.kind == 2, np.uint64(1 << 40), np.uint64(0))
+        prev = np.concatenate((u((first >> 12) & ((1 << 22) - 1)) + np.uint64(1), np.zeros(len(at), np.uint64)))
+        #: Context hashes; 0 for none.
+        self.contexts = [_mix(own[0] * _ODD + side + np.uint64(11)), np.where(prev > 0, _mix(prev + np.uint64(13)), np.where(self.kind == 2, _mix(own[1] * _ODD + np.uint64(17)), np.uint64(0))), _mix(np.where(self.kind == 2, own[2], own[0]) * _ODD + _mix(u(tongue) + side + np.uint64(19)))]
+
+    def _guesses(self, body: Body) -> np.ndarray:
         """For each token, the word that followed the same two words last in this text, or -1."""
+        t, where = body.tokens.astype(np.uint64), self.where
         doc = np.repeat(np.arange(len(body.lengths), dtype=np.uint64), body.lengths)
-        h = _mix(_mix(one.astype(np.uint64)) + two.astype(np.uint64) * _ODD + doc * _EVEN)
+        h = doc * _EVEN
+        h[2:] += _mix(t[1:-1] + np.uint64(3)) * _ODD + t[:-2]
+        h = _mix(h)
         order = np.argsort(h, kind="stable")
-        same = np.concatenate(([False], h[order[1:]] == h[order[:-1]])) if len(h) else np.zeros(0, bool)
+        same = h[order[1:]] == h[order[:-1]]
         out = np.full(len(h), -1, np.int64)
-        out[order[1:][same[1:]]] = body.tokens[order[:-1][same[1:]]]
-        out[where < 2] = -1
+        out[order[1:][same]] = body.tokens[order[:-1][same]]
+        # At a text's second word the hash has words of the text before; nothing is guessed there.
+        out[where < 3] = -1
         return out
 
     def keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols that have a context k, and their keys."""
-        c = self.codes
-        at = np.flatnonzero(c.spelled[self.at] | c.first[self.at]) if k == 3 else np.arange(len(self.at))
-        x, spelled = self.at[at], c.spelled[self.at[at]]
-        own = (c.three, c.five, c.inner, c.inner)[k][x]
-        if k == 3:
-            # Spelled: all bytes so far would be one context a word; the last two with the place of the word before do.
-            context = np.where(spelled, _mix(own + np.uint64(99)) + self.outer[1][self.token[at]], self.outer[3][self.token[at]])
-        else:
-            context = np.where(spelled, own * _ODD + (self.outer[2][self.token[at]] if k == 2 else np.uint64(0)), c.inner[x] * _ODD + self.outer[k][self.token[at]])
-        context = _mix(context + spelled.astype(np.uint64) * np.uint64(1 << 17) + np.uint64(k * 1_000_003))
-        return at, (context & ~np.uint64(255)) | self.value[at].astype(np.uint64)
-
-    def guessed(self) -> np.ndarray:
-        """For each symbol: bits that the fifth predictor gets right, plus 100 if it then errs in this symbol; -1 without a guess."""
-        c, guess = self.codes, self.match[self.token]
-        step = np.arange(len(self.token)) - self.begin[self.token]
-        has = (guess >= 0) & (step < c.count[np.maximum(guess, 0)])
-        other = (c.start[np.maximum(guess, 0)] + step)[has]
-        diff = np.full(len(has), 255, np.int64)
-        diff[has] = c.value[other] ^ self.value[has]
-        diff[has] |= (c.bits[other] != self.bits[has]).astype(np.int64)
-        right = np.where(diff == 0, 8, 8 - np.ceil(np.log2(diff + 1)).astype(np.int64))
-        bad = np.where(diff != 0, step, 1 << 20)
-        first = np.minimum.reduceat(bad, self.begin)[self.token] if len(bad) else bad
-        out = np.where(diff == 0, 8, 100 + right)
-        return np.where(has & (step <= first), out, -1).astype(np.int16)
-
-
-def second_pass(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+        """Rows that have a context k, and their keys."""
+        at = np.flatnonzero(self.contexts[k])
+        return at, (self.contexts[k][at] & ~np.uint64(255)) | self.value[at]
+
+
+def second_pass(pdf: pd.DataFrame, places: Places, parts: int) -> pd.DataFrame:
     """Keys of a chunk's contexts with their training counts, dealt to partitions by hash."""
-    body, place, _ = opened(pdf)
-    s = Symbols(body, place)
-    times = np.repeat(np.where(body.held, 0, body.copies), body.lengths)[s.token]
+    s = Symbols(Body(pdf, places))
     number, rows = int(pdf["chunk"].iloc[0]), []
     for k in range(CONTEXTS):
         at, keys = s.keys(k)
-        every = np.unique(keys)
-        counts = np.bincount(np.searchsorted(every, keys), times[at], len(every)).astype(np.int64)
+        every, place = numbered(keys)
+        counts = np.bincount(place, s.times[at], len(every)).astype(np.uint32)
         part = _part(every, parts)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(edges)):
             here = order[edges[p] : edges[p + 1]]
-            rows.append((3, number, int(p * CONTEXTS + k), pack(planes(every[here]), counts[here].astype(np.uint32))))
+            rows.append((3, number, int(p * CONTEXTS + k), pack(planes(every[here]), by_byte(counts[here]))))
     return pd.DataFrame(rows, columns=["kind", "chunk", "p", "data"])
 
 
@@ -312,13 +373,6 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((_mix(keys >> np.uint64(8)) >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
 
 
-def opened(pdf: pd.DataFrame) -> tuple[Body, np.ndarray, np.ndarray]:
-    """A chunk's body, and places and counts of its words."""
-    body = Body(pdf.loc[pdf["kind"] == 0, "data"].iloc[0])
-    got = [unpack(x) for x in pdf[pdf["kind"] == 2].sort_values("p")["data"]]
-    return body, np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-
-
 # States of contexts.
 
 
@@ -370,14 +424,17 @@ def path_states(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def third_pass(pdf: pd.DataFrame) -> pd.DataFrame:
     """Counts of one partition's keys over all chunks; each chunk gets the states of its own."""
-    own = []
+    own, held, waiting = [], [], 0
     every, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for data in pdf["data"]:
         p, c = unpack(data)
         own.append(p)
-        keys, counts = np.concatenate((every, from_planes(p, np.uint64))), np.concatenate((total, c))
-        every, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, counts, len(every)).astype(np.int64)
+        held.append((from_planes(p, np.uint64), from_bytes(c, np.uint32)))
+        waiting += len(held[-1][0])
+        if waiting > max(1_000_000, len(every)) or len(own) == len(pdf):
+            every, at = numbered(np.concatenate([every, *(k for k, _ in held)]))
+            total = np.bincount(at, np.concatenate([total, *(c for _, c in held)]), len(every)).astype(np.int64)
+            held, waiting = [], 0
     full, less = path_states(every, total)
     rows = []
     for chunk, p, keys in zip(pdf["chunk"], pdf["p"], own):
@@ -399,20 +456,16 @@ class Mixer:
 
     def __init__(self):
         self.happened = np.zeros((CONTEXTS * KINDS * STATES, 2))
-        self.cells = np.zeros((N_BINS**CONTEXTS * 3 * KINDS, 2))
+        self.cells = np.zeros((N_BINS**CONTEXTS * KINDS, 2))
 
-    def see(self, states: list[np.ndarray], guess: np.ndarray, kind: np.ndarray, bit: np.ndarray, n: np.ndarray) -> None:
-        """Takes in bits: states by context, guess (0 none, 1, 2), kind, the bit and how many such texts there are."""
+    def see(self, states: list[np.ndarray], kind: np.ndarray, bit: np.ndarray, n: np.ndarray) -> None:
+        """Takes in bits: states by context, kind, the bit and how often it happened."""
         for k, s in enumerate(states):
             self.happened += _tally((k * KINDS + kind) * STATES + s, bit, n, len(self.happened))
-        self.cells += _tally(self._cell(states, guess, kind), bit, n, len(self.cells))
-
-    @staticmethod
-    def _cell(states, guess, kind) -> np.ndarray:
-        cell = kind.astype(np.int32)
+        cell = kind
         for s in states:
             cell = cell * N_BINS + _BINS32[s]
-        return cell * 3 + guess
+        self.cells += _tally(cell, bit, n, len(self.cells))
 
     def fit(self, laps: int = 10, rate: float = 0.05) -> Mixer:
         """Online over cells of equal bins in a fixed order: gradient steps of the logistic loss, weighted by how often a cell was seen."""
@@ -425,27 +478,24 @@ class Mixer:
         weight = n.sum(axis=3) + 1e-6
         at = np.flatnonzero(self.cells.sum(axis=1))
         at = at[np.argsort(_mix(at.astype(np.uint64)))]
-        rest, guess = np.divmod(at, 3)
-        kind, bins = rest // N_BINS**CONTEXTS, []
-        for k in range(CONTEXTS):
-            bins.append(rest // N_BINS ** (CONTEXTS - 1 - k) % N_BINS)
-        inputs = np.zeros((len(at), CONTEXTS + 1))
+        kind = at // N_BINS**CONTEXTS
+        bins = [at // N_BINS ** (CONTEXTS - 1 - k) % N_BINS for k in range(CONTEXTS)]
+        inputs = np.zeros((len(at), CONTEXTS))
         for k in range(CONTEXTS):
             mean = np.stack([np.bincount(BINS, weight[k, q] * self.stretch[k, q], N_BINS) / np.bincount(BINS, weight[k, q], N_BINS) for q in range(KINDS)])
             inputs[:, k] = mean[kind, bins[k]]
-        inputs[:, CONTEXTS] = (guess == 1) * 1.0 - (guess == 2)
-        gate = self._gate(kind, bins[1] > 0, bins[3] > 0)
+        gate = self._gate(kind, bins[1] > 0, bins[2] > 0)
         zeros, ones = self.cells[at].T
         seen = zeros + ones
-        self.weights = np.tile(np.array([0.3, 0.3, 0.4, 0.3, 1.5]), (GATES, 1))
-        square = np.full((GATES, CONTEXTS + 1), 1e-4)
+        self.weights = np.full((GATES, CONTEXTS), 0.4)
+        square = np.full((GATES, CONTEXTS), 1e-4)
         for _ in range(laps):
             for a in range(0, len(at), 128):
                 part = slice(a, a + 128)
                 g, x = gate[part], inputs[part]
                 err = seen[part] * squash((self.weights[g] * x).sum(axis=1)) - ones[part]
                 size = np.maximum(np.bincount(g, seen[part], GATES), 1)
-                step = np.stack([np.bincount(g, err * x[:, i], GATES) / size for i in range(CONTEXTS + 1)], axis=1)
+                step = np.stack([np.bincount(g, err * x[:, i], GATES) / size for i in range(CONTEXTS)], axis=1)
                 square += step * step
                 self.weights -= rate * step / np.sqrt(square)
         x = (self.weights[gate] * inputs).sum(axis=1)
@@ -467,12 +517,12 @@ class Mixer:
         i = q.astype(np.int32)
         return i, q - i
 
-    def chance(self, states: list[np.ndarray], guess: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    def chance(self, states: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
         """The probability of a 1: the mean of mixed and refined predictions."""
-        gate = self._gate(kind, states[1] > 0, states[3] > 0).astype(np.int32)
+        gate = self._gate(kind, states[1] > 0, states[2] > 0).astype(np.int32)
         w, st = self.weights.astype(np.float32).T, self.stretch.astype(np.float32).reshape(CONTEXTS, -1)
         at = kind.astype(np.int32) * STATES
-        x = np.array([0, 1, -1], np.float32)[guess] * w[CONTEXTS][gate]
+        x = np.zeros(len(at), np.float32)
         for k, s in enumerate(states):
             x += w[k][gate] * st[k][at + s]
         x = np.clip(x, -14, 14)
@@ -489,65 +539,82 @@ def _tally(at: np.ndarray, bit: np.ndarray, n: np.ndarray, size: int) -> np.ndar
 
 
 class Bits:
-    """Bits of symbols [a, b): symbol, place in it, value, kind and guess, and states of the contexts."""
+    """Bits of rows [a, b): row, place in it, value and kind, and states of the contexts."""
 
-    def __init__(self, s: Symbols, guessed: np.ndarray, where: list[np.ndarray], a: int, b: int):
+    def __init__(self, s: Symbols, where: list[np.ndarray], a: int, b: int):
         n = s.bits[a:b].astype(np.int64)
-        self.symbol = np.repeat(np.arange(a, b, dtype=np.int32), n)
-        self.depth = (np.arange(len(self.symbol), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)).astype(np.int32)
-        self.bit = ((s.value[self.symbol] >> (7 - self.depth).astype(np.uint8)) & 1).astype(np.int32)
-        spelled, first = s.codes.spelled[s.at[self.symbol]], s.codes.first[s.at[self.symbol]]
-        self.kind = np.where(spelled, 2, np.where(first & (self.depth < 4), 0, 1)).astype(np.int32)
-        g = guessed[self.symbol]
-        right, errs = np.where(g >= 100, g - 100, g), g >= 100
-        self.guess = np.where(self.depth < right, 2 - self.bit, np.where(errs & (self.depth == right), 1 + self.bit, 0))
-        self.where = [w[self.symbol] for w in where]
+        self.row = np.repeat(np.arange(a, b, dtype=np.int32), n)
+        self.depth = (np.arange(len(self.row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+        self.bit = ((s.value[self.row] >> (7 - self.depth).astype(np.uint8)) & 1).astype(np.int32)
+        self.kind = s.kind[self.row]
+        # The first symbol's further bits are of the second kind.
+        self.kind = np.where((self.kind == 0) & (self.depth >= 4), 1, self.kind).astype(np.int32)
+        self.at = [w[self.row] * np.int64(8) + self.depth for w in where]
 
     def states(self, tables: list[np.ndarray]) -> list[np.ndarray]:
         """tables: (keys + 1, 8) for each context; the last row is for symbols without it."""
-        return [t.ravel()[w * np.int64(8) + self.depth] for t, w in zip(tables, self.where)]
+        return [t.ravel()[x] for t, x in zip(tables, self.at)]
 
 
-def score_chunk(pdf: pd.DataFrame, parts: int, n: int, v: int) -> pd.DataFrame:
+class Guesses:
+    """The bit that says whether a guess is right: how often it was, by the guess's bucket and what became of the guess before."""
+
+    def __init__(self, s: Symbols, body: Body):
+        self.at = np.flatnonzero(s.guess >= 0)
+        bucket = np.searchsorted(FIRST, body.place[s.guess[self.at]], "right")
+        last = np.where(s.guess < 0, 0, np.where(s.hit, 1, 2))
+        self.context = bucket * 3 + np.where(s.where[self.at] > 0, last[self.at - 1], 0)
+        self.hit = s.hit[self.at].astype(np.int64)
+        n = _tally(self.context, self.hit, body.times[self.at], 3 * (BUCKETS + 2))
+        self.right = (n[:, 1] + 0.5) / (n.sum(axis=1) + 1)
+
+    def bits(self, size: int) -> np.ndarray:
+        p = self.right[self.context]
+        return np.bincount(self.at, -np.log2(np.where(self.hit == 1, p, 1 - p)), size)
+
+
+def score_chunk(known: pd.DataFrame, states: pd.DataFrame, places: Places, parts: int) -> pd.DataFrame:
     """Learns from the chunk's training texts, each without its own counts, then scores all its texts."""
-    body, place, counts = opened(pdf)
-    s = Symbols(body, place)
-    got = pdf[pdf["kind"] == 4].sort_values("p")
+    body, n, v = Body(known, places), places.tokens, places.words
+    s = Symbols(body)
+    got = states.sort_values("p")
     where, full, less = [], [], []
     for k in range(CONTEXTS):
         at, keys = s.keys(k)
-        every, inverse = np.unique(keys, return_inverse=True)
+        every, place = numbered(keys)
         order = np.argsort(_part(every, parts), kind="stable")
         blobs = [unpack(x) for x in got.loc[got["p"] % CONTEXTS == k, "data"]]
         tables = []
         for part in (0, 1):
             t = np.zeros((len(every) + 1, 8), np.uint8)
-            t[order] = np.concatenate([b[part] for b in blobs], axis=1).T
+            if blobs:
+                t[order] = np.concatenate([b[part] for b in blobs], axis=1).T
             tables.append(t)
         full.append(tables[0])
         less.append(tables[0] ^ tables[1])
-        w = np.full(len(s.at), len(every), np.int32)
-        w[at] = inverse
+        w = np.full(len(s.bits), len(every), np.int32)
+        w[at] = place
         where.append(w)
-    guessed = s.guessed()
     size = np.cumsum(s.bits.astype(np.int64))
     cuts = np.unique(np.concatenate(([0], np.searchsorted(size, np.arange(STEP_BITS, size[-1], STEP_BITS)), [len(size)])))
-    times = np.repeat(np.where(body.held, 0, body.copies), body.lengths)
     mixer = Mixer()
     for a, b in zip(cuts, cuts[1:]):
-        x = Bits(s, guessed, where, a, b)
-        mixer.see(x.states(less), x.guess, x.kind, x.bit, times[s.token[x.symbol]])
+        x = Bits(s, where, a, b)
+        mixer.see(x.states(less), x.kind, x.bit, s.times[x.row])
     mixer.fit()
-    bits = np.zeros(len(body.tokens))
+    cost = np.zeros(len(s.bits))
     for a, b in zip(cuts, cuts[1:]):
-        x = Bits(s, guessed, where, a, b)
-        p = mixer.chance(x.states(full), x.guess, x.kind)
-        bits -= np.bincount(s.token[x.symbol], np.log2(np.where(x.bit == 1, p, 1 - p)), len(bits))
+        x = Bits(s, where, a, b)
+        p = mixer.chance(x.states(full), x.kind)
+        cost[a:b] = np.bincount(x.row - a, -np.log2(np.where(x.bit == 1, p, 1 - p)), b - a)
+    further = np.add.reduceat(np.append(cost, 0), s.more_start) if len(s.more_start) else np.zeros(0)
+    coded = cost[s.first] + np.where(s.more >= 0, np.append(further, 0)[s.more], 0)
+    token_bits = Guesses(s, body).bits(len(body.tokens)) + np.where(s.hit, 0, coded)
     per = lambda x: np.add.reduceat(x, body.starts)
-    t = body.tokens
+    t, counts = body.tokens, body.counts
     base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
     length = np.array([1 if w == END else len(w) + 1 for w in body.words])
-    bits, n_bytes = per(bits), per(length[t])
+    bits, n_bytes = per(token_bits), per(length[t])
     ids = pd.array(body.ids, "Int64")
     ids[body.null] = pd.NA
     out = pd.DataFrame({"doc_id": ids, "held_out": body.held, "n_tokens": body.lengths, "n_known": per((counts[t] > 0).astype(np.int64)), "train_tokens": n, "base_score": per(base[t]), "score": -bits * math.log10(2), "n_bytes": n_bytes, "bits_per_byte": bits / n_bytes})
@@ -558,24 +625,6 @@ def _fold(col):
     return F.pmod(F.crc32(F.coalesce(col, F.lit("")).cast("binary")), F.lit(10))
 
 
-def _once(batches):
-    """Equal rows of a task become two at most, so a row that repeats without end never meets as such in one task."""
-    seen, more = set(), {}
-    for b in batches:
-        first = []
-        for i, key in enumerate(zip(b["doc_id"], b["h"])):
-            if key not in seen:
-                seen.add(key)
-                first.append(i)
-            elif key in more:
-                more[key][-1] += 1
-            else:
-                more[key] = b.iloc[i].tolist()
-        yield b.iloc[first]
-    if more:
-        yield pd.DataFrame(more.values(), columns=["doc_id", "text", "fold", "h", "chunk", "copies"])
-
-
 def score_documents(docs: DataFrame, *, text_col="text", chunk_chars=CHUNK_CHARS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
@@ -593,25 +642,19 @@ def score_documents(docs: DataFrame, *, text_col="text", chunk_chars=CHUNK_CHARS
     word_parts = max(1, n_chunks // 8)
     rows = "kind int, chunk int, p int, data binary"
     h = F.xxhash64("doc_id", "text")
-    dealt = docs.select("doc_id", "text", _fold(F.col("doc_id")).cast("int").alias("fold"), h.alias("h"), F.pmod(F.shiftright(h, 7), F.lit(n_chunks)).cast("int").alias("chunk"), F.lit(1).cast("long").alias("copies"))
-    dealt = dealt.mapInPandas(_once, dealt.schema)
-    begun = written(dealt.groupBy("chunk").applyInPandas(lambda pdf: first_pass(pdf, word_parts), rows), "lm-begun")
-
-    words = begun.filter("kind = 1")
-    sums = words.groupBy("p").applyInPandas(count_words, "p int, tokens long, words long, sizes binary").collect()
-    n, v = sum(r["tokens"] for r in sums), sum(r["words"] for r in sums)
-    sizes = np.zeros((word_parts, CLASSES), np.int64)
-    for r in sums:
-        sizes[r["p"]] = np.frombuffer(r["sizes"], np.int64)
-    flat = sizes.T.ravel()
-    starts = (np.cumsum(flat) - flat).reshape(CLASSES, word_parts)
-    places = written(words.groupBy("p").applyInPandas(lambda pdf: place_words(pdf, starts[:, int(pdf["p"].iloc[0])]), rows), "lm-places")
-
-    known = begun.filter("kind = 0").union(places)
-    keys = known.groupBy("chunk").applyInPandas(lambda pdf: second_pass(pdf, n_chunks), rows)
+    texts = docs.select("doc_id", "text", _fold(F.col("doc_id")).cast("int").alias("fold"), h.alias("h"), F.pmod(F.shiftright(h, 7), F.lit(n_chunks)).cast("int").alias("chunk"), F.lit(1).cast("long").alias("copies"))
+    texts = texts.mapInPandas(packed_texts, rows)
+    begun = written(texts.groupBy("chunk").applyInPandas(lambda pdf: first_pass(pdf, word_parts), rows), "lm-begun")
+
+    placed = written(begun.filter("kind = 1").groupBy("p").applyInPandas(place_words, rows), "lm-places")
+    sent = docs.sparkSession.sparkContext.broadcast(Places([(r["p"], bytes(r["data"])) for r in placed.filter("kind = 5").collect()]))
+
+    known = begun.filter("kind = 0").union(placed.filter("kind = 2"))
+    keys = known.groupBy("chunk").applyInPandas(lambda pdf: second_pass(pdf, sent.value, n_chunks), rows)
     states = keys.groupBy("p").applyInPandas(third_pass, rows)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return known.union(states).groupBy("chunk").applyInPandas(lambda pdf: score_chunk(pdf, n_chunks, n, v), schema)
+    # The same exchange of what is known serves both passes.
+    return known.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInPandas(lambda a, b: score_chunk(a, b, sent.value, n_chunks), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -151,28 +151,26 @@ def test_counts_over_chunks():
     folds = [i % 4 for i in range(12)]
 
     def run(parts):
-        first = pd.concat([context_mix.first_pass(pd.DataFrame({"doc_id": [str(i) for i in p], "text": [texts[i] for i in p], "fold": [folds[i] for i in p], "h": [texts[i].__hash__() % 999 * 100 + i for i in p], "chunk": c, "copies": 1}), 3) for c, p in enumerate(parts)])
-        words = first[first["kind"] == 1]
-        sums = pd.concat([context_mix.count_words(g) for _, g in words.groupby("p")])
-        sizes = np.zeros((3, context_mix.CLASSES), np.int64)
-        for p, x in zip(sums["p"], sums["sizes"]):
-            sizes[p] = np.frombuffer(x, np.int64)
-        flat = sizes.T.ravel()
-        starts = (np.cumsum(flat) - flat).reshape(context_mix.CLASSES, 3)
-        known = pd.concat([first[first["kind"] == 0]] + [context_mix.place_words(g, starts[:, p]) for p, g in words.groupby("p")])
-        keys = pd.concat([context_mix.second_pass(g, 4) for _, g in known.groupby("chunk")])
+        frame = lambda c, p: pd.DataFrame({"doc_id": [str(i) for i in p], "text": [texts[i] for i in p], "fold": [folds[i] for i in p], "h": [i * 7919 % 100 for i in p], "chunk": c, "copies": 1})
+        first = pd.concat([context_mix.first_pass(pd.concat(list(context_mix.packed_texts([frame(c, p)]))), 3) for c, p in enumerate(parts)])
+        placed = pd.concat([context_mix.place_words(g) for _, g in first[first["kind"] == 1].groupby("p")])
+        sums = placed[placed["kind"] == 5]
+        places = context_mix.Places(list(zip(sums["p"], sums["data"])))
+        known = pd.concat([first[first["kind"] == 0], placed[placed["kind"] == 2]])
+        keys = pd.concat([context_mix.second_pass(g, places, 4) for _, g in known.groupby("chunk")])
         total = Counter()
         for _, r in keys.iterrows():
             k, c = context_mix.unpack(r["data"])
-            total.update({(r["p"], x): int(n) for x, n in zip(context_mix.from_planes(k, np.uint64).tolist(), c.tolist())})
-        return int(sums["tokens"].sum()), {k: n for k, n in total.items() if n}, keys
+            total.update({(r["p"], x): int(n) for x, n in zip(context_mix.from_planes(k, np.uint64).tolist(), context_mix.from_bytes(c, np.uint32).tolist())})
+        return places, {k: n for k, n in total.items() if n}, keys
 
-    n, one, keys = run([range(12)])
-    assert n == sum(len(t.split()) + 1 for t, f in zip(texts, folds) if f)
+    places, one, keys = run([range(12)])
+    train = Counter(w for t, f in zip(texts, folds) if f for w in [*t.split(), "end"])
+    assert (places.tokens, places.words) == (sum(train.values()), len(train))
     assert run([range(0, 12, 2), range(1, 12, 2)])[1] == one and run([[i] for i in range(12)])[1] == one
     for p, g in keys.groupby("p"):
         k, c = context_mix.unpack(g["data"].iloc[0])
-        k, c = context_mix.from_planes(k, np.uint64), c.astype(np.int64)
+        k, c = context_mix.from_planes(k, np.uint64), context_mix.from_bytes(c, np.uint32).astype(np.int64)
         full, less = context_mix.path_states(k, c)
         for i in range(0, len(k), 7):
             for d in range(8):
@@ -190,32 +188,66 @@ def test_bits_are_a_distribution():
     n = 20_000
     states = [r.integers(0, context_mix.STATES, n) for _ in range(context_mix.CONTEXTS)]
     kind = r.integers(0, 3, n)
-    mixer.see(states, r.integers(0, 3, n), kind, r.integers(0, 2, n), np.ones(n))
+    mixer.see(states, kind, r.integers(0, 2, n), np.ones(n))
     mixer.fit()
     keys = np.arange(256, dtype=np.uint64)
     tables = [context_mix.path_states(keys, (r.integers(0, 5, 256) * r.integers(0, 2, 256) * 40**k % 5000).astype(np.int64))[0] for k in range(context_mix.CONTEXTS)]
     for q in range(3):
         p = np.ones(256)
         for d in range(8):
-            node = keys >> np.uint64(8 - d)
-            guess = np.where(node == node[77], np.where(77 >> (7 - d) & 1, 1, 2), 0)
-            one = mixer.chance([t[d] for t in tables], guess, np.full(256, q))
+            one = mixer.chance([t[d] for t in tables], np.full(256, q))
             p *= np.where(keys >> np.uint64(7 - d) & np.uint64(1) == 1, one, 1 - one)
         assert p.sum() == pytest.approx(1, abs=1e-5) and p.min() > 0
     a, b = r.integers(0, 300, 500), r.integers(0, 300, 500)
     assert (context_mix.mirrored()[context_mix.state_of(a, b)] == context_mix.state_of(b, a)).all()
 
 
+def test_codes_are_a_prefix_code():
+    """Different words have different codes, and no code begins another."""
+    words = [f"w{i}".encode() for i in range(3000)] + [b"spelled", b"spelt", "sp\u00e4t".encode()]
+    place = np.concatenate((np.arange(1, 3001) ** 2 % 8_999_993 + 1, [0, 0, 0]))
+    c = context_mix.Codes(words, place)
+    codes = set()
+    for i in range(len(words)):
+        rows = [(c.value[i], c.bits[i])] + [(c.more_value[k], c.more_bits[k]) for k in range(c.start[i], c.start[i] + c.count[i])]
+        codes.add("".join(f"{int(v):08b}"[:b] for v, b in rows))
+    ordered = sorted(codes)
+    assert len(codes) == len(set(place.tolist())) + 2
+    assert not any(b.startswith(a) for a, b in zip(ordered, ordered[1:]))
+
+
+def test_guesses_come_from_the_same_text():
+    import pandas as pd
+
+    texts = ["a b c a b c a b d", "a b x", "c c c c c"]
+    frame = pd.DataFrame({"doc_id": ["1", "2", "3"], "text": texts, "fold": [1, 2, 3], "h": [1, 2, 3], "chunk": 0, "copies": 1})
+    first = context_mix.first_pass(pd.concat(list(context_mix.packed_texts([frame]))), 1)
+    placed = context_mix.place_words(first[first["kind"] == 1])
+    sums = placed[placed["kind"] == 5]
+    body = context_mix.Body(pd.concat([first[first["kind"] == 0], placed[placed["kind"] == 2]]), context_mix.Places(list(zip(sums["p"], sums["data"]))))
+    s = context_mix.Symbols(body)
+    got, at = [], 0
+    for t in texts:
+        w, seen = [x.encode() for x in t.split()] + [context_mix.END], {}
+        for i, x in enumerate(w):
+            assert body.words[body.tokens[at]] == x
+            want = seen.get(tuple(w[i - 2 : i])) if i > 1 else None
+            got.append((None if s.guess[at] < 0 else body.words[s.guess[at]]) == want)
+            if i > 1:
+                seen[tuple(w[i - 2 : i])] = x
+            at += 1
+    assert all(got)
+
+
 def test_weights_learn():
     """Where one predictor is right and the others are noise, the mix comes near to it."""
     r = np.random.default_rng(8)
     n, mixer = 50_000, context_mix.Mixer()
     bit = r.integers(0, 2, n)
     good = np.where(r.random(n) < 0.9, bit, 1 - bit) * len(context_mix.ALONE) + 5
-    states = [r.integers(1, context_mix.STATES, n), r.integers(1, context_mix.STATES, n), good, np.zeros(n, np.int64)]
-    guess, kind = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    mixer.see(states, guess, kind, bit, np.ones(n))
-    p = mixer.fit().chance(states, guess, kind)
+    states, kind = [r.integers(1, context_mix.STATES, n), good, r.integers(1, context_mix.STATES, n)], np.zeros(n, np.int64)
+    mixer.see(states, kind, bit, np.ones(n))
+    p = mixer.fit().chance(states, kind)
     loss = -np.log2(np.where(bit == 1, p, 1 - p)).mean()
     assert loss < 0.469 * 1.05  # the entropy of 0.9
 
