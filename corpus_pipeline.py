@@ -15,45 +15,81 @@ from tessera.llm.common import table, written
 ORACLE_SQL = None
 
 
-def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
-    """docs' columns with a new text, and n_chars to go with it."""
-    out = docs.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*columns)
+def _held(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with names of the stage's own for all columns, so that none clashes with what an operator adds or needs; doc_id, text and source go along under those names."""
+    names = [f"held_{i}" for i in range(len(docs.columns))]
+    own = {c: F.col(h) for c, h in zip(docs.columns, names)}
+    return docs.toDF(*names).withColumns({c: own[c] for c in ("doc_id", "text", "source") if c in own}), names
+
+
+def _freed(held: DataFrame, docs: DataFrame, text=None) -> DataFrame:
+    """docs' columns from their own names, with a new text and an n_chars to go with it."""
+    out = []
+    for i, (name, kind) in enumerate(docs.dtypes):
+        c = F.col(f"held_{i}")
+        if text is not None and name in ("text", "n_chars"):
+            c = text if name == "text" else F.length(text).cast(kind)
+        out.append(c.alias(name))
+    return held.select(*out)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the top grade is at least a half."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=tuple(docs.columns)).filter("accepted").select(*docs.columns)
+    """Documents whose probability of the highest grade is at least a half.
+
+    Null and empty texts are judged as texts without words; equal texts alike, so repeated rows stay
+    or go together; an empty table stays empty, and without labels all texts are judged by the prior.
+    """
+    held, names = _held(docs)
+    model = quality.train(held, table(spark, sf_dir, "labels"))
+    return _freed(quality.score(held, model, keep=tuple(names)).filter("accepted"), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at 0.8: the one with the least doc_id. Texts without words all stay."""
-    links = set_join.link_documents(docs, set_join.Rule(words=5, num=80))
-    first = links.filter("n_shingles > 0 and (doc_id = component_id or component_id is null)").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("v")).alias("v")).agg(F.min("k").alias("k"))
-    keep = first.select("k", F.lit(True).alias("once")).union(links.filter("n_shingles = 0").select("k", F.lit(False)).distinct())
-    keyed = docs.withColumn("k", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(keep, "k")
-    # Rows that are equal share k; only groups of texts with words leave one of them.
-    return keyed.filter("not once").select(*docs.columns).union(keyed.filter("once").dropDuplicates(["k"]).select(*docs.columns))
+    """One document of each group that five-word shingles link at 0.8: the one with the least doc_id.
+
+    Of ties (rows of one doc_id) the one with the least hash of id and text stays, and one of equal
+    rows. Null ids come after all others. Texts without words, nulls too, all stay.
+    """
+    held, _ = _held(docs)
+    links = set_join.link_documents(held, set_join.Rule(words=5, num=80))
+    grouped = links.filter("n_shingles > 0").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("k"))).alias("least"))
+    keep = grouped.select(F.col("least.k").alias("held_key"), F.lit(True).alias("held_once")).union(links.filter("n_shingles = 0").select("k", F.lit(False)).distinct())
+    keyed = held.withColumn("held_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(keep, "held_key")
+    # Rows that are equal share the key; only groups of texts with words leave one of them.
+    return _freed(keyed.filter("not held_once").union(keyed.filter("held_once").dropDuplicates(["held_key"])), docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of test items; a document of which no word is left goes."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns), remove=True)
-    return _with_text(found.filter("n_hit = 0 or n_hit < n_words"), docs.columns, F.col("text_cut"))
+    """Texts without the passages of test items; a document of which no word is left goes.
+
+    Null and empty texts have no passages and stay as they are; repeated rows are cut alike; an empty
+    benchmark changes nothing.
+    """
+    held, names = _held(docs)
+    found = decontaminate.decontaminate(held, table(spark, sf_dir, "benchmark"), keep=tuple(names), remove=True)
+    return _freed(found.filter("n_hit = 0 or n_hit < n_words"), docs, F.col("text_cut"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data generalised, and with the terms that disclose it generalised or removed."""
-    kept = pii.sanitise(docs.withColumnRenamed("n_chars", "doc_chars"), keep=tuple("doc_chars" if c == "n_chars" else c for c in docs.columns)).drop("n_chars")
-    return _with_text(kept.withColumnRenamed("doc_chars", "n_chars"), docs.columns, pii.rewrite(F.col("text")))
+    """Texts with personal data and secrets generalised, and with the terms that disclose them generalised or removed.
+
+    A null text stays null; repeated rows are sanitised alike and all stay.
+    """
+    held, names = _held(docs)
+    text = F.col(names[docs.columns.index("text")])
+    return _freed(pii.sanitise(held, keep=tuple(names)), docs, pii.rewrite(text))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix of sources takes, with the words that it takes of each."""
-    return mixing.mix_sources(docs, keep=tuple(docs.columns)).filter("taken > 0").drop("mix_row")
+    """Documents that the mix of sources takes, with size, source_size, target and taken: the words that it takes of each.
+
+    Documents without words are not taken; null sources are one source; ties go by id and then by row;
+    a column of docs with the name of one of these four gives way to it.
+    """
+    held, names = _held(docs)
+    out = mixing.mix_sources(held, keep=tuple(names)).filter("taken > 0")
+    added = ("size", "source_size", "target", "taken")
+    return out.select(*[F.col(h).alias(c) for h, c in zip(names, docs.columns) if c not in added], *added)
 
 
 STAGES = [
