@@ -90,7 +90,8 @@ def query(docs: DataFrame) -> DataFrame:
     sent = texts.join(need, "k").select(F.col("to_k").alias("k"), "last", F.substring("text", F.lit(1), F.col("want")).alias("start")).dropDuplicates(["k", "last"])
     keep = F.length("text") - F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), keep), "start")
-    edit = texts.dropDuplicates(["k"]).join(sent, "k")
+    # Equal rows give equal samples, of which the least is one.
+    edit = texts.join(sent, "k")
     both = edit.select("k", "last", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text")), F.struct(F.lit(1).alias("v"), edited.alias("text")))).alias("x")).select("k", "last", "x.v", "x.text")
     both = both.withColumn("sha", F.when(F.col("v") == 1, F.sha2("text", 256))).withColumn("n_chars", F.length("text").cast("long"))
     sigs = fingerprints(both, ["k", "last", "v", "sha", "n_chars"])

@@ -325,7 +325,7 @@ def _opened(sets: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, rule: Rule = Rule(), *, text_col="text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) and v (id of the set of shingles).
+    """doc_id, n_shingles, component_id (least doc_id reachable by links), c (the component's own id) and k (hash of id and text).
 
     Equal sets are one vertex. Sets with a common signature are compared with one leader; sets that
     share half of their union with it make the groups of the token-group matrix. The matrix finds
@@ -335,7 +335,7 @@ def link_documents(docs: DataFrame, rule: Rule = Rule(), *, text_col="text") ->
     Null, empty and white-space texts have no shingles and stand alone; rows of equal texts, also
     under one doc_id, are one vertex; a null doc_id is never the least.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text_col).alias("k"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text_col).alias("k"), F.col(text_col).alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, rule))
     profiles = written(_profiles(docs, rule, frequent), "profiles")
     first = written(_open(docs, profiles, _stars(profiles, rule), rule), "links-1")
@@ -346,7 +346,7 @@ def link_documents(docs: DataFrame, rule: Rule = Rule(), *, text_col="text") ->
     vertex = profiles.select("doc_id", "k", "n", "v").join(comps, "v", "left").withColumn("c", F.coalesce("comp", "v"))
     least = vertex.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     out = vertex.join(least, "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "v", "k")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "c", "k")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tessera.llm import decontaminate
 from test_operators import brute_components, brute_spans
 
@@ -51,6 +52,36 @@ def decontaminate_hits(text, items):
     return brute_hits(text, items)
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, clashing names and an empty table; every stage gives the columns of documents."""
+    sf = "/root/testdata/sf0.001"
+    base = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").limit(30).collect()]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = [(*[r[c] for c in names], "k", 1, 2, 3.0) for r in base]
+    rows += [rows[3]] * 4 + [(None, base[5]["text"], None, None, None, None, None, None, None)] * 2 + [(900, None, "en", "s", 1, "k", 1, 1, 1.0), (901, "", "en", "s", 1, "k", 1, 1, 1.0), (902, " ", None, None, 1, "k", 1, 1, 1.0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, k string, once int, n_hit int, score double"
+    docs = spark.createDataFrame(rows, schema).withColumns({"held_0": F.lit("x"), "size": F.lit(7), "term": F.lit("t"), "c": F.lit(1)})
+    for at in (docs, docs.filter("false")):
+        kept = at
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, kept, sf)
+            path = str(tmp_path / (name.replace(" ", "_") + ("" if at is docs else "_empty")))
+            out.write.parquet(path)
+            out = spark.read.parquet(path)
+            if name.startswith("mixing"):
+                assert out.columns == [c for c in docs.columns if c != "size"] + ["size", "source_size", "target", "taken"]
+                break
+            assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes], name
+            if at is docs and name == "n-gram Jaccard join":
+                seen = [r for r in out.collect()]
+                texts = [r["text"] for r in seen if r["text"] and r["text"].split()]
+                assert len(texts) == len(set(texts)) and {r["held_0"] for r in seen} == {"x"}
+                before = [r["text"] for r in kept.collect()]
+                assert sum(not (r["text"] or "").split() for r in seen) == sum(not (t or "").split() for t in before)
+            kept = out
+        assert at is docs or kept.count() == 0
+
+
 def test_registered():
     import __spark_entry__ as e
 
