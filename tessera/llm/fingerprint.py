@@ -87,7 +87,7 @@ def query(docs: DataFrame) -> DataFrame:
     # Each document sends its neighbour before it only as many first characters as that one replaces.
     need = order.select(F.col("next_k").alias("k"), F.floor(F.col("n") / 4).cast("int").alias("want"), F.col("k").alias("to_k"), "last")
     texts = docs.select("k", "text")
-    sent = texts.join(need, "k").select(F.col("to_k").alias("k"), "last", F.substring("text", F.lit(1), F.col("want")).alias("start")).dropDuplicates(["k", "last"])
+    sent = texts.join(need, "k").select(F.col("to_k").alias("k"), "last", F.substring("text", F.lit(1), F.col("want")).alias("start")).repartition("k").dropDuplicates(["k", "last"])
     keep = F.length("text") - F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), keep), "start")
     # Equal rows give equal samples, of which the least is one.
