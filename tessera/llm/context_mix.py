@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
-#: Characters in one chunk of texts; bits that are worked on at once; contexts; kinds of bits; words before that may name the language; most frequent words that are contexts.
+#: Characters in one chunk of texts; symbols that are worked on at once; contexts; kinds of bits; words before that may name the language; most frequent words that are contexts.
 CHUNK_CHARS = 8_000_000
-STEP_BITS = 1_500_000
+STEP = 150_000
 CONTEXTS, KINDS = 3, 3
 REACH = 32
 FREQUENT = 1_365
@@ -71,7 +71,7 @@ def unpack(data: bytes) -> tuple:
     return pickle.loads(_CODEC.decompress(data[:-8], int.from_bytes(data[-8:], "little"), asbytes=True))
 
 
-_CODEC = pa.Codec("zstd", compression_level=3)
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def planes(x: np.ndarray) -> np.ndarray:
@@ -464,7 +464,7 @@ class Mixer:
             self.happened += _tally((k * KINDS + kind) * STATES + s, bit, n, len(self.happened))
         cell = kind
         for s in states:
-            cell = cell * N_BINS + _BINS32[s]
+            cell = cell * np.int32(N_BINS) + _BINS32[s]
         self.cells += _tally(cell, bit, n, len(self.cells))
 
     def fit(self, laps: int = 10, rate: float = 0.05) -> Mixer:
@@ -519,16 +519,17 @@ class Mixer:
 
     def chance(self, states: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
         """The probability of a 1: the mean of mixed and refined predictions."""
-        gate = self._gate(kind, states[1] > 0, states[2] > 0).astype(np.int32)
-        w, st = self.weights.astype(np.float32).T, self.stretch.astype(np.float32).reshape(CONTEXTS, -1)
-        at = kind.astype(np.int32) * STATES
+        gate = self._gate(kind, states[1] > 0, states[2] > 0)
+        at = gate * np.int32(STATES)
         x = np.zeros(len(at), np.float32)
         for k, s in enumerate(states):
-            x += w[k][gate] * st[k][at + s]
-        x = np.clip(x, -14, 14)
+            # Weight by gate times prediction by the gate's kind.
+            weighted = (self.weights[:, k, None] * self.stretch[k][np.arange(GATES) // 4]).astype(np.float32)
+            x += weighted.ravel()[at + s]
+        np.clip(x, -14, 14, out=x)
         i, f = self._grid(x)
-        r = gate * STEPS + i
-        return (squash(x) + self.refine[r] * (1 - f) + self.refine[r + 1] * f) / 2
+        i += gate * np.int32(STEPS)
+        return (squash(x) + self.refine[i] * (1 - f) + self.refine[i + 1] * f) / 2
 
 
 _BINS32 = BINS.astype(np.int32)
@@ -539,21 +540,19 @@ def _tally(at: np.ndarray, bit: np.ndarray, n: np.ndarray, size: int) -> np.ndar
 
 
 class Bits:
-    """Bits of rows [a, b): row, place in it, value and kind, and states of the contexts."""
+    """Bits of rows [a, b) as rows of eight: value and kind, and whether the symbol has so many bits; states of the contexts."""
 
     def __init__(self, s: Symbols, where: list[np.ndarray], a: int, b: int):
-        n = s.bits[a:b].astype(np.int64)
-        self.row = np.repeat(np.arange(a, b, dtype=np.int32), n)
-        self.depth = (np.arange(len(self.row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        self.bit = ((s.value[self.row] >> (7 - self.depth).astype(np.uint8)) & 1).astype(np.int32)
-        self.kind = s.kind[self.row]
+        depth = np.arange(8)
+        self.bit = np.unpackbits(s.value[a:b, None], axis=1).ravel()
         # The first symbol's further bits are of the second kind.
-        self.kind = np.where((self.kind == 0) & (self.depth >= 4), 1, self.kind).astype(np.int32)
-        self.at = [w[self.row] * np.int64(8) + self.depth for w in where]
+        self.kind = (s.kind[a:b, None] | ((s.kind[a:b, None] == 0) & (depth >= 4))).ravel()
+        self.real = depth < s.bits[a:b, None]
+        self.rows = [w[a:b] for w in where]
 
     def states(self, tables: list[np.ndarray]) -> list[np.ndarray]:
         """tables: (keys + 1, 8) for each context; the last row is for symbols without it."""
-        return [t.ravel()[x] for t, x in zip(tables, self.at)]
+        return [t[w].ravel() for t, w in zip(tables, self.rows)]
 
 
 class Guesses:
@@ -595,18 +594,18 @@ def score_chunk(known: pd.DataFrame, states: pd.DataFrame, places: Places, parts
         w = np.full(len(s.bits), len(every), np.int32)
         w[at] = place
         where.append(w)
-    size = np.cumsum(s.bits.astype(np.int64))
-    cuts = np.unique(np.concatenate(([0], np.searchsorted(size, np.arange(STEP_BITS, size[-1], STEP_BITS)), [len(size)])))
+    cuts = list(range(0, len(s.bits), STEP))
     mixer = Mixer()
-    for a, b in zip(cuts, cuts[1:]):
-        x = Bits(s, where, a, b)
-        mixer.see(x.states(less), x.kind, x.bit, s.times[x.row])
+    for a in cuts:
+        x = Bits(s, where, a, a + STEP)
+        mixer.see(x.states(less), x.kind, x.bit, (s.times[a : a + STEP, None] * x.real).ravel())
     mixer.fit()
     cost = np.zeros(len(s.bits))
-    for a, b in zip(cuts, cuts[1:]):
-        x = Bits(s, where, a, b)
+    for a in cuts:
+        x = Bits(s, where, a, a + STEP)
         p = mixer.chance(x.states(full), x.kind)
-        cost[a:b] = np.bincount(x.row - a, -np.log2(np.where(x.bit == 1, p, 1 - p)), b - a)
+        p = np.where(x.bit == 1, p, 1 - p).reshape(-1, 8)
+        cost[a : a + STEP] = -np.log2(np.where(x.real, p, 1), dtype=np.float32).sum(axis=1, dtype=np.float64)
     further = np.add.reduceat(np.append(cost, 0), s.more_start) if len(s.more_start) else np.zeros(0)
     coded = cost[s.first] + np.where(s.more >= 0, np.append(further, 0)[s.more], 0)
     token_bits = Guesses(s, body).bits(len(body.tokens)) + np.where(s.hit, 0, coded)
