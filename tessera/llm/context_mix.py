@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import written
 
 #: Characters in one chunk of texts; symbols that are worked on at once; contexts; kinds of bits; words before that may name the language; most frequent words that are contexts.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 6_000_000
 STEP = 150_000
 CONTEXTS, KINDS = 3, 3
 REACH = 32
@@ -71,7 +71,7 @@ def unpack(data: bytes) -> tuple:
     return pickle.loads(_CODEC.decompress(data[:-8], int.from_bytes(data[-8:], "little"), asbytes=True))
 
 
-_CODEC = pa.Codec("zstd", compression_level=1)
+_CODEC = pa.Codec("zstd", compression_level=2)
 
 
 def planes(x: np.ndarray) -> np.ndarray:
@@ -150,7 +150,8 @@ def first_pass(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
     held, copies = np.array([r[2] == 0 for r in rows]), np.array([r[3] for r in rows], np.int64)
     counts = np.bincount(tokens, np.repeat(np.where(held, 0, copies), lengths), len(words)).astype(np.int64)
     null = np.array([r[0] is None for r in rows])
-    out = [(0, number, -1, pack(by_byte(tokens), lengths, b" ".join(words), np.array([int(r[0] or 0) for r in rows], np.int64), null, held, copies))]
+    guess = guesses(tokens, lengths)
+    out = [(0, number, -1, pack(by_byte(tokens), np.packbits(guess >= 0), by_byte(guess[guess >= 0]), lengths, b" ".join(words), np.array([int(r[0] or 0) for r in rows], np.int64), null, held, copies))]
     h, part, order = dealt(words, parts)
     for p in np.unique(part):
         a, b = np.searchsorted(part, (p, p + 1))
@@ -158,12 +159,32 @@ def first_pass(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["kind", "chunk", "p", "data"])
 
 
+def guesses(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each token, the word that followed the same two words last in its text, or -1."""
+    t, doc = tokens.astype(np.uint64), np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+    h = doc * _EVEN
+    h[2:] += _mix(t[1:-1] + np.uint64(3)) * _ODD + t[:-2]
+    h = _mix(h)
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    out = np.full(len(h), -1, np.int32)
+    out[order[1:][same]] = tokens[order[:-1][same]]
+    # At a text's second word the hash has words of the text before; nothing is guessed there.
+    starts = np.cumsum(lengths) - lengths
+    for k in range(3):
+        at = starts + k
+        out[at[k < lengths]] = -1
+    return out
+
+
 class Body:
     """A chunk's texts as numbers of words, and places and counts of its words over all training texts."""
 
     def __init__(self, pdf: pd.DataFrame, places: Places):
-        tokens, lengths, words, self.ids, self.null, self.held, self.copies = unpack(pdf.loc[pdf["kind"] == 0, "data"].iloc[0])
+        tokens, some, guess, lengths, words, self.ids, self.null, self.held, self.copies = unpack(pdf.loc[pdf["kind"] == 0, "data"].iloc[0])
         self.words, self.tokens, self.lengths = words.split(b" "), from_bytes(tokens, np.int32), lengths.astype(np.int64)
+        self.guess = np.full(len(self.tokens), -1, np.int32)
+        self.guess[np.unpackbits(some, count=len(self.tokens)).astype(bool)] = from_bytes(guess, np.int32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.times = np.repeat(np.where(self.held, 0, self.copies), self.lengths)
         order, own, counts = dealt(self.words, places.parts)[2], [], []
@@ -300,7 +321,7 @@ class Symbols:
         while by < REACH:
             np.minimum(language, before(language, by), out=language)
             by *= 2
-        self.guess = self._guesses(body)
+        self.guess = body.guess
         self.hit = self.guess == t
         coded = ~self.hit
         # First symbols.
@@ -330,21 +351,6 @@ class Symbols:
         #: Context hashes; 0 for none.
         self.contexts = [_mix(own[0] * _ODD + side + np.uint64(11)), np.where(prev > 0, _mix(prev + np.uint64(13)), np.where(self.kind == 2, _mix(own[1] * _ODD + np.uint64(17)), np.uint64(0))), _mix(np.where(self.kind == 2, own[2], own[0]) * _ODD + _mix(u(tongue) + side + np.uint64(19)))]
 
-    def _guesses(self, body: Body) -> np.ndarray:
-        """For each token, the word that followed the same two words last in this text, or -1."""
-        t, where = body.tokens.astype(np.uint64), self.where
-        doc = np.repeat(np.arange(len(body.lengths), dtype=np.uint64), body.lengths)
-        h = doc * _EVEN
-        h[2:] += _mix(t[1:-1] + np.uint64(3)) * _ODD + t[:-2]
-        h = _mix(h)
-        order = np.argsort(h, kind="stable")
-        same = h[order[1:]] == h[order[:-1]]
-        out = np.full(len(h), -1, np.int64)
-        out[order[1:][same]] = body.tokens[order[:-1][same]]
-        # At a text's second word the hash has words of the text before; nothing is guessed there.
-        out[where < 3] = -1
-        return out
-
     def keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows that have a context k, and their keys."""
         at = np.flatnonzero(self.contexts[k])
@@ -540,15 +546,16 @@ def _tally(at: np.ndarray, bit: np.ndarray, n: np.ndarray, size: int) -> np.ndar
 
 
 class Bits:
-    """Bits of rows [a, b) as rows of eight: value and kind, and whether the symbol has so many bits; states of the contexts."""
+    """Bits of some rows as rows of eight: value and kind, and whether the symbol has so many bits; states of the contexts."""
 
-    def __init__(self, s: Symbols, where: list[np.ndarray], a: int, b: int):
+    def __init__(self, s: Symbols, where: list[np.ndarray], at):
         depth = np.arange(8)
-        self.bit = np.unpackbits(s.value[a:b, None], axis=1).ravel()
+        self.bit = np.unpackbits(s.value[at][:, None], axis=1).ravel()
         # The first symbol's further bits are of the second kind.
-        self.kind = (s.kind[a:b, None] | ((s.kind[a:b, None] == 0) & (depth >= 4))).ravel()
-        self.real = depth < s.bits[a:b, None]
-        self.rows = [w[a:b] for w in where]
+        kind = s.kind[at][:, None]
+        self.kind = (kind | ((kind == 0) & (depth >= 4))).ravel()
+        self.real = depth < s.bits[at][:, None]
+        self.rows = [w[at] for w in where]
 
     def states(self, tables: list[np.ndarray]) -> list[np.ndarray]:
         """tables: (keys + 1, 8) for each context; the last row is for symbols without it."""
@@ -596,13 +603,16 @@ def score_chunk(known: pd.DataFrame, states: pd.DataFrame, places: Places, parts
         where.append(w)
     cuts = list(range(0, len(s.bits), STEP))
     mixer = Mixer()
-    for a in cuts:
-        x = Bits(s, where, a, a + STEP)
-        mixer.see(x.states(less), x.kind, x.bit, (s.times[a : a + STEP, None] * x.real).ravel())
+    learns = np.flatnonzero(s.times)
+    for a in range(0, len(learns), STEP):
+        at = learns[a : a + STEP]
+        x = Bits(s, where, at)
+        mixer.see(x.states(less), x.kind, x.bit, (s.times[at, None] * x.real).ravel())
     mixer.fit()
+    del less
     cost = np.zeros(len(s.bits))
     for a in cuts:
-        x = Bits(s, where, a, a + STEP)
+        x = Bits(s, where, slice(a, a + STEP))
         p = mixer.chance(x.states(full), x.kind)
         p = np.where(x.bit == 1, p, 1 - p).reshape(-1, 8)
         cost[a : a + STEP] = -np.log2(np.where(x.real, p, 1), dtype=np.float32).sum(axis=1, dtype=np.float64)

@@ -60,8 +60,10 @@ def mix_sources(docs: DataFrame, *, weights=(5, 2, 1), share=1.5, most=2, seed=1
 
     in_cell = Window.partitionBy("source_rank", "key_range").orderBy("mix_key", "mix_id", "mix_row").rowsBetween(Window.unboundedPreceding, 0)
     r = cells.withColumnRenamed("key_range", "cell_range")
+    # What a document holds besides stays where it is until the end.
+    whole_rows, sized = sized, sized.drop("mix_doc")
     queued = sized.join(r, sized["mix_source"].eqNullSafe(r["source"]) & (sized["key_range"] == r["cell_range"])).withColumn("upto", F.col("cell_start") + F.sum("size").over(in_cell))
-    queued = queued.select("mix_doc", "mix_row", "mix_id", "mix_key", "source_rank", "size", "source_size", "target", "upto")
+    queued = queued.select("mix_row", "mix_id", "mix_key", "source_rank", "size", "source_size", "target", "upto")
     copy = lambda e: F.when((F.col("size") > 0) & (F.col("target") > 0), (F.col("source_size") * e + F.col("upto")) / F.col("target"))
     for e in range(most):
         queued = queued.withColumn(f"time{e}", copy(e)).withColumn(f"range{e}", F.least((F.col(f"time{e}") * TIME_RANGES).cast("long"), F.lit(2 * TIME_RANGES)))
@@ -77,7 +79,8 @@ def mix_sources(docs: DataFrame, *, weights=(5, 2, 1), share=1.5, most=2, seed=1
     at_edge = copies.filter(F.col("range") == edge["edge"]).withColumn("left", F.lit(int(budget) - int(edge["start"] or 0)) - F.sum("size").over(order) + F.col("size"))
     at_edge = at_edge.groupBy("mix_row").agg(F.sum(F.greatest(F.least("left", "size"), F.lit(0))).alias("edge_taken"))
     whole = sum(F.when(F.col(f"range{e}") < edge["edge"], F.col("size")).otherwise(0) for e in range(most))
-    return queued.join(at_edge, "mix_row", "left").select("mix_doc.*", "size", "source_size", "target", (whole + F.coalesce("edge_taken", F.lit(0))).cast("long").alias("taken"), "mix_row")
+    taken = queued.join(at_edge, "mix_row", "left").select("mix_row", "size", "source_size", "target", (whole + F.coalesce("edge_taken", F.lit(0))).cast("long").alias("taken"))
+    return whole_rows.select("mix_doc", "mix_row").join(taken, "mix_row").select("mix_doc.*", "size", "source_size", "target", "taken", "mix_row")
 
 
 def oracle(weights=(5, 2, 1), share=1.5, most=2, seed=17) -> str:

@@ -11,6 +11,7 @@ import zlib
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,9 +164,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, text_co
         for b in batches:
             yield b.assign(x=[np.asarray(features(t, at), np.int32).tobytes() for t in b["text"]])[["grade", "x", "doc_id", "h"]]
 
+    def joined(batches):
+        """All rows of a task as one of bytes."""
+        parts = [b for b in batches if len(b)]
+        if parts:
+            b = pd.concat(parts)
+            yield pd.DataFrame({"key": [b[["doc_id", "h", "grade"]].to_numpy(np.int64).tobytes()], "size": [b["x"].map(len).to_numpy(np.int64).tobytes()], "x": [b"".join(b["x"])]})
+
     found = labelled(docs, labels, most, text_col).mapInPandas(run, "grade int, x binary, doc_id long, h long")
-    rows = found.groupBy("doc_id", "h", "grade").agg(F.first("x").alias("x")).toPandas().sort_values(["doc_id", "h", "grade"])
-    return CumulativeLink.fit([np.frombuffer(x, np.int32) for x in rows["x"]], rows["grade"].to_numpy(np.int64))
+    found = found.groupBy("doc_id", "h", "grade").agg(F.first("x").alias("x")).coalesce(8).mapInPandas(joined, "key binary, size binary, x binary")
+    keys, rows = [], []
+    for r in found.toLocalIterator():  # one part of the sample at a time
+        keys.append(np.frombuffer(r["key"], np.int64).reshape(-1, 3))
+        rows += np.split(np.frombuffer(bytes(r["x"]), np.int32), np.cumsum(np.frombuffer(r["size"], np.int64) // 4)[:-1])
+    keys = np.concatenate(keys) if keys else np.zeros((0, 3), np.int64)
+    order = np.lexsort(keys.T[::-1])
+    return CumulativeLink.fit([rows[i] for i in order], keys[order, 2])
 
 
 ADDED = "score double, expected_grade double, p_ge_1 double, p_ge_2 double, accepted boolean"

@@ -455,6 +455,8 @@ def test_urls(spark):
         want = (host, path, max(fit)[1], max(fit)[2], site) if fit else (host, path, None, "block" if site else "allow", site)
         assert got[i] == want, u
     assert url_filter.judge_urls(empty(df), url_filter.listed_sites(spark)).count() == 0
+    clash = url_filter.judge_urls(df, url_filter.listed_sites(spark), keep=("page_id", "Host"), most_bytes=8)
+    assert clash.columns == ["page_id", "host", "path", "rule", "verdict", "listed_site"] and {r["page_id"]: tuple(r)[1:] for r in clash.collect()} == got
 
 
 def test_cascade(spark):
