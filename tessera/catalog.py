@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.constants import BLOCK, STAGE_BUDGET
+from tessera.constants import BLOCK, STAGE_BUDGET, Throttle
 from tessera.functions import bytes as fb
 from tessera.functions import codecs
 from tessera.operators import files, frames, policy, reports, sinks, state
@@ -117,7 +117,15 @@ def policy_confidence(spark, sf_dir):
     return _synthetic(spark, sf_dir).select("seq", d.alias("d")).select("seq", "d.codec_name", "d.confidence")
 
 
-@query()
+_F3 = "printf('%.3f', {})"
+_REASON = f"""CASE WHEN zero_density >= 0.999 THEN 'Zero block detected (zero_density=' || {_F3.format("zero_density")} || ' ≥ 0.999)'
+WHEN entropy > 7.6 AND uniqueness > 0.85 THEN 'Truly random/encrypted: entropy=' || {_F3.format("entropy")} || ' > 7.6 AND uniqueness=' || {_F3.format("uniqueness")} || ' > 0.85'
+WHEN run_length_density > 0.05 THEN 'Run-length structure: rld=' || {_F3.format("run_length_density")} || ' > 0.05 (LZ4 handles runs efficiently)'
+WHEN entropy < 6.5 OR uniqueness < 0.3 THEN 'LZ4HC fast-path: ' || concat_ws(' AND ', CASE WHEN entropy < 6.5 THEN 'entropy=' || {_F3.format("entropy")} || ' < 6.5' END, CASE WHEN uniqueness < 0.3 THEN 'uniqueness=' || {_F3.format("uniqueness")} || ' < 0.3' END) || ' (structured/low-diversity data → deep compression)'
+ELSE 'Default structured path: entropy=' || {_F3.format("entropy")} || ', rld=' || {_F3.format("run_length_density")} || ', uniqueness=' || {_F3.format("uniqueness")} || ' (moderate data → LZ4HC deep compression)' END"""
+
+
+@query(f"WITH {_SYNTH} SELECT seq, {_REASON} AS decision_reason FROM s")
 def policy_reasons(spark, sf_dir):
     d = policy.decision(F.struct("entropy", "run_length_density", "zero_density", "uniqueness"))
     return _synthetic(spark, sf_dir).select("seq", d.alias("d")).select("seq", "d.decision_reason")
@@ -134,10 +142,10 @@ def firmware_policy(spark, sf_dir):
     return b.select("seq", "f.entropy_fixed", "f.adjacent_equal", policy.firmware_codec(F.col("f.entropy_fixed"), F.col("f.adjacent_equal")).alias("codec"))
 
 
-@query("SELECT octet_length(encode(text))::INT AS n, seq, lower(substr(hex(encode(text)), 1, 8)) AS prefix FROM (SELECT doc_id AS seq, text FROM documents WHERE octet_length(encode(text)) >= 4)")
+@query("SELECT octet_length(encode(text))::INT AS n, seq, lower(substr(hex(encode(text)), 1, 8)) AS prefix FROM (SELECT doc_id AS seq, text FROM documents WHERE text IS NOT NULL)")
 def block_prefix(spark, sf_dir):
     b = F.encode("text", "UTF-8")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.octet_length("text") >= 4).select(F.octet_length("text").alias("n"), F.col("doc_id").alias("seq"), F.lower(F.hex(fb.prefix(b))).alias("prefix"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select(F.octet_length("text").alias("n"), F.col("doc_id").alias("seq"), F.lower(F.hex(fb.prefix(b))).alias("prefix"))
 
 
 _HITS = f"WITH {_SPLIT}, a AS (SELECT *, row_number() OVER (PARTITION BY volume_id, hx ORDER BY seq) AS use FROM blk)"
@@ -150,13 +158,14 @@ def cache_hits(spark, sf_dir):
 
 
 #: Accesses to cache keys: customers' orders by priority. The recency test counts the keys used since the last use, pair by pair.
-_ACCESS = "a AS (SELECT o_orderpriority AS volume_id, o_orderkey AS seq, o_custkey % 97 AS key, (o_custkey % 100) / 100.0::DOUBLE AS ratio FROM orders WHERE o_orderkey % 4 = 0)"
-_REUSE = f"{_ACCESS}, p AS (SELECT *, lag(seq) OVER (PARTITION BY volume_id, key ORDER BY seq) AS prev FROM a), h AS (SELECT p.volume_id, p.seq, p.key, p.ratio, p.prev IS NOT NULL AND (SELECT count(DISTINCT b.key) FROM a b WHERE b.volume_id = p.volume_id AND b.seq > p.prev AND b.seq < p.seq) < 40 AS cache_hit FROM p)"
+_ACCESS = "a AS (SELECT o_orderpriority AS volume_id, o_orderkey AS seq, o_custkey % 97 AS key, (o_custkey % 100) / 100.0::DOUBLE AS ratio, (o_custkey % 97) / 100.0::DOUBLE AS block_ratio FROM orders)"
+_REUSE = f"{_ACCESS}, p AS (SELECT *, lag(seq) OVER (PARTITION BY volume_id, key ORDER BY seq) AS prev FROM a), near AS (SELECT p.volume_id, p.seq, count(DISTINCT b.key) AS others FROM p JOIN a b ON b.volume_id = p.volume_id AND b.seq > p.prev AND b.seq < p.seq GROUP BY 1, 2), h AS (SELECT p.volume_id, p.seq, p.key, p.ratio, p.prev IS NOT NULL AND coalesce(near.others, 0) < 40 AS cache_hit FROM p LEFT JOIN near USING (volume_id, seq))"
 
 
 def _accesses(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 4 = 0")
-    return o.select(F.col("o_orderpriority").alias("volume_id"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 97).alias("key"), (F.col("o_custkey") % 100 / 100.0).alias("ratio"))
+    """Ratios by use, and by key as a block's content would have it."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select(F.col("o_orderpriority").alias("volume_id"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 97).alias("key"), (F.col("o_custkey") % 100 / 100.0).alias("ratio"), (F.col("o_custkey") % 97 / 100.0).alias("block_ratio"))
 
 
 @query(f"WITH {_REUSE} SELECT volume_id, seq, key, cache_hit FROM h")
@@ -169,11 +178,11 @@ def cache_generations(spark, sf_dir):
     return state.generations(state.lru_hits(_accesses(spark, sf_dir), 40)).select("volume_id", "seq", "key", "generation", "use")
 
 
-#: The learned ratio step by step, one access after the other.
+#: The learned ratio step by step, one access after the other; all uses of a block have its ratio.
 _STEP = f"""{_ACCESS}, r AS (SELECT *, row_number() OVER (PARTITION BY volume_id, key ORDER BY seq)::INT AS use FROM a),
-w AS (SELECT volume_id, seq, key, ratio, use, 1.0::DOUBLE AS avg_before, false AS force_raw FROM r WHERE use = 1
-  UNION ALL SELECT r.volume_id, r.seq, r.key, r.ratio, r.use, CASE WHEN w.force_raw THEN w.avg_before ELSE 0.25 * r.ratio + 0.75 * w.avg_before END,
-    w.force_raw OR (r.use >= 3 AND (CASE WHEN w.force_raw THEN w.avg_before ELSE 0.25 * r.ratio + 0.75 * w.avg_before END) > 0.88)
+w AS (SELECT volume_id, seq, key, block_ratio, use, 1.0::DOUBLE AS avg_before, false AS force_raw FROM r WHERE use = 1
+  UNION ALL SELECT r.volume_id, r.seq, r.key, r.block_ratio, r.use, CASE WHEN w.force_raw THEN w.avg_before ELSE 0.25 * w.block_ratio + 0.75 * w.avg_before END,
+    w.force_raw OR (r.use >= 3 AND (CASE WHEN w.force_raw THEN w.avg_before ELSE 0.25 * w.block_ratio + 0.75 * w.avg_before END) > 0.88)
   FROM w JOIN r ON r.volume_id = w.volume_id AND r.key = w.key AND r.use = w.use + 1)"""
 
 
@@ -181,7 +190,7 @@ w AS (SELECT volume_id, seq, key, ratio, use, 1.0::DOUBLE AS avg_before, false A
 def adaptive_override(spark, sf_dir):
     a = _accesses(spark, sf_dir).withColumn("cache_hit", F.lit(True))
     g = state.generations(a)
-    return state.learned(g, F.col("ratio"), F.lit(False)).select("volume_id", "seq", "use", "force_raw", "skip_benefit")
+    return state.learned(g, F.col("block_ratio"), F.lit(False)).select("volume_id", "seq", "use", "force_raw", "skip_benefit")
 
 
 _LEARN = "e AS (SELECT o_orderpriority AS volume_id, o_orderkey AS seq, (o_orderkey * 37 % 8001) / 1000.0::DOUBLE + (CASE WHEN o_orderkey % 9000 > 4500 THEN 3 ELSE 0 END) AS entropy FROM orders)"
@@ -221,11 +230,11 @@ def top_hot_blocks(spark, sf_dir):
     return reports.top_entries(_accesses(spark, sf_dir), 20)
 
 
-@query(f"WITH {_ACCESS} SELECT volume_id, seq, key, ((SELECT count(*) FROM orders o WHERE o.o_orderpriority = a.volume_id AND o.o_orderkey % 4 = 1 AND o.o_custkey % 97 = a.key AND o.o_orderkey < a.seq))::BIGINT AS epoch FROM a")
+#: Orders that are part done drop their customer's key; the others use it.
+@query("WITH e AS (SELECT o_orderpriority AS volume_id, o_orderkey AS seq, o_custkey % 97 AS key, o_orderstatus = 'P' AS drops FROM orders) SELECT u.volume_id, u.seq, u.key, count(d.seq)::BIGINT AS epoch FROM e u LEFT JOIN e d ON d.drops AND d.volume_id = u.volume_id AND d.key = u.key AND d.seq < u.seq WHERE NOT u.drops GROUP BY 1, 2, 3")
 def cache_invalidation(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 4 = 1")
-    drops = o.select(F.col("o_orderpriority").alias("volume_id"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 97).alias("key"))
-    return state.invalidated(_accesses(spark, sf_dir), drops).select("volume_id", "seq", "key", "epoch")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("volume_id"), F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 97).alias("key"), (F.col("o_orderstatus") == "P").alias("drops"))
+    return state.invalidated(o.filter("not drops").drop("drops"), o.filter("drops").drop("drops")).select("volume_id", "seq", "key", "epoch")
 
 
 @query("SELECT event_id AS seq, event_type AS volume_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r <= 500")
@@ -279,28 +288,86 @@ def frame_unpack(spark, sf_dir):
     return frames.unpack_module(f).select("seq", "codec_name", "original_size", "compressed_size", F.sha2("payload", 256).alias("payload"), "crc_valid")
 
 
+def _engine(spark, sf_dir):
+    return plans.engine(sources.document_blocks(spark, sf_dir), with_block=False)
+
+
 @query()
 def engine_frames(spark, sf_dir):
     f = plans.engine_frames(plans.engine(sources.document_blocks(spark, sf_dir)))
     return frames.unpack_engine(f).select("volume_id", "seq", "frame_offset", "codec_name", "compressed_size", "crc_valid")
 
 
-@query()
+def _byte_list(size: int) -> str:
+    return f"list_transform(range(0, {size}), lambda i: ('0x' || substr(hx, (2 * i + 1)::INT, 2))::INT)"
+
+
+def _crc_sql(low_first: bool) -> str:
+    """Byte by byte, with the table of what eight steps make of each byte."""
+    one = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 40961) ELSE c >> 1 END" if low_first else "CASE WHEN c & 32768 > 0 THEN xor((c & 32767) << 1, 4129) ELSE (c & 32767) << 1 END"
+    step = "xor(c >> 8, t[(xor(c, b) & 255) + 1])" if low_first else "xor((c & 255) << 8, t[xor(c >> 8, b) + 1])"
+    start = "i" if low_first else "i << 8"
+    return f"""WITH {_SPLIT}, tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([{start}], range(0, 8)), lambda c, n: {one})) AS t)
+SELECT seq, list_reduce(list_concat([65535], {_byte_list(4096)}), lambda c, b: {step})::INT AS crc FROM blk, tab"""
+
+
+@query(_crc_sql(True))
 def crc16_modbus(spark, sf_dir):
     return sources.document_blocks(spark, sf_dir).select("seq", fb.crc16_modbus("block").alias("crc"))
 
 
-@query()
+@query(_crc_sql(False))
 def crc16_ccitt(spark, sf_dir):
     return sources.document_blocks(spark, sf_dir).select("seq", fb.crc16_ccitt("block").alias("crc"))
 
 
-@query()
+_M64 = "18446744073709551616::UHUGEINT"
+
+
+def _mul(a: str, b: int) -> str:
+    return f"(({a})::UHUGEINT * {b}::UHUGEINT % {_M64})"
+
+
+def _rot(a: str, r: int) -> str:
+    return f"(({a}) * {1 << r}::UHUGEINT % {_M64} + ({a}) // {1 << (64 - r)}::UHUGEINT)"
+
+
+def _xor(a: str, b: str) -> str:
+    return f"xor(({a})::UBIGINT, ({b})::UBIGINT)::UHUGEINT"
+
+
+#: A block's 64-bit numbers, lowest byte first.
+_LANES = f"lanes AS (SELECT *, list_transform(range(0, 512), lambda i: ('0x' || substr(hx, (16 * i + 15)::INT, 2) || substr(hx, (16 * i + 13)::INT, 2) || substr(hx, (16 * i + 11)::INT, 2) || substr(hx, (16 * i + 9)::INT, 2) || substr(hx, (16 * i + 7)::INT, 2) || substr(hx, (16 * i + 5)::INT, 2) || substr(hx, (16 * i + 3)::INT, 2) || substr(hx, (16 * i + 1)::INT, 2))::UBIGINT::UHUGEINT) AS k FROM blk)"
+_C1, _C2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+
+
+def _murmur_sql(seed: int) -> str:
+    """The 128-bit hash step by step over pairs of numbers; out: seq, h1, h2 and the columns of the block."""
+    k1 = _mul(_rot(_mul("k[2 * i + 1]", _C1), 31), _C2)
+    k2 = _mul(_rot(_mul("k[2 * i + 2]", _C2), 33), _C1)
+    final = lambda x: f"(SELECT {_xor('y3', 'y3 // 8589934592::UHUGEINT')} FROM (SELECT {_mul('y2', 0xC4CEB9FE1A85EC53)} AS y3 FROM (SELECT {_xor('y1', 'y1 // 8589934592::UHUGEINT')} AS y2 FROM (SELECT {_mul('y0', 0xFF51AFD7ED558CCD)} AS y1 FROM (SELECT {_xor(x, f'({x}) // 8589934592::UHUGEINT')} AS y0)))))"
+    return f"""mixed AS (SELECT * EXCLUDE (k), list_transform(range(0, 256), lambda i: {k1}) AS p, list_transform(range(0, 256), lambda i: {k2}) AS q FROM lanes),
+steps AS (SELECT seq, 0 AS i, {seed}::UHUGEINT AS h1, {seed}::UHUGEINT AS h2 FROM mixed
+  UNION ALL SELECT seq, i + 1, n1, (({_rot(_xor('h2', 'q[i + 1]'), 31)} + n1) % {_M64} * 5 + 944331445) % {_M64} FROM (SELECT s.seq, s.i, s.h2, m.q, ((({_rot(_xor('s.h1', 'm.p[s.i + 1]'), 27)} + s.h2) % {_M64}) * 5 + 1390208809) % {_M64} AS n1 FROM steps s JOIN mixed m ON m.seq = s.seq WHERE s.i < 256)),
+ended AS (SELECT seq, (x + h2 % {_M64}) % {_M64} AS a, h2 FROM (SELECT seq, {_xor('h1', '4096::UHUGEINT')} AS x, {_xor(f'h2 % {_M64}', '4096::UHUGEINT')} AS h2 FROM steps WHERE i = 256)),
+added AS (SELECT seq, a, (h2 + a) % {_M64} AS b FROM ended),
+hashed AS (SELECT seq, (fa + fb) % {_M64} AS h1, (fb + (fa + fb) % {_M64}) % {_M64} AS h2 FROM (SELECT seq, {final('a')} AS fa, {final('b')} AS fb FROM added))"""
+
+
+_HEX = "lpad(lower(hex({}::UBIGINT)), 16, '0')"
+
+
+@query(f"WITH RECURSIVE {_SPLIT}, {_LANES}, {_murmur_sql(42)} SELECT seq, {_HEX.format('h1')} || {_HEX.format('h2')} AS h FROM hashed")
 def murmur3_128(spark, sf_dir):
     return sources.document_blocks(spark, sf_dir).select("seq", fb.murmur3_128(F.col("block"), 42).alias("h"))
 
 
-@query()
+_SIMPLE_SEED = (42 ^ (4096 * 0xC4CEB9FE1A85EC53)) % (1 << 64)
+_SIMPLE = f"""simple AS (SELECT * EXCLUDE (k), list_reduce(list_concat([{_SIMPLE_SEED}::UHUGEINT], list_transform(k, lambda x: {_mul(_rot(_mul('x', _C1), 31), _C2)})), lambda h, x: ({_rot(_xor('h', 'x'), 27)} * 5 + 1390208809) % {_M64}) AS h0 FROM lanes),
+signed AS (SELECT * EXCLUDE (h0), {_HEX.format(_xor('h0', 'h0 // 8589934592::UHUGEINT'))} AS h FROM simple)"""
+
+
+@query(f"WITH {_SPLIT}, {_LANES}, {_SIMPLE} SELECT seq, h FROM signed")
 def firmware_murmur3(spark, sf_dir):
     return sources.document_blocks(spark, sf_dir).select("seq", fb.murmur3_simple(F.col("block")).alias("h"))
 
@@ -316,10 +383,10 @@ def file_index(spark, sf_dir):
     return files.index(b.select("path", "block_no", F.col("frame_offset").cast("long").alias("frame_offset"))).select("path", "size", F.size("blocks").alias("n_blocks"))
 
 
-@query("SELECT doc_id::VARCHAR AS path, sha256(unhex(rpad(substr(hex(encode(text)), 2001, 8192), greatest(least((octet_length(encode(text)) + 4095) // 4096 * 4096 - 1000, 4096), 0)::INT * 2, '0'))) AS data FROM documents WHERE doc_id = 0")
+@query("SELECT doc_id::VARCHAR AS path, sha256(unhex(rpad(substr(hex(encode(text)), 2001, 8192), greatest(least((octet_length(encode(text)) + 4095) // 4096 * 4096 - 1000, 4096), 0)::INT * 2, '0'))) AS data FROM documents WHERE octet_length(encode(text)) > 0")
 def read_range(spark, sf_dir):
     fr = plans.engine_frames(plans.engine(sources.document_blocks(spark, sf_dir)))
-    return files.read_range(files.index(fr), fr, "0", 1000, 4096).select("path", F.sha2("data", 256).alias("data"))
+    return files.read_range(files.index(fr), fr, None, 1000, 4096).select("path", F.sha2("data", 256).alias("data"))
 
 
 @query("SELECT '.' AS name UNION ALL SELECT '..' UNION ALL SELECT '.stats' UNION ALL SELECT doc_id::VARCHAR FROM documents WHERE octet_length(encode(text)) > 0")
@@ -330,37 +397,174 @@ def file_names(spark, sf_dir):
 
 @query()
 def engine_results(spark, sf_dir):
-    return plans.engine(sources.document_blocks(spark, sf_dir)).drop("block", "key", "path", "workload")
+    return _engine(spark, sf_dir).drop("key", "path", "workload")
+
+
+#: The engine on plain numbers: orders use their customer's key, which stands for the block's content; some are zero blocks.
+_LIMIT = 4.0301
+_MEASURED = """m AS (SELECT o_orderpriority AS volume_id, o_orderkey AS seq, o_orderstatus AS workload, o_custkey % 97 AS key, o_custkey % 29 = 0 AS zero_block, (o_custkey % 97 * 83 % 81) / 10.0::DOUBLE AS entropy,
+  (o_custkey % 97 * 11 % 120) / 1000.0::DOUBLE AS rld, (o_custkey % 97 * 7 % 101) / 100.0::DOUBLE AS uniqueness, (100 + o_custkey % 97 * 211 % 4200)::INT AS lz4, ((100 + o_custkey % 97 * 211 % 4200) * 9 // 10)::INT AS lz4hc FROM orders)"""
+_MACHINE = f"""{_MEASURED}, a AS (SELECT * FROM m WHERE NOT zero_block),
+p AS (SELECT *, lag(seq) OVER (PARTITION BY volume_id, key ORDER BY seq) AS prev FROM a),
+near AS (SELECT p.volume_id, p.seq, count(DISTINCT b.key) AS others FROM p JOIN a b ON b.volume_id = p.volume_id AND b.seq > p.prev AND b.seq < p.seq GROUP BY 1, 2),
+h AS (SELECT p.*, p.prev IS NOT NULL AND coalesce(near.others, 0) < 40 AS cache_hit FROM p LEFT JOIN near USING (volume_id, seq)),
+g AS (SELECT *, sum((NOT cache_hit)::INT) OVER (PARTITION BY volume_id, key ORDER BY seq)::BIGINT AS generation FROM h),
+u AS (SELECT *, row_number() OVER (PARTITION BY volume_id, key, generation ORDER BY seq)::INT AS use FROM g),
+miss AS (SELECT volume_id, key, generation, throttled, CASE WHEN entropy > 7.6 AND uniqueness > 0.85 THEN 'RAW' WHEN rld > 0.05 OR throttled THEN 'LZ4' ELSE 'LZ4HC' END AS codec FROM
+  (SELECT *, count(entropy) OVER w >= 20 AND avg(entropy) OVER w > {_LIMIT} AS throttled FROM u WHERE NOT cache_hit WINDOW w AS (PARTITION BY volume_id ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))),
+z AS (SELECT u.*, miss.codec, miss.throttled, CASE WHEN codec = 'LZ4' THEN lz4 ELSE lz4hc END AS size FROM u JOIN miss USING (volume_id, key, generation)),
+r AS (SELECT *, codec = 'RAW' OR size >= 4022 AS raw, CASE WHEN codec = 'RAW' OR size >= 4022 THEN 1.0 ELSE size / 4096.0 END::DOUBLE AS learns FROM z),
+w AS (SELECT volume_id, seq, key, generation, use, learns, 1.0::DOUBLE AS before, false AS force_raw FROM r WHERE use = 1
+  UNION ALL SELECT volume_id, seq, key, generation, use, learns, before, was OR (use >= 3 AND before > 0.88) FROM
+   (SELECT r.volume_id, r.seq, r.key, r.generation, r.use, r.learns, w.force_raw AS was, CASE WHEN w.force_raw THEN w.before ELSE 0.25 * w.learns + 0.75 * w.before END AS before
+    FROM w JOIN r ON r.volume_id = w.volume_id AND r.key = w.key AND r.generation = w.generation AND r.use = w.use + 1)),
+live AS (SELECT r.volume_id, r.seq, r.workload, r.key, false AS zero_block, CASE WHEN raw OR force_raw THEN 'RAW' ELSE codec END AS codec_used, CASE WHEN raw OR force_raw THEN 4096 ELSE size END::INT AS compressed_size,
+  CASE WHEN raw OR force_raw THEN 1.0 ELSE size / 4096.0 END::DOUBLE AS ratio, cache_hit, CASE WHEN NOT cache_hit THEN entropy END AS entropy, CASE WHEN NOT cache_hit THEN rld END AS rld, CASE WHEN NOT cache_hit THEN uniqueness END AS uniqueness,
+  CASE WHEN NOT cache_hit THEN throttled END AS throttled, NOT cache_hit AND entropy > 7.6 AND uniqueness <= 0.85 AS raw_avoided, force_raw, r.use >= 3 AND NOT force_raw AND before < 0.35 AS skip_benefit, r.use, r.generation
+  FROM r JOIN w USING (volume_id, seq)),
+every AS (SELECT * FROM live UNION ALL SELECT volume_id, seq, workload, key, true, 'SKIP', 0, NULL, false, 0.0, 1.0, 0.004, NULL, false, false, false, NULL, NULL FROM m WHERE zero_block),
+results AS (SELECT *, sum(CASE WHEN zero_block THEN 4096 ELSE compressed_size END) OVER x / (count(*) OVER x * 4096.0)::DOUBLE AS waf_current FROM every WINDOW x AS (PARTITION BY volume_id ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
+
+
+def _machine(spark, sf_dir):
+    k = F.col("o_custkey") % 97
+    lz4 = 100 + k * 211 % 4200
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderpriority").alias("volume_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("workload"), k.alias("key"), (F.col("o_custkey") % 29 == 0).alias("zero_block"), (k * 83 % 81 / 10.0).alias("entropy"),
+        (k * 11 % 120 / 1000.0).alias("rld"), (k * 7 % 101 / 100.0).alias("uniqueness"), lz4.cast("int").alias("lz4"), F.floor(lz4 * 9 / 10).cast("int").alias("lz4hc"),
+    )
+    return plans.engine_state(rows, capacity=40, limit=Throttle(limit=_LIMIT))
+
+
+@query(f"WITH RECURSIVE {_MACHINE} SELECT * FROM results")
+def engine_state(spark, sf_dir):
+    return _machine(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {_MACHINE}, held AS (SELECT sum(n)::BIGINT AS n FROM (SELECT least(count(DISTINCT key), 40) AS n FROM results WHERE NOT zero_block GROUP BY volume_id)),
+t AS (SELECT count(*)::BIGINT AS total_blocks_processed, count(*) FILTER (cache_hit)::BIGINT AS total_cache_hits, count(*) FILTER (NOT cache_hit AND NOT zero_block)::BIGINT AS total_cache_misses, count(*) FILTER (codec_used = 'RAW')::BIGINT AS total_raw_blocks,
+ count(*) FILTER (codec_used NOT IN ('RAW', 'SKIP'))::BIGINT AS total_compressed_blocks, count(*) FILTER (zero_block)::BIGINT AS total_skip_blocks, sum(CASE WHEN zero_block THEN 4096 ELSE compressed_size END)::BIGINT AS physical_bytes_written,
+ count(*) FILTER (force_raw OR skip_benefit)::BIGINT AS adaptive_overrides, count(*) FILTER (force_raw)::BIGINT AS adaptive_skip_compress, count(*) FILTER (skip_benefit)::BIGINT AS adaptive_force_compress, count(*) FILTER (raw_avoided)::BIGINT AS raw_avoided_by_uniqueness,
+ avg(entropy) FILTER (NOT cache_hit AND NOT zero_block) AS average_entropy, avg(uniqueness) FILTER (NOT cache_hit AND NOT zero_block) AS average_uniqueness, sum(coalesce(ratio, 0)) / count(*) AS average_compression_ratio FROM results)
+SELECT *, total_cache_hits / (total_cache_hits + total_cache_misses)::DOUBLE AS cache_hit_rate, total_blocks_processed * 4096 AS logical_bytes_written, physical_bytes_written / (total_blocks_processed * 4096)::DOUBLE AS waf,
+ (total_blocks_processed * 4096 - physical_bytes_written) * 100.0::DOUBLE / (total_blocks_processed * 4096) AS space_saving_pct, (SELECT n FROM held) AS cache_entries_used FROM t""")
+def engine_state_stats(spark, sf_dir):
+    return reports.engine_stats(_machine(spark, sf_dir), 40)
+
+
+@query(f"WITH RECURSIVE {_MACHINE} SELECT workload, count(*)::BIGINT AS block_count, round_even(avg(cache_hit::INT), 4) AS cache_hit_rate, round_even(avg(ratio), 4) AS avg_ratio, round_even((1 - avg(ratio)) * 100, 2) AS space_saving_pct, round_even(count(*) / sum(count(*)) OVER ()::DOUBLE * 100, 2) AS pct FROM results GROUP BY workload")
+def engine_state_breakdown(spark, sf_dir):
+    return reports.workload_breakdown(_machine(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_MACHINE} SELECT count(*) FILTER (codec_used = 'RAW') * 100.0::DOUBLE / count(*) AS raw_pct, count(*) FILTER (codec_used IN ('LZ4', 'LZ4HC')) * 100.0::DOUBLE / count(*) AS compressed_pct, count(*) FILTER (codec_used = 'SKIP') * 100.0::DOUBLE / count(*) AS skip_pct FROM results")
+def block_shares(spark, sf_dir):
+    return reports.block_shares(_machine(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_MACHINE} SELECT seq AS block_index, workload AS workload_type, codec_used, compressed_size, cache_hit::INT AS cache_hit, CASE WHEN entropy IS NULL THEN '' ELSE printf('%.4f', entropy) END AS entropy, CASE WHEN rld IS NULL THEN '' ELSE printf('%.4f', rld) END AS rld, printf('%.2f', (seq * 7 % 4001) / 4.0::DOUBLE) AS block_time_us FROM results")
+def block_lines(spark, sf_dir):
+    return sinks.block_lines(_machine(spark, sf_dir), F.col("seq") * 7 % 4001 / 4.0)
+
+
+@query(f"WITH RECURSIVE {_MACHINE}, t AS (SELECT *, (seq * 7 % 4001) / 4.0::DOUBLE AS us FROM results), ranked AS (SELECT us, row_number() OVER (ORDER BY us) - 1 AS r, count(*) OVER () AS n FROM t) SELECT count(*)::BIGINT AS total_blocks, round_even(count(*) * 4096 / 1e6 / 2.5, 3) AS throughput_mb_s, round_even(avg(coalesce(ratio, 0)), 4) AS compression_ratio, round_even((1 - avg(coalesce(ratio, 0))) * 100, 2) AS space_saving_pct, round_even(avg(cache_hit::INT), 4) AS cache_hit_rate, round_even(avg(us) / 1000, 4) AS avg_latency_ms, (SELECT round_even(max(us) / 1000, 4) FROM ranked WHERE r = floor(0.95::DOUBLE * n)) AS p95_latency_ms, (SELECT round_even(max(us) / 1000, 4) FROM ranked WHERE r = floor(0.99::DOUBLE * n)) AS p99_latency_ms FROM t")
+def benchmark_run(spark, sf_dir):
+    return reports.benchmark(_machine(spark, sf_dir), F.col("seq") * 7 % 4001 / 4.0, 2.5)
+
+
+@query("WITH a AS (SELECT o_orderpriority AS volume_id, o_orderkey AS seq, md5((o_custkey % 500)::VARCHAR) AS m FROM orders), s AS (SELECT *, ('0x' || substr(m, 9, 8))::BIGINT % 64 AS slot FROM a), h AS (SELECT coalesce(lag(m) OVER (PARTITION BY volume_id, slot ORDER BY seq) = m, false) AS hit FROM s) SELECT count(*) FILTER (hit)::BIGINT AS hits, count(*) FILTER (NOT hit)::BIGINT AS misses, count(*) FILTER (hit) / count(*)::DOUBLE AS hit_rate FROM h")
+def firmware_hit_rate(spark, sf_dir):
+    return reports.hit_rate(direct_mapped_cache(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT unnest(range(0, 40)) AS seq), d AS (SELECT seq, CASE seq % 4 WHEN 0 THEN repeat('00', 4096) WHEN 1 THEN repeat(substr(md5(seq || ':byte:0'), 1, 2), 4096)
+ WHEN 2 THEN (SELECT repeat(substr(md5(seq || ':pattern:0'), 1, 2 * n), 4096 // n) FROM (SELECT (2 ** (('0x' || substr(md5(seq || ':length:0'), 1, 8))::BIGINT % 4 + 1))::INT AS n))
+ ELSE (SELECT string_agg(CASE WHEN ('0x' || substr(md5(seq || ':written:' || i), 1, 8))::BIGINT % 4 = 0 THEN substr(md5(seq || ':data:' || i), 1, 16) || repeat('00', 120) ELSE repeat('00', 128) END, '' ORDER BY i) FROM range(0, 32) t(i)) END AS hx FROM s) SELECT seq, sha256(unhex(hx)) AS sha FROM d""")
+def repetitive_blocks(spark, sf_dir):
+    return spark.range(40).select(F.col("id").alias("seq"), F.sha2(sources.generated(F.lit("variants"), F.col("id")), 256).alias("sha"))
+
+
+@query("SELECT 'file_' || f || '.txt' AS path, sha256(translate(string_agg(md5(f || ':' || i), '' ORDER BY i), '0123456789', 'ghijklmnop')) AS sha FROM range(0, 50) a(f), range(0, 128) b(i) GROUP BY f")
+def many_files(spark, sf_dir):
+    return sources.many_files(spark, 50).select("path", F.sha2("content", 256).alias("sha"))
+
+
+@query("SELECT * FROM (VALUES ('random_data.bin', 102400), ('app_logs.log', 102400), ('zero_blocks.bin', 102400), ('repetitive.bin', 102400), ('mixed_data.bin', 102400)) v(path, size)")
+def fixture_files(spark, sf_dir):
+    return sources.fixture_files(spark).select("path", F.octet_length("content").alias("size"))
+
+
+#: Line items stand for encoded blocks: a flag chooses the codec, a part number gives the encoded size.
+_CODED = "c AS (SELECT CASE l_returnflag WHEN 'A' THEN 'LZ4' WHEN 'N' THEN 'LZ4HC' ELSE 'RAW' END AS codec_selected, (l_partkey % 4200)::INT AS packed, (l_suppkey % 50)::VARCHAR AS path FROM lineitem), d AS (SELECT *, codec_selected <> 'RAW' AND packed + 74 < 4096 AS keep FROM c), e AS (SELECT path, codec_selected, CASE WHEN keep THEN codec_selected ELSE 'RAW' END AS codec_used, CASE WHEN keep THEN packed ELSE 4096 END AS compressed_size, CASE WHEN keep THEN round_even(packed / 4096.0::DOUBLE, 6) ELSE 1.0 END AS ratio, packed FROM d)"
+
+
+def _coded(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = li.select(F.when(F.col("l_returnflag") == "A", "LZ4").when(F.col("l_returnflag") == "N", "LZ4HC").otherwise("RAW").alias("codec_selected"), (F.col("l_partkey") % 4200).cast("int").alias("packed"), (F.col("l_suppkey") % 50).cast("string").alias("path"))
+    return li.withColumn("c", codecs.coded_sizes(F.col("codec_selected"), F.lit(BLOCK), F.col("packed"))).select("path", "codec_selected", "c.codec_used", F.col("c.size").alias("compressed_size"), "c.ratio", "packed")
+
+
+@query(f"WITH {_CODED} SELECT codec_used AS codec, count(*)::BIGINT AS blocks, round_even(avg(ratio), 4) AS avg_ratio, count(*) FILTER (codec_used <> codec_selected)::BIGINT AS fallbacks, sum(compressed_size)::BIGINT AS bytes FROM e GROUP BY ROLLUP (codec_used)")
+def codec_fallbacks(spark, sf_dir):
+    return reports.codec_stats(_coded(spark, sf_dir))
+
+
+_PER_FILE = f"{_CODED}, f AS (SELECT path, count(*)::BIGINT AS blocks, sum(compressed_size) / (count(*) * 4096)::DOUBLE AS cs_ratio, sum(least(packed, 4096)) / (count(*) * 4096)::DOUBLE AS lz4_ratio, round_even(avg((codec_used = 'RAW')::INT) * 100, 1) AS raw_pct FROM e GROUP BY path)"
+
+
+def _per_file(spark, sf_dir):
+    return reports.per_file(_coded(spark, sf_dir).withColumns({"adaptive": F.col("compressed_size"), "static": F.least("packed", F.lit(BLOCK))}))
+
+
+@query(f"WITH {_PER_FILE} SELECT *, lz4_ratio - cs_ratio AS delta FROM f")
+def per_file_ratio(spark, sf_dir):
+    return _per_file(spark, sf_dir)
+
+
+@query(f"WITH {_PER_FILE} SELECT count(*)::BIGINT AS files, avg(cs_ratio) AS avg_cs_ratio, avg(lz4_ratio) AS avg_lz4_ratio, count(*) FILTER (cs_ratio <= lz4_ratio)::BIGINT AS wins FROM f")
+def file_totals(spark, sf_dir):
+    return reports.file_summary(_per_file(spark, sf_dir))
+
+
+@query(f"WITH {_SPLIT}, {_LANES}, {_SIMPLE}, c AS (SELECT *, ('0x' || substr(h, 9, 8))::BIGINT % 16384 AS slot, h || substr(hx, 1, 8) AS entry FROM signed) SELECT volume_id, seq, h AS signature, slot, coalesce(lag(entry) OVER (PARTITION BY volume_id, slot ORDER BY seq) = entry, false) AS cache_hit FROM c")
+def firmware_cache(spark, sf_dir):
+    return plans.firmware(sources.document_blocks(spark, sf_dir), with_block=False).select("volume_id", "seq", "signature", "slot", "cache_hit")
+
+
+@query(f"WITH {_FEATURES}, x AS (SELECT *, row_number() OVER (PARTITION BY volume_id, hx ORDER BY seq) > 1 AS cache_hit FROM f) SELECT volume_id, seq, cache_hit, CASE WHEN cache_hit THEN 0.0 ELSE entropy END AS entropy, CASE WHEN cache_hit THEN 0.0 ELSE run_length_density END AS rld, CASE WHEN NOT cache_hit THEN {_POLICY} END AS chosen, (row_number() OVER (PARTITION BY volume_id ORDER BY seq) - 1) * 4096 AS frame_offset FROM x")
+def pipeline_decisions(spark, sf_dir):
+    p = plans.pipeline(sources.document_blocks(spark, sf_dir), with_block=False)
+    return p.select("volume_id", "seq", "cache_hit", "entropy", "rld", F.when(~F.col("cache_hit"), F.col("codec_selected")).alias("chosen"), "frame_offset")
 
 
 @query()
 def engine_stats(spark, sf_dir):
-    return reports.engine_stats(plans.engine(sources.document_blocks(spark, sf_dir)))
+    return reports.engine_stats(_engine(spark, sf_dir))
 
 
 @query()
 def pipeline_results(spark, sf_dir):
-    return plans.pipeline(sources.document_blocks(spark, sf_dir)).drop("block")
+    return plans.pipeline(sources.document_blocks(spark, sf_dir), with_block=False)
 
 
 @query()
 def codec_stats(spark, sf_dir):
-    return reports.codec_stats(plans.pipeline(sources.document_blocks(spark, sf_dir)))
+    return reports.codec_stats(plans.pipeline(sources.document_blocks(spark, sf_dir), with_block=False))
 
 
 @query()
 def firmware_results(spark, sf_dir):
-    return plans.firmware(sources.document_blocks(spark, sf_dir)).drop("block")
+    return plans.firmware(sources.document_blocks(spark, sf_dir), with_block=False)
 
 
 @query()
 def branch_stream(spark, sf_dir):
-    return reports.engine_stats(plans.engine(sources.branch_stream(spark, 2000)))
+    return reports.engine_stats(plans.engine(sources.branch_stream(spark, 2000), with_block=False))
 
 
 @query()
 def workload_breakdown(spark, sf_dir):
-    return reports.workload_breakdown(plans.engine(sources.exact_stream(spark, 400)))
+    return reports.workload_breakdown(plans.engine(sources.exact_stream(spark, 400), with_block=False))
 
 
 @query("SELECT 160::BIGINT AS n, 'random' AS workload UNION ALL SELECT 100, 'structured' UNION ALL SELECT 80, 'repetitive' UNION ALL SELECT 60, 'archive_like'")
@@ -384,7 +588,7 @@ def policy_distribution(spark, sf_dir):
     return reports.codec_distribution(f.select(policy.policy_codec(F.col("entropy"), F.col("run_length_density"), F.col("zero_density"), F.col("uniqueness")).alias("codec_used")))
 
 
-@query(f"WITH {_REUSE} SELECT count(*) FILTER (cache_hit)::BIGINT AS hits, count(*) FILTER (NOT cache_hit)::BIGINT AS misses, least(count(DISTINCT (volume_id, key)), count(DISTINCT volume_id) * 40)::BIGINT AS entries, (count(DISTINCT volume_id) * 40)::BIGINT AS capacity, round_even(count(*) FILTER (cache_hit) / count(*)::DOUBLE, 4) AS hit_rate, round_even(least(count(DISTINCT (volume_id, key)), count(DISTINCT volume_id) * 40) * 100.0::DOUBLE / (count(DISTINCT volume_id) * 40), 2) AS utilisation_pct, (least(count(DISTINCT (volume_id, key)), count(DISTINCT volume_id) * 40) * 16)::BIGINT AS memory_bytes FROM h")
+@query(f"WITH {_REUSE}, v AS (SELECT volume_id, count(*) FILTER (cache_hit) AS hits, count(*) FILTER (NOT cache_hit) AS misses, least(count(DISTINCT key), 40) AS entries FROM h GROUP BY volume_id), t AS (SELECT sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, sum(entries)::BIGINT AS entries, count(*)::BIGINT * 40 AS capacity FROM v) SELECT *, hits + misses AS lookups, misses AS inserts, misses - entries AS evictions, round_even(hits / (hits + misses)::DOUBLE, 4) AS hit_rate, round_even(entries * 100.0::DOUBLE / capacity, 2) AS utilisation_pct, entries * 16 AS memory_bytes FROM t")
 def cache_stats(spark, sf_dir):
     return reports.cache_stats(state.lru_hits(_accesses(spark, sf_dir), 40), 40)
 
@@ -443,8 +647,9 @@ def policy_compare(spark, sf_dir):
 
 
 def _sizes(spark, sf_dir):
-    r = plans.engine(sources.document_blocks(spark, sf_dir)).join(sources.document_blocks(spark, sf_dir).select("block").distinct().select(F.sha2("block", 256).alias("key"), codecs.lib_sizes(F.col("block"))["lz4"].alias("z")), "key")
-    return r.withColumns({"adaptive": F.when(F.col("zero_block"), 0).otherwise(F.col("compressed_size")), "static": F.least(F.col("z"), F.lit(BLOCK))})
+    """Stored bytes of each block by the engine and by plain LZ4."""
+    rows = plans.measured(sources.document_blocks(spark, sf_dir)).withColumn("static", F.least("lz4", F.lit(BLOCK)))
+    return plans.engine_state(rows).withColumn("adaptive", F.when(F.col("zero_block"), 0).otherwise(F.col("compressed_size")))
 
 
 @query()
@@ -473,9 +678,9 @@ def cpu_budget(spark, sf_dir):
     return reports.cpu_budget(spark.createDataFrame([("hash", 3.0, 1.0), ("features", 20.0, 0.6), ("lz4", 100.0, 0.3), ("lz4hc", 200.0, 0.2)], "operation string, us double, share double"))
 
 
-@query(f"WITH {_REUSE}, r AS (SELECT volume_id, row_number() OVER w AS blocks, avg(cache_hit::INT) OVER w AS hit_rate, sum((NOT cache_hit)::INT) OVER w AS entries FROM h WINDOW w AS (PARTITION BY volume_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) SELECT volume_id, blocks::INT AS blocks, hit_rate, entries::BIGINT AS entries FROM r WHERE blocks % 100 = 0")
+@query(f"WITH {_REUSE}, f AS (SELECT *, row_number() OVER (PARTITION BY volume_id, key ORDER BY seq) = 1 AS fresh FROM h), r AS (SELECT volume_id, row_number() OVER w AS blocks, avg(cache_hit::INT) OVER w AS hit_rate, least(sum(fresh::INT) OVER w, 40) AS entries FROM f WINDOW w AS (PARTITION BY volume_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) SELECT volume_id, blocks::INT AS blocks, hit_rate, entries::BIGINT AS entries FROM r WHERE blocks % 100 = 0")
 def warmup_samples(spark, sf_dir):
-    return reports.warmup_samples(state.lru_hits(_accesses(spark, sf_dir), 40))
+    return reports.warmup_samples(state.lru_hits(_accesses(spark, sf_dir), 40), 40)
 
 
 @query(f"WITH {_STAGE_SQL} SELECT stage, avg_us, CASE WHEN max(avg_us) OVER () > 0 THEN avg_us / max(avg_us) OVER () * 100 ELSE 0 END AS bar FROM p")
@@ -484,16 +689,21 @@ def dashboard_bars(spark, sf_dir):
     return reports.dashboard(spark.range(1).select(F.lit(0.5).alias("average_compression_ratio")), s)[1].select("stage", "avg_us", "bar")
 
 
-@query()
+@query(f"WITH {_STAGE_SQL}, r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events), q AS (SELECT event_type, count(*) AS n, max(value) FILTER (r = floor(0.95::DOUBLE * n)) AS p95, max(value) FILTER (r = floor(0.99::DOUBLE * n)) AS p99 FROM r GROUP BY event_type) SELECT 0 AS section, 0 AS row, 'STAGES' AS line UNION ALL SELECT 0, 1, 'stage,count,avg_us,min_us,max_us,std_us,budget_us,budget_pct' UNION ALL SELECT 0, 2, concat_ws(',', stage, count, avg_us, min_us, max_us, std_us, budget_us, budget_pct) FROM p UNION ALL SELECT 1, 0, 'PERCENTILES' UNION ALL SELECT 1, 1, 'event_type,n,p95,p99' UNION ALL SELECT 1, 2, concat_ws(',', event_type, n, p95, p99) FROM q")
 def report_sections(spark, sf_dir):
     t = _timings(spark, sf_dir)
-    return sinks.sections(("STAGES", reports.stage_stats(t)), ("PERCENTILES", reports.index_percentiles(t, ["event_type"], "us")))
+    return sinks.sections(("STAGES", reports.stage_stats(t)), ("PERCENTILES", reports.index_percentiles(t, ["event_type"], "us").drop("avg")))
+
+
+@query(f"WITH {_STAGE_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY stage) + 1 AS no FROM p) SELECT 0 AS line_no, 'Stage timings' AS line UNION ALL SELECT 1, rpad('stage', 20, ' ') || lpad('count', 14, ' ') || lpad('avg_us', 14, ' ') || lpad('max_us', 14, ' ') || lpad('budget_pct', 14, ' ') UNION ALL SELECT no::INT, printf('%-20s', stage) || printf('%14.2f', count::DOUBLE) || printf('%14.2f', avg_us) || printf('%14.2f', max_us) || printf('%14.2f', budget_pct) FROM o")
+def timing_report(spark, sf_dir):
+    return reports.lines_of("Stage timings", reports.stage_stats(_timings(spark, sf_dir)).select("stage", "count", "avg_us", "max_us", "budget_pct"), "stage")
 
 
 @query()
 def metrics_json(spark, sf_dir):
-    r = plans.pipeline(sources.document_blocks(spark, sf_dir))
-    e = plans.engine(sources.document_blocks(spark, sf_dir))
+    r = plans.pipeline(sources.document_blocks(spark, sf_dir), with_block=False)
+    e = _engine(spark, sf_dir)
     m = reports.metrics(reports.engine_stats(e), reports.codec_stats(r), reports.cache_stats(e.filter("not zero_block").select("volume_id", "key", "cache_hit"), 2340))
     return m.select(F.to_json(F.struct(*m.columns)).alias("metrics"))
 

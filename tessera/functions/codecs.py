@@ -163,15 +163,29 @@ def beneficial(size: Column, original: Column | int = 4096) -> Column:
 
 def coded(codec: Column, block: Column, packed: Column) -> Column:
     """What is stored: struct of CODED. Without benefit, and for RAW and SKIP, the block is stored raw with ratio 1."""
+    return coded_sizes(codec, F.octet_length(block), F.octet_length(packed))
+
+
+def coded_sizes(codec: Column, n: Column, packed: Column) -> Column:
+    """The same from the sizes of the block and of its code."""
     name = F.upper(F.trim(codec))
     name = F.when(name.isin("RAW", "SKIP", "LZ4", "LZ4HC"), name).otherwise(F.raise_error(F.concat(F.lit("unknown codec "), codec)).cast("string"))
-    n = F.octet_length(block)
-    keep = name.isin("LZ4", "LZ4HC") & beneficial(F.octet_length(packed), n)
+    keep = name.isin("LZ4", "LZ4HC") & beneficial(packed, n)
     return F.struct(
-        F.when(keep, name).otherwise("RAW").alias("codec_used"), F.when(keep, F.octet_length(packed)).otherwise(n).alias("size"),
-        F.when(keep, F.bround(F.octet_length(packed) / n, 6)).otherwise(1.0).alias("ratio"), keep.alias("benefit"),
+        F.when(keep, name).otherwise("RAW").alias("codec_used"), F.when(keep, packed).otherwise(n).alias("size"),
+        F.when(keep, F.bround(packed / n, 6)).otherwise(1.0).alias("ratio"), F.coalesce(keep, F.lit(False)).alias("benefit"),
     )
 
 
+def own_size(codec: Column, block: Column) -> Column:
+    """Size of the block in the own encoder's LZ4 or LZ4HC; null for other codecs, which encode nothing."""
+
+    @F.pandas_udf("int")
+    def run(c: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([len(encode(bytes(x), k == "LZ4HC")) if k in ("LZ4", "LZ4HC") else None for k, x in zip(c, b)], dtype="Int32")
+
+    return run(codec, block)
+
+
 def stored_raw(size: Column) -> Column:
     return size >= LEAST_RAW_SIZE

@@ -18,22 +18,26 @@ def _n(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
-def engine_stats(results: DataFrame) -> DataFrame:
-    """One row. Zero blocks are neither hits nor misses; they count as 4096 physical bytes and ratio 0."""
+def engine_stats(results: DataFrame, capacity: int = ENGINE_CACHE) -> DataFrame:
+    """One row. Zero blocks are neither hits nor misses; they count as 4096 physical bytes and ratio 0. A volume's cache holds ``capacity`` entries."""
     zero, hit = F.col("zero_block"), F.col("cache_hit")
-    physical = F.sum(F.when(zero, BLOCK).otherwise(F.col("compressed_size")))
-    out = results.agg(
-        F.count("*").alias("total_blocks_processed"), _n(hit & ~zero).alias("total_cache_hits"), _n(~hit & ~zero).alias("total_cache_misses"), _n(F.col("codec_used") == RAW).alias("total_raw_blocks"),
-        _n(~F.col("codec_used").isin(RAW, SKIP)).alias("total_compressed_blocks"), _n(zero).alias("total_skip_blocks"), F.avg(F.when(~hit & ~zero, F.col("entropy"))).alias("average_entropy"),
-        F.avg(F.when(~hit & ~zero, F.col("uniqueness"))).alias("average_uniqueness"), F.sum(F.when(zero, 0.0).otherwise(F.col("ratio"))).alias("_ratio"), physical.alias("physical_bytes_written"),
+    miss = ~hit & ~zero
+    per = results.groupBy("volume_id").agg(
+        F.count("*").alias("total_blocks_processed"), _n(hit & ~zero).alias("total_cache_hits"), _n(miss).alias("total_cache_misses"), _n(F.col("codec_used") == RAW).alias("total_raw_blocks"),
+        _n(~F.col("codec_used").isin(RAW, SKIP)).alias("total_compressed_blocks"), _n(zero).alias("total_skip_blocks"), F.sum(F.when(miss, F.col("entropy"))).alias("_entropy"),
+        F.sum(F.when(miss, F.col("uniqueness"))).alias("_uniqueness"), F.sum(F.when(zero, 0.0).otherwise(F.col("ratio"))).alias("_ratio"), F.sum(F.when(zero, BLOCK).otherwise(F.col("compressed_size"))).alias("physical_bytes_written"),
         _n(F.col("force_raw") | F.col("skip_benefit")).alias("adaptive_overrides"), _n(F.col("force_raw")).alias("adaptive_skip_compress"), _n(F.col("skip_benefit")).alias("adaptive_force_compress"),
-        _n(F.col("raw_avoided")).alias("raw_avoided_by_uniqueness"), F.countDistinct(F.when(~zero, F.concat_ws(":", "volume_id", "key"))).alias("_keys"), F.countDistinct("volume_id").alias("_volumes"),
+        _n(F.col("raw_avoided")).alias("raw_avoided_by_uniqueness"), F.least(F.countDistinct(F.when(~zero, F.col("key"))), F.lit(capacity)).alias("cache_entries_used"),
     )
+    counts = [c for c in per.columns if c[0] != "_" and c != "volume_id"]
+    out = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts], *[F.sum(c).alias(c) for c in ("_entropy", "_uniqueness", "_ratio")])
     n, logical = F.col("total_blocks_processed"), F.col("total_blocks_processed") * BLOCK
+    misses = F.col("total_cache_misses")
     return out.select(
-        *[c for c in out.columns if c[0] != "_"], share(F.col("total_cache_hits"), F.col("total_cache_hits") + F.col("total_cache_misses")).alias("cache_hit_rate"),
+        *[c for c in counts if c != "cache_entries_used"], share(F.col("_entropy"), misses).alias("average_entropy"), share(F.col("_uniqueness"), misses).alias("average_uniqueness"),
+        share(F.col("total_cache_hits"), F.col("total_cache_hits") + misses).alias("cache_hit_rate"),
         share(F.col("_ratio"), n).alias("average_compression_ratio"), logical.alias("logical_bytes_written"), share(F.col("physical_bytes_written"), logical).alias("waf"),
-        space_saving(F.col("physical_bytes_written"), logical).alias("space_saving_pct"), F.least(F.col("_keys"), F.col("_volumes") * ENGINE_CACHE).alias("cache_entries_used"),
+        space_saving(F.col("physical_bytes_written"), logical).alias("space_saving_pct"), "cache_entries_used",
     )
 
 
@@ -62,16 +66,19 @@ def codec_distribution(results: DataFrame, codec: str = "codec_used") -> DataFra
     return out.withColumn("pct", F.bround(share(F.col("blocks"), F.sum("blocks").over(Window.partitionBy()), 100.0), 2))
 
 
-def codec_stats(results: DataFrame) -> DataFrame:
-    """Per codec and, as codec null, in all: blocks, average ratio, and blocks stored raw against their choice."""
+def codec_stats(results: DataFrame, latency: Column | None = None) -> DataFrame:
+    """Per codec and, as codec null, in all: blocks, average ratio, blocks stored raw against their choice, bytes, and the average time if there is one."""
     fallback = _n((F.col("codec_selected") != F.col("codec_used")) & (F.col("codec_used") == RAW))
-    return results.rollup(F.col("codec_used").alias("codec")).agg(F.count("*").alias("blocks"), F.bround(F.avg("ratio"), 4).alias("avg_ratio"), fallback.alias("fallbacks"), F.sum("compressed_size").alias("bytes"))
+    return results.rollup(F.col("codec_used").alias("codec")).agg(F.count("*").alias("blocks"), F.bround(F.avg("ratio"), 4).alias("avg_ratio"), fallback.alias("fallbacks"), F.sum("compressed_size").alias("bytes"), *([] if latency is None else [F.bround(F.avg(latency), 3).alias("avg_us")]))
 
 
 def cache_stats(hits: DataFrame, capacity: int, entry_bytes: int = 16) -> DataFrame:
-    used = F.least(F.countDistinct("volume_id", "key"), F.countDistinct("volume_id") * capacity)
-    out = hits.agg(_n(F.col("cache_hit")).alias("hits"), _n(~F.col("cache_hit")).alias("misses"), used.alias("entries"), (F.countDistinct("volume_id") * capacity).alias("capacity"))
-    return out.select("*", F.bround(share(F.col("hits"), F.col("hits") + F.col("misses")), 4).alias("hit_rate"), F.bround(share(F.col("entries"), F.col("capacity"), 100.0), 2).alias("utilisation_pct"), (F.col("entries") * entry_bytes).alias("memory_bytes"))
+    """One row over all volumes, each with a cache of ``capacity`` entries: what is not held any more was evicted."""
+    per = hits.groupBy("volume_id").agg(_n(F.col("cache_hit")).alias("hits"), _n(~F.col("cache_hit")).alias("misses"), F.least(F.countDistinct("key"), F.lit(capacity)).alias("entries"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = per.agg(total("hits").alias("hits"), total("misses").alias("misses"), total("entries").alias("entries"), (F.count("*") * capacity).alias("capacity"))
+    lookups = F.col("hits") + F.col("misses")
+    return out.select("*", lookups.alias("lookups"), F.col("misses").alias("inserts"), (F.col("misses") - F.col("entries")).alias("evictions"), F.bround(share(F.col("hits"), lookups), 4).alias("hit_rate"), F.bround(share(F.col("entries"), F.col("capacity"), 100.0), 2).alias("utilisation_pct"), (F.col("entries") * entry_bytes).alias("memory_bytes"))
 
 
 def top_entries(accesses: DataFrame, n: int, key: str = "key") -> DataFrame:
@@ -186,10 +193,12 @@ def cpu_budget(shares: DataFrame, blocks_per_second: float = 25_000.0) -> DataFr
     return shares.withColumn("cpu_pct", F.col("us") * blocks_per_second * F.col("share") / 1e6 * 100)
 
 
-def warmup_samples(hits: DataFrame, every: int = 100) -> DataFrame:
-    """Hit rate and entries after each ``every`` blocks of a volume."""
-    w = Window.partitionBy("volume_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    r = hits.withColumns({"blocks": F.row_number().over(Window.partitionBy("volume_id").orderBy("seq")), "hit_rate": F.avg(F.col("cache_hit").cast("int")).over(w), "entries": F.sum((~F.col("cache_hit")).cast("int")).over(w)})
+def warmup_samples(hits: DataFrame, capacity: int, every: int = 100) -> DataFrame:
+    """Hit rate and cached entries after each ``every`` blocks of a volume: the different keys so far, at most ``capacity``."""
+    by = Window.partitionBy("volume_id").orderBy("seq")
+    w = by.rowsBetween(Window.unboundedPreceding, 0)
+    first = F.row_number().over(Window.partitionBy("volume_id", "key").orderBy("seq")) == 1
+    r = hits.withColumn("_first", first).withColumns({"blocks": F.row_number().over(by), "hit_rate": F.avg(F.col("cache_hit").cast("int")).over(w), "entries": F.least(F.sum(F.col("_first").cast("int")).over(w), F.lit(capacity))})
     return r.filter(F.col("blocks") % every == 0).select("volume_id", "blocks", "hit_rate", "entries")
 
 
@@ -200,6 +209,41 @@ def dashboard(stats: DataFrame, per_stage: DataFrame) -> tuple[DataFrame, DataFr
     return figures, bars
 
 
+def hit_rate(hits: DataFrame) -> DataFrame:
+    """One row: hits, misses and their rate, 0 for no lookups."""
+    n = hits.agg(_n(F.col("cache_hit")).alias("hits"), _n(~F.col("cache_hit")).alias("misses"))
+    return n.select("*", share(F.col("hits"), F.col("hits") + F.col("misses")).alias("hit_rate"))
+
+
+def block_shares(results: DataFrame) -> DataFrame:
+    """One row: per cent of blocks stored raw, compressed and skipped."""
+    pct = lambda c: share(_n(c), F.count("*"), 100.0)
+    codec = F.col("codec_used")
+    return results.agg(pct(codec == RAW).alias("raw_pct"), pct(~codec.isin(RAW, SKIP)).alias("compressed_pct"), pct(codec == SKIP).alias("skip_pct"))
+
+
+def benchmark(results: DataFrame, latency: Column, seconds: float) -> DataFrame:
+    """A run's key figures in one row: blocks, throughput over ``seconds``, ratio and saving of what was written, hit rate, and mean, p95 and p99 of the microseconds in ``latency``, as milliseconds."""
+    r = results.select(F.lit(1).alias("_run"), latency.alias("_us"), "cache_hit", F.coalesce("ratio", F.lit(0.0)).alias("_ratio"))
+    marks = index_percentiles(r, ["_run"], "_us")
+    one = r.groupBy("_run").agg(F.avg("_ratio").alias("_r"), F.avg(F.col("cache_hit").cast("int")).alias("_h"))
+    ms = lambda c: F.bround(F.col(c) / 1000, 4)
+    return marks.join(one, "_run").select(
+        F.col("n").alias("total_blocks"), F.bround(throughput(F.col("n"), F.lit(seconds))["mb_s"], 3).alias("throughput_mb_s"), F.bround("_r", 4).alias("compression_ratio"), F.bround((1 - F.col("_r")) * 100, 2).alias("space_saving_pct"),
+        F.bround("_h", 4).alias("cache_hit_rate"), ms("avg").alias("avg_latency_ms"), ms("p95").alias("p95_latency_ms"), ms("p99").alias("p99_latency_ms"),
+    )
+
+
+def lines_of(title: str, rows: DataFrame, order: str) -> DataFrame:
+    """(line_no, line): a title, a header and a line a row in the given order; numbers with two digits stand right."""
+    kinds = dict(rows.dtypes)
+    cell = lambda c: F.format_string("%-20s", F.coalesce(F.col(c), F.lit("-"))) if kinds[c] == "string" else F.format_string("%14.2f", F.col(c).cast("double"))
+    head = "".join(f"{c:<20}" if kinds[c] == "string" else f"{c[:14]:>14}" for c in rows.columns)
+    top = rows.sparkSession.createDataFrame([(0, title), (1, head)], "line_no int, line string")
+    numbered = rows.withColumn("_no", F.row_number().over(Window.partitionBy().orderBy(order)) + 1)
+    return top.unionByName(numbered.select(F.col("_no").alias("line_no"), F.concat(*map(cell, rows.columns)).alias("line")))
+
+
 def text_report(stats: DataFrame) -> DataFrame:
     """One row a line of the engine's report."""
     names = [(c, "%.4f" if dict(stats.dtypes)[c] == "double" else "%d") for c in stats.columns]

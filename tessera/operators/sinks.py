@@ -25,11 +25,18 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_blocks_csv(results: DataFrame, path: str) -> None:
-    """Per block; null features are blank."""
-    cols = [F.col("seq").alias("block_index"), F.col("workload").alias("workload_type"), "codec_used", "compressed_size", F.col("cache_hit").cast("int").alias("cache_hit"), F.format_string("%.6f", "entropy").alias("entropy"), F.format_string("%.6f", "rld").alias("rld")]
-    shown = [F.when(F.col(n).isNull(), "").otherwise(c).alias(n) if n in ("entropy", "rld") else c for n, c in zip(("", "", "", "", "", "entropy", "rld"), cols)]
-    results.select(*shown).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+def block_lines(results: DataFrame, time_us=None) -> DataFrame:
+    """The eight columns of the per-block report as text, in order of seq; null features and missing times are blank."""
+    shown = lambda c, f: F.coalesce(F.when(c.isNotNull(), F.format_string(f, c)), F.lit(""))
+    time = F.lit("") if time_us is None else shown(time_us, "%.2f")
+    return results.select(
+        F.col("seq").alias("block_index"), F.col("workload").alias("workload_type"), "codec_used", "compressed_size", F.col("cache_hit").cast("int").alias("cache_hit"),
+        shown(F.col("entropy"), "%.4f").alias("entropy"), shown(F.col("rld"), "%.4f").alias("rld"), time.alias("block_time_us"),
+    )
+
+
+def write_blocks_csv(results: DataFrame, path: str, time_us=None) -> None:
+    block_lines(results, time_us).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
 def sections(*named: tuple[str, DataFrame]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,52 +17,59 @@ def _ordered(*keys: str):
     return Window.partitionBy(*keys).orderBy("seq")
 
 
-def _distance_hits(keys: np.ndarray, capacity: int) -> np.ndarray:
-    """Hits of a least-recently-used cache: the different keys since the last use, by a Fenwick tree over places."""
-    n = len(keys)
-    tree, last, hit = np.zeros(n + 1, np.int64), {}, np.zeros(n, bool)
-
-    def add(i, v):
-        i += 1
-        while i <= n:
-            tree[i] += v
-            i += i & -i
-
-    def upto(i):
-        i += 1
-        s = 0
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        return s
-
-    for i, k in enumerate(keys.tolist()):
-        p = last.get(k)
-        if p is not None:
-            hit[i] = upto(i - 1) - upto(p) < capacity
-            add(p, -1)
-        add(i, 1)
-        last[k] = i
-    return hit
-
-
-def lru_hits(accesses: DataFrame, capacity: int = ENGINE_CACHE, key: str = "key") -> DataFrame:
+#: Numbers of one cell: 2^34, which hold 1,024 sources. Cells of a volume run at the same time.
+CELL_BITS = 34
+
+
+def _simulated(codes: np.ndarray, start: int, capacity: int) -> np.ndarray:
+    """Hits of a least-recently-used cache over whole numbers; the first ``start`` of them fill it and are not reported."""
+    if pd.unique(codes).size <= capacity:
+        return pd.Series(codes).duplicated().to_numpy()[start:]
+    cache, hit = OrderedDict(), np.zeros(len(codes), bool)
+    for i, k in enumerate(codes.tolist()):
+        if k in cache:
+            hit[i] = True
+            cache.move_to_end(k)
+        else:
+            cache[k] = None
+            if len(cache) > capacity:
+                cache.popitem(last=False)
+    return hit[start:]
+
+
+def lru_hits(accesses: DataFrame, capacity: int = ENGINE_CACHE, key: str = "key", cell_bits: int = CELL_BITS) -> DataFrame:
     """Adds cache_hit: is the key still among the ``capacity`` last used ones of its volume?
 
-    A volume with no more keys than the capacity never evicts: a hit is any earlier use, a lag over
-    the key's uses. Larger volumes, decided by a count of keys, go through an exact stack distance,
-    one volume at a time in order: the volume is the unit of state. Null keys are one key.
+    A volume is cut into cells of seq. What the cache holds at the start of a cell follows from the
+    last uses of at most ``capacity`` keys in each cell before, so these are merged first, and then
+    all cells run at the same time, each in order. Null keys are one key.
     """
-    many = accesses.groupBy("volume_id").agg((F.countDistinct(F.coalesce(F.col(key).cast("string"), F.lit("\0"))) > capacity).alias("_evicts"))
-    a = accesses.join(many, accesses["volume_id"].eqNullSafe(many["volume_id"])).drop(many["volume_id"])
-    simple = a.filter(~F.col("_evicts")).withColumn("cache_hit", F.lag("seq").over(_ordered("volume_id", key)).isNotNull()).drop("_evicts")
-
-    def distance(pdf: pd.DataFrame) -> pd.DataFrame:
+    cell = F.shiftright("seq", cell_bits)
+    a = accesses.withColumn("_cell", cell)
+    last = accesses.select("volume_id", cell.alias("_cell"), F.col(key).alias("_key"), "seq").groupBy("volume_id", "_cell", "_key").agg(F.max("seq").alias("_last"))
+    newest = Window.partitionBy("volume_id", "_cell").orderBy(F.desc("_last"))
+    last = last.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= capacity).drop("_r")
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each cell but the first, the keys that the cache holds, the one used longest ago first."""
+        parts, held = [], None
+        for c, g in pdf.sort_values(["_cell", "_last"], kind="stable").groupby("_cell"):
+            if held is not None:
+                parts.append(held.assign(_cell=c))
+                g = pd.concat([held, g])
+            held = g.drop_duplicates("_key", keep="last").tail(capacity)
+        return pd.concat(parts) if parts else pdf.iloc[:0]
+
+    starts = last.groupBy("volume_id").applyInPandas(begin, last.schema)
+
+    def run(start: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq", kind="stable")
-        return pdf.assign(cache_hit=_distance_hits(pd.factorize(pdf[key].map(lambda x: bytes(x) if isinstance(x, (bytes, bytearray)) else x), use_na_sentinel=False)[0], capacity))
+        both = pd.concat([start.sort_values("_last")["_key"], pdf[key]], ignore_index=True)
+        codes = pd.factorize(both.map(lambda x: bytes(x) if isinstance(x, (bytes, bytearray)) else x), use_na_sentinel=False)[0]
+        return pdf.drop(columns="_cell").assign(cache_hit=_simulated(codes, len(start), capacity))
 
-    exact = a.filter("_evicts").drop("_evicts").groupBy("volume_id").applyInPandas(distance, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in accesses.schema.fields) + ", cache_hit boolean")
-    return simple.select(*accesses.columns, "cache_hit").unionByName(exact)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in accesses.schema.fields) + ", cache_hit boolean"
+    return starts.groupBy("volume_id", "_cell").cogroup(a.groupBy("volume_id", "_cell")).applyInPandas(lambda s, d: run(s, d) if len(d) else d.drop(columns="_cell").assign(cache_hit=pd.Series(dtype=bool)), schema)
 
 
 def pipeline_hits(accesses: DataFrame, key: str = "key") -> DataFrame:
@@ -87,9 +96,9 @@ def learned(g: DataFrame, ratio: Column, raw: Column, a: Adaptivity = Adaptivity
     return g.withColumns({"avg_before": before, "force_raw": force, "skip_benefit": (n >= a.trusted) & ~force & (before < a.low), "confidence_before": F.when(force, a.trusted).otherwise(F.least(n, F.lit(255)))})
 
 
-def throttle(misses: DataFrame, t: Throttle = Throttle()) -> DataFrame:
-    """Adds throttled to rows of misses: mean entropy of the last ones, this one included."""
-    w = _ordered("volume_id").rowsBetween(-(t.window - 1), 0)
+def throttle(misses: DataFrame, t: Throttle = Throttle(), *by: str) -> DataFrame:
+    """Adds throttled to rows of misses: mean entropy of the last ones, this one included. ``by`` keeps other rows apart."""
+    w = _ordered("volume_id", *by).rowsBetween(-(t.window - 1), 0)
     return misses.withColumn("throttled", (F.count("entropy").over(w) >= t.least) & (F.avg("entropy").over(w) > t.limit))
 
 

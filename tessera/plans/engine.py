@@ -7,58 +7,61 @@ from pyspark.sql import functions as F
 
 from tessera.constants import BLOCK, ENGINE_CACHE, LZ4, PIPELINE_CACHE, PIPELINE_SEED, RAW, SKIP, Adaptivity, Thresholds, Throttle
 from tessera.functions.bytes import features, firmware_features, is_zero, murmur3_128, murmur3_simple, prefix
-from tessera.functions.codecs import coded, encoded, lib_sizes, stored_raw
+from tessera.functions.codecs import coded_sizes, encoded, lib_sizes, own_size, stored_raw
 from tessera.operators import frames, policy, state
 
 
-def with_features(blocks: DataFrame, *, distinct: bool = True) -> DataFrame:
-    """Adds key (SHA-256 of the block) and f (features): computed once for each different block."""
-    b = blocks.withColumn("key", F.sha2("block", 256))
-    if not distinct:
-        return b.withColumn("f", features("block"))
-    once = b.select("key", "block").dropDuplicates(["key"]).select("key", features("block").alias("f"))
-    return b.join(once, "key")
+def with_features(blocks: DataFrame) -> DataFrame:
+    """Adds key (SHA-256 of the block) and f (features), made where the block lies: no block is dealt out."""
+    return blocks.withColumn("key", F.sha2("block", 256)).withColumn("f", features("block"))
 
 
-def engine(blocks: DataFrame, *, capacity: int = ENGINE_CACHE, thresholds: Thresholds = Thresholds(), adaptivity: Adaptivity = Adaptivity(), limit: Throttle = Throttle(), compressor=lib_sizes) -> DataFrame:
-    """The adaptive engine over (volume_id, seq, block).
+def measured(blocks: DataFrame, compressor=lib_sizes) -> DataFrame:
+    """All columns but the block, and key, zero_block, entropy, rld, uniqueness, lz4 and lz4hc (sizes). Everything after it is narrow."""
+    m = blocks.select(*[c for c in blocks.columns if c != "block"], F.sha2("block", 256).alias("key"), is_zero(F.col("block")).alias("zero_block"), features("block").alias("f"), compressor(F.col("block")).alias("z"))
+    return m.select(*[c for c in m.columns if c not in ("f", "z")], F.col("f.entropy").alias("entropy"), F.col("f.run_length_density").alias("rld"), F.col("f.uniqueness").alias("uniqueness"), F.col("z.lz4").alias("lz4"), F.col("z.lz4hc").alias("lz4hc"))
 
-    Zero blocks leave first. Features and both compressed sizes are made once per different block. A
-    hit is a use within the cache's reach; an entry's codec is the one of its first use, which the
-    mean entropy of the last misses may lower; its learned ratio has a closed form. Volumes are
-    independent, so they are the unit of parallel work.
 
-    Adds to the blocks: key, codec_used, compressed_size, ratio, cache_hit, zero_block, entropy, rld,
-    uniqueness (null on hits), throttled, raw_avoided, force_raw, skip_benefit, use, generation and waf_current.
+def engine(blocks: DataFrame, *, capacity: int = ENGINE_CACHE, thresholds: Thresholds = Thresholds(), adaptivity: Adaptivity = Adaptivity(), limit: Throttle = Throttle(), compressor=lib_sizes, with_block: bool = True) -> DataFrame:
+    """The adaptive engine over (volume_id, seq, block): engine_state of what is measured, and the blocks again if wanted."""
+    out = engine_state(measured(blocks, compressor), capacity=capacity, thresholds=thresholds, adaptivity=adaptivity, limit=limit)
+    return out.join(blocks.select("volume_id", "seq", "block"), ["volume_id", "seq"]) if with_block else out
+
+
+def engine_state(rows: DataFrame, *, capacity: int = ENGINE_CACHE, thresholds: Thresholds = Thresholds(), adaptivity: Adaptivity = Adaptivity(), limit: Throttle = Throttle()) -> DataFrame:
+    """The engine's state machine over rows of ``measured``.
+
+    Zero blocks leave first. A hit is a use within the cache's reach; an entry's codec is the one of
+    its first use, which the mean entropy of the last misses may lower; its learned ratio has a closed
+    form. One chain of windows, no joins: caches run in cells of a volume, entries by key, the mean
+    over the last misses and the running write amplification by volume.
+
+    Adds codec_used, compressed_size, ratio, cache_hit, throttled, raw_avoided, force_raw, skip_benefit,
+    use, generation and waf_current; entropy, rld and uniqueness are null on hits.
     """
-    keyed = blocks.withColumn("zero_block", is_zero(F.col("block"))).withColumn("key", F.sha2("block", 256))
-    live = keyed.filter(~F.col("zero_block"))
-    once = live.select("key", "block").dropDuplicates(["key"]).select("key", features("block").alias("f"), compressor(F.col("block")).alias("z"))
-    g = state.generations(state.lru_hits(live.select("volume_id", "seq", "key"), capacity)).join(once, "key")
-    g = g.select("volume_id", "seq", "key", "cache_hit", "generation", "use", "z", F.col("f.entropy").alias("entropy"), F.col("f.run_length_density").alias("rld"), F.col("f.uniqueness").alias("uniqueness"))
-    miss = state.throttle(g.filter(~F.col("cache_hit")), limit)
-    h, r, u = F.col("entropy"), F.col("rld"), F.col("uniqueness")
-    miss = miss.select("volume_id", "key", "generation", "throttled", policy.engine_codec(h, r, u, F.col("throttled"), thresholds).alias("codec"), policy.raw_avoided(h, u, thresholds).alias("raw_avoided"))
-    g = g.join(miss, ["volume_id", "key", "generation"])
-    size = F.when(F.col("codec") == LZ4, F.col("z.lz4")).otherwise(F.col("z.lz4hc"))
+    names = rows.columns
+    g = state.generations(state.lru_hits(rows.filter(~F.col("zero_block")), capacity))
+    h, r, u, hit = F.col("entropy"), F.col("rld"), F.col("uniqueness"), F.col("cache_hit")
+    g = state.throttle(g, limit, "cache_hit").withColumn("throttled", F.when(~hit, F.col("throttled")))
+    entry = state._ordered("volume_id", "key", "generation")
+    g = g.withColumn("codec", F.first(F.when(~hit, policy.engine_codec(h, r, u, F.col("throttled"), thresholds))).over(entry))
+    size = F.when(F.col("codec") == LZ4, F.col("lz4")).otherwise(F.col("lz4hc"))
     g = g.withColumns({"size": size, "raw": (F.col("codec") == RAW) | stored_raw(size)})
     g = state.learned(g, F.col("size") / BLOCK, F.col("raw"), adaptivity)
     raw = F.col("raw") | F.col("force_raw")
-    hit = F.col("cache_hit")
+    own = [c for c in names if c not in ("entropy", "rld", "uniqueness", "lz4", "lz4hc")]
     done = g.select(
-        "volume_id", "seq", F.when(raw, RAW).otherwise(F.col("codec")).alias("codec_used"), F.when(raw, BLOCK).otherwise(F.col("size")).alias("compressed_size"),
-        F.when(raw, 1.0).otherwise(F.col("size") / BLOCK).alias("ratio"), hit.alias("cache_hit"), *[F.when(~hit, F.col(c)).alias(c) for c in ("entropy", "rld", "uniqueness")],
-        F.when(~hit, F.col("throttled")).alias("throttled"), (~hit & F.col("raw_avoided")).alias("raw_avoided"), "force_raw", "skip_benefit", "use", "generation",
+        *own, F.when(raw, RAW).otherwise(F.col("codec")).alias("codec_used"), F.when(raw, BLOCK).otherwise(F.col("size")).alias("compressed_size"),
+        F.when(raw, 1.0).otherwise(F.col("size") / BLOCK).alias("ratio"), hit, *[F.when(~hit, F.col(c)).alias(c) for c in ("entropy", "rld", "uniqueness")],
+        "throttled", (~hit & policy.raw_avoided(h, u, thresholds)).alias("raw_avoided"), "force_raw", "skip_benefit", "use", "generation",
+    )
+    no = F.lit(False)
+    zero = rows.filter("zero_block").select(
+        *own, F.lit(SKIP).alias("codec_used"), F.lit(0).alias("compressed_size"), F.lit(None).cast("double").alias("ratio"), no.alias("cache_hit"), F.lit(0.0).alias("entropy"), F.lit(1.0).alias("rld"), F.lit(0.004).alias("uniqueness"),
+        F.lit(None).cast("boolean").alias("throttled"), no.alias("raw_avoided"), no.alias("force_raw"), no.alias("skip_benefit"), F.lit(None).cast("int").alias("use"), F.lit(None).cast("long").alias("generation"),
     )
-    out = keyed.join(done, ["volume_id", "seq"], "left")
-    zero = F.col("zero_block")
-    out = out.withColumns({
-        "codec_used": F.when(zero, SKIP).otherwise(F.col("codec_used")), "compressed_size": F.when(zero, 0).otherwise(F.col("compressed_size")), "cache_hit": F.coalesce("cache_hit", F.lit(False)),
-        "entropy": F.when(zero, 0.0).otherwise(F.col("entropy")), "rld": F.when(zero, 1.0).otherwise(F.col("rld")), "uniqueness": F.when(zero, 0.004).otherwise(F.col("uniqueness")),
-        **{c: F.coalesce(c, F.lit(False)) for c in ("raw_avoided", "force_raw", "skip_benefit")},
-    })
-    physical = F.when(F.col("zero_block"), BLOCK).otherwise(F.col("compressed_size"))
-    return out.withColumn("waf_current", state.running_waf(out, physical, F.lit(BLOCK)))
+    out = done.unionByName(zero)
+    return out.withColumn("waf_current", state.running_waf(out, F.when(F.col("zero_block"), BLOCK).otherwise(F.col("compressed_size")), F.lit(BLOCK)))
 
 
 def engine_frames(results: DataFrame) -> DataFrame:
@@ -72,36 +75,33 @@ def engine_frames(results: DataFrame) -> DataFrame:
     )
 
 
-def pipeline(blocks: DataFrame, *, capacity: int = PIPELINE_CACHE, thresholds: Thresholds = Thresholds()) -> DataFrame:
+def pipeline(blocks: DataFrame, *, capacity: int = PIPELINE_CACHE, thresholds: Thresholds = Thresholds(), with_block: bool = True) -> DataFrame:
     """The module pipeline: own encoder, explainable policy, cached codec on hits (the entry's stored codec). SKIP is stored as raw with ratio 1.
 
-    Adds signature, cache_hit, entropy and rld (0 on hits), codec_selected, codec_used, compressed_size, ratio, space_saving_pct, benefit, frame_offset.
+    The codec is chosen first; a block is encoded once, and not at all for RAW and SKIP. Adds signature,
+    cache_hit, entropy and rld (0 on hits), codec_selected, codec_used, compressed_size, ratio,
+    space_saving_pct, benefit, frame_offset.
     """
-    b = blocks.withColumn("key", F.sha2("block", 256))
-    once = b.select("key", "block").dropDuplicates(["key"])
-    once = once.select("key", "block", features("block").alias("f"), F.substring(murmur3_128(F.col("block"), PIPELINE_SEED), 1, 16).alias("signature"), encoded(F.col("block"), False, True).alias("fast"), encoded(F.col("block"), True, True).alias("deep"))
-    d = policy.decision(F.col("f"), thresholds)
-    once = once.withColumn("d", d).withColumn("c", coded(F.col("d.codec_name"), F.col("block"), F.when(F.col("d.codec_name") == LZ4, F.col("fast")).otherwise(F.col("deep"))))
-    hits = state.lru_hits(b.select("volume_id", "seq", "key"), capacity)
-    out = b.join(hits.select("volume_id", "seq", "cache_hit"), ["volume_id", "seq"]).join(once.drop("block"), "key")
+    own = [c for c in blocks.columns if c != "block"]
+    b = with_features(blocks).withColumn("signature", F.substring(murmur3_128(F.col("block"), PIPELINE_SEED), 1, 16)).withColumn("d", policy.decision(F.col("f"), thresholds)["codec_name"])
+    c = coded_sizes(F.col("d"), F.octet_length("block"), own_size(F.col("d"), F.col("block")))
+    b = b.withColumn("c", c).select(*own, "key", "signature", F.col("f.entropy").alias("h"), F.col("f.run_length_density").alias("r"), "d", "c.*")
     hit = F.col("cache_hit")
-    return out.select(
-        *blocks.columns, "signature", "cache_hit", F.when(hit, 0.0).otherwise(F.col("f.entropy")).alias("entropy"), F.when(hit, 0.0).otherwise(F.col("f.run_length_density")).alias("rld"),
-        F.when(hit, F.col("c.codec_used")).otherwise(F.col("d.codec_name")).alias("codec_selected"), F.col("c.codec_used").alias("codec_used"), F.col("c.size").alias("compressed_size"),
-        F.col("c.ratio").alias("ratio"), F.bround((1 - F.col("c.ratio")) * 100, 2).alias("space_saving_pct"), F.col("c.benefit").alias("benefit"),
+    out = state.lru_hits(b, capacity).select(
+        *own, "signature", "cache_hit", F.when(hit, 0.0).otherwise(F.col("h")).alias("entropy"), F.when(hit, 0.0).otherwise(F.col("r")).alias("rld"),
+        F.when(hit, F.col("codec_used")).otherwise(F.col("d")).alias("codec_selected"), "codec_used", F.col("size").alias("compressed_size"), "ratio", F.bround((1 - F.col("ratio")) * 100, 2).alias("space_saving_pct"), "benefit",
         ((F.row_number().over(state._ordered("volume_id")) - 1) * BLOCK).cast("long").alias("frame_offset"),
     )
+    return out.join(blocks.select("volume_id", "seq", "block"), ["volume_id", "seq"]) if with_block else out
 
 
-def firmware(blocks: DataFrame, *, slots: int = PIPELINE_CACHE) -> DataFrame:
+def firmware(blocks: DataFrame, *, slots: int = PIPELINE_CACHE, with_block: bool = True) -> DataFrame:
     """The controller's path: direct-mapped cache, integer features, benefit check after the cache keeps the codec."""
-    b = blocks.withColumn("key", F.sha2("block", 256))
-    once = b.select("key", "block").dropDuplicates(["key"]).select("key", murmur3_simple(F.col("block")).alias("signature"), firmware_features("block").alias("f"), lib_sizes(F.col("block")).alias("z"))
-    j = b.join(once, "key")
-    j = state.direct_mapped(j, F.col("signature"), prefix(F.col("block")), slots)
+    own = [c for c in blocks.columns if c != "block"]
+    j = blocks.select(*own, murmur3_simple(F.col("block")).alias("signature"), firmware_features("block").alias("f"), lib_sizes(F.col("block")).alias("z"), prefix(F.col("block")).alias("_first"))
+    j = state.direct_mapped(j, F.col("signature"), F.col("_first"), slots)
     chosen = policy.firmware_codec(F.col("f.entropy_fixed"), F.col("f.adjacent_equal"))
     size = F.when(chosen == LZ4, F.col("z.lz4")).otherwise(F.col("z.lz4hc"))
     raw = (chosen == RAW) | stored_raw(size)
-    return j.select(*blocks.columns, "signature", "slot", "cache_hit", chosen.alias("codec_selected"), F.when(raw, RAW).otherwise(chosen).alias("codec_used"), F.when(raw, frames.DATA_AREA).otherwise(size).alias("payload_size"))
-
-
+    out = j.select(*own, "signature", "slot", "cache_hit", chosen.alias("codec_selected"), F.when(raw, RAW).otherwise(chosen).alias("codec_used"), F.when(raw, frames.DATA_AREA).otherwise(size).alias("payload_size"))
+    return out.join(blocks.select("volume_id", "seq", "block"), ["volume_id", "seq"]) if with_block else out

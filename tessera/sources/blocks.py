@@ -88,6 +88,60 @@ ARCHIVE = b"PK\x03\x04\x14\x00\x00\x00\x08\x00\x00\x00\x00\x00"
 KINDS = {"random": 0.40, "structured": 0.25, "repetitive": 0.20, "archive_like": 0.15}
 
 
+#: Words of log lines.
+LEVELS = ("INFO ", "DEBUG", "WARN ", "ERROR", "TRACE")
+MODULES = ("StorageEngine", "WriteBuffer", "GCManager", "NVMeController", "FTL", "ECC")
+MESSAGES = ("write_command_received", "cache_lookup result=miss", "gc_cycle started", "compression_complete", "pattern_cache hit codec=LZ4HC")
+
+
+def drawn(seed: Column, what: str, i: Column, n: int) -> Column:
+    """A number below n that looks random: from the MD5 of seed, name and place."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat(seed.cast("string"), F.lit(f":{what}:"), i.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(n))
+
+
+def log_block(seed: Column, size: int = BLOCK) -> Column:
+    """Lines of a log with rising times, levels, modules, messages and addresses, cut at the block's end."""
+
+    def line(i: Column) -> Column:
+        pick = lambda what, words: F.element_at(F.array(*map(F.lit, words)), (drawn(seed, what, i, len(words)) + 1).cast("int"))
+        ms = i * 25 + drawn(seed, "ms", i, 25)
+        clock = F.format_string("12:%02d:%02d.%03d", (ms / 60_000).cast("int") % 60, (ms / 1000).cast("int") % 60, ms % 1000)
+        return F.concat(clock, F.lit(" ["), pick("module", MODULES), F.lit("] "), pick("level", LEVELS), F.lit(" "), pick("message", MESSAGES), F.format_string(" lba=0x%08X len=4096\n", drawn(seed, "lba", i, 1 << 32)))
+
+    return F.substring(F.encode(F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(size // 40)), line)), "UTF-8"), F.lit(1), F.lit(size))
+
+
+def repetitive_block(seed: Column, size: int = BLOCK) -> Column:
+    """By seed % 4: zeros, one byte, a pattern of 2, 4, 8 or 16 bytes, or zeros with some written places."""
+    hexed = lambda what, i=F.lit(0): F.md5(F.concat(seed.cast("string"), F.lit(f":{what}:"), i.cast("string")))
+    length = F.pow(F.lit(2), drawn(seed, "length", F.lit(0), 4) + 1).cast("int")
+    zeros = "00" * size
+    sparse = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(size // 128 - 1)), lambda i: F.when(drawn(seed, "written", i, 4) == 0, F.concat(F.substring(hexed("data", i), 1, 16), F.lit("00" * 120))).otherwise(F.lit("00" * 128))))
+    h = F.when(seed % 4 == 0, F.lit(zeros)).when(seed % 4 == 1, F.repeat(F.substring(hexed("byte"), 1, 2), F.lit(size)))
+    return F.unhex(h.when(seed % 4 == 2, F.repeat(F.substring(hexed("pattern"), F.lit(1), 2 * length), (F.lit(size) / length).cast("int"))).otherwise(sparse))
+
+
+def fixture_files(spark: SparkSession, blocks: int = 25) -> DataFrame:
+    """(path, content) of five files that each show a kind of data: random, log lines, repetitive, zeros, mixed."""
+    parts = {
+        "random_data.bin": lambda i: chain(F.concat(F.lit("f"), i.cast("string")), BLOCK // 32), "app_logs.log": log_block, "zero_blocks.bin": lambda i: F.lit(bytes(BLOCK)),
+        "repetitive.bin": lambda i: F.unhex(F.repeat(F.concat(F.repeat(F.lpad(F.hex(i % 256), 2, "0"), F.lit(64)), F.lit("FF" * 64)), F.lit(32))),
+        "mixed_data.bin": lambda i: F.when(i % 3 == 0, chain(F.concat(F.lit("m"), i.cast("string")), BLOCK // 32)).when(i % 3 == 1, repeated(F.lit(b"\0\1\2\3"))).otherwise(repeated(F.lit(b"FIXTURE_BLOCK_DATA_"))),
+    }
+    out = None
+    for name, block in parts.items():
+        g = spark.range(blocks).select(F.lit(name).alias("path"), "id", F.hex(block(F.col("id"))).alias("h"))
+        out = g if out is None else out.unionByName(g)
+    rows = out.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("id", "h"))).alias("b"))
+    return rows.select("path", F.unhex(F.concat_ws("", F.col("b.h"))).alias("content"))
+
+
+def many_files(spark: SparkSession, files: int = 10_000, size: int = BLOCK) -> DataFrame:
+    """(path, content) of files of letters that look random."""
+    letters = F.translate(F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(-(-size // 32) - 1)), lambda i: F.md5(F.concat(F.col("id").cast("string"), F.lit(":"), i.cast("string"))))), "0123456789", "ghijklmnop")
+    return spark.range(files).select(F.concat(F.lit("file_"), "id", F.lit(".txt")).alias("path"), F.encode(F.substring(letters, 1, size), "UTF-8").alias("content"))
+
+
 def generated(kind: Column, seed: Column) -> Column:
     """A block of a kind; the seed varies random and archive blocks, and the key of structured ones."""
     s = seed.cast("string")
@@ -98,7 +152,7 @@ def generated(kind: Column, seed: Column) -> Column:
         .when(kind == "repetitive", repeated(F.lit(b"\xab\xcd")))
         .when(kind == "archive_like", padded(F.concat(F.lit(ARCHIVE), chain(F.concat(F.lit("a"), s), BLOCK // 32))))
         .when(kind == "runs", repeated(F.lit(b"\x00\xab\xcd\x00")))
-        .when(kind == "few", repeated(F.lit(b"\x10\x20\x30\x40\x50")))
+        .when(kind == "log", log_block(seed)).when(kind == "variants", repetitive_block(seed)).when(kind == "few", repeated(F.lit(b"\x10\x20\x30\x40\x50")))
         .when(kind == "partial", F.rpad(chain(F.concat(F.lit("p"), s), 105), BLOCK, F.lit(b"A")))
         .otherwise(repeated(F.lit(b"\x00")))
     )

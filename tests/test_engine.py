@@ -1,7 +1,12 @@
 """Unit tables, round trips and sequential models of the block engine."""
 
 import hashlib
+import os
+import shutil
+import subprocess
+import sys
 from collections import OrderedDict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -160,7 +165,9 @@ def test_read_range_has_all_documents(spark, tmp_path, monkeypatch):
     given, read = [], files.read_range
     monkeypatch.setattr(files, "read_range", lambda idx, fr, *a: given.append((idx, fr)) or read(idx, fr, *a))
     got = catalog.queries()["read_range"](spark, str(tmp_path)).collect()
-    assert [(r["path"], r["data"]) for r in got] == [("0", hashlib.sha256(b"a" * 4096).hexdigest())]
+    assert {r["path"]: r["data"] for r in got} == {str(i): hashlib.sha256(c * 4096).hexdigest() for i, c in enumerate((b"a", b"b", b"c"))}
+    one = read(*given[0], "1", 1000, 4096).collect()
+    assert [(r["path"], bytes(r["data"])) for r in one] == [("1", b"b" * 4096)]
     for x in given[0]:
         assert {r["path"] for r in x.select("path").distinct().collect()} == {"0", "1", "2"}
 
@@ -218,9 +225,84 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and len(got) == 300 and BLOCK == 4096
 
 
-def test_entry_without_optional_part(spark):
+def test_engine_stream_equals_batch(spark, tmp_path):
+    """Three micro-batches of blocks of all kinds against the batch plan."""
+    from tessera.streaming import ingest
+
+    rows = plans.measured(sources.branch_stream(spark, 300)).drop("path", "workload", "block_no")
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    rows.write.parquet(str(tmp_path / "all"))
+    rows = spark.read.parquet(str(tmp_path / "all"))
+    for part in range(3):
+        rows.filter(F.floor(F.col("seq") / 100) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.run_once(ingest.engine_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), capacity=60), str(tmp_path / "out"), str(tmp_path / "ck"))
+    names = ["seq", "zero_block", "codec_used", "compressed_size", "ratio", "cache_hit", "throttled", "raw_avoided", "force_raw", "skip_benefit", "waf_current"]
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select(*names).orderBy("seq").collect()]
+    want = [tuple(r) for r in plans.engine_state(rows, capacity=60).select(*names).orderBy("seq").collect()]
+    assert got == want and len(got) == 300 and sum(r[5] for r in got) > 50
+
+
+def test_generators(spark):
+    """Log blocks are lines of a log, fixtures have their sizes, and blocks of every kind are whole."""
+    r = spark.range(3).select(sources.log_block(F.col("id")).alias("b")).collect()
+    for x in r:
+        text = bytes(x["b"]).decode()
+        assert len(text) == BLOCK and all(len(line.split()) >= 5 and line.startswith("12:") for line in text.splitlines()[:-1])
+    kinds = ["random", "structured", "repetitive", "archive_like", "runs", "few", "partial", "log", "variants", "zero"]
+    got = spark.createDataFrame([(k, i) for k in kinds for i in range(4)], "k string, s long").select(F.octet_length(sources.generated(F.col("k"), F.col("s"))).alias("n")).collect()
+    assert {x["n"] for x in got} == {BLOCK}
+    assert {x["path"]: len(x["content"]) for x in sources.fixture_files(spark, 3).collect()} == {p: 3 * BLOCK for p in ("random_data.bin", "app_logs.log", "zero_blocks.bin", "repetitive.bin", "mixed_data.bin")}
+
+
+def test_entry(spark):
     import __spark_entry__ as e
 
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and len(q) > 60
     assert e.entry(spark).count() >= 1
+
+
+def test_entry_without_optional_part(tmp_path):
+    """A copy without the training-data part imports and has all other queries."""
+    here = Path(catalog.__file__).parents[1]
+    for name in ("__spark_entry__.py", "tessera"):
+        src = here / name
+        shutil.copytree(src, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if src.is_dir() else shutil.copy(src, tmp_path / name)
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    n, llm, sql = out.stdout.split()
+    assert int(n) == len(catalog.queries()) and llm == "False" and int(sql) == len(catalog.oracle_sql())
+
+
+def test_cells_give_the_same_hits(spark):
+    """A volume cut into many cells has the hits of one that runs as a whole, for keys of several kinds and for null ones."""
+    r = np.random.default_rng(12)
+    rows = [("v" + str(i % 2), i, None if k == 3 else int(k)) for i, k in enumerate(r.zipf(1.4, 600) % 40)] + [(None, i, 1) for i in range(3)]
+    df = spark.createDataFrame(rows, "volume_id string, seq long, key long")
+    for capacity in (1, 5, 20, 100):
+        one = {(x["volume_id"], x["seq"]): x["cache_hit"] for x in state.lru_hits(df, capacity).collect()}
+        cut = {(x["volume_id"], x["seq"]): x["cache_hit"] for x in state.lru_hits(df, capacity, cell_bits=5).collect()}
+        model = {}
+        for v in ("v0", "v1", None):
+            mine = [(i, k) for w, i, k in rows if w == v]
+            model |= {(v, i): h for (i, _), (h, _, _) in zip(mine, sequential([(k, 0.5) for _, k in mine], capacity))}
+        assert one == cut == model
+
+
+def test_checksums_of_odd_lengths(spark):
+    """Against a bit-by-bit register."""
+
+    def plain(data, poly, low):
+        c = 0xFFFF
+        for b in data:
+            c ^= b if low else b << 8
+            for _ in range(8):
+                c = (c >> 1) ^ poly * (c & 1) if low else ((c << 1) ^ poly * (c >> 15)) & 0xFFFF
+        return c
+
+    r = np.random.default_rng(3)
+    items = [r.bytes(n) for n in (0, 1, 2, 3, 255, 1000, 1001, 4094)]
+    got = blocks_of(spark, items).select("seq", fb.crc16_modbus("block").alias("a"), fb.crc16_ccitt("block").alias("b")).orderBy("seq").collect()
+    assert [(x["a"], x["b"]) for x in got] == [(plain(d, 0xA001, True), plain(d, 0x1021, False)) for d in items]
+    zero = blocks_of(spark, [bytes(4096), bytes(5), b"", bytes(4095) + b"\1", b"\0\1"]).select(fb.is_zero(F.col("block")).alias("z")).collect()
+    assert [x["z"] for x in zero] == [True, True, True, False, False]
