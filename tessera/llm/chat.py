@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import running
+
 
 @dataclass(frozen=True)
 class Template:
@@ -80,8 +82,9 @@ def format_chats(turns: DataFrame, t: Template = CHATML) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("n", "head", "body", "tail", "loss")))
     g = s.groupBy("conv_id").agg(rows.alias("t"), F.count("*").alias("n_turns"), F.min(F.when(~F.col("ok"), F.col("n"))).alias("first_error"))
     size = lambda x: F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"])
-    step = lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.when(x["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(x["head"])).alias("start"), F.length(x["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans"))
-    spans = F.aggregate("t", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")), step)["spans"]
+    begins = running(F.transform("t", size), F.lit(0), lambda a, n: a + n)
+    found = F.zip_with(begins, "t", lambda at, x: F.when(x["loss"], F.struct((at + F.length(x["head"])).alias("start"), F.length(x["body"]).alias("length"))))
+    spans = F.filter(found, lambda s: s.isNotNull())
     text = F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], x["tail"])), "")
     return g.select("conv_id", "n_turns", F.col("first_error").isNull().alias("valid"), "first_error", text.alias("formatted"), spans.alias("loss_spans"))
 

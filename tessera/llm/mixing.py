@@ -43,13 +43,14 @@ def mix_sources(docs: DataFrame, *, weights=(5, 2, 1), share=1.5, most=2, seed=1
     range, so no source and no sort meets in one task.
 
     Null text has size 0; a null source is a source of its own; documents of no words take none;
-    equal ids and repeated rows each count, ties going by id and then by row.
+    equal ids and repeated rows each count, ties going by id, then by a hash of the text, so rows that
+    tie beyond that are equal and what they get is the same whichever comes first.
     Returns the ``keep`` columns of docs, size, source_size, target, taken and the row's number
     ``mix_row``; a kept column with one of these names gives way to it.
     """
     keep = spared(keep, "size x, source_size x, target x, taken x, mix_row x")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select(F.struct(*keep).alias("mix_doc"), F.col("source").alias("mix_source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), key.alias("mix_key"), F.col("doc_id").alias("mix_id"), F.monotonically_increasing_id().alias("mix_row"))
+    sized = docs.select(F.struct(*keep).alias("mix_doc"), F.col("source").alias("mix_source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), key.alias("mix_key"), F.col("doc_id").alias("mix_id"), F.xxhash64(text_col).alias("mix_hash"), F.monotonically_increasing_id().alias("mix_row"))
     sized = written(sized.withColumn("key_range", (F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") / F.lit(2**32 // KEY_RANGES)).cast("int")), "mix-sizes")
 
     cells = sized.groupBy("mix_source", "key_range").agg(F.sum("size").alias("cell_size"))
@@ -58,24 +59,24 @@ def mix_sources(docs: DataFrame, *, weights=(5, 2, 1), share=1.5, most=2, seed=1
     cells = cells.join(targets, cells["mix_source"].eqNullSafe(targets["source"])).withColumn("cell_start", F.coalesce(F.sum("cell_size").over(up_to), F.lit(0)))
     cells = cells.select("source", "key_range", "source_rank", "source_size", "target", "cell_start")
 
-    in_cell = Window.partitionBy("source_rank", "key_range").orderBy("mix_key", "mix_id", "mix_row").rowsBetween(Window.unboundedPreceding, 0)
+    in_cell = Window.partitionBy("source_rank", "key_range").orderBy("mix_key", "mix_id", "mix_hash", "mix_row").rowsBetween(Window.unboundedPreceding, 0)
     r = cells.withColumnRenamed("key_range", "cell_range")
     # What a document holds besides stays where it is until the end.
     whole_rows, sized = sized, sized.drop("mix_doc")
     queued = sized.join(r, sized["mix_source"].eqNullSafe(r["source"]) & (sized["key_range"] == r["cell_range"])).withColumn("upto", F.col("cell_start") + F.sum("size").over(in_cell))
-    queued = queued.select("mix_row", "mix_id", "mix_key", "source_rank", "size", "source_size", "target", "upto")
+    queued = queued.select("mix_row", "mix_id", "mix_hash", "mix_key", "source_rank", "size", "source_size", "target", "upto")
     copy = lambda e: F.when((F.col("size") > 0) & (F.col("target") > 0), (F.col("source_size") * e + F.col("upto")) / F.col("target"))
     for e in range(most):
         queued = queued.withColumn(f"time{e}", copy(e)).withColumn(f"range{e}", F.least((F.col(f"time{e}") * TIME_RANGES).cast("long"), F.lit(2 * TIME_RANGES)))
     queued = written(queued, "mix-queue")
 
-    copies = queued.select("mix_row", "mix_id", "mix_key", "source_rank", "size", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), F.col(f"time{e}").alias("time"), F.col(f"range{e}").alias("range")) for e in range(most)])).alias("c")).select("mix_row", "mix_id", "mix_key", "source_rank", "size", "c.*").filter("range is not null")
+    copies = queued.select("mix_row", "mix_id", "mix_hash", "mix_key", "source_rank", "size", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), F.col(f"time{e}").alias("time"), F.col(f"range{e}").alias("range")) for e in range(most)])).alias("c")).select("mix_row", "mix_id", "mix_hash", "mix_key", "source_rank", "size", "c.*").filter("range is not null")
     budget = targets.agg(F.sum("target")).first()[0] or 0.0
     by_range = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     edge = copies.groupBy("range").agg(F.sum("size").alias("words")).withColumn("start", F.coalesce(F.sum("words").over(by_range), F.lit(0))).filter(F.col("start") + F.col("words") >= F.lit(budget)).agg(F.min(F.struct("range", "start")).alias("e")).select(F.coalesce("e.range", F.lit(4 * TIME_RANGES)).alias("edge"), "e.start")
     # One row: the range in which the budget ends.
     edge = edge.first()
-    order = Window.orderBy("time", "source_rank", "epoch", "mix_key", "mix_id", "mix_row").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.orderBy("time", "source_rank", "epoch", "mix_key", "mix_id", "mix_hash", "mix_row").rowsBetween(Window.unboundedPreceding, 0)
     at_edge = copies.filter(F.col("range") == edge["edge"]).withColumn("left", F.lit(int(budget) - int(edge["start"] or 0)) - F.sum("size").over(order) + F.col("size"))
     at_edge = at_edge.groupBy("mix_row").agg(F.sum(F.greatest(F.least("left", "size"), F.lit(0))).alias("edge_taken"))
     whole = sum(F.when(F.col(f"range{e}") < edge["edge"], F.col("size")).otherwise(0) for e in range(most))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import spared, written
+from tessera.llm.common import let, running, spared, written
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -32,32 +32,10 @@ SPAN = "array<struct<start:int,end:int,value:string>>"
 GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "term": "[TERM]"}
 
 
-#: Elements that one fold adds up; folds of folds keep long arrays from being copied at every step.
-FOLD = 64
 #: Cells of the filter for words, of 64 bits each.
 CELLS = 1 << 20
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def running(values: Column, start: Column, op) -> Column:
-    """For each of the values, op over start and all values before it; op is a sum or a maximum."""
-
-    def part(x: Column, first: Column) -> Column:
-        step = lambda a, v: F.struct(op(a["at"], v).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
-        return F.aggregate(x, F.struct(first.alias("at"), F.slice(F.array(first), 1, 0).alias("out")), step)["out"]
-
-    def whole(v: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(FOLD)), lambda i: F.slice(v, i, F.lit(FOLD)))
-        starts = lambda p: part(F.transform(p, lambda x: F.aggregate(F.slice(x, 2, FOLD), F.get(x, F.lit(0)), op)), start)
-        return let(parts, lambda p: F.flatten(F.zip_with(p, starts(p), part)))
-
-    return let(values, lambda v: F.when(F.size(v) > FOLD, whole(v)).otherwise(part(v, start)))
-
-
 def located(text: Column, pattern: str | Column, sign: str | None = None) -> Column:
     """All matches with their places in code points: the text is split at the matches, and the lengths of pieces and matches add up."""
     pattern = pattern if isinstance(pattern, Column) else F.lit(f"(?s){pattern}")

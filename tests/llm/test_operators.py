@@ -309,6 +309,9 @@ def test_chat(spark):
         assert got[c]["loss_text"] == "".join(t[3] or "" for t in mine if t[2] == "assistant")
     assert got[1]["valid"] and not got[2]["valid"] and got[2]["first_error"] == 1 and not got[3]["valid"] and got[-1]["valid"] and not got[4]["valid"]
     assert chat.format_chats(empty(df)).count() == 0
+    many = spark.createDataFrame([(9, i, "user" if i % 2 == 0 else "assistant", f"text {i} " * (i % 5)) for i in range(500)], "conv_id long, turn long, role string, text string")
+    long = chat.read_chats(chat.format_chats(many)).first()
+    assert long["loss_text"] == "".join(f"text {i} " * (i % 5) for i in range(1, 500, 2)) and long["valid"] and len(long["turns"]) == 500
 
 
 # 5
@@ -685,3 +688,18 @@ def test_mixing(spark, docs):
     again = {(r["doc_id"], r["taken"]) for r in mixing.mix_sources(docs.repartition(3)).collect()}
     assert again == {(r["doc_id"], r["taken"]) for r in got}
     assert mixing.mix_sources(empty(docs)).count() == 0
+
+
+def test_mixing_repeated_rows(spark, docs):
+    """Equal ids with other texts, equal rows, null ids and ties: every row stays, sums hold, and other partitions give the same rows."""
+    rows = [(1, "a b c", "s")] * 40 + [(1, "d e", "s"), (1, None, "s"), (None, "x y z w", None), (None, "x y z", "t"), (2, "a b c", "t"), (3, "a b c", "s")] * 3
+    df = spark.createDataFrame([(*x, 9) for x in rows], "doc_id long, text string, source string, size int")
+    take = lambda d: sorted((str(r["doc_id"]), str(r["text"]), r["taken"], r["size"]) for r in mixing.mix_sources(d, keep=("doc_id", "text", "size")).collect())
+    got = take(df)
+    assert len(got) == len(rows) and got == take(df.orderBy("text").repartition(3))
+    per = Counter()
+    for _, t, s in rows:
+        per[s] += len((t or "").split())
+    targets = {r["source"]: r["target"] for r in mixing.mix_sources(df, keep=("source",)).collect()}
+    assert sum(x[2] for x in got) == int(sum(targets.values())) and all(x[2] <= 2 * x[3] for x in got)
+    assert set(targets) == set(per) and mixing.mix_sources(empty(df)).count() == 0
