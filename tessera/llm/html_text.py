@@ -269,3 +269,13 @@ def extract_pages(pages: DataFrame, *, html_col="html", keep=("page_id", "url"))
 
 def query(pages: DataFrame) -> DataFrame:
     return extract_pages(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def oracle() -> str:
+    """For pages whose main text is their only article element of headings, paragraphs and lists, with the references &amp; and &quot;."""
+    return r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*)</article>', 1), '</?(?:p|h1|ul|li|div)(?:\s[^>]*)?>') AS parts FROM pages),
+t AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '<[^>]+>', '', 'g')) AS parts FROM a),
+d AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM t),
+j AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM d)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM j"""

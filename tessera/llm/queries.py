@@ -51,4 +51,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_decontaminate": decontaminate.oracle(), "op4_chat_format": chat.oracle(), "op7_url_filter": url_filter.oracle(), "op8_ngram_join": set_join.oracle(), "op10_mix_sources": mixing.oracle()}
+    return {"op1_decontaminate": decontaminate.oracle(), "op4_chat_format": chat.oracle(), "op6_html_text": html_text.oracle(), "op7_url_filter": url_filter.oracle(), "op8_ngram_join": set_join.oracle(), "op10_mix_sources": mixing.oracle()}
