@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import written
 
@@ -180,21 +181,18 @@ def guesses(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Body:
     """A chunk's texts as numbers of words, and places and counts of its words over all training texts."""
 
-    def __init__(self, pdf: pd.DataFrame, places: Places):
+    def __init__(self, pdf: pd.DataFrame, parts: int):
         tokens, some, guess, lengths, words, self.ids, self.null, self.held, self.copies = unpack(pdf.loc[pdf["kind"] == 0, "data"].iloc[0])
         self.words, self.tokens, self.lengths = words.split(b" "), from_bytes(tokens, np.int32), lengths.astype(np.int64)
         self.guess = np.full(len(self.tokens), -1, np.int32)
         self.guess[np.unpackbits(some, count=len(self.tokens)).astype(bool)] = from_bytes(guess, np.int32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.times = np.repeat(np.where(self.held, 0, self.copies), self.lengths)
-        order, own, counts = dealt(self.words, places.parts)[2], [], []
-        for p, data in sorted(zip(pdf["p"], pdf["data"]), key=lambda x: x[0]):
-            if p >= 0:
-                n, c = (from_bytes(x, np.uint32).astype(np.int64) for x in unpack(data))
-                own.append(places.of(p, n, c))
-                counts.append(c)
+        order = dealt(self.words, parts)[2]
+        got = [unpack(x) for x in pdf[pdf["kind"] == 2].sort_values("p")["data"]]
         self.place, self.counts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        self.place[order], self.counts[order] = np.concatenate(own), np.concatenate(counts)
+        for out, k in ((self.place, 0), (self.counts, 1)):
+            out[order] = np.concatenate([from_bytes(g[k], np.uint32) for g in got])
 
 
 # Words: counts over all training texts, and places in their order.
@@ -232,21 +230,36 @@ def place_words(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "chunk", "p", "data"])
 
 
-class Places:
-    """Sums over all partitions of words: tokens, different words, and the first place of each class in each partition."""
+def class_sizes(batches):
+    """(p, class, n, tokens, words) of each partition of words; the sums stand in its first row."""
+    for b in batches:
+        for p, data in zip(b["p"], b["data"]):
+            tokens, words, sizes = unpack(data)
+            at = np.append(np.flatnonzero(sizes), CLASSES)  # one row at least
+            first = np.arange(len(at)) == 0
+            yield pd.DataFrame({"p": p, "class": at, "n": np.append(sizes, 0)[at], "tokens": first * tokens, "words": first * words})
+
 
-    def __init__(self, rows: list):
-        self.parts = len(rows)
-        self.tokens, self.words, sizes = 0, 0, np.zeros((self.parts, CLASSES), np.int64)
-        for p, data in rows:
-            tokens, words, sizes[p] = unpack(data)
-            self.tokens, self.words = self.tokens + tokens, self.words + words
-        flat = sizes.T.ravel()
-        self.starts = (np.cumsum(flat) - flat).reshape(CLASSES, self.parts)
+def first_places(sizes: DataFrame) -> DataFrame:
+    """(p, starts): for each partition of words, how many words stand before its own of each class. Classes are at most CLASSES."""
+    total = sizes.groupBy("class").agg(F.sum("n").alias("all")).withColumn("before", F.sum("all").over(Window.orderBy("class")) - F.col("all"))
+    own = F.sum("n").over(Window.partitionBy("class").orderBy("p")) - F.col("n")
+    starts = sizes.withColumn("own", own).join(F.broadcast(total), "class")
+    return starts.groupBy("p").agg(F.collect_list(F.struct("class", (F.col("before") + F.col("own")).alias("start"))).alias("starts"))
 
-    def of(self, p: int, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        out = np.where(own > 0, own + self.starts[_class(counts), p], 0)
-        return np.where(out < FIRST[BUCKETS], out, 0)
+
+def placed_words(batches):
+    """Places among the words of a class in a partition become places among all words."""
+    for b in batches:
+        out = []
+        for starts, data in zip(b["starts"], b["data"]):
+            own, counts = (from_bytes(x, np.uint32).astype(np.int64) for x in unpack(data))
+            table = np.zeros(CLASSES + 1, np.int64)
+            for x in starts:
+                table[x["class"]] = x["start"]
+            place = np.where(own > 0, own + table[_class(counts)], 0)
+            out.append(pack(by_byte(np.where(place < FIRST[BUCKETS], place, 0).astype(np.uint32)), by_byte(counts.astype(np.uint32))))
+        yield b[["kind", "chunk", "p"]].assign(data=out)
 
 
 # Symbols and their contexts.
@@ -357,9 +370,9 @@ class Symbols:
         return at, (self.contexts[k][at] & ~np.uint64(255)) | self.value[at]
 
 
-def second_pass(pdf: pd.DataFrame, places: Places, parts: int) -> pd.DataFrame:
+def second_pass(pdf: pd.DataFrame, word_parts: int, parts: int) -> pd.DataFrame:
     """Keys of a chunk's contexts with their training counts, dealt to partitions by hash."""
-    s = Symbols(Body(pdf, places))
+    s = Symbols(Body(pdf, word_parts))
     number, rows = int(pdf["chunk"].iloc[0]), []
     for k in range(CONTEXTS):
         at, keys = s.keys(k)
@@ -579,9 +592,9 @@ class Guesses:
         return np.bincount(self.at, -np.log2(np.where(self.hit == 1, p, 1 - p)), size)
 
 
-def score_chunk(known: pd.DataFrame, states: pd.DataFrame, places: Places, parts: int) -> pd.DataFrame:
+def score_chunk(known: pd.DataFrame, states: pd.DataFrame, word_parts: int, parts: int, n: int, v: int) -> pd.DataFrame:
     """Learns from the chunk's training texts, each without its own counts, then scores all its texts."""
-    body, n, v = Body(known, places), places.tokens, places.words
+    body = Body(known, word_parts)
     s = Symbols(body)
     got = states.sort_values("p")
     where, full, less = [], [], []
@@ -655,15 +668,17 @@ def score_documents(docs: DataFrame, *, text_col="text", chunk_chars=CHUNK_CHARS
     texts = texts.mapInPandas(packed_texts, rows)
     begun = written(texts.groupBy("chunk").applyInPandas(lambda pdf: first_pass(pdf, word_parts), rows), "lm-begun")
 
-    placed = written(begun.filter("kind = 1").groupBy("p").applyInPandas(place_words, rows), "lm-places")
-    sent = docs.sparkSession.sparkContext.broadcast(Places([(r["p"], bytes(r["data"])) for r in placed.filter("kind = 5").collect()]))
+    counted = written(begun.filter("kind = 1").groupBy("p").applyInPandas(place_words, rows), "lm-counted")
+    sizes = written(counted.filter("kind = 5").select("p", "data").mapInPandas(class_sizes, "p int, class int, n long, tokens long, words long"), "lm-classes")
+    n, v = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    places = written(counted.filter("kind = 2").join(first_places(sizes), "p").mapInPandas(placed_words, rows), "lm-places")
 
-    known = begun.filter("kind = 0").union(placed.filter("kind = 2"))
-    keys = known.groupBy("chunk").applyInPandas(lambda pdf: second_pass(pdf, sent.value, n_chunks), rows)
+    known = begun.filter("kind = 0").union(places)
+    keys = known.groupBy("chunk").applyInPandas(lambda pdf: second_pass(pdf, word_parts, n_chunks), rows)
     states = keys.groupBy("p").applyInPandas(third_pass, rows)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     # The same exchange of what is known serves both passes.
-    return known.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInPandas(lambda a, b: score_chunk(a, b, sent.value, n_chunks), schema)
+    return known.groupBy("chunk").cogroup(states.groupBy("chunk")).applyInPandas(lambda a, b: score_chunk(a, b, word_parts, n_chunks, n, v), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

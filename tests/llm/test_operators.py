@@ -143,6 +143,45 @@ def test_context_mix_repeats(spark):
     assert all(small[k][:2] == whole[k][:2] and small[k][2] == pytest.approx(whole[k][2]) for k in whole)
 
 
+def placed_by_hand(counted):
+    """Sizes of classes, and chunks' words with places from a plain sort of (class, partition)."""
+    import pandas as pd
+
+    sizes = pd.concat(list(context_mix.class_sizes([counted[counted["kind"] == 5]])))
+    order = sizes.sort_values(["class", "p"])
+    before = order["n"].cumsum() - order["n"]
+    starts: dict = {}
+    for p, c, start in zip(order["p"], order["class"], before):
+        starts.setdefault(p, []).append({"class": c, "start": start})
+    rows = counted[counted["kind"] == 2]
+    return sizes, pd.concat(list(context_mix.placed_words([rows.assign(starts=[starts[p] for p in rows["p"]])])))
+
+
+def test_places_of_words(spark):
+    """Places follow the classes of counts, and no two words have one place."""
+    import pandas as pd
+
+    r = np.random.default_rng(7)
+    texts = [" ".join("w" + str(k) for k in r.zipf(1.3, 200) % 500) for _ in range(40)]
+    frame = lambda c: pd.DataFrame({"doc_id": [str(i) for i in range(c, 40, 4)], "text": texts[c::4], "fold": 1, "h": range(c, 40, 4), "chunk": c, "copies": 1})
+    first = pd.concat([context_mix.first_pass(pd.concat(list(context_mix.packed_texts([frame(c)]))), 3) for c in range(4)])
+    counted = pd.concat([context_mix.place_words(g) for _, g in first[first["kind"] == 1].groupby("p")])
+    sizes, places = placed_by_hand(counted)
+    got = context_mix.first_places(spark.createDataFrame(sizes, "p int, class int, n long, tokens long, words long"))
+    given = {x["p"]: {y["class"]: y["start"] for y in x["starts"]} for x in got.collect()}
+    order = sizes.sort_values(["class", "p"])
+    assert all(given[p][c] == s for p, c, s in zip(order["p"], order["class"], order["n"].cumsum() - order["n"]))
+    count, place = Counter(w for t in texts for w in [*t.split(), "\n"]), {}
+    for c in range(4):
+        body = context_mix.Body(pd.concat([first[(first["kind"] == 0) & (first["chunk"] == c)], places[places["chunk"] == c]]), 3)
+        for w, p, n in zip(body.words, body.place, body.counts):
+            assert count[w.decode()] == n and place.setdefault(w, p) == p
+    known = {w: p for w, p in place.items() if p}
+    assert sorted(known.values()) == list(range(1, len(known) + 1)) and all((count[w.decode()] > 1) == (p > 0) for w, p in place.items())
+    ordered = [count[w.decode()] for w in sorted(known, key=known.get)]
+    assert all(b <= a * 1.2 + 1 for a, b in zip(ordered, ordered[1:]))
+
+
 def test_counts_over_chunks():
     """Keys, counts and states of the predictors are those of a plain count over all training texts, however texts are dealt to chunks."""
     import pandas as pd
@@ -154,19 +193,18 @@ def test_counts_over_chunks():
         frame = lambda c, p: pd.DataFrame({"doc_id": [str(i) for i in p], "text": [texts[i] for i in p], "fold": [folds[i] for i in p], "h": [i * 7919 % 100 for i in p], "chunk": c, "copies": 1})
         first = pd.concat([context_mix.first_pass(pd.concat(list(context_mix.packed_texts([frame(c, p)]))), 3) for c, p in enumerate(parts)])
         placed = pd.concat([context_mix.place_words(g) for _, g in first[first["kind"] == 1].groupby("p")])
-        sums = placed[placed["kind"] == 5]
-        places = context_mix.Places(list(zip(sums["p"], sums["data"])))
-        known = pd.concat([first[first["kind"] == 0], placed[placed["kind"] == 2]])
-        keys = pd.concat([context_mix.second_pass(g, places, 4) for _, g in known.groupby("chunk")])
+        sizes, found = placed_by_hand(placed)
+        known = pd.concat([first[first["kind"] == 0], found])
+        keys = pd.concat([context_mix.second_pass(g, 3, 4) for _, g in known.groupby("chunk")])
         total = Counter()
         for _, r in keys.iterrows():
             k, c = context_mix.unpack(r["data"])
             total.update({(r["p"], x): int(n) for x, n in zip(context_mix.from_planes(k, np.uint64).tolist(), context_mix.from_bytes(c, np.uint32).tolist())})
-        return places, {k: n for k, n in total.items() if n}, keys
+        return sizes, {k: n for k, n in total.items() if n}, keys
 
-    places, one, keys = run([range(12)])
+    sizes, one, keys = run([range(12)])
     train = Counter(w for t, f in zip(texts, folds) if f for w in [*t.split(), "end"])
-    assert (places.tokens, places.words) == (sum(train.values()), len(train))
+    assert (sizes["tokens"].sum(), sizes["words"].sum()) == (sum(train.values()), len(train))
     assert run([range(0, 12, 2), range(1, 12, 2)])[1] == one and run([[i] for i in range(12)])[1] == one
     for p, g in keys.groupby("p"):
         k, c = context_mix.unpack(g["data"].iloc[0])
@@ -222,9 +260,7 @@ def test_guesses_come_from_the_same_text():
     texts = ["a b c a b c a b d", "a b x", "c c c c c"]
     frame = pd.DataFrame({"doc_id": ["1", "2", "3"], "text": texts, "fold": [1, 2, 3], "h": [1, 2, 3], "chunk": 0, "copies": 1})
     first = context_mix.first_pass(pd.concat(list(context_mix.packed_texts([frame]))), 1)
-    placed = context_mix.place_words(first[first["kind"] == 1])
-    sums = placed[placed["kind"] == 5]
-    body = context_mix.Body(pd.concat([first[first["kind"] == 0], placed[placed["kind"] == 2]]), context_mix.Places(list(zip(sums["p"], sums["data"]))))
+    body = context_mix.Body(pd.concat([first[first["kind"] == 0], placed_by_hand(context_mix.place_words(first[first["kind"] == 1]))[1]]), 1)
     s = context_mix.Symbols(body)
     got, at = [], 0
     for t in texts:
