@@ -176,8 +176,16 @@ def exact_stream(spark: SparkSession, n: int, kinds: dict[str, float] = KINDS, s
         parts = p if parts is None else parts.unionByName(p)
     short = n - sum(int(n * w) for w in kinds.values())
     parts = parts.unionByName(spark.range(max(0, short)).select((F.col("id") + n).alias("k"), F.lit("random").alias("workload")))
-    order = Window.orderBy(F.xxhash64(F.lit(seed), "workload", "k"), "workload", "k")
-    return _stream(parts.withColumn("id", F.row_number().over(order) - 1).filter(F.col("id") < n).drop("k"), F.col("id"))
+    return _stream(_numbered(parts, F.xxhash64(F.lit(seed), "workload", "k")).filter(F.col("id") < n).drop("k"), F.col("id"))
+
+
+def _numbered(rows: DataFrame, draw: Column) -> DataFrame:
+    """Adds id: rows numbered from 0 in the order of a hash. Ranges of the hash are counted first, so no task has all rows."""
+    rows = rows.withColumns({"_draw": draw, "_range": F.shiftrightunsigned(draw, 54)})
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))  # 1,024 rows at most
+    within = Window.partitionBy("_range").orderBy("_draw", *[c for c in rows.columns if c[0] != "_"])
+    return rows.join(F.broadcast(starts), "_range").withColumn("id", F.col("_start") + F.row_number().over(within) - 1).drop("_draw", "_range", "_start")
 
 
 def warm_up(spark: SparkSession, n: int = 500) -> DataFrame:

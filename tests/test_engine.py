@@ -254,6 +254,21 @@ def test_generators(spark):
     assert {x["path"]: len(x["content"]) for x in sources.fixture_files(spark, 3).collect()} == {p: 3 * BLOCK for p in ("random_data.bin", "app_logs.log", "zero_blocks.bin", "repetitive.bin", "mixed_data.bin")}
 
 
+def test_cache_entry_and_timings(spark, tmp_path):
+    """The entry's 16 bytes, lowest first; timings as a table of text."""
+    import struct
+
+    df = spark.createDataFrame([("0123456789abcdef", 0xCAFE, 2, 321)], "sig string, p long, c int, r int")
+    got = bytes(df.select(frames.cache_entry(F.col("sig"), F.col("p"), F.col("c"), F.col("r")).alias("e")).first()["e"])
+    assert got == struct.pack("<QIBHB", 0x0123456789ABCDEF, 0xCAFE, 2, 321, 0)
+    row = {c: 1.5 for c in sinks.TIMING_COLUMNS} | {"block_index": 7, "codec_used": "LZ4", "cache_hit": True, "within_budget": False}
+    sinks.write_timings(spark.createDataFrame([row]), str(tmp_path / "t"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "t"))
+    assert back.columns == list(sinks.TIMING_COLUMNS) and back.first()["block_index"] == "7"
+    lines = [r["line"] for r in reports.lines_of("Codecs", reports.codec_stats(plans.pipeline(sources.branch_stream(spark, 30), with_block=False), F.lit(2.0)).na.fill({"codec": "all"}), "codec").orderBy("line_no").collect()]
+    assert lines[0] == "Codecs" and "avg_us" in lines[1] and any(x.startswith("all") and "30.00" in x for x in lines)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
