@@ -44,7 +44,7 @@ class Buckets(dict):
     """Buckets of a word and of its first four, five and six bytes, remembered."""
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         parts = [word] + [word[:k] + b"*" for k in (4, 5, 6) if len(word) > k]
         self[word] = at = tuple(zlib.crc32(x) % BUCKETS for x in parts)
