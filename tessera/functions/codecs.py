@@ -15,13 +15,11 @@ LEAST, GROWTH, REACH = 4, 264, 65536
 CODED = "codec_used string, size int, ratio double, benefit boolean"
 
 
-def _slots(data: bytes, bits: int) -> list[int]:
-    """Table slot of the four bytes at every place; places without four bytes have slot 0."""
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+def _fours(data: bytes, bits: int) -> tuple[list[int], list[int]]:
+    """The four bytes at every place as a number, and their slot in a table of 2^bits."""
+    raw = np.frombuffer(data, np.uint8).astype(np.uint32)
     v = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-    s = (v * np.uint32(2654435761)) >> np.uint32(32 - bits)
-    s[max(0, len(data) - 3) :] = 0
-    return s.tolist()
+    return v.tolist(), ((v * np.uint32(2654435761)) >> np.uint32(32 - bits)).tolist()
 
 
 def _number(out: bytearray, rest: int) -> None:
@@ -43,39 +41,36 @@ def _sequence(out: bytearray, literals: bytes, match: int | None, offset: int =
 
 
 def _common(data: bytes, a: int, b: int, most: int) -> int:
-    """Equal bytes from two places on, by halving."""
-    lo, hi = 0, most
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if data[a + lo : a + mid] == data[b + lo : b + mid]:
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
+    """Equal bytes from two places on: by sixteens, then one by one."""
+    n = 0
+    while n + 16 <= most and data[a + n : a + n + 16] == data[b + n : b + n + 16]:
+        n += 16
+    while n < most and data[a + n] == data[b + n]:
+        n += 1
+    return n
 
 
 def encode(data: bytes, deep: bool) -> bytes:
     """Greedy search in a table of last places, 2^12 slots; deep: 2^13 slots, and a match gives way to one at the next byte that is longer by two."""
-    n, out, slots = len(data), bytearray(), _slots(data, 13 if deep else 12)
-    last = [-1] * (1 << (13 if deep else 12))
-
-    def probe(at: int) -> tuple[int, int]:
+    n, out, start, at = len(data), bytearray(), 0, 0
+    end = n - LEAST
+    if end > 0:
+        four, slots = _fours(data, 13 if deep else 12)
+        last = [-REACH] * (1 << (13 if deep else 12))
+    while at < end:
         slot = slots[at]
         found, last[slot] = last[slot], at
-        if found < 0 or not 0 < at - found < REACH or data[found : found + LEAST] != data[at : at + LEAST]:
-            return -1, 0
-        return found, LEAST + _common(data, at + LEAST, found + LEAST, max(0, min(GROWTH, n - at - LEAST)))
-
-    start = at = 0
-    while at < n - LEAST:
-        found, size = probe(at)
-        if not size:
+        if at - found >= REACH or four[found] != four[at]:
             at += 1
             continue
-        if deep and at + 1 < n - LEAST:
-            later, longer = probe(at + 1)
-            if longer > size + 1:
-                at, found, size = at + 1, later, longer
+        size = LEAST + _common(data, at + LEAST, found + LEAST, min(GROWTH, end - at))
+        if deep and at + 1 < end:
+            slot = slots[at + 1]
+            later, last[slot] = last[slot], at + 1
+            if at + 1 - later < REACH and four[later] == four[at + 1]:
+                longer = LEAST + _common(data, at + 1 + LEAST, later + LEAST, min(GROWTH, end - at - 1))
+                if longer > size + 1:
+                    at, found, size = at + 1, later, longer
         _sequence(out, data[start:at], size, at - found)
         at += size
         start = at
