@@ -196,5 +196,8 @@ def rewrite(text: Column) -> Column:
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """Counts of the base kinds, secrets and terms; n_found is that of protected values, base kinds and secrets together."""
     s = sanitise(docs)
-    return s.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(span_list(BASE), 256).alias("base_sha256"), span_list(term=True).alias("spans"))
+    n = lambda k: F.size(k).cast("long")
+    more = [n("secret").alias("n_secret"), n("term").alias("n_term"), sum((n(k) for k in KINDS[1:]), n(KINDS[0])).alias("n_found")]
+    return s.select("doc_id", *[n(k).alias(f"n_{k}") for k in BASE], F.sha2(span_list(BASE), 256).alias("base_sha256"), span_list(term=True).alias("spans"), *more)

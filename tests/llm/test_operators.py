@@ -600,6 +600,7 @@ def test_pii(spark):
         want = brute_spans(t)
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k in PATTERNS for a, b in want[k]).encode()).hexdigest(), t and t[:60]
         assert [got[i][f"n_{k}"] for k in PATTERNS] == [len(want[k]) for k in PATTERNS]
+        assert got[i]["n_found"] == sum(map(len, want.values())) + got[i]["n_secret"] and got[i]["n_term"] == got[i]["spans"].count("term:")
     n = len(texts)
     at = near[0].index("secretname")
     assert f"term:{at}:{at + 10}" in got[n]["spans"] and "term" not in got[n + 10]["spans"]
