@@ -119,12 +119,24 @@ def dealt(words: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return h[order], part[order], order
 
 
-def packed_texts(batches):
-    """The rows of one task, by chunk; equal rows become one with their number."""
+def packed_texts(batches, most_chars: int = 32_000_000):
+    """The rows of one task, by chunk, so many characters at a time; equal rows become one with their number."""
+    held: dict[int, dict] = {}
+    size = 0
+
+    def packed():
+        out = [(0, chunk, -1, pack(*map(list, zip(*((*key, *r) for key, r in rows.items()))))) for chunk, rows in held.items()]
+        return pd.DataFrame(out, columns=["kind", "chunk", "p", "data"])
+
     for b in batches:
-        b = b.assign(copies=b.groupby("h")["copies"].transform("sum")).drop_duplicates("h")
-        for chunk, part in b.groupby("chunk"):
-            yield pd.DataFrame({"kind": [0], "chunk": [chunk], "p": [-1], "data": [pack(*(part[c].tolist() for c in ("doc_id", "text", "fold", "h", "copies")))]})
+        for doc_id, text, fold, h, chunk, copies in zip(*(b[c].tolist() for c in ("doc_id", "text", "fold", "h", "chunk", "copies"))):
+            row = held.setdefault(chunk, {}).setdefault((doc_id, text), [fold, h, 0])
+            row[2] += copies
+            size += len(text or "") if row[2] == copies else 0
+        if size >= most_chars:
+            yield packed()
+            held, size = {}, 0
+    yield packed()
 
 
 def first_pass(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
@@ -132,11 +144,8 @@ def first_pass(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
     number, rows = int(pdf["chunk"].iloc[0]), {}
     for data in pdf["data"]:
         for doc_id, text, fold, h, copies in zip(*unpack(data)):
-            if (h, doc_id) in rows:
-                rows[h, doc_id][-1] += copies  # rows that are equal are scored once
-            else:
-                rows[h, doc_id] = [doc_id, text, fold, copies]
-    rows = [rows[k] for k in sorted(rows, key=lambda k: (k[0], k[1] is None, k[1] or ""))]
+            rows.setdefault((doc_id, text), [fold, h, 0])[2] += copies  # rows that are equal are scored once
+    rows = [(*key, fold, copies) for key, (fold, h, copies) in sorted(rows.items(), key=lambda x: (x[1][1], *(("", "") if y is None else ("1", y) for y in x[0])))]
     ids, parts_of = Ids({END: 0}), []
     for _, text, _, _ in rows:
         w = (text or "").encode("utf-8", "surrogatepass").lower().split()
