@@ -15,8 +15,10 @@ from tessera.llm.components import components
 #: Frequent shingles that may be sent to every task; shingles in one block of members; queries that meet one block; logarithms of the least and most bits of a filter.
 MOST_FREQUENT = 1 << 21
 BLOCK = 2_000_000
-QUERIES = 2_000
+QUERIES = 500
 FILTER_BITS = (16, 27)
+#: A group of n sets has the square root of n over this in blocks, at least.
+SPREAD = 12
 #: Shingles that are sorted at once when frequent ones are sought.
 CHUNK = 4_000_000
 SIGNATURES = 3
@@ -313,11 +315,13 @@ def _opened(sets: DataFrame, other: DataFrame) -> DataFrame:
     largest component: two sets of one component need no more links.
     """
     per = sets.groupBy("g", "c").agg(F.count("*").alias("n"), F.sum("n").alias("shingles"))
-    per = per.groupBy("g").agg(F.count("*").alias("comps"), F.max_by("c", "n").alias("most"), F.sum("shingles").alias("shingles"))
+    per = per.groupBy("g").agg(F.count("*").alias("comps"), F.max_by("c", "n").alias("most"), F.sum("shingles").alias("shingles"), F.sum("n").alias("members"))
     own = sets.join(per.filter("comps > 1"), "g").filter("c <> most").select("v", F.col("g").alias("open"))
     found = written(other.select("v", "open").union(own), "qualifying")
     wanted = found.select(F.col("open").alias("g")).distinct()
-    parts = per.join(wanted, "g").select("g", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("parts"))
+    # A group of many small sets is cut too: its blocks and the members of each grow alike.
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK), F.ceil(F.sqrt("members") / SPREAD)).cast("int")
+    parts = per.join(wanted, "g").select("g", blocks.alias("parts"))
     members = sets.join(parts, "g").select("g", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), "v", "c", F.lit(False).alias("query"))
     queries = found.join(parts.withColumnRenamed("g", "open"), "open").join(sets.select("v", "c"), "v")
     queries = queries.select(F.col("open").alias("g"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "v", "c", F.lit(True).alias("query"))
