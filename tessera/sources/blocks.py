@@ -27,14 +27,25 @@ def split(sources: DataFrame, data: Column, number: Column, keep=("volume_id", "
     return rows.select(*keep, (F.col("_number") * PER_SOURCE + F.col("block_no")).alias("seq"), "block_no", block.alias("block"))
 
 
+#: Inputs up to this size are dealt out before they are split.
+SMALL = 1 << 30
+
+
+def spread(rows: DataFrame, number: str) -> DataFrame:
+    """A small input is often one row group, which one task would read and work on alone; a large one has enough of them and stays as it is."""
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
+        return rows
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, number)
+
+
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("volume_id"), F.col("source").alias("workload"), F.col("doc_id").cast("string").alias("path"), "doc_id", "text")
-    return split(d, F.encode("text", "UTF-8"), F.col("doc_id"))
+    return split(spread(d, "doc_id"), F.encode("text", "UTF-8"), F.col("doc_id"))
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("pages").alias("volume_id"), F.lit("html").alias("workload"), F.col("url").alias("path"), "page_id", "html")
-    return split(d, F.encode("html", "UTF-8"), F.col("page_id"))
+    return split(spread(d, "page_id"), F.encode("html", "UTF-8"), F.col("page_id"))
 
 
 def file_blocks(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (), recursive: bool = False) -> DataFrame:
