@@ -102,7 +102,7 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
 
 
-def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), general=(1.0, 0.1), remove=(0.1, 0.02)) -> DataFrame:
+def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), general=(1.0, 0.1), remove=(0.1, 0.02), alone=0.5) -> DataFrame:
     """Spans of personal data: one array of (start, end, value) for each kind, and ``term`` (start, end, action).
 
     For a value v and a term t that stands outside values in a document of v, p counts documents: t
@@ -110,6 +110,7 @@ def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), general=(1.0
     which v is as likely as in any, so few documents say less than many. Terms are generalised if no
     more stays hidden than ``general`` allows, in bits and as a share of IC(v), and removed if no more
     than ``remove`` allows, wherever they stand in any document, by the value of which they tell most.
+    In documents without protected values they must leave at most ``alone`` bits hidden.
     Counts cover all documents. For rare values the bits decide, and they mean the same at every size.
 
     Null texts are empty ones and have no spans; equal texts have equal spans, and each counts as a
@@ -122,11 +123,13 @@ def sanitise(docs: DataFrame, *, text_col="text", keep=("doc_id",), general=(1.0
     found = src.select("pii_doc", "pii_text", F.length(text).cast("long").alias("n_chars"), *[base_spans(text, k).alias(k) for k in KINDS])
     base = written(found.withColumn("pii_row", F.monotonically_increasing_id()), "pii-base")
 
-    terms = written(disclosing(base, general, remove), "pii-terms")
+    terms = written(disclosing(base, general, remove, alone), "pii-terms")
     # Most words are told from terms before they are dealt out.
     placed = base.select("pii_row", F.explode(hashes(words(text))).alias("h"))
     placed = placed.join(F.broadcast(cells(terms.select("h"))), F.col("h").bitwiseAND(F.lit(CELLS - 1)) == F.col("cell")).filter(F.expr("getbit(bits, cast(shiftright(h, 20) & 63 as int)) = 1")).select("pii_row", "h")
-    here = placed.join(terms, "h").groupBy("pii_row").agg(F.map_from_entries(F.collect_set(F.struct("h", "action"))).alias("by_term"))
+    holds = base.select("pii_row", F.expr(" or ".join(f"size({k}) > 0" for k in KINDS)).alias("holds"))
+    acting = placed.join(terms, "h").join(holds, "pii_row").filter("holds or strong")
+    here = acting.groupBy("pii_row").agg(F.map_from_entries(F.collect_set(F.struct("h", "action"))).alias("by_term"))
     own = lambda w: F.xxhash64(F.lower(w))
     named = base.join(here, "pii_row").withColumn("written_as", F.filter(words(text), lambda w: F.array_contains(F.map_keys("by_term"), own(w))))
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("written_as", "|"), F.lit(r")(?!\p{L})"))
@@ -148,8 +151,8 @@ def cells(h: DataFrame) -> DataFrame:
     return h.groupBy(F.col("h").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(h, 20) & 63 as int))")).alias("bits"))
 
 
-def disclosing(base: DataFrame, general: tuple, remove: tuple) -> DataFrame:
-    """(h, level, action) of the terms that disclose a value; h is the term's hash."""
+def disclosing(base: DataFrame, general: tuple, remove: tuple, alone: float) -> DataFrame:
+    """(h, level, strong, action) of the terms that disclose a value; h is the term's hash."""
     text = F.col("pii_text")
     value = lambda k: F.transform(k, lambda s: F.xxhash64(F.lit(k), F.lower(s["value"])))
     spans = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
@@ -168,7 +171,7 @@ def disclosing(base: DataFrame, general: tuple, remove: tuple) -> DataFrame:
     hidden = -F.log2((F.col("n_vt") + p_v) / (F.col("n_t") + 1))
     within = lambda most: (F.col("hidden") <= most[0]) & (F.col("hidden") <= F.lit(most[1]) * -F.log2(p_v))
     scored = pairs.withColumn("hidden", hidden).withColumn("level", F.when(within(remove), 2).when(within(general), 1).otherwise(0)).filter("level > 0")
-    return scored.groupBy("h").agg(F.max("level").alias("level")).withColumn("action", F.when(F.col("level") == 2, "remove").otherwise("generalise"))
+    return scored.groupBy("h").agg(F.max("level").alias("level"), (F.min("hidden") <= alone).alias("strong")).withColumn("action", F.when(F.col("level") == 2, "remove").otherwise("generalise"))
 
 
 def span_list(kinds=KINDS, term: bool = False) -> Column:

@@ -664,17 +664,19 @@ def test_disclosure_by_brute_force(spark):
         n_v.update(of(i))
         outside = {m[0].lower() for m in word.finditer(t) if not any(a < m.end() and m.start() < b for a, b in inside)}
         n_vt.update((v, x) for v in of(i) for x in outside)
-    level = Counter()
+    level, least = Counter(), {}
     for (v, x), n in n_vt.items():
         p_v = n_v[v] / len(texts)
         hidden = -np.log2((n + p_v) / (n_t[x] + 1))
+        if hidden <= min(1.0, 0.1 * -np.log2(p_v)):
+            least[x] = min(hidden, least.get(x, 9))
         level[x] = max(level[x], 2 if hidden <= min(0.1, 0.02 * -np.log2(p_v)) else 1 if hidden <= min(1.0, 0.1 * -np.log2(p_v)) else 0)
     got = {x["doc_id"]: x for x in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     found = 0
     for i, t in enumerate(texts):
         inside = [s for k in base[i] for s in base[i][k]]
         free = [m for m in word.finditer(t) if not any(a < m.end() and m.start() < b for a, b in inside)]
-        want = [(m.start(), m.end(), "remove" if level[m[0].lower()] == 2 else "generalise") for m in free if level[m[0].lower()]]
+        want = [(m.start(), m.end(), "remove" if level[m[0].lower()] == 2 else "generalise") for m in free if level[m[0].lower()] and (inside or least[m[0].lower()] <= 0.5)]
         assert [tuple(x) for x in got[i]["term"]] == want, t
         assert [(x["start"], x["end"]) for x in got[i]["secret"]] == base[i]["secret"]
         found += len(want)
