@@ -56,6 +56,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Rows of whole texts that go to a Python worker at once.
+TEXTS_AT_ONCE = 1_000
+
+
+def few_at_once(rows: DataFrame) -> DataFrame:
+    """The same rows. Sets the session to send at most TEXTS_AT_ONCE of them to a Python worker at once, as whole texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(rows.sparkSession.conf.get(name, "10000")) <= TEXTS_AT_ONCE:
+        rows.sparkSession.conf.set(name, str(TEXTS_AT_ONCE))
+    return rows
+
+
 def packed(rows: DataFrame, kinds: dict) -> list[np.ndarray]:
     """Columns of a bounded table of whole numbers on the driver, as arrays of the kinds named: each task sends one row of bytes."""
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fields, spared
+from tessera.llm.common import few_at_once, fields, spared
 
 #: ASCII letters and digits and every byte above ASCII make words; A-Z count as a-z.
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -210,7 +210,7 @@ def cut(text: str, spans) -> str:
     return "".join(out) + text[at:]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window=10, shard_words=4_000_000, text_col="text", keep=("doc_id",), remove=False, most_chars=MOST_CHARS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window=10, shard_words=1_000_000, text_col="text", keep=("doc_id",), remove=False, most_chars=MOST_CHARS) -> DataFrame:
     """Words of each document that lie in an occurrence of a test window.
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter one. Each task
@@ -229,7 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window=10, shard_wor
     added = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>" + ", text_cut string" * remove
     keep = spared(keep, added)
     schema = fields(docs.select(*keep), added)
-    src = docs.select(*keep, F.col(text_col).alias("text\0"))
+    src = few_at_once(docs.select(*keep, F.col(text_col).alias("text\0")))
     before = fields(src, "`hit\0` binary, `items\0` array<string>")
     for r in range(rounds):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r) if rounds > 1 else rows

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fields, spared
+from tessera.llm.common import few_at_once, fields, spared
 from tessera.llm.decontaminate import words_of
 
 #: Buckets of hashed features; labelled rows used for the fit; documents a feature must stand in; length of a text's features; highest grade.
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, text_co
             b = pd.concat(parts)
             yield pd.DataFrame({"key": [b[["doc_id", "h", "grade"]].to_numpy(np.int64).tobytes()], "size": [b["x"].map(len).to_numpy(np.int64).tobytes()], "x": [b"".join(b["x"])]})
 
-    found = labelled(docs, labels, most, text_col).mapInPandas(run, "grade int, x binary, doc_id long, h long")
+    found = few_at_once(labelled(docs, labels, most, text_col)).mapInPandas(run, "grade int, x binary, doc_id long, h long")
     found = found.groupBy("doc_id", "h", "grade").agg(F.first("x").alias("x")).coalesce(8).mapInPandas(joined, "key binary, size binary, x binary")
     keys, rows = [], []
     for r in found.toLocalIterator():  # one part of the sample at a time
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: CumulativeLink, *, text_col="text", keep=("doc
             yield b
 
     keep = spared(keep, ADDED)
-    return docs.select(*keep, F.col(text_col).alias("text\0")).mapInPandas(run, fields(docs.select(*keep), ADDED))
+    return few_at_once(docs.select(*keep, F.col(text_col).alias("text\0"))).mapInPandas(run, fields(docs.select(*keep), ADDED))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, written
+from tessera.llm.common import few_at_once, packed, written
 from tessera.llm.components import components
 
 #: Frequent shingles that may be sent to every task; shingles in one block of members; queries that meet one block; logarithms of the least and most bits of a filter.
@@ -339,7 +339,7 @@ def link_documents(docs: DataFrame, rule: Rule = Rule(), *, text_col="text") ->
     Null, empty and white-space texts have no shingles and stand alone; rows of equal texts, also
     under one doc_id, are one vertex; a null doc_id is never the least.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text_col).alias("k"), F.col(text_col).alias("text"))
+    docs = few_at_once(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text_col).alias("k"), F.col(text_col).alias("text")))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, rule))
     profiles = written(_profiles(docs, rule, frequent), "profiles")
     first = written(_open(docs, profiles, _stars(profiles, rule), rule), "links-1")
