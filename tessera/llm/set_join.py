@@ -159,11 +159,20 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     low, high = FILTER_BITS
     size = min(max(low, (8 * keys.count()).bit_length()), high)
 
+    def places(held):
+        p = np.unique(np.concatenate(held) & ((1 << size) - 1))
+        part, at = np.unique(p >> low, return_index=True)
+        return pd.DataFrame({"i": part, "at": [x.astype(np.uint16).tobytes() for x in np.split(p & ((1 << low) - 1), at[1:])]})
+
     def placed(batches):
+        held = []
         for b in batches:
-            p = np.unique(b[col].to_numpy(np.int64) & ((1 << size) - 1))
-            part, at = np.unique(p >> low, return_index=True)
-            yield pd.DataFrame({"i": part, "at": [x.astype(np.uint16).tobytes() for x in np.split(p & ((1 << low) - 1), at[1:])] if len(p) else []})
+            held.append(b[col].to_numpy(np.int64))
+            if sum(map(len, held)) >= 1_000_000:
+                yield places(held)
+                held = []
+        if any(map(len, held)):
+            yield places(held)
 
     def merged(pdf):
         bits = np.zeros(1 << low, np.uint8)
