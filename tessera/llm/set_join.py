@@ -9,19 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import few_at_once, packed, written
+from tessera.llm.common import few_at_once, written
 from tessera.llm.components import components
 
-#: Frequent shingles that may be sent to every task; shingles in one block of members; queries that meet one block; logarithms of the least and most bits of a filter.
-MOST_FREQUENT = 1 << 21
+#: Logarithm of the places at which shingles are counted; shingles in one block of members; queries that meet one block; logarithms of the least and most bits of a filter.
+PLACES = 25
 BLOCK = 2_000_000
 QUERIES = 500
 FILTER_BITS = (16, 27)
 #: A group of n sets has the square root of n over this in blocks, at least.
 SPREAD = 12
-#: Shingles that are sorted at once when frequent ones are sought.
+#: Shingles that are sorted at once when they are counted.
 CHUNK = 4_000_000
-SIGNATURES = 3
+#: A near copy that shares no signature with its group is a group of its own: with J in common, (1 - J) to this power of them are.
+SIGNATURES = 8
 
 
 @dataclass(frozen=True)
@@ -88,50 +89,52 @@ class Shingler:
         return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def _frequent(docs: DataFrame, rule: Rule) -> dict:
-    """Shingles of the most documents, with counts: at most MOST_FREQUENT.
+def _levels(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """How common shingles are: a level from 0 to 15 for each of 2^PLACES hashed places, two to a byte.
 
-    A chunk of documents reports the shingles that it holds twice. Any order of shingles keeps the
-    join exact; this one puts shared passages last, by the whole part of the logarithm of their count.
+    Every shingle of every text is counted at its place, two bytes each in the shuffle, so what counts
+    as common depends neither on tasks nor, while places suffice, on the size of the input. Level 0
+    lies within what places hold by chance; from there each level is twice as common. Any order of
+    shingles keeps the join exact; this one puts shared passages last.
     """
 
     def run(batches):
         shingle, held, size = Shingler(rule.words), [], 0
 
-        def counts():
-            t, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"t": t[n > 1].view(np.int64), "n": n[n > 1]})
+        def places():
+            p = np.sort(np.concatenate(held))
+            part, at = np.unique(p >> 16, return_index=True)
+            return pd.DataFrame({"i": part.astype(np.int64), "at": [x.astype(np.uint16).tobytes() for x in np.split(p & 0xFFFF, at[1:])]})
 
         for b in batches:
             for text in b["text"]:
-                held.append(s := shingle(text))
-                size += len(s)
+                held.append((shingle(text) & np.uint64((1 << PLACES) - 1)).astype(np.uint32))
+                size += len(held[-1])
                 if size >= CHUNK:
-                    yield counts()
+                    yield places()
                     held, size = [], 0
-        if held:
-            yield counts()
-
-    seen = written(docs.select("text").mapInPandas(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")), "frequent")
-    steps = seen.groupBy(F.floor(F.log2("n")).alias("step")).count().orderBy(F.desc("step")).collect()
-    least, total = None, 0
-    for step, n in steps:
-        if (total := total + n) > MOST_FREQUENT:
-            break
-        least = 2**step
-    if not least:
-        return {"t": np.zeros(0, np.uint64), "n": np.zeros(0, np.uint8)}
-    t, n = packed(seen.filter(F.col("n") >= least).select("t", F.floor(F.log2("n")).cast("long").alias("n")), {"t": np.uint64, "n": np.uint8})
-    at = np.argsort(t)
-    return {"t": t[at], "n": n[at]}
-
-
-def _profiles(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
+        if size:
+            yield places()
+
+    def merged(pdf):
+        n = np.bincount(np.frombuffer(b"".join(pdf["at"]), np.uint16), minlength=1 << 16)
+        usual = np.median(n)
+        base = usual + 2 * np.sqrt(usual) + 2
+        level = np.where(n < base, 0, np.minimum(15, 1 + np.floor(np.log2(np.maximum(n, base) / base)))).astype(np.uint8)
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "level": [(level[::2] | level[1::2] << 4).tobytes()]})
+
+    out = np.zeros((1 << PLACES) // 2, np.uint8)
+    for i, x in docs.select("text").mapInPandas(run, "i long, at binary").groupBy("i").applyInPandas(merged, "i long, level binary").toLocalIterator():
+        out[i << 15 : (i + 1) << 15] = np.frombuffer(bytes(x), np.uint8)
+    return out
+
+
+def _profiles(docs: DataFrame, rule: Rule, levels) -> DataFrame:
     """Per row: its key k, size n, set id v, prefix (rarest shingles first) and signatures."""
 
     def run(batches):
-        shingle, heavy = Shingler(rule.words), frequent.value
-        seeds = [np.uint64(0xA24BAED4963EE407 * (i + 1) % (1 << 64)) for i in range(SIGNATURES)]
+        shingle, level = Shingler(rule.words), levels.value
+        starts = np.arange(SIGNATURES, dtype=np.uint64) * np.uint64((1 << 64) // SIGNATURES)
         for b in batches:
             ns, vs, ps, sigs = [], [], [], []
             for text in b.pop("text"):
@@ -141,12 +144,11 @@ def _profiles(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
                     vs.append(0), ps.append(np.zeros(0, np.int64)), sigs.append(np.zeros(0, np.int64))
                     continue
                 vs.append(int(np.sum(_mixed(s), dtype=np.uint64).astype(np.int64)))
-                rank = np.zeros(len(s), np.int64)
-                if len(heavy["t"]):
-                    i = np.minimum(np.searchsorted(heavy["t"], s), len(heavy["t"]) - 1)
-                    rank = np.where(heavy["t"][i] == s, heavy["n"][i], 0)
-                ps.append(s[np.lexsort((s, rank))[: rule.prefix(len(s))]].view(np.int64))
-                sigs.append(np.array([_mixed(s ^ x).min() for x in seeds], np.uint64).view(np.int64))
+                p = s & np.uint64(2 * len(level) - 1)
+                rank = level[p >> np.uint64(1)] >> ((p & np.uint64(1)) << np.uint64(2)).astype(np.uint8) & np.uint8(15)
+                ps.append(s[np.argsort(rank, kind="stable")[: rule.prefix(len(s))]].view(np.int64))
+                # One look at the sorted shingles gives the first from each start, after the last the first.
+                sigs.append(s[np.searchsorted(s, starts) % len(s)].view(np.int64))
             b["n"], b["v"], b["prefix"], b["sig"] = ns, vs, ps, sigs
             yield b
 
@@ -349,8 +351,8 @@ def link_documents(docs: DataFrame, rule: Rule = Rule(), *, text_col="text") ->
     under one doc_id, are one vertex; a null doc_id is never the least.
     """
     docs = few_at_once(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text_col).alias("k"), F.col(text_col).alias("text")))
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, rule))
-    profiles = written(_profiles(docs, rule, frequent), "profiles")
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(docs, rule))
+    profiles = written(_profiles(docs, rule, levels), "profiles")
     first = written(_open(docs, profiles, _stars(profiles, rule), rule), "links-1")
     links = first.filter("linked")
     sets = written(_sets(profiles, components(first), components(links)), "sets")

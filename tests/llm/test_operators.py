@@ -562,6 +562,30 @@ def test_set_join_edges(spark):
     assert set_join.query(empty(df)).count() == 0
 
 
+def test_set_join_rows(spark, monkeypatch):
+    """Neither a passage that few texts of a task hold nor a large group of near copies fills the token-group matrix."""
+    r, held, keep = np.random.default_rng(5), {}, set_join.written
+    word = lambda: "w" + str(r.integers(10**6))
+
+    def written(df, name):
+        held[name] = keep(df, name)
+        return held[name]
+
+    monkeypatch.setattr(set_join, "written", written)
+    shared, base = [word() for _ in range(40)], [word() for _ in range(400)]
+    rows = [(1000 + i, " ".join(shared + [word() for _ in range(60)])) for i in range(24)]
+    for i in range(200):
+        w = list(base)
+        for k in r.integers(0, 400, 20):
+            w[k] = word()
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(32)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in set_join.link_documents(df).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+    assert held["sets"].filter("n > 200").select("g").distinct().count() <= 2
+    assert held["matrix"].filter("n < 200").count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["v"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
