@@ -576,7 +576,7 @@ def test_set_join_rows(spark, monkeypatch):
     rows = [(1000 + i, " ".join(shared + [word() for _ in range(60)])) for i in range(24)]
     for i in range(200):
         w = list(base)
-        for k in r.integers(0, 400, 20):
+        for k in r.integers(0, 400, 10):
             w[k] = word()
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(32)
