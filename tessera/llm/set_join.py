@@ -40,6 +40,19 @@ class Rule:
     def prefix(self, n: int) -> int:
         return min(n, n - -(-self.num * n // self.den) + self.extra(n))
 
+    def may_link(self, n, low, high, hits):
+        """Whether a set of n shingles can link with one of low to high, of whose prefixes it has no more than these hits.
+
+        Sets of n and m link with num / (num + den) * (n + m) shingles in common at least. In the common
+        order those outside one of the prefixes come last, so there are no more of them than the
+        larger set has outside its own: less than (num / den - 1 / 20) * max(n, m) + 1. What is left
+        of the sum is least at one end of the sizes that can link.
+        """
+        share = self.num / self.den
+        left = lambda m: (n + m) * (share / (1 + share)) - F.greatest(n.cast("double"), m) * (share - 0.05) - 1
+        ends = F.greatest(low.cast("double"), n * share), F.least(high.cast("double"), n / share)
+        return (self.den * high >= self.num * n) & (self.num * low <= self.den * n) & (hits > F.least(*map(left, ends)) - 1e-6)
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -294,7 +307,8 @@ def _qualifying(profiles: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     A group's row of the matrix is the union of its sets' prefixes. A set can link into a group only
     if the union holds enough of the set's prefix, so only such groups are opened. Shingles of one
     set say nothing: they are left out first, through a filter that may let a few pass,
-    and with them all sets that keep too few.
+    and with them all sets that keep too few. A shingle of two sets needs no join: counting its sets
+    names both. Only shingles of more sets meet the matrix.
     """
     seen = profiles.filter("n > 0").select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     sent = profiles.sparkSession.sparkContext.broadcast(_bitmap(seen))
@@ -306,17 +320,25 @@ def _qualifying(profiles: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             least = b["n"].to_numpy(np.int64) * rule.num // rule.den // 20 + 1
             yield b[np.array([len(p) for p in keep]) >= least] if len(b) else b
 
+    groups = sets.groupBy("g").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    placed = sets.join(groups, "g").select("v", "g", "members")
     left = profiles.filter("n > 0").select("v", "n", "prefix").mapInPandas(shared, "v long, n long, prefix array<long>")
-    tokens = left.dropDuplicates(["v"]).join(sets.select("v", "g"), "v").select("v", "n", "g", F.explode("prefix").alias("t"))
+    tokens = left.dropDuplicates(["v"]).join(placed, "v").select("v", "n", "g", "members", F.explode("prefix").alias("t"))
     tokens = written(tokens, "shared-shingles")
-    between = tokens.groupBy("t").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("t")
-    cross = tokens.join(between, "t", "left_semi")
+    ends = [f(c).alias(c + i) for c in ("g", "v") for f, i in ((F.min, "0"), (F.max, "1"))]
+    between = written(tokens.groupBy("t").agg(F.count("*").alias("sets"), *ends).filter("g0 <> g1"), "between")
+    # The sets of the smaller group ask for the larger one.
+    pairs = between.filter("sets = 2").groupBy("v0", "v1").agg(F.count("*").alias("hits"))
+    pairs = pairs.join(placed.toDF("v0", "g0", "m0"), "v0").join(placed.toDF("v1", "g1", "m1"), "v1")
+    asks = F.expr("m0 < m1 or m0 = m1 and g0 < g1")
+    pairs = pairs.select(F.when(asks, F.col("v0")).otherwise(F.col("v1")).alias("v"), F.when(asks, F.col("g1")).otherwise(F.col("g0")).alias("open"), "hits")
+    cross = written(tokens.join(between.filter("sets > 2").select("t"), "t", "left_semi"), "matrix")
+    matrix = cross.select("t", F.col("g").alias("open"), F.col("members").alias("of")).distinct()
+    met = cross.join(matrix, "t").filter("members < of or members = of and g < open").groupBy("v", "open").agg(F.count("*").alias("hits"))
+    bound = pairs.union(met).groupBy("v", "open").agg(F.sum("hits").alias("hits"))
+    bound = bound.join(sets.select("v", "n"), "v").join(groups.withColumnRenamed("g", "open"), "open")
     least = F.floor(F.floor(F.col("n") * rule.num / rule.den) / 20) + 1
-    enough = cross.groupBy("v", "n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= least).select("v")
-    cross = written(cross.join(enough, "v", "left_semi"), "matrix")
-    matrix = cross.select("t", F.col("g").alias("open")).distinct()
-    bound = cross.join(matrix, "t").filter("open < g").groupBy("v", "n", "open").agg(F.count("*").alias("hits"))
-    return bound.filter(F.col("hits") >= least).select("v", "open")
+    return bound.filter((F.col("hits") >= least) & rule.may_link(F.col("n"), F.col("low"), F.col("high"), F.col("hits"))).select("v", "open")
 
 
 def _opened(sets: DataFrame, other: DataFrame) -> DataFrame:

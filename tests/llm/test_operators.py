@@ -586,6 +586,47 @@ def test_set_join_rows(spark, monkeypatch):
     assert held["matrix"].filter("n < 200").count() == 0
 
 
+def test_set_join_half_alike(spark, monkeypatch):
+    """Texts that share a part with one other do not meet the matrix, and few of them are held against each other, though no order puts their part last."""
+    r, held, keep = np.random.default_rng(11), {}, set_join.written
+
+    def written(df, name):
+        held[name] = keep(df, name)
+        return held[name]
+
+    words = lambda n: ["w" + str(r.integers(10**6)) for _ in range(n)]
+    monkeypatch.setattr(set_join, "written", written)
+    monkeypatch.setattr(set_join, "_levels", lambda docs, rule: np.zeros((1 << set_join.PLACES) // 2, np.uint8))
+    rows = []
+    for i in range(60):
+        part = words(120)
+        rows += [(2 * i + k, " ".join(part + words(180))) for k in (0, 1)]
+    for i in range(6):
+        base = words(300)
+        near = [base[:k] + words(1) + base[k + 1 :] for k in r.integers(0, 300, 4)]
+        rows += [(1000 + 10 * i + k, " ".join(w)) for k, w in enumerate([*near, base[:130] + words(170)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in set_join.link_documents(df).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+    assert held["qualifying"].count() <= 6
+    assert held["matrix"].count() <= 1500
+
+
+@pytest.mark.parametrize("rule", [set_join.Rule(), set_join.Rule(words=5, num=80)])
+def test_may_link(spark, rule):
+    """The least hits of prefixes that sets which link can have, by size, are never ruled out."""
+    rows = []
+    for n in [*range(1, 60), 99, 100, 101, 380, 1000, 3777]:
+        for m in {*range(max(1, rule.num * n // rule.den - 1), min(n + 40, rule.den * n // rule.num + 2)), rule.den * n // rule.num}:
+            common = -(-rule.num * (n + m) // (rule.num + rule.den))
+            if rule.num * max(n, m) <= rule.den * min(n, m):
+                rows.append((n, m, common - max(n - rule.prefix(n), m - rule.prefix(m))))
+    df = spark.createDataFrame(rows, "n long, m long, hits long")
+    assert df.filter(~rule.may_link(F.col("n"), F.col("m"), F.col("m"), F.col("hits"))).count() == 0
+    assert df.filter(~rule.may_link(F.col("n"), F.col("m") - 3, F.col("m") + 5, F.col("hits"))).count() == 0
+    assert df.filter(rule.may_link(F.col("n"), 2 * F.col("n"), 3 * F.col("n"), F.col("n"))).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["v"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
